@@ -1,4 +1,61 @@
-"""placeholder"""
+"""Registered queries for the routes declared without a body."""
 
-CHANGES = {}
-DECLARED = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollbook.operators import declared
+from rollbook.registry_changes import AS_OF
+from rollbook.sources.campus import load_driver
+
+
+def batch_enroll(spark, sf_dir) -> DataFrame:
+    """One enrollment request per order: F orders ask for a course the
+    customer already has (the order's smallest part), others for a course
+    derived from the order total; LOW priority orders come from non-students."""
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    first_part = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("first_part"))
+    j = o.join(first_part, "o_orderkey", "left")
+    return j.select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_custkey") + 40_000_000)
+         .otherwise(F.col("o_custkey") + 10_000_000).alias("user_id"),
+        F.when(F.col("o_orderstatus") == "F", F.col("first_part"))
+         .otherwise(F.floor("o_totalprice").cast("long") % 3000).alias("course_id"))
+
+
+def _d2(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.enroll(c.enrollments, c.students, c.courses, batch_enroll(spark, sf_dir), AS_OF)
+
+
+def d01_available_course_counts(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.available_course_counts(c.students, c.courses, c.enrollments)
+
+
+def d03_course_assignments(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.course_assignments(c.assignments, c.courses)
+
+
+def d04_course_attendance(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.course_attendance(c.attendance, c.courses)
+
+
+def d05_student_progress(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.student_progress(c.enrollments, c.assignments, c.grades, c.attendance)
+
+
+DECLARED = {
+    "d01_available_course_counts": d01_available_course_counts,
+    "d02_enroll": lambda s, d: _d2(s, d)[0],
+    "d02_enroll_rejects": lambda s, d: _d2(s, d)[1],
+    "d03_course_assignments": d03_course_assignments,
+    "d04_course_attendance": d04_course_attendance,
+    "d05_student_progress": d05_student_progress,
+}
