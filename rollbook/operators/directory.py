@@ -79,20 +79,20 @@ def find_users_by_email(emails: DataFrame, users: DataFrame, students: DataFrame
     it meets the request side, so a popular address stays one row.
     """
     matched = contacts(students, teachers, management).where(F.col("email").isNotNull()) \
-        .join(users.select("user_id", "role"), "user_id")
-    best = matched.groupBy("email").agg(F.min(F.struct("user_id", "role")).alias("u"))
+        .join(users.select("user_id"), "user_id", "left_semi")
+    best = matched.groupBy("email").agg(F.min("user_id").alias("user_id"))
     req = emails.select("email").where(F.col("email").isNotNull()).distinct()
-    return req.join(best, "email").select("email", F.col("u.user_id").alias("user_id"),
-                                          F.col("u.role").alias("role"))
+    return (req.join(best, "email").join(users.select("user_id", "role"), "user_id")
+               .select("email", "user_id", "role"))
 
 
 def find_users_by_domain_id(keys: DataFrame, users: DataFrame) -> DataFrame:
     """Q15: ``user_id, domain_id, role`` for each requested domain id
     (smallest user id if a domain id were ever held twice)."""
-    best = users.groupBy("domain_id").agg(F.min(F.struct("user_id", "role")).alias("u"))
     req = keys.select("domain_id").where(F.col("domain_id").isNotNull()).distinct()
-    return req.join(best, "domain_id").select(F.col("u.user_id").alias("user_id"), "domain_id",
-                                              F.col("u.role").alias("role"))
+    best = users.join(req, "domain_id", "left_semi").groupBy("domain_id") \
+        .agg(F.min("user_id").alias("user_id"))
+    return best.join(users.select("user_id", "role"), "user_id").select("user_id", "domain_id", "role")
 
 
 def find_users_by_id(keys: DataFrame, users: DataFrame) -> DataFrame:

@@ -148,8 +148,10 @@ def attendance_sheet(roster: DataFrame, overrides: DataFrame) -> DataFrame:
     for it says otherwise; of several entries the one with the highest
     ``seq`` counts, and an empty status falls back to present.
     """
-    latest = overrides.groupBy("course_id", "student_id").agg(
-        F.max_by("status", "seq").alias("override"))
+    # Latest entry per (course, student): max(seq) is a fixed-width hash
+    # aggregate; the status is fetched by joining back on the unique seq.
+    last_seq = overrides.groupBy("course_id", "student_id").agg(F.max("seq").alias("seq"))
+    latest = overrides.select("seq", F.col("status").alias("override")).join(last_seq, "seq")
     return (roster.select("course_id", "student_id")
                   .join(latest, ["course_id", "student_id"], "left")
                   .select("course_id", "student_id",

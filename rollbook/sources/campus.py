@@ -80,49 +80,99 @@ def _case_map(c: str, mapping: dict[str, str]):
     return expr
 
 
+class _DriverTables:
+    """The driver's raw tables, each read on first use."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._spark, self._root, self._cache = spark, root, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._cache:
+            self._cache[name] = _driver(self._spark, self._root, name)
+        return self._cache[name]
+
+
+class LazyCampus(Campus):
+    """A Campus whose tables are derived only when first accessed, so a query
+    that needs two tables does not read or analyze the other nine."""
+
+    def __init__(self, builders: dict):  # noqa: D107 - dataclass fields are filled lazily
+        object.__setattr__(self, "_builders", builders)
+        object.__setattr__(self, "_built", {})
+
+    def __getattribute__(self, name: str):
+        builders = object.__getattribute__(self, "_builders")
+        if name in builders:
+            built = object.__getattribute__(self, "_built")
+            if name not in built:
+                built[name] = builders[name]()
+            return built[name]
+        return object.__getattribute__(self, name)
+
+    def with_tables(self, **tables: DataFrame) -> Campus:
+        return Campus(**{**{n: getattr(self, n) for n in TABLES}, **tables})
+
+
 def load_driver(spark: SparkSession, root: str) -> Campus:
-    """Derive the campus tables from the driver's tables under ``root``."""
-    customer = _driver(spark, root, "customer")
-    supplier = _driver(spark, root, "supplier")
-    nation = _driver(spark, root, "nation")
-    part = _driver(spark, root, "part")
-    orders = _driver(spark, root, "orders")
-    lineitem = _driver(spark, root, "lineitem")
-    events = _driver(spark, root, "events")
-    documents = _driver(spark, root, "documents")
-
-    null_s = F.lit(None).cast("string")
-
-    students = conform(customer.select(
+    """Derive the campus tables from the driver's tables under ``root``.
+
+    Tables are built lazily (on first access) and shared within the Campus.
+    """
+    raw = _DriverTables(spark, root)
+
+    def get(name):
+        return getattr(lazy, name)
+
+    builders = {name: (lambda n=name: _BUILDERS[n](raw, get)) for name in TABLES}
+    lazy = LazyCampus(builders)
+    return lazy
+
+
+def _null_s():
+    return F.lit(None).cast("string")
+
+
+def _students(raw, get):
+    return conform(raw.customer.select(
         F.col("c_custkey").alias("student_id"),
         (F.col("c_custkey") + STUDENT_USER_BASE).alias("user_id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("roll_number"),
         F.concat(F.lower("c_mktsegment"), F.lit("."), F.col("c_custkey").cast("string"),
                  F.lit("@example.org")).alias("email"),
-        null_s.alias("phone_number"),
+        _null_s().alias("phone_number"),
         F.col("c_mktsegment").alias("address")), "students")
 
-    teachers = conform(
+
+def _teachers(raw, get):
+    supplier, nation = raw.supplier, raw.nation
+    return conform(
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
             F.col("s_suppkey").alias("teacher_id"),
             (F.col("s_suppkey") + TEACHER_USER_BASE).alias("user_id"),
             F.col("s_name").alias("name"),
             F.concat(F.lit("t"), F.col("s_suppkey").cast("string"), F.lit("@example.org")).alias("email"),
-            null_s.alias("phone_number"),
+            _null_s().alias("phone_number"),
             F.col("n_name").alias("department")), "teachers")
 
-    management = conform(nation.select(
+
+def _management(raw, get):
+    return conform(raw.nation.select(
         F.col("n_nationkey").cast("long").alias("management_id"),
         (F.col("n_nationkey").cast("long") + MANAGEMENT_USER_BASE).alias("user_id"),
         F.col("n_name").alias("name"),
         F.concat(F.lit("m"), F.col("n_nationkey").cast("string"), F.lit("@example.org")).alias("email"),
-        null_s.alias("phone_number")), "management")
+        _null_s().alias("phone_number")), "management")
+
 
+def _users(raw, get):
     # First order per customer, aggregated before the join (partial aggregation).
-    first_order = orders.groupBy(F.col("o_custkey").alias("student_id")).agg(
+    first_order = raw.orders.groupBy(F.col("o_custkey").alias("student_id")).agg(
         F.min("o_orderdate").alias("created_at"))
-    users = conform(
+    students, teachers, management = get("students"), get("teachers"), get("management")
+    return conform(
         students.join(first_order, "student_id", "left").select(
             "user_id",
             F.concat(F.lit("stu_"), F.col("student_id").cast("string")).alias("domain_id"),
@@ -135,54 +185,73 @@ def load_driver(spark: SparkSession, root: str) -> Campus:
             F.lit("management").alias("role"), F.lit(None).cast("timestamp_ntz").alias("created_at"))),
         "users")
 
-    courses = conform(part.select(
+
+def _courses(raw, get):
+    return conform(raw.part.select(
         F.col("p_partkey").alias("course_id"),
         F.concat(F.col("p_brand"), F.lit("-"), F.col("p_partkey").cast("string")).alias("course_code"),
         F.col("p_name").alias("course_name"),
         F.col("p_type").alias("schedule"),
         F.when(F.col("p_size") % 10 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("long")
          .alias("teacher_id"),
-        null_s.alias("description"),
+        _null_s().alias("description"),
         F.lit(None).cast("timestamp_ntz").alias("updated_at")), "courses")
 
-    lines = lineitem.join(orders.select("o_orderkey", "o_custkey"),
-                          lineitem.l_orderkey == orders.o_orderkey, "inner")
-    enrollments = conform(lines.select(
+
+def _lines(raw):
+    return raw.lineitem.join(raw.orders.select("o_orderkey", "o_custkey"),
+                             F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+
+
+def _enrollments(raw, get):
+    return conform(_lines(raw).select(
         F.col("o_custkey").alias("student_id"),
         F.col("l_partkey").alias("course_id"),
         F.col("l_linestatus").alias("enrollment_status"),
         F.abs("l_discount").alias("progress"),
         F.col("l_shipdate").alias("created_at")), "enrollments")
 
-    attendance = conform(events.select(
+
+def _attendance(raw, get):
+    return conform(raw.events.select(
         F.col("event_id").alias("attendance_id"),
         F.col("user_id").alias("student_id"),
         F.get_json_object("props", "$.k").cast("long").alias("course_id"),
         F.to_date("ts").alias("attendance_date"),
         _case_map("event_type", ATTENDANCE_STATUS).alias("status")), "attendance")
 
-    fees = conform(orders.select(
+
+def _fees(raw, get):
+    return conform(raw.orders.select(
         F.col("o_orderkey").alias("fee_id"),
         F.col("o_custkey").alias("student_id"),
         F.col("o_totalprice").alias("amount"),
         _case_map("o_orderstatus", FEE_STATUS).alias("payment_status"),
         F.when(F.col("o_orderstatus") == "F", F.to_date("o_orderdate")).alias("payment_date")), "fees")
 
-    assignments = conform(
-        lineitem.select("l_partkey", "l_linenumber").distinct().select(
+
+def _assignments(raw, get):
+    return conform(
+        raw.lineitem.select("l_partkey", "l_linenumber").distinct().select(
             (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("assignment_id"),
             F.col("l_partkey").alias("course_id"),
             F.concat(F.lit("Assignment "), F.col("l_linenumber").cast("string")).alias("title"),
-            null_s.alias("description"),
+            _null_s().alias("description"),
             F.lit(None).cast("date").alias("due_date"),
             F.lit(ASSIGNMENT_MARKS).cast(MARKS).alias("total_marks"),
             F.lit(None).cast("timestamp_ntz").alias("created_at")), "assignments")
 
-    grades = conform(
-        lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "o_custkey").agg(
+
+def _grades(raw, get):
+    return conform(
+        _lines(raw).groupBy("l_orderkey", "l_linenumber", "l_partkey", "o_custkey").agg(
             F.max(F.col("l_quantity").cast("int")).alias("q"),
-            F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("feedback"),
+            # Feedback is the largest return flag other than N (flags are A, N, R);
+            # boolean flags keep the aggregation buffer fixed-width (hash aggregate).
+            F.bool_or(F.col("l_returnflag") == "R").alias("has_r"),
+            F.bool_or(F.col("l_returnflag") == "A").alias("has_a"),
             F.max("l_shipdate").alias("submitted_at"))
+        .withColumn("feedback", F.when(F.col("has_r"), F.lit("R")).when(F.col("has_a"), F.lit("A")))
         .select(
             ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * GRADE_ID_FACTOR
              + F.col("l_partkey")).alias("grade_id"),
@@ -192,17 +261,22 @@ def load_driver(spark: SparkSession, root: str) -> Campus:
             "feedback", "submitted_at",
             F.lit(None).cast("timestamp_ntz").alias("graded_at")), "grades")
 
-    poster = (F.when(F.col("doc_id") % 3 == 0, MANAGEMENT_USER_BASE + F.col("doc_id") % 25)
-              .when(F.col("doc_id") % 3 == 1, TEACHER_USER_BASE + F.col("doc_id") % 10)
-              .otherwise(STUDENT_USER_BASE + F.col("doc_id") % 100))
-    notices = conform(documents.select(
-        F.col("doc_id").alias("notice_id"),
-        F.concat(F.lit("Notice "), F.col("doc_id").cast("string"), F.lit(" ("),
-                 F.col("source"), F.lit(")")).alias("title"),
+
+def _notices(raw, get):
+    doc = F.col("doc_id")
+    poster = (F.when(doc % 3 == 0, MANAGEMENT_USER_BASE + doc % 25)
+              .when(doc % 3 == 1, TEACHER_USER_BASE + doc % 10)
+              .otherwise(STUDENT_USER_BASE + doc % 100))
+    return conform(raw.documents.select(
+        doc.alias("notice_id"),
+        F.concat(F.lit("Notice "), doc.cast("string"), F.lit(" ("), F.col("source"), F.lit(")")).alias("title"),
         F.col("text").alias("content"),
         poster.cast("long").alias("posted_by_user_id"),
         F.lit(None).cast("timestamp_ntz").alias("created_at")), "notices")
 
-    return Campus(users=users, students=students, teachers=teachers, management=management,
-                  courses=courses, enrollments=enrollments, attendance=attendance,
-                  assignments=assignments, grades=grades, notices=notices, fees=fees)
+
+_BUILDERS = {
+    "users": _users, "students": _students, "teachers": _teachers, "management": _management,
+    "courses": _courses, "enrollments": _enrollments, "attendance": _attendance,
+    "assignments": _assignments, "grades": _grades, "notices": _notices, "fees": _fees,
+}

@@ -19,7 +19,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select a table's columns in canonical order and types."""
+    """Select a table's columns in canonical order and types (no-op when
+    the frame already has exactly that schema)."""
+    want = [(f.name, f.dataType) for f in TABLES[name].fields]
+    if [(f.name, f.dataType) for f in df.schema.fields] == want:
+        return df
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
 
 
