@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.keys import role_key
+from rollbook.plans.batches import wanted
 from rollbook.schema import MSG_ACCESS_COURSE, MSG_GRADE_PERMISSION, MSG_TEACHER_NOT_FOUND
 
 
@@ -22,7 +23,8 @@ def split(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_teacher(requests: DataFrame, teachers: DataFrame, user_col: str = "teacher_user_id") -> DataFrame:
     """Add ``teacher_id`` (NULL when the user has no Teachers row)."""
-    tk = role_key(teachers, "teacher_id").withColumnRenamed("user_id", user_col)
+    tk = role_key(teachers, "teacher_id", requests=requests, request_col=user_col) \
+        .withColumnRenamed("user_id", user_col)
     return requests.join(tk, user_col, "left")
 
 
@@ -30,7 +32,9 @@ def course_access_check(requests: DataFrame, teachers: DataFrame, courses: DataF
                         denied: str = MSG_ACCESS_COURSE) -> DataFrame:
     """Q16 as an annotation over ``(seq, teacher_user_id, course_id, ...)``."""
     r = with_teacher(requests, teachers)
-    owned = courses.select("course_id", F.col("teacher_id").alias("owner_id"))
+    # Only the requested courses take part in the join.
+    owned = courses.select("course_id", F.col("teacher_id").alias("owner_id")) \
+        .join(wanted(requests, ["course_id"]), "course_id", "left_semi")
     r = r.join(owned, "course_id", "left")
     reason = (F.when(F.col("teacher_id").isNull(), F.lit(MSG_TEACHER_NOT_FOUND))
                .when(~F.coalesce(F.col("owner_id") == F.col("teacher_id"), F.lit(False)), F.lit(denied)))
@@ -59,8 +63,8 @@ def grade_access_check(requests: DataFrame, teachers: DataFrame, grades: DataFra
     assignment and course joins only see requested grades.
     """
     r = with_teacher(requests, teachers)
-    wanted = grades.join(requests.select("grade_id"), "grade_id", "left_semi")
-    owners = grade_owner(wanted, assignments, courses)
+    asked = grades.join(wanted(requests, ["grade_id"]), "grade_id", "left_semi")
+    owners = grade_owner(asked, assignments, courses)
     r = r.join(owners, "grade_id", "left")
     reason = (F.when(F.col("teacher_id").isNull(), F.lit(MSG_TEACHER_NOT_FOUND))
                .when(~F.coalesce(F.col("owner_id") == F.col("teacher_id"), F.lit(False)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_num, present_str
-from rollbook.plans.batches import first_claim, last_value, reason_of, split
+from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.schema import (
     MSG_COURSE_CODE_EXISTS, MSG_COURSE_CODE_IN_USE, MSG_COURSE_FIELDS, MSG_COURSE_NOT_FOUND,
@@ -17,10 +17,6 @@ from rollbook.schema import (
 from rollbook.sources.io import conform
 
 
-def _teacher_ids(teachers: DataFrame) -> DataFrame:
-    return teachers.select("teacher_id").where(F.col("teacher_id").isNotNull()).distinct()
-
-
 def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C4: ``batch(seq, course_code, course_name, schedule, teacher_id)``.
@@ -31,13 +27,9 @@ def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
     created carries ``teacher_name`` and ``enrolled_students = 0``.
     """
     b = batch.withColumn("code", blank_to_null("course_code"))
-    existing = courses.select(F.col("course_code").alias("code")).distinct() \
-        .withColumn("code_taken", F.lit(True))
-    b = b.join(existing, "code", "left")
-    tid = F.when(present_num("teacher_id"), F.col("teacher_id"))
-    b = b.withColumn("tid", tid)
-    known = _teacher_ids(teachers).select(F.col("teacher_id").alias("tid"), F.lit(True).alias("teacher_ok"))
-    b = b.join(known, "tid", "left")
+    b = flag_existing(b, courses, ["course_code"], ["code"], "code_taken")
+    b = b.withColumn("tid", F.when(present_num("teacher_id"), F.col("teacher_id")))
+    b = flag_existing(b, teachers, ["teacher_id"], ["tid"], "teacher_ok")
     missing = ~(present_str("course_code") & present_str("course_name"))
     taken = F.col("code_taken").isNotNull()
     bad_teacher = F.col("tid").isNotNull() & F.col("teacher_ok").isNull()
@@ -85,13 +77,13 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
                      fld.getItem("description").alias("new_desc"),
                      fld.getItem("teacher_id").try_cast("long").alias("new_tid"),
                      (has_teacher & fld.getItem("teacher_id").isNotNull()).alias("sets_teacher"))
-    b = b.join(courses.select("course_id").distinct().withColumn("course_exists", F.lit(True)),
-               "course_id", "left")
-    holders = courses.groupBy(F.col("course_code").alias("new_code")).agg(
-        F.min("course_id").alias("holder_min"), F.max("course_id").alias("holder_max"))
+    b = flag_existing(b, courses, ["course_id"], flag="course_exists")
+    # Holders of the requested codes only (semi join before the aggregate).
+    holders = (courses.join(wanted(b, ["new_code"], ["course_code"]), "course_code", "left_semi")
+               .groupBy(F.col("course_code").alias("new_code"))
+               .agg(F.min("course_id").alias("holder_min"), F.max("course_id").alias("holder_max")))
     b = b.join(holders, "new_code", "left")
-    known = _teacher_ids(teachers).select(F.col("teacher_id").alias("new_tid"), F.lit(True).alias("teacher_ok"))
-    b = b.join(known, "new_tid", "left")
+    b = flag_existing(b, teachers, ["teacher_id"], ["new_tid"], "teacher_ok")
 
     not_found = F.col("course_exists").isNull()
     in_use = F.col("new_code").isNotNull() & F.col("holder_min").isNotNull() & (
@@ -139,8 +131,7 @@ def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,
     attendance, the grades of its assignments, its assignments and its
     enrollments.  Returns ({table: new table}, rejects).
     """
-    b = batch.join(courses.select("course_id").distinct().withColumn("course_exists", F.lit(True)),
-                   "course_id", "left")
+    b = flag_existing(batch, courses, ["course_id"], flag="course_exists")
     b = first_claim(b, ["course_id"], F.col("course_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("course_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_COURSE_NOT_FOUND)]))

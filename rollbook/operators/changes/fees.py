@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.keys import role_key
-from rollbook.plans.batches import first_claim, reason_of, split
+from rollbook.plans.batches import first_claim, reason_of, split, wanted
 from rollbook.schema import (
     FEE_PAID, MSG_FEE_ALREADY_PAID, MSG_FEE_NOT_FOUND, MSG_STUDENT_NOT_FOUND,
 )
@@ -24,9 +24,9 @@ def pay_fees(fees: DataFrame, students: DataFrame, batch: DataFrame, as_of: dt.d
     status counts as not paid) nor by an earlier accepted request in it.
     Accepted fees become paid on ``as_of``.  Returns (fees, rejects).
     """
-    r = batch.join(role_key(students, "student_id"), "user_id", "left")
-    owner = fees.select("fee_id", F.col("student_id").alias("owner_id"),
-                        F.col("payment_status").alias("status_before"))
+    r = batch.join(role_key(students, "student_id", requests=batch), "user_id", "left")
+    owner = fees.join(wanted(batch, ["fee_id"]), "fee_id", "left_semi").select(
+        "fee_id", F.col("student_id").alias("owner_id"), F.col("payment_status").alias("status_before"))
     r = r.join(owner, "fee_id", "left")
     no_student = F.col("student_id").isNull()
     not_theirs = ~F.coalesce(F.col("owner_id") == F.col("student_id"), F.lit(False))

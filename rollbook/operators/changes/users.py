@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_str
-from rollbook.plans.batches import first_claim, last_value, reason_of, split
+from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.schema import (
     MSG_PROFILE_NOT_FOUND, MSG_REGISTER_FIELDS, MSG_ROLL_REQUIRED, MSG_USER_EXISTS,
@@ -42,9 +42,7 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     for c in required[1:]:
         ok_fields = ok_fields & present_str(c)
     missing = ~ok_fields
-    existing = users.select("domain_id").where(F.col("domain_id").isNotNull()).distinct() \
-        .withColumn("domain_taken", F.lit(True))
-    b = b.join(existing, "domain_id", "left")
+    b = flag_existing(b, users, ["domain_id"], flag="domain_taken")
     taken = F.col("domain_taken").isNotNull()
     no_roll = (F.col("role_") == F.lit(ROLE_STUDENT)) & ~present_str("roll_number")
     b = first_claim(b, ["domain_id"], ~missing & ~taken & ~no_roll)
@@ -90,13 +88,13 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     ``department`` to teachers; per field the highest seq wins.
     Returns ({students, teachers, management}, rejects).
     """
-    roles = users.groupBy("user_id").agg(F.min("role").alias("role"))
+    ids = wanted(batch, ["user_id"])
+    roles = users.join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.min("role").alias("role"))
     b = batch.join(roles, "user_id", "left")
     profiles = (students.select("user_id", F.lit(ROLE_STUDENT).alias("role"))
                 .unionByName(teachers.select("user_id", F.lit(ROLE_TEACHER).alias("role")))
-                .unionByName(management.select("user_id", F.lit(ROLE_MANAGEMENT).alias("role")))
-                .distinct().withColumn("has_profile", F.lit(True)))
-    b = b.join(profiles, ["user_id", "role"], "left")
+                .unionByName(management.select("user_id", F.lit(ROLE_MANAGEMENT).alias("role"))))
+    b = flag_existing(b, profiles, ["user_id", "role"], flag="has_profile")
     annotated = b.withColumn("reason", F.when(F.col("role").isNull(), F.lit(MSG_USER_NOT_FOUND))
                              .when(F.col("has_profile").isNull(),
                                    F.concat(F.coalesce(F.col("role"), F.lit("null")),
@@ -130,8 +128,7 @@ def delete_users(users: DataFrame, batch: DataFrame, cascade: dict[str, DataFram
     ``cascade`` tables (by default the three role tables) go with it.
     Returns ({users, <cascade tables>}, rejects).
     """
-    b = batch.join(users.select("user_id").distinct().withColumn("user_exists", F.lit(True)),
-                   "user_id", "left")
+    b = flag_existing(batch, users, ["user_id"], flag="user_exists")
     b = first_claim(b, ["user_id"], F.col("user_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("user_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_USER_NOT_FOUND)]))

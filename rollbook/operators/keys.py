@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def role_key(role_table: DataFrame, key: str, user_id: int | None = None) -> DataFrame:
+def role_key(role_table: DataFrame, key: str, user_id: int | None = None,
+             requests: DataFrame | None = None, request_col: str = "user_id") -> DataFrame:
     """``(user_id, <key>)`` with one row per user: the smallest role id when a
     user has several rows (the application takes the first row it gets).
 
-    Aggregated with partial (map-side) aggregation, so a user with many
-    rows never lands whole in one task.
+    ``user_id`` filters to one user; ``requests`` narrows the role table to
+    the users a batch names (semi join) before aggregating, so a small batch
+    does not aggregate the whole table.  Aggregation is partial (map-side),
+    so a user with many rows never lands whole in one task.
     """
-    t = role_table if user_id is None else role_table.where(F.col("user_id") == F.lit(user_id))
+    t = role_table.select("user_id", key)
+    if user_id is not None:
+        t = t.where(F.col("user_id") == F.lit(user_id))
+    if requests is not None:
+        ids = requests.select(F.col(request_col).alias("user_id")).where(F.col("user_id").isNotNull()).distinct()
+        t = t.join(ids, "user_id", "left_semi")
     return t.groupBy("user_id").agg(F.min(key).alias(key))
 
 

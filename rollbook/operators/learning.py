@@ -186,6 +186,10 @@ def display_rows(df: DataFrame, kind: str) -> DataFrame:
                           .alias("course_text"),
                          _date_text("date").alias("date_text"),
                          "status", F.lower("status").alias("status_class"))
+    if kind == "roster":         # Q12 rows (the roster carries no progress)
+        return df.select("course_id", "id", "name", "email",
+                         _date_text("enrolled_at").alias("enrolled_text"),
+                         F.lit(SHOW_NO_PROGRESS).alias("progress_text"))
     if kind == "catalog":        # Q13 rows
         return df.select("id", "name", "code",
                          F.coalesce(F.nullif("teacher_name", F.lit("")), F.lit(SHOW_NO_TEACHER))

@@ -262,6 +262,13 @@ requested AS (
   UNION ALL SELECT 'ghost_' || CAST(n_nationkey AS VARCHAR) FROM nation)
 """)
 
+READS["q15_find_users_by_id"] = with_mapping("""
+SELECT u.user_id, u.domain_id, u.role FROM users u
+WHERE u.user_id IN (SELECT o_custkey + 10000000 FROM orders
+                    UNION ALL SELECT s_suppkey + 20000000 FROM supplier
+                    UNION ALL SELECT s_suppkey + 70000000 FROM supplier)
+""")
+
 READS["q18_attendance_sheet"] = with_mapping("""
 SELECT r.course_id, r.student_id,
        coalesce(nullif(o.status, ''), 'present') AS status
@@ -283,6 +290,27 @@ FROM grades g JOIN assignments a ON g.assignment_id = a.assignment_id
 JOIN courses c ON a.course_id = c.course_id
 """)
 
+READS["q19_display_courses"] = with_mapping("""
+SELECT e.student_id, c.course_id AS id, c.course_name AS name, c.course_code AS code,
+       e.enrollment_status AS status,
+       CASE WHEN e.progress IS NOT NULL AND e.progress <> 0 THEN CAST(e.progress AS VARCHAR) ELSE '0%' END
+         AS progress_text
+FROM courses c JOIN enrollments e ON c.course_id = e.course_id
+""")
+
+READS["q19_display_attendance"] = with_mapping("""
+SELECT a.student_id, a.attendance_id AS id, c.course_name || ' (' || c.course_code || ')' AS course_text,
+       strftime(a.attendance_date, '%-m/%-d/%Y') AS date_text, a.status, lower(a.status) AS status_class
+FROM attendance a JOIN courses c ON a.course_id = c.course_id
+""")
+
+READS["q19_display_roster"] = with_mapping("""
+SELECT e.course_id, s.student_id AS id, s.name, s.email,
+       strftime(e.created_at, '%-m/%-d/%Y') AS enrolled_text, '0%' AS progress_text
+FROM students s JOIN enrollments e ON s.student_id = e.student_id
+WHERE e.course_id IN (SELECT course_id FROM courses)
+""")
+
 READS["q19_display_catalog"] = with_mapping("""
 SELECT c.course_id AS id, c.course_name AS name, c.course_code AS code,
        coalesce(nullif(t.name, ''), 'Not assigned') AS teacher_text

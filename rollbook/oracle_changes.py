@@ -87,14 +87,21 @@ CHANGES["q17_grade_access_rejects"] = _run(
     "SELECT seq, access_reason AS reason FROM gann WHERE access_reason IS NOT NULL", GRADE_REQ)
 
 # ------------------------------------------------------------- C1 create users
-C1 = f"""
-b AS (
+def c1_ctes(register: bool) -> str:
+    """Create-users CTEs; ``register`` leaves AUTOMOBILE roles empty (default student)."""
+    auto_role = "NULL" if register else "'guest'"
+    role_expr = "coalesce(nullif(role, ''), 'student')" if register else "role"
+    role_check = "" if register else f" AND {ps('role')}"
+    msg = ("Please provide domain_id, password, name, and email" if register
+           else "Please provide domain_id, password, role, name, and email")
+    return f"""
+b0 AS (
   SELECT c_custkey AS seq,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'stu_' || CAST(c_custkey AS VARCHAR)
                            WHEN 'MACHINERY' THEN 'new_' || CAST(c_nationkey AS VARCHAR)
                            ELSE 'cust_' || CAST(c_custkey AS VARCHAR) END AS domain_id,
          CASE WHEN c_acctbal < 0 THEN '' ELSE 'pw' || CAST(c_custkey AS VARCHAR) END AS password,
-         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'teacher' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'guest'
+         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'teacher' WHEN c_mktsegment = 'AUTOMOBILE' THEN {auto_role}
               WHEN c_mktsegment = 'FURNITURE' AND c_acctbal > 8000 THEN 'management'
               ELSE 'student' END AS role,
          c_name AS name,
@@ -105,9 +112,13 @@ b AS (
          CASE WHEN c_acctbal BETWEEN 0 AND 1500 THEN NULL ELSE 'N' || CAST(c_custkey AS VARCHAR) END
            AS roll_number
   FROM customer),
+b AS (
+  SELECT seq, domain_id, password, {role_expr} AS role, name, email, phone_number, department, address,
+         roll_number
+  FROM b0),
 chk AS (
   SELECT b.*,
-         NOT ({ps('domain_id')} AND {ps('password')} AND {ps('name')} AND {ps('email')} AND {ps('role')})
+         NOT ({ps('domain_id')} AND {ps('password')} AND {ps('name')} AND {ps('email')}{role_check})
            AS missing,
          domain_id IN (SELECT domain_id FROM users WHERE domain_id IS NOT NULL) AS taken,
          coalesce(role = 'student', false) AND NOT {ps('roll_number')} AS no_roll
@@ -117,7 +128,7 @@ firsts AS (
   WHERE NOT missing AND NOT coalesce(taken, false) AND NOT no_roll GROUP BY domain_id),
 ann AS (
   SELECT chk.*,
-         CASE WHEN missing THEN 'Please provide domain_id, password, role, name, and email'
+         CASE WHEN missing THEN '{msg}'
               WHEN coalesce(taken, false) OR coalesce(chk.seq > f.first_seq, false) THEN 'User already exists'
               WHEN no_roll THEN 'Roll number is required for students' END AS reason
   FROM chk LEFT JOIN firsts f ON f.domain_id = chk.domain_id),
@@ -125,17 +136,25 @@ acc AS (
   SELECT ann.*, (SELECT coalesce(max(user_id), 0) FROM users) + row_number() OVER (ORDER BY seq) AS new_user_id
   FROM ann WHERE reason IS NULL)
 """
-CHANGES["c01_create_users"] = _run(f"""
+
+
+C1_USERS = f"""
 SELECT user_id, domain_id, role, created_at FROM users
 UNION ALL SELECT new_user_id, domain_id, role, {AS_OF_TS} FROM acc
-""", C1)
-CHANGES["c01_create_users_students"] = _run("""
+"""
+C1_STUDENTS = """
 SELECT * FROM students
 UNION ALL
 SELECT (SELECT coalesce(max(student_id), 0) FROM students) + row_number() OVER (ORDER BY seq),
        new_user_id, name, roll_number, email, nullif(phone_number, ''), nullif(address, '')
 FROM acc WHERE role = 'student'
-""", C1)
+"""
+C1_REJECTS = "SELECT seq, reason FROM ann WHERE reason IS NOT NULL"
+C1 = c1_ctes(register=False)
+C1R = c1_ctes(register=True)
+
+CHANGES["c01_create_users"] = _run(C1_USERS, C1)
+CHANGES["c01_create_users_students"] = _run(C1_STUDENTS, C1)
 CHANGES["c01_create_users_teachers"] = _run("""
 SELECT * FROM teachers
 UNION ALL
@@ -150,7 +169,10 @@ SELECT (SELECT coalesce(max(management_id), 0) FROM management) + row_number() O
        new_user_id, name, email, nullif(phone_number, '')
 FROM acc WHERE role = 'management'
 """, C1)
-CHANGES["c01_create_users_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C1)
+CHANGES["c01_create_users_rejects"] = _run(C1_REJECTS, C1)
+CHANGES["c01_register_users"] = _run(C1_USERS, C1R)
+CHANGES["c01_register_users_students"] = _run(C1_STUDENTS, C1R)
+CHANGES["c01_register_users_rejects"] = _run(C1_REJECTS, C1R)
 
 # ------------------------------------------------------------- C2 update users
 C2 = f"""

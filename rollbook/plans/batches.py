@@ -48,3 +48,36 @@ def last_value(value: Column, when: Column, seq: str = "seq") -> Column:
     that was deliberately set to NULL stays distinguishable from no value.
     """
     return F.max(F.when(when, F.struct(F.col(seq).alias("seq"), value.alias("v"))))
+
+
+def wanted(requests: DataFrame, cols: list[str], as_cols: list[str] | None = None) -> DataFrame:
+    """Distinct non-NULL key values a batch asks for (renamed to ``as_cols``)."""
+    as_cols = as_cols or cols
+    sel = requests.select(*[F.col(c).alias(a) for c, a in zip(cols, as_cols)])
+    for a in as_cols:
+        sel = sel.where(F.col(a).isNotNull())
+    return sel.distinct()
+
+
+def existing_keys(table: DataFrame, requests: DataFrame, table_cols: list[str],
+                  request_cols: list[str] | None = None, flag: str = "exists") -> DataFrame:
+    """``(request_cols..., flag=True)`` for the requested keys present in ``table``.
+
+    The table is first narrowed to the requested keys by a semi join (a
+    broadcast filter when the batch's key set is small), so a batch never
+    makes the whole table shuffle or aggregate; only the matches are
+    de-duplicated.
+    """
+    request_cols = request_cols or table_cols
+    keys = wanted(requests, request_cols, table_cols)
+    hits = table.select(*table_cols).join(keys, table_cols, "left_semi").distinct()
+    return hits.select(*[F.col(t).alias(r) for t, r in zip(table_cols, request_cols)]) \
+               .withColumn(flag, F.lit(True))
+
+
+def flag_existing(requests: DataFrame, table: DataFrame, table_cols: list[str],
+                  request_cols: list[str] | None = None, flag: str = "exists") -> DataFrame:
+    """Add boolean-or-NULL ``flag``: the request's key exists in ``table``."""
+    request_cols = request_cols or table_cols
+    return requests.join(existing_keys(table, requests, table_cols, request_cols, flag),
+                         request_cols, "left")

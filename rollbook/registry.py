@@ -125,6 +125,15 @@ def q15_find_users_by_domain_id(spark, sf_dir):
     return directory.find_users_by_domain_id(keys, c.users)
 
 
+def q15_find_users_by_id(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    orders, supplier = (_raw(spark, sf_dir, n) for n in ("orders", "supplier"))
+    keys = (orders.select((F.col("o_custkey") + 10_000_000).alias("user_id"))
+            .unionByName(supplier.select((F.col("s_suppkey") + 20_000_000).alias("user_id")))
+            .unionByName(supplier.select((F.col("s_suppkey") + 70_000_000).alias("user_id"))))
+    return directory.find_users_by_id(keys, c.users)
+
+
 def q18_attendance_sheet(spark, sf_dir):
     c = _campus(spark, sf_dir)
     overrides = c.attendance.select("course_id", "student_id", "status",
@@ -138,6 +147,22 @@ def q19_display_grades(spark, sf_dir):
         learning.student_grades(c.students, c.grades, c.assignments, c.courses), "grades")
 
 
+def q19_display_courses(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.display_rows(learning.student_courses(c.students, c.enrollments, c.courses), "courses")
+
+
+def q19_display_attendance(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.display_rows(learning.student_attendance(c.students, c.attendance, c.courses),
+                                 "attendance")
+
+
+def q19_display_roster(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.display_rows(learning.course_roster(c.students, c.enrollments, c.courses), "roster")
+
+
 def q19_display_catalog(spark, sf_dir):
     c = _campus(spark, sf_dir)
     return learning.display_rows(learning.course_catalog(c.courses, c.teachers, c.enrollments), "catalog")

@@ -245,6 +245,23 @@ def _c01(spark, sf_dir):
                                 batch_create_users(spark, sf_dir), AS_OF)
 
 
+def batch_register_users(spark, sf_dir) -> DataFrame:
+    """The create-users batch with the role left out for the AUTOMOBILE segment
+    (registration defaults it to student)."""
+    b = batch_create_users(spark, sf_dir)
+    c = _raw(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), "c_mktsegment")
+    return (b.join(c, "seq")
+             .withColumn("role", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(None).cast("string"))
+                                  .otherwise(F.col("role")))
+             .drop("c_mktsegment"))
+
+
+def _c01r(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.create_users(c.users, c.students, c.teachers, c.management,
+                                batch_register_users(spark, sf_dir), AS_OF, register=True)
+
+
 def _c02(spark, sf_dir):
     c = load_driver(spark, sf_dir)
     return changes.update_users(c.users, c.students, c.teachers, c.management,
@@ -323,6 +340,9 @@ CHANGES = {
     "c01_create_users_teachers": lambda s, d: _c01(s, d)[0]["teachers"],
     "c01_create_users_management": lambda s, d: _c01(s, d)[0]["management"],
     "c01_create_users_rejects": lambda s, d: _c01(s, d)[1],
+    "c01_register_users": lambda s, d: _c01r(s, d)[0]["users"],
+    "c01_register_users_students": lambda s, d: _c01r(s, d)[0]["students"],
+    "c01_register_users_rejects": lambda s, d: _c01r(s, d)[1],
     "c02_update_users_students": lambda s, d: _c02(s, d)[0]["students"],
     "c02_update_users_teachers": lambda s, d: _c02(s, d)[0]["teachers"],
     "c02_update_users_management": lambda s, d: _c02(s, d)[0]["management"],
