@@ -1,0 +1,4 @@
+"""Streaming: change requests arriving as files, applied micro-batch by
+micro-batch to versioned table snapshots (Structured Streaming + foreachBatch)."""
+
+from rollbook.streaming.requests import apply_batch, current_paths, start_request_stream  # noqa: F401

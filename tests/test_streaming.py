@@ -1,0 +1,45 @@
+"""A stream of fee payments applied micro-batch by micro-batch: a fee paid
+in the first batch is 'already paid' in the second."""
+
+import datetime as dt
+import json
+
+from pyspark.sql import types as T
+
+from conftest import SF_SMALL
+from rollbook.operators import changes
+from rollbook.sources import load_driver, write_snapshot
+from rollbook.streaming import start_request_stream
+
+SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("user_id", T.LongType()),
+                       T.StructField("fee_id", T.LongType())])
+
+
+def test_fee_payment_stream(spark, tmp_path):
+    c = load_driver(spark, SF_SMALL)
+    base = {"fees": write_snapshot(c.fees, str(tmp_path / "base" / "fees")),
+            "students": write_snapshot(c.students, str(tmp_path / "base" / "students"))}
+    unpaid = [r for r in c.fees.where("payment_status <> 'paid'").orderBy("fee_id").limit(3).collect()]
+    src = tmp_path / "requests"
+    src.mkdir()
+    first = [{"seq": i, "user_id": r["student_id"] + 10_000_000, "fee_id": r["fee_id"]} for i, r in enumerate(unpaid)]
+    (src / "a.json").write_text("\n".join(json.dumps(x) for x in first) + "\n")
+    again = [{"seq": 100, "user_id": unpaid[0]["student_id"] + 10_000_000, "fee_id": unpaid[0]["fee_id"]}]
+    (src / "b.json").write_text(json.dumps(again[0]) + "\n")
+
+    def step(tables, batch):
+        fees, rejects = changes.pay_fees(tables["fees"], tables["students"], batch, dt.date(2025, 1, 15))
+        return {"fees": fees}, rejects
+
+    out = str(tmp_path / "out")
+    q = start_request_stream(spark, str(src), SCHEMA, step, base, out, str(tmp_path / "ckpt"), files_per_batch=1)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    rej0 = spark.read.parquet(f"{out}/_rejects/epoch=0").collect()
+    rej1 = spark.read.parquet(f"{out}/_rejects/epoch=1").collect()
+    assert rej0 == []
+    assert [(r["seq"], r["reason"]) for r in rej1] == [(100, "Fee is already paid")]
+    fees1 = spark.read.parquet(f"{out}/fees/epoch=1")
+    paid = {r["fee_id"] for r in fees1.where("payment_status = 'paid'").collect()}
+    assert {r["fee_id"] for r in unpaid} <= paid
+    assert fees1.count() == c.fees.count()
