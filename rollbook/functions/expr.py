@@ -93,3 +93,14 @@ def money_out(c) -> Column:
 def not_equal_null_safe(c, value) -> Column:
     """``NOT (c <=> value)``: NULL counts as different."""
     return ~col(c).eqNullSafe(F.lit(value))
+
+
+def ts_ntz(value) -> Column:
+    """A timestamp_ntz literal built from text, so no time zone is applied."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def date_lit(value) -> Column:
+    """A date literal from a date (or the date part of a datetime)."""
+    d = value.date() if hasattr(value, "date") else value
+    return F.lit(d.isoformat()).cast("date")

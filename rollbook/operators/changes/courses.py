@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import blank_to_null, present_num, present_str
+from rollbook.functions import blank_to_null, present_num, present_str, ts_ntz
 from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.schema import (
@@ -118,7 +118,7 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
                    pick("u_name", "course_name").alias("course_name"), "schedule",
                    pick("u_tid", "teacher_id").alias("teacher_id"),
                    pick("u_desc", "description").alias("description"),
-                   F.when(F.col("touched").isNotNull(), F.lit(as_of).cast("timestamp_ntz"))
+                   F.when(F.col("touched").isNotNull(), ts_ntz(as_of))
                     .otherwise(F.col("updated_at")).alias("updated_at"))
     return conform(out, "courses"), rejects
 

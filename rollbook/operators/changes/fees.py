@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions import date_lit
 from rollbook.operators.keys import role_key
 from rollbook.plans.batches import first_claim, reason_of, split, wanted
 from rollbook.schema import (
@@ -43,5 +44,5 @@ def pay_fees(fees: DataFrame, students: DataFrame, batch: DataFrame, as_of: dt.d
     now = F.col("paid_now").isNotNull()
     out = f.select("fee_id", "student_id", "amount",
                    F.when(now, F.lit(FEE_PAID)).otherwise(F.col("payment_status")).alias("payment_status"),
-                   F.when(now, F.lit(as_of)).otherwise(F.col("payment_date")).alias("payment_date"))
+                   F.when(now, date_lit(as_of)).otherwise(F.col("payment_date")).alias("payment_date"))
     return conform(out, "fees"), rejects

@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import blank_to_null, present_num, present_str
+from rollbook.functions import blank_to_null, date_lit, present_num, present_str, ts_ntz
 from rollbook.operators.access import course_access_check, grade_access_check
 from rollbook.plans.batches import reason_of, split
 from rollbook.plans.ids import current_max, number_rows
@@ -20,7 +20,7 @@ from rollbook.sources.io import conform
 
 
 def _ts(as_of: dt.datetime):
-    return F.lit(as_of).cast("timestamp_ntz")
+    return ts_ntz(as_of)
 
 
 def update_grades(grades: DataFrame, teachers: DataFrame, assignments: DataFrame,
@@ -84,7 +84,7 @@ def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFra
     base = current_max(attendance, "attendance_id")
     new = number_rows(rows, ["seq", "student_id", "status"], "attendance_id", base).select(
         "attendance_id", "student_id", "course_id",
-        F.lit(as_of.date()).alias("attendance_date"), "status")
+        date_lit(as_of).alias("attendance_date"), "status")
     return attendance.unionByName(conform(new, "attendance")), rejects
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import blank_to_null, present_str
+from rollbook.functions import blank_to_null, present_str, ts_ntz
 from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.schema import (
@@ -57,7 +57,7 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     accepted = ok.drop("role", "password").withColumnRenamed("role_", "role")
     new = number_rows(accepted, ["seq"], "user_id", base)
     new_users = conform(new.select("user_id", "domain_id", "role",
-                                   F.lit(as_of).cast("timestamp_ntz").alias("created_at")), "users")
+                                   ts_ntz(as_of).alias("created_at")), "users")
     out = {"users": users.unionByName(new_users)}
     tables = {"students": students, "teachers": teachers, "management": management}
     for r, (tname, key) in ROLE_TABLES.items():

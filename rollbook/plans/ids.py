@@ -5,10 +5,11 @@ given columns (normally the request ``seq``), the way identity columns
 number rows inserted one after another.
 
 Plan: range-partition by the order columns and sort within partitions,
-checkpoint (reliable, to the shared checkpoint folder) so partition
-contents and order are pinned, count rows per partition, and add each
-row's position to the running total of the partitions before it.  Only
-the per-partition counts (one number per partition) reach the driver.
+tag every row with its partition and position, and write that once as a
+table in the shared checkpoint folder (so the tags are pinned and lineage
+is cut).  Count rows per partition and add each row's position to the
+running total of the partitions before it.  Only the per-partition counts
+(one number per partition) reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.session import checkpoint_dir
+from rollbook.plans.materialize import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -29,12 +30,9 @@ def current_max(df: DataFrame, column: str) -> int:
 
 def number_rows(df: DataFrame, order_cols: list[str], id_col: str, start: int) -> DataFrame:
     """Add ``id_col`` = start + 1-based rank of the row in ``order_cols`` order."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    ordered = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-                 .checkpoint(eager=True))
-    tagged = ordered.withColumn("_part", F.spark_partition_id()) \
-                    .withColumn("_mono", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    tagged = materialize(ordered.withColumn("_part", F.spark_partition_id())
+                                .withColumn("_mono", F.monotonically_increasing_id()), "ids")
     sizes = {r["_part"]: r["_n"] for r in
              tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()}
     offsets, running = [], 0

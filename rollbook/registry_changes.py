@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, changes
-from rollbook.sources.campus import TEACHER_USER_BASE, load_driver
+from rollbook.sources.campus import TEACHER_USER_BASE, load_driver, pin
 
 AS_OF = dt.datetime(2025, 1, 15, 9, 30, 0)
 ACTION_SEQ_STRIDE = 1_000_000_000_000  # keeps seq unique across request families
@@ -292,9 +292,9 @@ def _c06(spark, sf_dir):
 
 
 def _c07(spark, sf_dir):
-    c = load_driver(spark, sf_dir)
+    c = load_driver(spark, sf_dir).pinned("grades")
     return changes.update_grades(c.grades, c.teachers, c.assignments, c.courses,
-                                 batch_update_grades(c, spark, sf_dir), AS_OF)
+                                 pin(batch_update_grades(c, spark, sf_dir)), AS_OF)
 
 
 def _c08(spark, sf_dir):
@@ -325,8 +325,8 @@ def _q16(spark, sf_dir):
 
 
 def _q17(spark, sf_dir):
-    c = load_driver(spark, sf_dir)
-    req = batch_update_grades(c, spark, sf_dir).select("seq", "teacher_user_id", "grade_id")
+    c = load_driver(spark, sf_dir).pinned("grades")
+    req = pin(batch_update_grades(c, spark, sf_dir).select("seq", "teacher_user_id", "grade_id"))
     return access.grade_access(req, c.teachers, c.grades, c.assignments, c.courses)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import declared
 from rollbook.registry_changes import AS_OF
-from rollbook.sources.campus import load_driver
+from rollbook.sources.campus import load_driver, pin
 
 
 def batch_enroll(spark, sf_dir) -> DataFrame:
@@ -28,7 +28,7 @@ def batch_enroll(spark, sf_dir) -> DataFrame:
 
 def _d2(spark, sf_dir):
     c = load_driver(spark, sf_dir)
-    return declared.enroll(c.enrollments, c.students, c.courses, batch_enroll(spark, sf_dir), AS_OF)
+    return declared.enroll(c.enrollments, c.students, c.courses, pin(batch_enroll(spark, sf_dir)), AS_OF)
 
 
 def d01_available_course_counts(spark, sf_dir):

@@ -63,6 +63,12 @@ class Campus:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` once as a table in the shared checkpoint folder."""
+    from rollbook.plans.materialize import materialize
+    return materialize(df, "pin")
+
+
 def load_snapshots(spark: SparkSession, root: str) -> Campus:
     """Read the eleven canonical tables from ``root/<name>``."""
     return Campus(**{name: read_table(spark, root, name) for name in TABLES})
@@ -114,6 +120,16 @@ class LazyCampus(Campus):
     def with_tables(self, **tables: DataFrame) -> Campus:
         return Campus(**{**{n: getattr(self, n) for n in TABLES}, **tables})
 
+    def pinned(self, *names: str) -> "LazyCampus":
+        """The same campus with the named derived tables materialized once
+        (reliable checkpoint): for jobs that read a derived table several
+        times, so its derivation runs once."""
+        builders = dict(object.__getattribute__(self, "_builders"))
+        for n in names:
+            df = getattr(self, n)
+            builders[n] = (lambda d=pin(df): d)
+        return LazyCampus(builders)
+
 
 def load_driver(spark: SparkSession, root: str) -> Campus:
     """Derive the campus tables from the driver's tables under ``root``.

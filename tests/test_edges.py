@@ -276,3 +276,44 @@ def test_q18_sheet_defaults_to_present(spark):
                       [(1, 1, 2, "absent"), (2, 1, 2, "excused"), (3, 1, 3, "")])
     out = as_dicts(learning.attendance_sheet(roster, overrides), "student_id")
     assert [r["status"] for r in out] == ["present", "excused", "present"]
+
+
+def test_as_of_does_not_depend_on_session_time_zone(spark):
+    notices_t = table(spark, "notices", [{"notice_id": 1, "title": "a", "content": "b"}])
+    batch = frame(spark, "seq long, user_id long, title string, content string", [(1, 5, "t", "c")])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            new, _ = changes.post_notices(notices_t, batch, AS_OF)
+            [row] = [r for r in new.collect() if r["notice_id"] == 2]
+            assert row["created_at"] == AS_OF, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_c1_register_defaults_role_to_student(spark):
+    users = table(spark, "users", [])
+    empty = {n: table(spark, n, []) for n in ("students", "teachers", "management")}
+    b = spark.createDataFrame(
+        [(1, "a", "pw", None, "N", "e", None, None, None, "R9"), (2, "b", "pw", None, "N", "e", None, None, None, None),
+         (3, "c", "pw", "teacher", "N", "", None, None, None, None)],
+        "seq long, domain_id string, password string, role string, name string, email string, "
+        "phone_number string, department string, address string, roll_number string")
+    out, rej = changes.create_users(users, empty["students"], empty["teachers"], empty["management"], b, AS_OF,
+                                    register=True)
+    assert as_dicts(rej, "seq") == [{"seq": 2, "reason": "Roll number is required for students"},
+                                    {"seq": 3, "reason": "Please provide domain_id, password, name, and email"}]
+    assert [(r["domain_id"], r["role"]) for r in out["users"].collect()] == [("a", "student")]
+
+
+def test_snapshot_roundtrip_and_result_json(spark, tmp_path):
+    import json
+    from rollbook.sources import read_table, write_result, write_snapshot
+    courses = table(spark, "courses", [{"course_id": 1, "course_code": "A", "course_name": "x"}])
+    write_snapshot(courses, str(tmp_path / "courses"))
+    back = read_table(spark, str(tmp_path), "courses")
+    assert back.schema == courses.schema and back.count() == 1
+    out = write_result(back.select("course_id", "course_code"), str(tmp_path / "res"))
+    lines = [json.loads(line) for p in (tmp_path / "res").glob("part-*") for line in p.read_text().splitlines()]
+    assert lines == [{"course_id": 1, "course_code": "A"}] and out.endswith("res")
