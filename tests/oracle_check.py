@@ -102,6 +102,11 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
             only_d = list((dr - sr).items())[:3]
             info["only_spark"] = repr(only_s)[:600]
             info["only_oracle"] = repr(only_d)[:600]
+        s_types = {f.name: str(f.type) for f in s_tab.schema}
+        d_types = {f.name: str(f.type) for f in d_tab.schema}
+        type_diff = {k: (s_types[k], d_types.get(k)) for k in s_types if s_types[k] != d_types.get(k)}
+        if type_diff:
+            info["type_diff"] = type_diff
         if not ok:
             info["types"] = {"spark": [str(f.type) for f in s_tab.schema],
                              "oracle": [str(f.type) for f in d_tab.schema]}
