@@ -64,7 +64,9 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
     course exists; a new code is not used by another course (nor claimed
     first by an accepted request for another course in the batch); a given
     teacher exists; at least one field.  Accepted requests set
-    ``updated_at``; per field the highest seq wins.  Returns (courses, rejects).
+    ``updated_at``; per field the highest seq wins.  Returns (courses,
+    updated, rejects); ``updated`` has ``id, name, code, description,
+    teacher_id`` of each changed course.
     """
     fld = F.col("fields")
     name = blank_to_null(fld.getItem("name"))
@@ -120,7 +122,11 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
                    pick("u_desc", "description").alias("description"),
                    F.when(F.col("touched").isNotNull(), ts_ntz(as_of))
                     .otherwise(F.col("updated_at")).alias("updated_at"))
-    return conform(out, "courses"), rejects
+    new = conform(out, "courses")
+    updated = (new.join(upd.select("course_id"), "course_id", "left_semi")
+                  .select(F.col("course_id").alias("id"), F.col("course_name").alias("name"),
+                          F.col("course_code").alias("code"), "description", "teacher_id"))
+    return new, updated, rejects
 
 
 def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,

@@ -118,7 +118,8 @@ def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
                  ) -> tuple[DataFrame, DataFrame]:
     """``batch(seq, user_id, title, content)``; title and content required.
 
-    No check on the author.  Returns (notices, rejects).
+    No check on the author.  Returns (notices, created, rejects); ``created``
+    has ``id, title, content, created_at``.
     """
     annotated = batch.withColumn("reason", reason_of(
         [(~(present_str("title") & present_str("content")), MSG_NOTICE_FIELDS)]))
@@ -127,4 +128,6 @@ def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
     new = number_rows(ok, ["seq"], "notice_id", base).select(
         "notice_id", "title", "content", F.col("user_id").alias("posted_by_user_id"),
         _ts(as_of).alias("created_at"))
-    return notices.unionByName(conform(new, "notices")), rejects
+    new = conform(new, "notices")
+    created = new.select(F.col("notice_id").alias("id"), "title", "content", "created_at")
+    return notices.unionByName(new), created, rejects

@@ -33,7 +33,8 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     first check and is never stored.  An accepted request adds a Users row
     and, for a known role, a row in that role's table; new ids continue
     after each table's maximum in seq order.
-    Returns ({users, students, teachers, management}, rejects).
+    Returns ({users, students, teachers, management, created}, rejects);
+    ``created`` is ``id, domain_id, role, name, email`` of each new user.
     """
     role = F.coalesce(blank_to_null("role"), F.lit(ROLE_STUDENT)) if register else blank_to_null("role")
     b = batch.withColumn("role_", role)
@@ -58,7 +59,8 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     new = number_rows(accepted, ["seq"], "user_id", base)
     new_users = conform(new.select("user_id", "domain_id", "role",
                                    ts_ntz(as_of).alias("created_at")), "users")
-    out = {"users": users.unionByName(new_users)}
+    out = {"users": users.unionByName(new_users),
+           "created": new.select(F.col("user_id").alias("id"), "domain_id", "role", "name", "email")}
     tables = {"students": students, "teachers": teachers, "management": management}
     for r, (tname, key) in ROLE_TABLES.items():
         rows = new.where(F.col("role") == F.lit(r))
@@ -86,7 +88,9 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     ("<role> profile not found").  Non-empty values replace the old ones
     (empty or NULL keeps the old value); ``address`` applies to students,
     ``department`` to teachers; per field the highest seq wins.
-    Returns ({students, teachers, management}, rejects).
+    Returns ({students, teachers, management, updated}, rejects); ``updated``
+    is each updated user's final profile: ``id, role, name, email,
+    phone_number, address, department`` (columns its role lacks are NULL).
     """
     ids = wanted(batch, ["user_id"])
     roles = users.join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.min("role").alias("role"))
@@ -118,6 +122,17 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
         sel = [F.when(F.col(f"u_{c}").isNotNull(), F.col(f"u_{c}.v")).otherwise(F.col(c)).alias(c)
                if c in cols else F.col(c) for c in table.columns]
         out[tname] = conform(j.select(*sel), tname)
+    touched = ok.select("user_id", "role").distinct()
+    null = F.lit(None).cast("string")
+    profile = (out["students"].select("user_id", F.lit(ROLE_STUDENT).alias("role"), "name", "email",
+                                      "phone_number", "address", null.alias("department"))
+               .unionByName(out["teachers"].select("user_id", F.lit(ROLE_TEACHER).alias("role"), "name", "email",
+                                                   "phone_number", null.alias("address"), "department"))
+               .unionByName(out["management"].select("user_id", F.lit(ROLE_MANAGEMENT).alias("role"), "name",
+                                                     "email", "phone_number", null.alias("address"),
+                                                     null.alias("department"))))
+    out["updated"] = (profile.join(touched, ["user_id", "role"], "left_semi")
+                      .withColumnRenamed("user_id", "id"))
     return out, rejects
 
 

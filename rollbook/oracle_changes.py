@@ -170,6 +170,7 @@ SELECT (SELECT coalesce(max(management_id), 0) FROM management) + row_number() O
 FROM acc WHERE role = 'management'
 """, C1)
 CHANGES["c01_create_users_rejects"] = _run(C1_REJECTS, C1)
+CHANGES["c01_create_users_created"] = _run("SELECT new_user_id AS id, domain_id, role, name, email FROM acc", C1)
 CHANGES["c01_register_users"] = _run(C1_USERS, C1R)
 CHANGES["c01_register_users_students"] = _run(C1_STUDENTS, C1R)
 CHANGES["c01_register_users_rejects"] = _run(C1_REJECTS, C1R)
@@ -239,6 +240,20 @@ SELECT m.management_id, m.user_id, coalesce(p.u_name, m.name) AS name,
 FROM management m LEFT JOIN patch p ON p.user_id = m.user_id AND p.role = 'management'
 """, C2)
 CHANGES["c02_update_users_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C2)
+CHANGES["c02_update_users_updated"] = _run("""
+SELECT s.user_id AS id, 'student' AS role, coalesce(p.u_name, s.name) AS name,
+       coalesce(p.u_email, s.email) AS email, coalesce(p.u_phone, s.phone_number) AS phone_number,
+       coalesce(p.u_address, s.address) AS address, CAST(NULL AS VARCHAR) AS department
+FROM students s JOIN patch p ON p.user_id = s.user_id AND p.role = 'student'
+UNION ALL
+SELECT t.user_id, 'teacher', coalesce(p.u_name, t.name), coalesce(p.u_email, t.email),
+       coalesce(p.u_phone, t.phone_number), CAST(NULL AS VARCHAR), coalesce(p.u_department, t.department)
+FROM teachers t JOIN patch p ON p.user_id = t.user_id AND p.role = 'teacher'
+UNION ALL
+SELECT m.user_id, 'management', coalesce(p.u_name, m.name), coalesce(p.u_email, m.email),
+       coalesce(p.u_phone, m.phone_number), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM management m JOIN patch p ON p.user_id = m.user_id AND p.role = 'management'
+""", C2)
 
 # ------------------------------------------------------------- C3 delete users
 C3 = f"""
@@ -364,6 +379,12 @@ SELECT c.course_id, coalesce(u.u_code, c.course_code) AS course_code,
 FROM courses c LEFT JOIN upd u ON u.course_id = c.course_id
 """, C5)
 CHANGES["c05_update_courses_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C5)
+CHANGES["c05_update_courses_updated"] = _run("""
+SELECT c.course_id AS id, coalesce(u.u_name, c.course_name) AS name, coalesce(u.u_code, c.course_code) AS code,
+       CASE WHEN coalesce(u.set_desc, false) THEN u.u_desc ELSE c.description END AS description,
+       CASE WHEN coalesce(u.set_tid, false) THEN u.u_tid ELSE c.teacher_id END AS teacher_id
+FROM courses c JOIN upd u ON u.course_id = c.course_id
+""", C5)
 
 # ------------------------------------------------------------- C6 delete courses
 C6 = """
@@ -500,6 +521,11 @@ SELECT (SELECT coalesce(max(notice_id), 0) FROM notices) + row_number() OVER (OR
 FROM ann WHERE reason IS NULL
 """, C10)
 CHANGES["c10_post_notices_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C10)
+CHANGES["c10_post_notices_created"] = _run(f"""
+SELECT (SELECT coalesce(max(notice_id), 0) FROM notices) + row_number() OVER (ORDER BY seq) AS id,
+       title, content, {AS_OF_TS} AS created_at
+FROM ann WHERE reason IS NULL
+""", C10)
 
 # ------------------------------------------------------------- C11 pay fees
 C11 = """

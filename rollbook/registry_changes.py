@@ -339,6 +339,7 @@ CHANGES = {
     "c01_create_users_students": lambda s, d: _c01(s, d)[0]["students"],
     "c01_create_users_teachers": lambda s, d: _c01(s, d)[0]["teachers"],
     "c01_create_users_management": lambda s, d: _c01(s, d)[0]["management"],
+    "c01_create_users_created": lambda s, d: _c01(s, d)[0]["created"],
     "c01_create_users_rejects": lambda s, d: _c01(s, d)[1],
     "c01_register_users": lambda s, d: _c01r(s, d)[0]["users"],
     "c01_register_users_students": lambda s, d: _c01r(s, d)[0]["students"],
@@ -346,6 +347,7 @@ CHANGES = {
     "c02_update_users_students": lambda s, d: _c02(s, d)[0]["students"],
     "c02_update_users_teachers": lambda s, d: _c02(s, d)[0]["teachers"],
     "c02_update_users_management": lambda s, d: _c02(s, d)[0]["management"],
+    "c02_update_users_updated": lambda s, d: _c02(s, d)[0]["updated"],
     "c02_update_users_rejects": lambda s, d: _c02(s, d)[1],
     "c03_delete_users": lambda s, d: _c03(s, d)[0]["users"],
     "c03_delete_users_students": lambda s, d: _c03(s, d)[0]["students"],
@@ -354,7 +356,8 @@ CHANGES = {
     "c04_create_courses_created": lambda s, d: _c04(s, d)[1],
     "c04_create_courses_rejects": lambda s, d: _c04(s, d)[2],
     "c05_update_courses": lambda s, d: _c05(s, d)[0],
-    "c05_update_courses_rejects": lambda s, d: _c05(s, d)[1],
+    "c05_update_courses_updated": lambda s, d: _c05(s, d)[1],
+    "c05_update_courses_rejects": lambda s, d: _c05(s, d)[2],
     "c06_delete_courses": lambda s, d: _c06(s, d)[0]["courses"],
     "c06_delete_courses_grades": lambda s, d: _c06(s, d)[0]["grades"],
     "c06_delete_courses_attendance": lambda s, d: _c06(s, d)[0]["attendance"],
@@ -369,7 +372,8 @@ CHANGES = {
     "c09_create_assignments_created": lambda s, d: _c09(s, d)[1],
     "c09_create_assignments_rejects": lambda s, d: _c09(s, d)[2],
     "c10_post_notices": lambda s, d: _c10(s, d)[0],
-    "c10_post_notices_rejects": lambda s, d: _c10(s, d)[1],
+    "c10_post_notices_created": lambda s, d: _c10(s, d)[1],
+    "c10_post_notices_rejects": lambda s, d: _c10(s, d)[2],
     "c11_pay_fees": lambda s, d: _c11(s, d)[0],
     "c11_pay_fees_rejects": lambda s, d: _c11(s, d)[1],
 }

@@ -192,7 +192,8 @@ def test_c5_three_state_patch(spark):
     batch = spark.createDataFrame([(1, 1, {"teacher_id": None}), (2, 2, {"name": ""}),
                                    (3, 3, {"description": None}), (4, 2, {"code": "A"}),
                                    (5, 9, {"name": "z"}), (6, 3, {"teacher_id": "8"})], schema)
-    new, rej = changes.update_courses(courses, teachers, batch, AS_OF)
+    new, updated, rej = changes.update_courses(courses, teachers, batch, AS_OF)
+    assert sorted(r["id"] for r in updated.collect()) == [1, 3]
     assert as_dicts(rej, "seq") == [
         {"seq": 2, "reason": "No fields to update"},
         {"seq": 4, "reason": "Course code already in use"},
@@ -285,7 +286,7 @@ def test_as_of_does_not_depend_on_session_time_zone(spark):
     try:
         for tz in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
             spark.conf.set("spark.sql.session.timeZone", tz)
-            new, _ = changes.post_notices(notices_t, batch, AS_OF)
+            new, _, _ = changes.post_notices(notices_t, batch, AS_OF)
             [row] = [r for r in new.collect() if r["notice_id"] == 2]
             assert row["created_at"] == AS_OF, tz
     finally:

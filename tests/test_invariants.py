@@ -22,7 +22,7 @@ def test_rejects_are_a_subset_with_one_reason_each(spark, runner, batch):
 
 def test_updates_keep_ids_and_row_counts(spark):
     c = load_driver(spark, SF_SMALL)
-    new, _ = R._c05(spark, SF_SMALL)
+    new, _, _ = R._c05(spark, SF_SMALL)
     assert new.count() == c.courses.count()
     assert new.select("course_id").subtract(c.courses.select("course_id")).count() == 0
     grades, _ = R._c07(spark, SF_SMALL)
@@ -42,7 +42,7 @@ def test_deleted_course_leaves_catalog(spark):
 def test_inserted_ids_continue_after_max(spark):
     c = load_driver(spark, SF_SMALL)
     base = c.notices.agg({"notice_id": "max"}).first()[0]
-    new, rejects = R._c10(spark, SF_SMALL)
+    new, _, rejects = R._c10(spark, SF_SMALL)
     added = new.where(f"notice_id > {base}")
     n = added.count()
     assert n + rejects.count() == R.batch_post_notices(spark, SF_SMALL).count()
