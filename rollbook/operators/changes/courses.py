@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import blank_to_null, present_num, present_str, ts_ntz
 from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
+from rollbook.plans.materialize import materialize
 from rollbook.schema import (
     MSG_COURSE_CODE_EXISTS, MSG_COURSE_CODE_IN_USE, MSG_COURSE_FIELDS, MSG_COURSE_NOT_FOUND,
     MSG_NO_FIELDS, MSG_TEACHER_NOT_FOUND,
@@ -26,10 +27,10 @@ def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
     (non-zero) teacher exists.  Returns (courses, created, rejects);
     created carries ``teacher_name`` and ``enrolled_students = 0``.
     """
-    b = batch.withColumn("code", blank_to_null("course_code"))
-    b = flag_existing(b, courses, ["course_code"], ["code"], "code_taken")
-    b = b.withColumn("tid", F.when(present_num("teacher_id"), F.col("teacher_id")))
-    b = flag_existing(b, teachers, ["teacher_id"], ["tid"], "teacher_ok")
+    b0 = batch.withColumn("code", blank_to_null("course_code")) \
+              .withColumn("tid", F.when(present_num("teacher_id"), F.col("teacher_id")))
+    b = flag_existing(b0, courses, ["course_code"], ["code"], "code_taken", keys_from=b0)
+    b = flag_existing(b, teachers, ["teacher_id"], ["tid"], "teacher_ok", keys_from=b0)
     missing = ~(present_str("course_code") & present_str("course_name"))
     taken = F.col("code_taken").isNotNull()
     bad_teacher = F.col("tid").isNotNull() & F.col("teacher_ok").isNull()
@@ -39,7 +40,7 @@ def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
         (taken | (F.col("seq") > F.col("first_seq")), MSG_COURSE_CODE_EXISTS),
         (bad_teacher, MSG_TEACHER_NOT_FOUND),
     ]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     base = current_max(courses, "course_id")
     new = conform(number_rows(ok, ["seq"], "course_id", base).select(
         "course_id", "course_code", "course_name",
@@ -73,19 +74,19 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
     code = blank_to_null(fld.getItem("code"))
     has_desc = F.coalesce(F.map_contains_key(fld, F.lit("description")), F.lit(False))
     has_teacher = F.coalesce(F.map_contains_key(fld, F.lit("teacher_id")), F.lit(False))
-    b = batch.select("seq", "course_id", "fields",
+    b0 = batch.select("seq", "course_id", "fields",
                      name.alias("new_name"), code.alias("new_code"),
                      has_desc.alias("has_desc"), has_teacher.alias("has_teacher"),
                      fld.getItem("description").alias("new_desc"),
                      fld.getItem("teacher_id").try_cast("long").alias("new_tid"),
                      (has_teacher & fld.getItem("teacher_id").isNotNull()).alias("sets_teacher"))
-    b = flag_existing(b, courses, ["course_id"], flag="course_exists")
+    b = flag_existing(b0, courses, ["course_id"], flag="course_exists", keys_from=b0)
     # Holders of the requested codes only (semi join before the aggregate).
-    holders = (courses.join(wanted(b, ["new_code"], ["course_code"]), "course_code", "left_semi")
+    holders = (courses.join(wanted(b0, ["new_code"], ["course_code"]), "course_code", "left_semi")
                .groupBy(F.col("course_code").alias("new_code"))
                .agg(F.min("course_id").alias("holder_min"), F.max("course_id").alias("holder_max")))
     b = b.join(holders, "new_code", "left")
-    b = flag_existing(b, teachers, ["teacher_id"], ["new_tid"], "teacher_ok")
+    b = flag_existing(b, teachers, ["teacher_id"], ["new_tid"], "teacher_ok", keys_from=b0)
 
     not_found = F.col("course_exists").isNull()
     in_use = F.col("new_code").isNotNull() & F.col("holder_min").isNotNull() & (
@@ -94,6 +95,8 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
     nothing = ~(F.col("new_name").isNotNull() | F.col("new_code").isNotNull()
                 | F.col("has_desc") | F.col("has_teacher"))
     candidate = ~not_found & ~in_use & ~bad_teacher & ~nothing
+    # Both the claims aggregate and the join back read the checked batch.
+    b = materialize(b, "checked")
     # Among accepted claims of one new code, the first request's course keeps it.
     claims = (b.where(candidate & F.col("new_code").isNotNull())
                .groupBy("new_code").agg(F.min_by("course_id", "seq").alias("claim_course")))
@@ -105,7 +108,7 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
         (bad_teacher, MSG_TEACHER_NOT_FOUND),
         (nothing, MSG_NO_FIELDS),
     ]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     upd = ok.groupBy("course_id").agg(
         last_value(F.col("new_name"), F.col("new_name").isNotNull()).alias("u_name"),
         last_value(F.col("new_code"), F.col("new_code").isNotNull()).alias("u_code"),
@@ -141,7 +144,7 @@ def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,
     b = first_claim(b, ["course_id"], F.col("course_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("course_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_COURSE_NOT_FOUND)]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     doomed = ok.select("course_id").distinct()
     # Find the doomed assignments before the assignments are dropped.
     doomed_assignments = assignments.join(doomed, "course_id", "left_semi").select("assignment_id")

@@ -38,7 +38,7 @@ def pay_fees(fees: DataFrame, students: DataFrame, batch: DataFrame, as_of: dt.d
         (not_theirs, MSG_FEE_NOT_FOUND),
         (paid_before | (F.col("seq") > F.col("first_seq")), MSG_FEE_ALREADY_PAID),
     ]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     paid_now = ok.select("fee_id").distinct().withColumn("paid_now", F.lit(True))
     f = fees.join(paid_now, "fee_id", "left")
     now = F.col("paid_now").isNotNull()

@@ -123,7 +123,7 @@ def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
     """
     annotated = batch.withColumn("reason", reason_of(
         [(~(present_str("title") & present_str("content")), MSG_NOTICE_FIELDS)]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)   # a projection of the batch: nothing to settle
     base = current_max(notices, "notice_id")
     new = number_rows(ok, ["seq"], "notice_id", base).select(
         "notice_id", "title", "content", F.col("user_id").alias("posted_by_user_id"),

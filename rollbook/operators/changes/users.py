@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import blank_to_null, present_str, ts_ntz
 from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.ids import current_max, number_rows
+from rollbook.plans.materialize import materialize
 from rollbook.schema import (
     MSG_PROFILE_NOT_FOUND, MSG_REGISTER_FIELDS, MSG_ROLL_REQUIRED, MSG_USER_EXISTS,
     MSG_USER_FIELDS, MSG_USER_NOT_FOUND, ROLE_MANAGEMENT, ROLE_STUDENT, ROLE_TEACHER,
@@ -52,7 +53,7 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
         (taken | (F.col("seq") > F.col("first_seq")), MSG_USER_EXISTS),
         (no_roll, MSG_ROLL_REQUIRED),
     ]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     base = current_max(users, "user_id")
     # The password is dropped before anything is materialized.
     accepted = ok.drop("role", "password").withColumnRenamed("role_", "role")
@@ -98,31 +99,31 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     profiles = (students.select("user_id", F.lit(ROLE_STUDENT).alias("role"))
                 .unionByName(teachers.select("user_id", F.lit(ROLE_TEACHER).alias("role")))
                 .unionByName(management.select("user_id", F.lit(ROLE_MANAGEMENT).alias("role"))))
-    b = flag_existing(b, profiles, ["user_id", "role"], flag="has_profile")
+    # Profiles of the requested users only, keyed by (user, role).
+    held = profiles.join(ids, "user_id", "left_semi").distinct().withColumn("has_profile", F.lit(True))
+    b = b.join(held, ["user_id", "role"], "left")
     annotated = b.withColumn("reason", F.when(F.col("role").isNull(), F.lit(MSG_USER_NOT_FOUND))
                              .when(F.col("has_profile").isNull(),
                                    F.concat(F.coalesce(F.col("role"), F.lit("null")),
                                             F.lit(MSG_PROFILE_NOT_FOUND.replace("{role}", "")))))
     ok, rejects = split(annotated)
     fields = ["name", "email", "phone_number", "address", "department"]
-    patch = ok.groupBy("user_id").agg(*[
-        last_value(blank_to_null(f), present_str(f)).alias(f"u_{f}") for f in fields])
-
-    # Only requests whose user has this role patch this table.
-    def patch_for(role: str):
-        return ok.where(F.col("role") == F.lit(role)).select("user_id").distinct()
-
+    # One patch per (user, role); a user has one role, so each table takes
+    # the patches of its own role.
+    # Read by all three role tables and the updated rows: materialized once.
+    patch = materialize(ok.groupBy("user_id", "role").agg(*[
+        last_value(blank_to_null(f), present_str(f)).alias(f"u_{f}") for f in fields]), "patch")
     out = {}
     for tname, role, cols in (("students", ROLE_STUDENT, ["name", "email", "phone_number", "address"]),
                               ("teachers", ROLE_TEACHER, ["name", "email", "phone_number", "department"]),
                               ("management", ROLE_MANAGEMENT, ["name", "email", "phone_number"])):
         table = {"students": students, "teachers": teachers, "management": management}[tname]
-        p = patch.join(patch_for(role), "user_id", "left_semi")
+        p = patch.where(F.col("role") == F.lit(role))
         j = table.join(p.select("user_id", *[f"u_{c}" for c in cols]), "user_id", "left")
         sel = [F.when(F.col(f"u_{c}").isNotNull(), F.col(f"u_{c}.v")).otherwise(F.col(c)).alias(c)
                if c in cols else F.col(c) for c in table.columns]
         out[tname] = conform(j.select(*sel), tname)
-    touched = ok.select("user_id", "role").distinct()
+    touched = patch.select("user_id", "role")
     null = F.lit(None).cast("string")
     profile = (out["students"].select("user_id", F.lit(ROLE_STUDENT).alias("role"), "name", "email",
                                       "phone_number", "address", null.alias("department"))
@@ -147,7 +148,7 @@ def delete_users(users: DataFrame, batch: DataFrame, cascade: dict[str, DataFram
     b = first_claim(b, ["user_id"], F.col("user_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("user_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_USER_NOT_FOUND)]))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     doomed = ok.select("user_id").distinct()
     out = {"users": users.join(doomed, "user_id", "left_anti")}
     for name, table in (cascade or {}).items():

@@ -7,6 +7,12 @@
   task (which a key-partitioned window would do).
 * ``reason_of``: the first failing check gives the reason, in check order.
 * ``split``: accepted requests and ``rejects(seq, reason)``.
+
+Intermediates that are read more than once (a claim table and its
+candidates, an annotated batch feeding several outputs) are written once as
+a table in the shared checkpoint folder, so the checks never run twice and
+a retried task sees the same decisions.  Key sets for lookups are taken
+from the original batch, so chained checks do not re-derive each other.
 """
 
 from __future__ import annotations
@@ -14,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.plans.materialize import materialize
+
 
 def reason_of(checks: list[tuple[Column, str]]) -> Column:
     """CASE over (failed-condition, message) pairs in order; NULL when all pass.
@@ -29,13 +37,23 @@ def reason_of(checks: list[tuple[Column, str]]) -> Column:
 
 def first_claim(requests: DataFrame, keys: list[str], candidate: Column,
                 out: str = "first_seq") -> DataFrame:
-    """Add ``out`` = min(seq) over requests with the same keys where ``candidate`` holds."""
-    firsts = (requests.where(candidate)
+    """Add ``out`` = min(seq) over requests with the same keys where ``candidate`` holds.
+
+    The requests (with their candidate flag) are materialized first, since
+    both the aggregate and the join back read them.
+    """
+    flagged = materialize(requests.withColumn("_candidate", candidate), "claims")
+    firsts = (flagged.where(F.col("_candidate"))
               .groupBy(*keys).agg(F.min("seq").alias(out)))
-    return requests.join(firsts, keys, "left")
+    return flagged.join(firsts, keys, "left").drop("_candidate")
 
 
-def split(annotated: DataFrame, reason_col: str = "reason") -> tuple[DataFrame, DataFrame]:
+def split(annotated: DataFrame, reason_col: str = "reason", pin: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted requests, rejects).  With ``pin`` the annotated batch is
+    materialized once, so both outputs (and anything built on them) read
+    the same settled decisions."""
+    if pin:
+        annotated = materialize(annotated, "checked")
     ok = annotated.where(F.col(reason_col).isNull()).drop(reason_col)
     rejects = annotated.where(F.col(reason_col).isNotNull()).select("seq", F.col(reason_col).alias("reason"))
     return ok, rejects
@@ -76,8 +94,14 @@ def existing_keys(table: DataFrame, requests: DataFrame, table_cols: list[str],
 
 
 def flag_existing(requests: DataFrame, table: DataFrame, table_cols: list[str],
-                  request_cols: list[str] | None = None, flag: str = "exists") -> DataFrame:
-    """Add boolean-or-NULL ``flag``: the request's key exists in ``table``."""
+                  request_cols: list[str] | None = None, flag: str = "exists",
+                  keys_from: DataFrame | None = None) -> DataFrame:
+    """Add boolean-or-NULL ``flag``: the request's key exists in ``table``.
+
+    ``keys_from`` is the frame the key set is read from (the original batch
+    with its computed key columns); default: ``requests`` itself.
+    """
     request_cols = request_cols or table_cols
-    return requests.join(existing_keys(table, requests, table_cols, request_cols, flag),
+    src = requests if keys_from is None else keys_from
+    return requests.join(existing_keys(table, src, table_cols, request_cols, flag),
                          request_cols, "left")
