@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_str, ts_ntz
 from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
-from rollbook.plans.ids import current_max, number_rows
+from rollbook.plans.deferred import Deferred, once
+from rollbook.plans.ids import current_max, current_maxes, number_rows, number_rows_by_group
 from rollbook.plans.materialize import materialize
 from rollbook.schema import (
     MSG_PROFILE_NOT_FOUND, MSG_REGISTER_FIELDS, MSG_ROLL_REQUIRED, MSG_USER_EXISTS,
@@ -43,7 +44,10 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     ok_fields = present_str(required[0])
     for c in required[1:]:
         ok_fields = ok_fields & present_str(c)
-    missing = ~ok_fields
+    # The password only counts for this check; it is dropped before any
+    # intermediate is materialized.
+    b = b.withColumn("_missing", ~ok_fields).drop("password")
+    missing = F.col("_missing")
     b = flag_existing(b, users, ["domain_id"], flag="domain_taken")
     taken = F.col("domain_taken").isNotNull()
     no_roll = (F.col("role_") == F.lit(ROLE_STUDENT)) & ~present_str("roll_number")
@@ -54,19 +58,23 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
         (no_roll, MSG_ROLL_REQUIRED),
     ]))
     ok, rejects = split(annotated, pin=False)
-    base = current_max(users, "user_id")
-    # The password is dropped before anything is materialized.
-    accepted = ok.drop("role", "password").withColumnRenamed("role_", "role")
-    new = number_rows(accepted, ["seq"], "user_id", base)
-    new_users = conform(new.select("user_id", "domain_id", "role",
-                                   ts_ntz(as_of).alias("created_at")), "users")
-    out = {"users": users.unionByName(new_users),
-           "created": new.select(F.col("user_id").alias("id"), "domain_id", "role", "name", "email")}
     tables = {"students": students, "teachers": teachers, "management": management}
-    for r, (tname, key) in ROLE_TABLES.items():
-        rows = new.where(F.col("role") == F.lit(r))
-        rows = number_rows(rows.drop(key) if key in rows.columns else rows, ["seq"], key,
-                           current_max(tables[tname], key))
+
+    @once
+    def new():
+        accepted = ok.drop("role", "_missing").withColumnRenamed("role_", "role")
+        return number_rows(accepted, ["seq"], "user_id", current_max(users, "user_id"))
+
+    @once
+    def numbered():
+        # All three role tables are numbered in one pass: ids within each role
+        # continue after that role table's maximum, in seq order.
+        bases = current_maxes({r: (tables[t], k) for r, (t, k) in ROLE_TABLES.items()})
+        known = new().where(F.col("role").isin(list(ROLE_TABLES)))
+        return number_rows_by_group(known, "role", ["seq"], "role_id", bases)
+
+    def role_table(r: str, tname: str, key: str) -> DataFrame:
+        rows = numbered().where(F.col("role") == F.lit(r)).withColumnRenamed("role_id", key)
         cols = {
             "students": [key, "user_id", "name", "roll_number", "email",
                          blank_to_null("phone_number").alias("phone_number"),
@@ -77,7 +85,15 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
             "management": [key, "user_id", "name", "email",
                            blank_to_null("phone_number").alias("phone_number")],
         }[tname]
-        out[tname] = tables[tname].unionByName(conform(rows.select(*cols), tname))
+        return tables[tname].unionByName(conform(rows.select(*cols), tname))
+
+    out = Deferred({
+        "users": lambda: users.unionByName(conform(new().select(
+            "user_id", "domain_id", "role", ts_ntz(as_of).alias("created_at")), "users")),
+        "created": lambda: new().select(F.col("user_id").alias("id"), "domain_id", "role", "name", "email"),
+        **{tname: (lambda r=r, t=tname, k=key: role_table(r, t, k))
+           for r, (tname, key) in ROLE_TABLES.items()},
+    })
     return out, rejects
 
 

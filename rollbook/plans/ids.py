@@ -28,11 +28,25 @@ def current_max(df: DataFrame, column: str) -> int:
     return int(v) if v is not None else 0
 
 
+def current_maxes(tables: dict[str, tuple[DataFrame, str]]) -> dict[str, int]:
+    """``current_max`` of several tables in one job (one row per table)."""
+    parts = [df.agg(F.max(c).cast("long").alias("m")).select(F.lit(name).alias("t"), "m")
+             for name, (df, c) in tables.items()]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return {r["t"]: int(r["m"]) if r["m"] is not None else 0 for r in union.collect()}
+
+
+def _tag(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    return materialize(ordered.withColumn("_part", F.spark_partition_id())
+                              .withColumn("_mono", F.monotonically_increasing_id()), "ids")
+
+
 def number_rows(df: DataFrame, order_cols: list[str], id_col: str, start: int) -> DataFrame:
     """Add ``id_col`` = start + 1-based rank of the row in ``order_cols`` order."""
-    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    tagged = materialize(ordered.withColumn("_part", F.spark_partition_id())
-                                .withColumn("_mono", F.monotonically_increasing_id()), "ids")
+    tagged = _tag(df, order_cols)
     sizes = {r["_part"]: r["_n"] for r in
              tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()}
     offsets, running = [], 0
@@ -45,3 +59,39 @@ def number_rows(df: DataFrame, order_cols: list[str], id_col: str, start: int) -
     local = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), _ROW_BITS)
     return (tagged.withColumn(id_col, F.lit(start).cast("long") + offset + local + 1)
                   .drop("_part", "_mono"))
+
+
+_MAX_OFFSET_ROWS = 100_000  # (partition, group) pairs broadcast as a lookup at most
+
+
+def number_rows_by_group(df: DataFrame, group_col: str, order_cols: list[str], id_col: str,
+                         starts: dict) -> DataFrame:
+    """Number rows within each group: ``id_col`` = starts[group] + 1-based
+    rank of the row among its group's rows in ``order_cols`` order.
+
+    One range shuffle over (group, order) serves every group.  The lookup of
+    per-(partition, group) offsets has one row per such pair; it is
+    broadcast only when that count is at most ``_MAX_OFFSET_ROWS`` and
+    joined with a shuffle otherwise.
+    """
+    spark = df.sparkSession
+    tagged = _tag(df, [group_col, *order_cols])
+    stats = (tagged.groupBy("_part", group_col)
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+                   .collect())
+    running: dict = {}
+    rows = []
+    for r in sorted(stats, key=lambda r: r["_part"]):
+        g = r[group_col]
+        before = running.get(g, 0)
+        rows.append((r["_part"], g, int(starts.get(g, 0)) + before, r["_first"]))
+        running[g] = before + r["_n"]
+    if not rows:
+        return tagged.drop("_part", "_mono").withColumn(id_col, F.lit(None).cast("long"))
+    gtype = df.schema[group_col].dataType.simpleString()
+    lookup = spark.createDataFrame(rows, f"_part int, {group_col} {gtype}, _base long, _first long")
+    if len(rows) <= _MAX_OFFSET_ROWS:
+        lookup = F.broadcast(lookup)
+    return (tagged.join(lookup, ["_part", group_col])
+                  .withColumn(id_col, F.col("_base") + (F.col("_mono") - F.col("_first")) + 1)
+                  .drop("_part", "_mono", "_base", "_first"))

@@ -318,3 +318,23 @@ def test_snapshot_roundtrip_and_result_json(spark, tmp_path):
     out = write_result(back.select("course_id", "course_code"), str(tmp_path / "res"))
     lines = [json.loads(line) for p in (tmp_path / "res").glob("part-*") for line in p.read_text().splitlines()]
     assert lines == [{"course_id": 1, "course_code": "A"}] and out.endswith("res")
+
+
+def test_passwords_never_reach_outputs_or_intermediates(spark):
+    import glob
+    import os
+    from rollbook.session import checkpoint_dir
+    users = table(spark, "users", [])
+    empty = {n: table(spark, n, []) for n in ("students", "teachers", "management")}
+    b = spark.createDataFrame(
+        [(1, "a", "s3cret-pw-xyz", "teacher", "N", "e", None, None, None, None)],
+        "seq long, domain_id string, password string, role string, name string, email string, "
+        "phone_number string, department string, address string, roll_number string")
+    out, rej = changes.create_users(users, empty["students"], empty["teachers"], empty["management"], b, AS_OF)
+    for name in out:
+        assert "password" not in out[name].columns
+        assert "s3cret-pw-xyz" not in str(out[name].collect())
+    root = checkpoint_dir(spark).replace("file:", "")
+    for f in glob.glob(os.path.join(root, "**", "*.parquet"), recursive=True):
+        with open(f, "rb") as fh:
+            assert b"s3cret-pw-xyz" not in fh.read()

@@ -17,3 +17,19 @@ def test_empty_and_max(spark):
     assert number_rows(empty, ["seq"], "new_id", 0).count() == 0
     assert current_max(empty, "seq") == 0
     assert current_max(spark.range(10), "id") == 9
+
+
+def test_numbering_within_groups(spark):
+    from rollbook.plans.ids import current_maxes, number_rows_by_group
+    df = spark.range(0, 3000, 1, 7).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 5 == 0, "b").otherwise("c").alias("g"))
+    out = number_rows_by_group(df, "g", ["seq"], "new_id", {"a": 10, "b": 0, "c": 500})
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["g"], []).append((r["seq"], r["new_id"]))
+    for g, start in (("a", 10), ("b", 0), ("c", 500)):
+        ids = [i for _, i in sorted(got[g])]
+        assert ids == list(range(start + 1, start + 1 + len(ids)))
+    m = current_maxes({"x": (spark.range(5), "id"), "y": (spark.range(0), "id")})
+    assert m == {"x": 4, "y": 0}
