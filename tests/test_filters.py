@@ -81,3 +81,18 @@ def test_available_courses_for_one_student(c):
     counts = {r["student_id"]: r for r in declared.available_course_counts(c.students, c.courses, c.enrollments)
               .where(f"student_id = {student}").collect()}
     assert counts[student]["available_courses"] == len(avail)
+
+
+def test_presentation_order(c):
+    from rollbook.plans.presentation import present
+    cat = present(learning.course_catalog(c.courses, c.teachers, c.enrollments), "course_catalog").collect()
+    keys = [(r["code"], r["id"]) for r in cat]
+    assert keys == sorted(keys)
+    d = present(directory.user_directory(c.users, c.students, c.teachers, c.management), "user_directory").collect()
+    # NULL created_at (teachers, managers) come last in descending order
+    seen_null = False
+    for r in d:
+        if r["created_at"] is None:
+            seen_null = True
+        else:
+            assert not seen_null
