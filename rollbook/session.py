@@ -44,13 +44,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we only set our own when the
     session has none (local runs and tests), in a fresh scratch folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+    else:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         # Local session without a configured folder (tests): make our own.
         configured = tempfile.mkdtemp(prefix="rollbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
