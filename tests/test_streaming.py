@@ -43,3 +43,31 @@ def test_fee_payment_stream(spark, tmp_path):
     paid = {r["fee_id"] for r in fees1.where("payment_status = 'paid'").collect()}
     assert {r["fee_id"] for r in unpaid} <= paid
     assert fees1.count() == c.fees.count()
+
+
+def test_restart_resumes_after_last_committed_epoch(spark, tmp_path):
+    c = load_driver(spark, SF_SMALL)
+    base = {"fees": write_snapshot(c.fees, str(tmp_path / "base" / "fees")),
+            "students": write_snapshot(c.students, str(tmp_path / "base" / "students"))}
+    fee = c.fees.where("payment_status <> 'paid'").orderBy("fee_id").first()
+    user = fee["student_id"] + 10_000_000
+    src = tmp_path / "requests"
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps({"seq": 1, "user_id": user, "fee_id": fee["fee_id"]}) + "\n")
+
+    def step(tables, batch):
+        fees, rejects = changes.pay_fees(tables["fees"], tables["students"], batch, dt.date(2025, 1, 15))
+        return {"fees": fees}, rejects
+
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = start_request_stream(spark, str(src), SCHEMA, step, base, out, ckpt)
+    q.awaitTermination(120)
+    # A new file arrives after the first query stopped; the restarted query
+    # resumes from the checkpoint: epoch 1 sees the snapshot of epoch 0.
+    (src / "b.json").write_text(json.dumps({"seq": 2, "user_id": user, "fee_id": fee["fee_id"]}) + "\n")
+    q = start_request_stream(spark, str(src), SCHEMA, step, base, out, ckpt)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert spark.read.parquet(f"{out}/_rejects/epoch=0").count() == 0
+    assert [(r["seq"], r["reason"]) for r in spark.read.parquet(f"{out}/_rejects/epoch=1").collect()] == \
+        [(2, "Fee is already paid")]
