@@ -64,3 +64,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def sizing(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings sized to the data: shuffle partitions so that a partition
+    holds about ``target_partition_bytes`` of input (never fewer than two
+    per core, so every core has work after AQE coalescing), file splits of
+    twice that, and AQE advisory/skew thresholds on the same scale.
+
+    At 100 TB of input and 128 MB targets that is ~800k shuffle partitions
+    before coalescing; AQE merges small ones at run time.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }
