@@ -75,15 +75,16 @@ def find_users_by_email(emails: DataFrame, users: DataFrame, students: DataFrame
     """Q14: for each requested e-mail found in any role table, the user with
     the smallest user id among the matches, and that user's role.
 
-    The union is reduced to one row per e-mail (partial aggregation) before
-    it meets the request side, so a popular address stays one row.
+    Contacts are first narrowed to the requested addresses (semi join), then
+    reduced to one row per address (partial aggregation, so a popular
+    address stays one row), then joined to the users for the role.
     """
-    matched = contacts(students, teachers, management).where(F.col("email").isNotNull()) \
-        .join(users.select("user_id"), "user_id", "left_semi")
-    best = matched.groupBy("email").agg(F.min("user_id").alias("user_id"))
     req = emails.select("email").where(F.col("email").isNotNull()).distinct()
-    return (req.join(best, "email").join(users.select("user_id", "role"), "user_id")
-               .select("email", "user_id", "role"))
+    matched = (contacts(students, teachers, management)
+               .join(req, "email", "left_semi")
+               .join(users.select("user_id"), "user_id", "left_semi"))
+    best = matched.groupBy("email").agg(F.min("user_id").alias("user_id"))
+    return best.join(users.select("user_id", "role"), "user_id").select("email", "user_id", "role")
 
 
 def find_users_by_domain_id(keys: DataFrame, users: DataFrame) -> DataFrame:
