@@ -16,9 +16,11 @@ def notice_board(notices: DataFrame, users: DataFrame, teachers: DataFrame,
     is the teacher's or manager's name by role, else the domain id; a
     teacher without a Teachers row shows NULL.
     """
-    # Resolve one poster name per user first, so the notice texts take part
-    # in a single join (and are not carried through three).
-    u = users.select("user_id", "role", "domain_id")
+    # Resolve one poster name per posting user first, so the notice texts
+    # take part in a single join (and are not carried through three); only
+    # users that posted something are looked up.
+    posting = notices.select(F.col("posted_by_user_id").alias("user_id")).distinct()
+    u = users.select("user_id", "role", "domain_id").join(posting, "user_id", "left_semi")
     t = teachers.select("user_id", F.col("name").alias("t_name"))
     m = management.select("user_id", F.col("name").alias("m_name"))
     poster = (F.when(F.col("role") == ROLE_TEACHER, F.col("t_name"))
