@@ -39,7 +39,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9) if v != 0 else 0.0
+        return (round(v, 9) if os.environ.get("ORACLE_ROUND") else v) if v != 0 else 0.0
     if isinstance(v, decimal.Decimal):
         return ("dec", str(v.normalize()))
     if isinstance(v, dt.datetime):
