@@ -66,3 +66,15 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> str:
     """Emit a result as JSON lines (or Parquet) to a new path."""
     df.write.mode("errorifexists").format(fmt).save(path)
     return path
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """Write a snapshot as a bucketed, sorted table at ``path`` and return it.
+
+    Two snapshots bucketed on the same key with the same bucket count join
+    (and aggregate on that key) without a shuffle: for tables joined again
+    and again on one key, e.g. enrollments and students on ``student_id``.
+    """
+    (df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("errorifexists")
+       .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

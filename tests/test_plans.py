@@ -37,3 +37,25 @@ def test_counts_aggregate_before_join(spark):
     # The partial aggregate sits below the join with courses (pre-aggregation).
     assert plan.count("HashAggregate") >= 2
     assert "SortAggregate" not in plan
+
+
+def test_bucketed_snapshots_join_without_shuffle(spark, tmp_path):
+    from rollbook.operators import learning
+    from rollbook.sources import load_driver, write_bucketed
+    c = load_driver(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = write_bucketed(c.enrollments, "enrollments_by_student", ["student_id"], 8,
+                           str(tmp_path / "enrollments"))
+        s = write_bucketed(c.students, "students_by_student", ["student_id"], 8, str(tmp_path / "students"))
+        roster = learning.course_roster(s, e, c.courses)
+        plan = physical_plan(roster)
+        joined = e.join(s, "student_id")
+        assert "Exchange hashpartitioning(student_id" not in physical_plan(joined)
+        assert roster.count() == learning.course_roster(c.students, c.enrollments, c.courses).count()
+        assert "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS enrollments_by_student")
+        spark.sql("DROP TABLE IF EXISTS students_by_student")
