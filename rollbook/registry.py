@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators import billing, directory, learning, notices
-from rollbook.sources.campus import Campus, load_driver
+from rollbook.sources.campus import Campus, driver_table, load_driver
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def _campus(spark: SparkSession, sf_dir: str) -> Campus:
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return driver_table(spark, sf_dir, name)
 
 
 def q01_user_directory(spark, sf_dir):

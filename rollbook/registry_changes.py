@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, changes
-from rollbook.sources.campus import TEACHER_USER_BASE, load_driver, pin
+from rollbook.sources.campus import TEACHER_USER_BASE, driver_table, load_driver, pin
 
 AS_OF = dt.datetime(2025, 1, 15, 9, 30, 0)
 ACTION_SEQ_STRIDE = 1_000_000_000_000  # keeps seq unique across request families
 
 
 def _raw(spark, sf_dir, name) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return driver_table(spark, sf_dir, name)
 
 
 def _s(c) -> F.Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import declared
 from rollbook.registry_changes import AS_OF
-from rollbook.sources.campus import load_driver, pin
+from rollbook.sources.campus import driver_table, load_driver, pin
 
 
 def batch_enroll(spark, sf_dir) -> DataFrame:
     """One enrollment request per order: F orders ask for a course the
     customer already has (the order's smallest part), others for a course
     derived from the order total; LOW priority orders come from non-students."""
-    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
-    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    o = driver_table(spark, sf_dir, "orders")
+    li = driver_table(spark, sf_dir, "lineitem")
     first_part = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("first_part"))
     j = o.join(first_part, "o_orderkey", "left")
     return j.select(

@@ -74,8 +74,26 @@ def load_snapshots(spark: SparkSession, root: str) -> Campus:
     return Campus(**{name: read_table(spark, root, name) for name in TABLES})
 
 
-def _driver(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+_DRIVER_READS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
+def driver_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One of the driver's (read-only) input tables.
+
+    The DataFrame handle is reused within a session, so its file listing
+    and footers are read once rather than by every query; the inputs never
+    change while a session runs.
+    """
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    hit = _DRIVER_READS.get((id(spark), path))
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _DRIVER_READS[(id(spark), path)] = (spark, df)
+    return df
+
+
+_driver = driver_table
 
 
 def _case_map(c: str, mapping: dict[str, str]):
