@@ -33,3 +33,43 @@ def test_numbering_within_groups(spark):
         assert ids == list(range(start + 1, start + 1 + len(ids)))
     m = current_maxes({"x": (spark.range(5), "id"), "y": (spark.range(0), "id")})
     assert m == {"x": 4, "y": 0}
+
+
+def test_sizing_scales_with_input():
+    from rollbook.session import sizing
+    small = sizing(37_000_000, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"          # two per core at least
+    big = sizing(100 << 40, 8000)                                 # 100 TB, 1000 executors x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert big["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(128 << 20)
+
+
+def test_deferred_outputs_run_only_what_is_read(spark):
+    import datetime as dt
+    from conftest import table
+    from rollbook.operators import changes
+    from rollbook.plans import ids
+    calls = []
+    original = ids.number_rows
+
+    def counting(*a, **k):
+        calls.append(1)
+        return original(*a, **k)
+
+    import rollbook.operators.changes.users as users_mod
+    users_mod.number_rows = counting
+    try:
+        users = table(spark, "users", [])
+        empty = {n: table(spark, n, []) for n in ("students", "teachers", "management")}
+        b = spark.createDataFrame([(1, "a", "pw", "teacher", "N", "e", None, None, None, None)],
+                                  "seq long, domain_id string, password string, role string, name string, "
+                                  "email string, phone_number string, department string, address string, "
+                                  "roll_number string")
+        out, rej = changes.create_users(users, empty["students"], empty["teachers"], empty["management"], b,
+                                        dt.datetime(2025, 1, 15))
+        assert rej.count() == 0 and calls == []        # rejects need no id assignment
+        out["users"].count()
+        out["created"].count()
+        assert calls == [1]                            # shared step runs once
+    finally:
+        users_mod.number_rows = original
