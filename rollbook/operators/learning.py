@@ -149,9 +149,11 @@ def attendance_sheet(roster: DataFrame, overrides: DataFrame) -> DataFrame:
     ``seq`` counts, and an empty status falls back to present.
     """
     # Latest entry per (course, student): max(seq) is a fixed-width hash
-    # aggregate; the status is fetched by joining back on the unique seq.
-    last_seq = overrides.groupBy("course_id", "student_id").agg(F.max("seq").alias("seq"))
-    latest = overrides.select("seq", F.col("status").alias("override")).join(last_seq, "seq")
+    # aggregate; the status is fetched by joining back on (course, student, seq).
+    keys = ["course_id", "student_id"]
+    last_seq = overrides.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    latest = (overrides.select(*keys, "seq", F.col("status").alias("override"))
+              .join(last_seq, [*keys, "seq"]))
     return (roster.select("course_id", "student_id")
                   .join(latest, ["course_id", "student_id"], "left")
                   .select("course_id", "student_id",

@@ -338,3 +338,11 @@ def test_passwords_never_reach_outputs_or_intermediates(spark):
     for f in glob.glob(os.path.join(root, "**", "*.parquet"), recursive=True):
         with open(f, "rb") as fh:
             assert b"s3cret-pw-xyz" not in fh.read()
+
+
+def test_q18_same_seq_for_different_students(spark):
+    roster = frame(spark, "course_id long, student_id long", [(1, 1), (1, 2)])
+    overrides = frame(spark, "seq long, course_id long, student_id long, status string",
+                      [(5, 1, 1, "absent"), (5, 1, 2, "excused")])
+    out = as_dicts(learning.attendance_sheet(roster, overrides), "student_id")
+    assert [r["status"] for r in out] == ["absent", "excused"]
