@@ -48,12 +48,16 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def read_vocabulary(path: str) -> dict:
+    """The contents of a tokenizer file; plain data that can be broadcast."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Vocabulary:
     """Symbols, pair ranks and special tokens of a tokenizer file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict):
         model = spec["model"]
         ids = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -273,10 +277,10 @@ def in_portions(texts, chars: int = 2_000_000):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: ``id_col``, ``n_tokens`` long and ``ids``, the
     ids as little-endian unsigned 32-bit integers."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches):
-        encoder = WordEncoder(shared.value)
+        encoder = WordEncoder(Vocabulary(shared.value))
         for batch in batches:
             ids = [x for part in in_portions(map(pa.StringScalar.as_py, batch.column(1))) for x in encoder.encode_many(part)]
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +296,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     existing column of that name is replaced): the tokens' strings joined by
     spaces, as for files that name no decoder.  Null ids give the empty text;
     ids outside the vocabulary are left out."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).strings)
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_vocabulary(path)).strings)
     rest = [c for c in encoded.columns if c != out_col]
     at = rest.index(ids_col)
 

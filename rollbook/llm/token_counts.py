@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rollbook.llm.bpe import SPACES, Vocabulary, byte_symbols, in_portions, merge, merge_words
+from rollbook.llm.bpe import SPACES, Vocabulary, byte_symbols, in_portions, merge, merge_words, read_vocabulary
 from rollbook.llm.common import text_of
 
 
@@ -89,11 +89,12 @@ class TokenCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
     (``n_tokens > limit``) of every whole text."""
-    vocab = Vocabulary(path)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, whole_tokens(vocab)))
+    spec = read_vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(Vocabulary(spec))))
 
     def run(batches):
-        counter = TokenCounter(*shared.value)
+        spec, whole = shared.value
+        counter = TokenCounter(Vocabulary(spec), whole)
         for batch in batches:
             counts = [n for part in in_portions(map(pa.StringScalar.as_py, batch.column(2))) for n in counter.count_many(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
