@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import bpe, token_counts
+from rollbook.llm import bpe, lines, mixing, quality, token_counts
 from rollbook.llm.common import table
 
 
@@ -19,6 +19,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -26,13 +31,72 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.place(docs).withColumnsRenamed({"__pool": "pool", "__block": "block", "__slot": "slot", "__place": "place"})
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op7_token_counts)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op7_token_counts)}
+
+
+OP4_SQL = """
+WITH RECURSIVE counts AS (
+  SELECT coalesce(source, '<none>') AS src, count(*) AS n FROM documents GROUP BY 1
+), weighed AS (
+  SELECT src, sqrt(n) * 1000 / (SELECT sum(sqrt(n)) FROM counts) AS slots FROM counts
+), own AS (
+  SELECT src, slots, CASE WHEN slots >= 1 THEN src ELSE '<rest>' END AS pool FROM weighed
+), shares AS (
+  SELECT pool, greatest(1, CAST(round(sum(slots)) AS BIGINT)) AS share FROM own GROUP BY pool
+), total AS (
+  SELECT CAST(sum(share) AS BIGINT) AS period FROM shares
+), run AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS pick, CAST(NULL AS BIGINT) AS k,
+         (SELECT map(list(pool ORDER BY pool), list(CAST(0 AS BIGINT) ORDER BY pool)) FROM shares) AS done
+  UNION ALL
+  SELECT t + 1, c.pool, c.k,
+         map(map_keys(done), list_transform(map_entries(done), lambda e: CASE WHEN e.key = c.pool THEN e.value + 1 ELSE e.value END))
+  FROM run, LATERAL (
+    SELECT s.pool, d.k FROM shares s, total, LATERAL (SELECT done[s.pool] AS k) d
+    WHERE d.k < s.share AND (d.k * period) // s.share <= t
+    ORDER BY ((d.k + 1) * period + s.share - 1) // s.share, s.pool LIMIT 1) c
+  WHERE t < (SELECT period FROM total)
+), numbered AS (
+  SELECT doc_id, source, pool, share, row_number() OVER (PARTITION BY pool ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number
+  FROM documents JOIN own ON own.src = coalesce(source, '<none>') JOIN shares USING (pool)
+)
+SELECT doc_id, source, n.pool, number // 16 AS block,
+       ((number // 16) // share) * period + run.t - 1 AS slot, number % 16 AS place
+FROM numbered n, total JOIN run ON run.pick = n.pool AND run.k = (number // 16) % share
+"""
+
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), dup AS (
+  SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE top IS NOT NULL AND top <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN dup USING (key) GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix": OP4_SQL, "op5_line_dedup": OP5_SQL}
