@@ -27,3 +27,17 @@ def spread(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+
+class Bounded(dict):
+    """A cache of ``make(key)`` that is emptied when it holds ``most`` keys."""
+
+    def __init__(self, make, most: int = 300_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value

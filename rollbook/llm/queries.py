@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import bpe, lines, mixing, quality, token_counts
+from rollbook.llm import bpe, lines, minhash, mixing, quality, token_counts
 from rollbook.llm.common import table
 
 
@@ -46,8 +46,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op7_token_counts)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op7_token_counts, op9_near_dedup)}
 
 
 OP4_SQL = """
