@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import bpe, lines, minhash, mixing, quality, token_counts
+from rollbook.llm import bpe, line_crf, lines, minhash, mixing, quality, token_counts
 from rollbook.llm.common import table
 
 
@@ -51,8 +51,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels"))).drop("content_lines")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op7_token_counts, op9_near_dedup)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op7_token_counts, op9_near_dedup, op10_line_labels)}
 
 
 OP4_SQL = """
