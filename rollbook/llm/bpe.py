@@ -222,7 +222,7 @@ class WordEncoder:
     stretch without white space are kept for later texts, in a cache of at
     most ``most`` stretches."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
         v = self.vocabulary = vocabulary
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+" % SPACES)
@@ -282,9 +282,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         encoder = WordEncoder(Vocabulary(shared.value))
         for batch in batches:
-            ids = [x for part in in_portions(map(pa.StringScalar.as_py, batch.column(1))) for x in encoder.encode_many(part)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
+            start = 0
+            for part in in_portions(map(pa.StringScalar.as_py, batch.column(1))):
+                ids = encoder.encode_many(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["id", "n_tokens", "ids"])
+                start += len(ids)
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -305,7 +309,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
         table = np.empty(max(strings) + 2, dtype=object)
         for i, s in strings.items():
             table[i] = s
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
             for x in batch.column(at):
                 ids = np.frombuffer(x.as_py() or b"", dtype="<u4")

@@ -45,7 +45,7 @@ def whole_tokens(vocabulary: Vocabulary) -> set[str]:
 class TokenCounter:
     """Counts the tokens of a text for a byte-level vocabulary."""
 
-    def __init__(self, vocabulary: Vocabulary, whole: set[str], most: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, whole: set[str], most: int = 300_000):
         self.vocabulary, self.whole = vocabulary, whole
         self.special = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
