@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import ann, bpe, line_crf, lines, minhash, mixing, quality, token_counts
+from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, quality, token_counts
 from rollbook.llm.common import table
 
 
@@ -50,6 +50,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+
+    def joined(items):
+        return F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    confirmed = F.filter("found", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_predicted"), F.size(confirmed).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda x: x["family"]))), ",").alias("families"),
+        joined(confirmed).alias("spans"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -61,7 +75,7 @@ def op10_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op9_near_dedup, op10_line_labels)}
+    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op8_licenses, op9_near_dedup, op10_line_labels)}
 
 
 OP4_SQL = """
