@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, quality, token_counts
+from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, pii, quality, token_counts
 from rollbook.llm.common import table
 
 
@@ -19,6 +19,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.digest(F.concat(*pii.PATTERNS)), 256).alias("base_sha256"), pii.digest(F.concat(*pii.KINDS)).alias("spans"),
+        F.size("term").cast("long").alias("n_term"), F.size("removed").cast("long").alias("n_removed"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -75,7 +83,7 @@ def op10_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op8_licenses, op9_near_dedup, op10_line_labels)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op8_licenses, op9_near_dedup, op10_line_labels)}
 
 
 OP4_SQL = """
