@@ -4,17 +4,57 @@
 ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet
 and read again as the next one's ``docs``.  All but the last return the
 columns of documents.
+
+1. quality: documents that the classifier scores below 0.3 go.
+2. line_dedup: lines that occur in five documents or more stay in one; the
+   texts and ``n_chars`` follow.  Documents stay, if need be without text.
+3. near_dedup: one document of each group of near copies (five-word shingles,
+   similarity 0.8) stays.
+4. mix: every document once, in the order of the mixing schedule; files read
+   in their order follow the target weights.
+5. bpe: token ids of every text, and the digest of the text decoded from them.
+
+Null ids, null or empty texts, repeated rows, empty tables and further columns
+are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rollbook.llm import bpe, lines, minhash, mixing, quality
+from rollbook.llm.common import stored, table, text_of
+from rollbook.llm.queries import tokenizer
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length(text_of("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, words=5, percent=80)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(docs, path), path)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
-from rollbook.llm.common import stored, table
 
-STAGES: list = []
+STAGES = [("quality", _quality), ("line_dedup", _line_dedup), ("near_dedup", _near_dedup), ("mix", _mix), ("bpe", _bpe)]
 
-#: Trained scores, token ids and MinHash groups are beyond SQL; the stages are
+#: Trained scores, MinHash groups and token ids are beyond SQL; the stages are
 #: tested against brute-force versions instead.
 ORACLE_SQL = None
 

@@ -13,7 +13,7 @@ from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, p
 from rollbook.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -33,7 +33,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("word_bpe_49k.json")
+    path = tokenizer("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
     return bpe.decode(encoded, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -55,7 +55,7 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
