@@ -8,12 +8,15 @@ tables of ``2 * rows`` hashes.  At similarity s a pair meets in some table with
 probability (1 - (1 - s**rows)**groups)**2: 0.9994 at 0.8 for 8 groups of 2,
 more above.
 
-Members of a bucket are first held against the bucket's smallest id only, and
-the confirmed links' components taken.  Then, in buckets that still hold
-several components, exactly the pairs from different components that were not
-yet held against each other follow.  So a group of near copies costs about one
-comparison a member and table leader, no group emits all its pairs, and every
-pair that meets in a bucket is either compared or already in one component.
+Pairs are compared so that a large group costs a few comparisons a member and
+never emits all its pairs.  Each id is first held against the weightiest leader
+of its buckets (the weight of an id is the number of others it meets, so the
+middle of a group leads), then, where the components of the links found so far
+differ, against the leaders of all its buckets.  Of what still lies in one
+bucket but in several components, buckets of up to ``SMALL`` ids compare all
+such pairs; larger ones are split by lengthening their keys, group by group, as
+in an LSH forest, and treated alike.  As a pair at the threshold meets in about
+26 of 64 tables, it withstands the splits in several of them.
 Before texts are fetched, pairs go whose set sizes alone rule the similarity
 out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
@@ -41,6 +44,7 @@ from rollbook.llm.common import Bounded, spread, stored, text_of
 from rollbook.llm.components import components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
+SMALL, LEVELS = 16, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -151,37 +155,66 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         return F.struct(*[F.col("sig")[i * rows + r].alias(f"r{r}") for r in range(rows)])
 
     collections = [F.array(*[F.xxhash64(F.lit(i), group(i)) for i in range(c * groups, (c + 1) * groups)]) for c in (0, 1)]
-    keys = (nodes.select("rep", collections[1].alias("second"), F.explode(collections[0]).alias("first"))
-            .select("rep", "first", F.explode("second").alias("second"))
-            .select(F.xxhash64("first", "second").alias("key"), F.col("rep").alias("id")))
-    heads = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("key", "a")
-    shared = stored(keys.join(heads, "key"), "buckets")  # buckets of two or more ids
-
+    hashed = nodes.select("rep", collections[0].alias("g0"), collections[1].alias("g1"))
+    keys = (hashed.select("rep", F.posexplode("g0").alias("i", "first"), "g1").select("rep", "i", "first", F.posexplode("g1").alias("j", "second"))
+            .select(F.xxhash64("first", "second").alias("key"), "i", "j", F.col("rep").alias("id")))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = stored(keys.join(sizes.select("key", "size"), "key"), "buckets")  # buckets of two or more ids
+    # How many others an id meets; the middle of a group meets most of it.
+    weight = stored(shared.groupBy("id").agg(F.sum("size").alias("w")), "weights")
+    shared = shared.join(weight, "id")
+
+    def headed(members: DataFrame) -> DataFrame:
+        """``members`` with the id ``a`` (and weight) that leads their bucket."""
+        heads = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("head"))
+        return members.join(heads, "key").withColumn("a", -F.col("head.minus")).withColumn("wa", F.col("head.w")).drop("head")
+
+    led = stored(headed(shared), "led")
     places = nodes.select("rep", "n", "sig")
     least = least_matches(hashes, percent / 100)
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = pairs.distinct()
         both = (pairs.join(places.toDF("a", "na", "sa"), "a").join(places.toDF("b", "nb", "sb"), "b")
                 .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return both.where(equal >= least).select("a", "b").distinct()
-
-    star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(_confirmed(stored(likely(star), "star"), source, words, percent).distinct(), "links")
+        likely = stored(both.where(equal >= least).select("a", "b"), f"{label}-pairs")
+        return stored(_confirmed(likely, source, words, percent).distinct(), f"{label}-links")
+
+    # 1. Every id against the weightiest leader of its buckets: one pair an id.
+    one = led.where("id <> a").groupBy(F.col("id").alias("b")).agg(F.max(F.struct("wa", (-F.col("a")).alias("minus"))).alias("top"))
+    links = confirmed(one.select((-F.col("top.minus")).alias("a"), "b"), "top")
+
+    def with_components(members: DataFrame) -> DataFrame:
+        labels = components(links)
+        own = members.join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        return own.join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+
+    # 2. Against the leaders of all buckets, where the components differ.
+    links = links.unionByName(confirmed(with_components(led).where("c <> ca").select("a", F.col("id").alias("b")), "leaders"))
+
+    # 3. Buckets that still hold several components.
+    members = with_components(led).drop("a", "ca", "wa")
+    found = None
+    for level in range(LEVELS + 1):
+        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1").select("key", "members")
+        members = stored(members.join(mixed, "key"), f"mixed-{level}")
+        small = members.where(F.col("members") <= SMALL)
+        pairs = (small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(small.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key")
+                 .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b"))
+        large = members.where(F.col("members") > SMALL).drop("members")
+        if level:
+            leaders = headed(large).where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+            pairs = pairs.unionByName(leaders)
+        found = pairs if found is None else found.unionByName(pairs)
+        # The key of a large bucket is lengthened by the next group.
+        number, side = level // 2 + 1, level % 2
+        at = F.pmod(F.col("ij"[side]) + number, F.lit(groups))
+        members = (large.join(hashed.select(F.col("rep").alias("id"), F.col(f"g{side}").alias("g")), "id")
+                   .withColumn("key", F.xxhash64("key", F.col("g")[at])).drop("g"))
+    links = stored(links.unionByName(confirmed(found, "rest")).distinct(), "all-links")
     labels = components(links)
 
-    # Buckets that still hold several components.
-    own = shared.join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    head = shared.select("a").distinct().join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    members = own.join(head, "a")
-    apart = members.where("id <> a and c <> ca").select("key", F.col("id").alias("u"), F.col("c").alias("cu"))
-    others = members.where("id <> a").select("key", F.col("id").alias("v"), F.col("c").alias("cv"), "ca")
-    rest = (apart.join(others, "key").where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("ca")) | (F.col("u") < F.col("v"))))
-            .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    more = _confirmed(stored(likely(rest), "rest"), source, words, percent)
-    all_links = stored(links.unionByName(more).distinct(), "all-links")
-    labels = components(all_links)
-
     of_class = nodes.select("digest", "rep").join(labels.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
     out = signed.join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
