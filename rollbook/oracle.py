@@ -9,18 +9,18 @@ from __future__ import annotations
 
 MAPPING = """
 students AS (
-  SELECT c_custkey AS student_id, c_custkey + 10000000 AS user_id, c_name AS name,
+  SELECT c_custkey AS student_id, c_custkey * 4 + 1 AS user_id, c_name AS name,
          'R' || CAST(c_custkey AS VARCHAR) AS roll_number,
          lower(c_mktsegment) || '.' || CAST(c_custkey AS VARCHAR) || '@example.org' AS email,
          CAST(NULL AS VARCHAR) AS phone_number, c_mktsegment AS address
   FROM customer),
 teachers AS (
-  SELECT s_suppkey AS teacher_id, s_suppkey + 20000000 AS user_id, s_name AS name,
+  SELECT s_suppkey AS teacher_id, s_suppkey * 4 + 2 AS user_id, s_name AS name,
          't' || CAST(s_suppkey AS VARCHAR) || '@example.org' AS email,
          CAST(NULL AS VARCHAR) AS phone_number, n_name AS department
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
 management AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS management_id, CAST(n_nationkey AS BIGINT) + 30000000 AS user_id,
+  SELECT CAST(n_nationkey AS BIGINT) AS management_id, CAST(n_nationkey AS BIGINT) * 4 + 3 AS user_id,
          n_name AS name, 'm' || CAST(n_nationkey AS VARCHAR) || '@example.org' AS email,
          CAST(NULL AS VARCHAR) AS phone_number
   FROM nation),
@@ -66,7 +66,7 @@ assignments AS (
          CAST(NULL AS TIMESTAMP) AS created_at
   FROM lineitem),
 grades AS (
-  SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS grade_id, o_custkey AS student_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, o_custkey) AS grade_id, o_custkey AS student_id,
          l_partkey * 10 + l_linenumber AS assignment_id,
          CAST(max(CAST(trunc(l_quantity) AS INTEGER)) AS VARCHAR) AS grade,
          max(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) AS feedback,
@@ -76,9 +76,9 @@ grades AS (
 notices AS (
   SELECT doc_id AS notice_id, 'Notice ' || CAST(doc_id AS VARCHAR) || ' (' || source || ')' AS title,
          text AS content,
-         CAST(CASE doc_id % 3 WHEN 0 THEN 30000000 + doc_id % 25
-                              WHEN 1 THEN 20000000 + doc_id % 10
-                              ELSE 10000000 + doc_id % 100 END AS BIGINT) AS posted_by_user_id,
+         CAST(CASE doc_id % 3 WHEN 0 THEN (doc_id // 100) * 4 + 3
+                              WHEN 1 THEN (doc_id // 20) * 4 + 2
+                              ELSE (doc_id // 3) * 4 + 1 END AS BIGINT) AS posted_by_user_id,
          CAST(NULL AS TIMESTAMP) AS created_at
   FROM documents)
 """
@@ -264,9 +264,9 @@ requested AS (
 
 READS["q15_find_users_by_id"] = with_mapping("""
 SELECT u.user_id, u.domain_id, u.role FROM users u
-WHERE u.user_id IN (SELECT o_custkey + 10000000 FROM orders
-                    UNION ALL SELECT s_suppkey + 20000000 FROM supplier
-                    UNION ALL SELECT s_suppkey + 70000000 FROM supplier)
+WHERE u.user_id IN (SELECT o_custkey * 4 + 1 FROM orders
+                    UNION ALL SELECT s_suppkey * 4 + 2 FROM supplier
+                    UNION ALL SELECT s_suppkey * 4 FROM supplier)
 """)
 
 READS["q18_attendance_sheet"] = with_mapping("""

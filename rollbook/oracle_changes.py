@@ -11,7 +11,6 @@ from rollbook.oracle import with_mapping
 
 AS_OF_TS = "TIMESTAMP '2025-01-15 09:30:00'"
 AS_OF_DATE = "DATE '2025-01-15'"
-STRIDE = 1_000_000_000_000
 
 
 def ps(x: str) -> str:
@@ -25,7 +24,7 @@ def _run(body: str, ctes: str) -> str:
 
 def tu(size: str, wrong: str) -> str:
     """Teacher user id of a part's course (or the next teacher when ``wrong``)."""
-    return f"CAST(CASE WHEN {wrong} THEN {size} + 20000001 ELSE {size} + 20000000 END AS BIGINT)"
+    return f"CAST(CASE WHEN {wrong} THEN {size} + 1 ELSE {size} END AS BIGINT) * 4 + 2"
 
 
 CHANGES: dict[str, str] = {}
@@ -34,7 +33,7 @@ CHANGES: dict[str, str] = {}
 Q16 = f"""
 req AS (
   SELECT p_partkey AS seq,
-         CAST(CASE WHEN p_type = 'LARGE' THEN p_partkey + 10000000
+         CAST(CASE WHEN p_type = 'LARGE' THEN p_partkey * 4 + 1
                    ELSE {tu('p_size', "p_type = 'PROMO'")} END AS BIGINT) AS teacher_user_id,
          p_partkey AS course_id
   FROM part),
@@ -56,16 +55,16 @@ gq AS (
   SELECT g.grade_id, g.grade, g.feedback, c.teacher_id AS course_teacher
   FROM grades g LEFT JOIN courses c ON c.course_id = CAST(floor(g.assignment_id / 10) AS BIGINT)),
 greq AS (
-  SELECT grade_id * 2 AS seq,
-         CASE WHEN feedback = 'A' THEN course_teacher + 20000001 ELSE course_teacher + 20000000 END
+  SELECT grade_id || '#1' AS seq,
+         CASE WHEN feedback = 'A' THEN course_teacher * 4 + 6 ELSE course_teacher * 4 + 2 END
            AS teacher_user_id,
          grade_id,
          CASE WHEN grade = '1' THEN '' ELSE grade || '/50' END AS grade,
          CASE WHEN feedback IS NOT NULL THEN 'Reviewed ' || feedback END AS feedback
   FROM gq
   UNION ALL
-  SELECT grade_id * 2 + 1,
-         CASE WHEN feedback = 'A' THEN course_teacher + 20000001 ELSE course_teacher + 20000000 END,
+  SELECT grade_id || '#2',
+         CASE WHEN feedback = 'A' THEN course_teacher * 4 + 6 ELSE course_teacher * 4 + 2 END,
          grade_id, 'A+', CAST(NULL AS VARCHAR)
   FROM gq WHERE feedback = 'R'),
 tk AS (SELECT user_id, min(teacher_id) AS teacher_id FROM teachers GROUP BY user_id),
@@ -178,7 +177,7 @@ CHANGES["c01_register_users_rejects"] = _run(C1_REJECTS, C1R)
 # ------------------------------------------------------------- C2 update users
 C2 = f"""
 b AS (
-  SELECT c_custkey AS seq, c_custkey + 10000000 AS user_id,
+  SELECT c_custkey * 5 AS seq, c_custkey * 4 + 1 AS user_id,
          CASE WHEN c_acctbal > 5000 THEN upper(c_name) ELSE '' END AS name,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'new.' || CAST(c_custkey AS VARCHAR) || '@example.org' END
            AS email,
@@ -187,18 +186,18 @@ b AS (
          CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment || ' Hall' END AS address
   FROM customer
   UNION ALL
-  SELECT c_custkey + {STRIDE}, c_custkey + 10000000, c_name || ' II', NULL, NULL, NULL, NULL
+  SELECT c_custkey * 5 + 1, c_custkey * 4 + 1, c_name || ' II', NULL, NULL, NULL, NULL
   FROM customer WHERE c_mktsegment = 'FURNITURE'
   UNION ALL
-  SELECT s_suppkey + {2 * STRIDE}, s_suppkey + 20000000, NULL, '', NULL,
+  SELECT s_suppkey * 5 + 2, s_suppkey * 4 + 2, NULL, '', NULL,
          'Dept ' || CAST(s_nationkey AS VARCHAR), 'nowhere'
   FROM supplier
   UNION ALL
-  SELECT CAST(n_nationkey AS BIGINT) + {3 * STRIDE}, CAST(n_nationkey AS BIGINT) + 30000000, lower(n_name),
+  SELECT CAST(n_nationkey AS BIGINT) * 5 + 3, CAST(n_nationkey AS BIGINT) * 4 + 3, lower(n_name),
          NULL, '', 'x', 'y'
   FROM nation
   UNION ALL
-  SELECT CAST(n_nationkey AS BIGINT) + {4 * STRIDE}, CAST(n_nationkey AS BIGINT) + 90000000, 'Ghost',
+  SELECT CAST(n_nationkey AS BIGINT) * 5 + 4, CAST(n_nationkey AS BIGINT) * 4, 'Ghost',
          NULL, NULL, NULL, NULL
   FROM nation),
 roles AS (SELECT user_id, min(role) AS role FROM users GROUP BY user_id),
@@ -258,14 +257,14 @@ FROM management m JOIN patch p ON p.user_id = m.user_id AND p.role = 'management
 # ------------------------------------------------------------- C3 delete users
 C3 = f"""
 b AS (
-  SELECT c_custkey * 2 AS seq,
-         CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey + 10000000 ELSE c_custkey + 50000000 END AS user_id
+  SELECT c_custkey * 5 AS seq,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey * 4 + 1 ELSE c_custkey * 4 END AS user_id
   FROM customer
   UNION ALL
-  SELECT c_custkey * 2 + 1, c_custkey + 10000000 FROM customer
+  SELECT c_custkey * 5 + 1, c_custkey * 4 + 1 FROM customer
   WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000
   UNION ALL
-  SELECT s_suppkey + {STRIDE}, s_suppkey + 20000000 FROM supplier WHERE s_acctbal < 0),
+  SELECT s_suppkey * 5 + 2, s_suppkey * 4 + 2 FROM supplier WHERE s_acctbal < 0),
 firsts AS (SELECT user_id, min(seq) AS first_seq FROM b WHERE user_id IN (SELECT user_id FROM users)
            GROUP BY user_id),
 ann AS (
@@ -290,7 +289,7 @@ b AS (
                      ELSE 'X-' || CAST(p_partkey AS VARCHAR) END AS course_code,
          'Advanced ' || p_name AS course_name,
          CASE WHEN p_type = 'MEDIUM' THEN '' ELSE 'Mon 9:00' END AS schedule,
-         CAST(CASE WHEN p_type = 'ECONOMY' THEN p_size + 1000000 WHEN p_type = 'STANDARD' THEN 0
+         CAST(CASE WHEN p_type = 'ECONOMY' THEN -p_size WHEN p_type = 'STANDARD' THEN 0
                    ELSE p_size END AS BIGINT) AS teacher_id
   FROM part),
 chk AS (
@@ -329,7 +328,7 @@ CHANGES["c04_create_courses_rejects"] = _run("SELECT seq, reason FROM ann WHERE
 C5 = f"""
 b AS (
   SELECT p_partkey AS seq,
-         CASE WHEN p_type = 'MEDIUM' AND p_size > 45 THEN p_partkey + 1000000000 ELSE p_partkey END AS course_id,
+         CASE WHEN p_type = 'MEDIUM' AND p_size > 45 THEN -p_partkey - 1 ELSE p_partkey END AS course_id,
          CASE p_type WHEN 'ECONOMY' THEN upper(p_name) WHEN 'PROMO' THEN '' END AS f_name,
          CASE p_type WHEN 'SMALL' THEN 'NEW-' || p_brand
                      WHEN 'STANDARD' THEN p_brand || '-' || CAST(p_partkey AS VARCHAR) END AS f_code,
@@ -390,7 +389,7 @@ FROM courses c JOIN upd u ON u.course_id = c.course_id
 C6 = """
 b AS (
   SELECT p_partkey * 2 AS seq,
-         CASE WHEN p_type = 'PROMO' THEN p_partkey ELSE p_partkey + 1000000000 END AS course_id
+         CASE WHEN p_type = 'PROMO' THEN p_partkey ELSE -p_partkey - 1 END AS course_id
   FROM part
   UNION ALL
   SELECT p_partkey * 2 + 1, p_partkey FROM part WHERE p_type = 'PROMO' AND p_size > 25),
@@ -505,7 +504,7 @@ CHANGES["c09_create_assignments_rejects"] = _run("SELECT seq, reason FROM ann WH
 # ------------------------------------------------------------- C10 post notices
 C10 = f"""
 b AS (
-  SELECT doc_id AS seq, n_chars % 10 + 20000000 AS user_id,
+  SELECT doc_id AS seq, (doc_id // 20) * 4 + 2 AS user_id,
          CASE WHEN lang = 'de' THEN '' ELSE 'Re: ' || source END AS title, text AS content
   FROM documents),
 ann AS (
@@ -531,12 +530,12 @@ FROM ann WHERE reason IS NULL
 C11 = """
 b AS (
   SELECT o_orderkey * 2 AS seq,
-         CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey + 10000001 WHEN '5-LOW' THEN o_custkey + 40000000
-              ELSE o_custkey + 10000000 END AS user_id,
+         CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey * 4 + 5 WHEN '5-LOW' THEN o_custkey * 4
+              ELSE o_custkey * 4 + 1 END AS user_id,
          o_orderkey AS fee_id
   FROM orders
   UNION ALL
-  SELECT o_orderkey * 2 + 1, o_custkey + 10000000, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'),
+  SELECT o_orderkey * 2 + 1, o_custkey * 4 + 1, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'),
 sk AS (SELECT user_id, min(student_id) AS student_id FROM students GROUP BY user_id),
 chk AS (
   SELECT b.*, sk.student_id, f.student_id AS owner_id, f.payment_status AS status_before

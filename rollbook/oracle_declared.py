@@ -18,9 +18,9 @@ FROM students s LEFT JOIN (
 D2 = """
 b AS (
   SELECT o_orderkey AS seq,
-         CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey + 40000000 ELSE o_custkey + 10000000 END AS user_id,
+         CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey * 4 ELSE o_custkey * 4 + 1 END AS user_id,
          CASE WHEN o_orderstatus = 'F' THEN fp.first_part
-              ELSE CAST(floor(o_totalprice) AS BIGINT) % 3000 END AS course_id
+              ELSE o_orderkey // 30 END AS course_id
   FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey) fp
        ON fp.l_orderkey = o_orderkey),
 sk AS (SELECT user_id, min(student_id) AS student_id FROM students GROUP BY user_id),

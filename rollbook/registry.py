@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators import billing, directory, learning, notices
-from rollbook.sources.campus import Campus, driver_table, load_driver
+from rollbook.sources.campus import Campus, driver_table, load_driver, student_user, teacher_user, unknown_user
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,9 +128,9 @@ def q15_find_users_by_domain_id(spark, sf_dir):
 def q15_find_users_by_id(spark, sf_dir):
     c = _campus(spark, sf_dir)
     orders, supplier = (_raw(spark, sf_dir, n) for n in ("orders", "supplier"))
-    keys = (orders.select((F.col("o_custkey") + 10_000_000).alias("user_id"))
-            .unionByName(supplier.select((F.col("s_suppkey") + 20_000_000).alias("user_id")))
-            .unionByName(supplier.select((F.col("s_suppkey") + 70_000_000).alias("user_id"))))
+    keys = (orders.select(student_user(F.col("o_custkey")).alias("user_id"))
+            .unionByName(supplier.select(teacher_user(F.col("s_suppkey")).alias("user_id")))
+            .unionByName(supplier.select(unknown_user(F.col("s_suppkey")).alias("user_id"))))
     return directory.find_users_by_id(keys, c.users)
 
 

@@ -15,16 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, changes
-from rollbook.sources.campus import TEACHER_USER_BASE, driver_table, load_driver, pin
+from rollbook.sources.campus import driver_table, load_driver, management_user, pin, student_user, teacher_user, unknown_user
 
 AS_OF = dt.datetime(2025, 1, 15, 9, 30, 0)
-ACTION_SEQ_STRIDE = 1_000_000_000_000  # keeps seq unique across request families
 
 
 def _raw(spark, sf_dir, name) -> DataFrame:
     return driver_table(spark, sf_dir, name)
 
 
+def _seq(key: str, family: int) -> F.Column:
+    """A request number of its own for each key and request family."""
+    return (F.col(key).cast("long") * 5 + family).alias("seq")
+
+
 def _s(c) -> F.Column:
     return F.col(c).cast("string")
 
@@ -58,7 +62,7 @@ def batch_update_users(spark, sf_dir) -> DataFrame:
     seg, bal = F.col("c_mktsegment"), F.col("c_acctbal")
     null = F.lit(None).cast("string")
     students = c.select(
-        F.col("c_custkey").alias("seq"), (F.col("c_custkey") + 10_000_000).alias("user_id"),
+        _seq("c_custkey", 0), student_user(F.col("c_custkey")).alias("user_id"),
         F.when(bal > 5000, F.upper("c_name")).otherwise(F.lit("")).alias("name"),
         F.when(seg == "AUTOMOBILE", F.concat(F.lit("new."), _s("c_custkey"), F.lit("@example.org")))
          .alias("email"),
@@ -66,22 +70,19 @@ def batch_update_users(spark, sf_dir) -> DataFrame:
         F.lit("ignored").alias("department"),
         F.when(bal < 0, F.lit("")).otherwise(F.concat(seg, F.lit(" Hall"))).alias("address"))
     again = c.where(seg == "FURNITURE").select(
-        (F.col("c_custkey") + ACTION_SEQ_STRIDE).alias("seq"), (F.col("c_custkey") + 10_000_000).alias("user_id"),
+        _seq("c_custkey", 1), student_user(F.col("c_custkey")).alias("user_id"),
         F.concat(F.col("c_name"), F.lit(" II")).alias("name"), null.alias("email"),
         null.alias("phone_number"), null.alias("department"), null.alias("address"))
     teachers = s.select(
-        (F.col("s_suppkey") + 2 * ACTION_SEQ_STRIDE).alias("seq"),
-        (F.col("s_suppkey") + TEACHER_USER_BASE).alias("user_id"),
+        _seq("s_suppkey", 2), teacher_user(F.col("s_suppkey")).alias("user_id"),
         null.alias("name"), F.lit("").alias("email"), null.alias("phone_number"),
         F.concat(F.lit("Dept "), _s("s_nationkey")).alias("department"), F.lit("nowhere").alias("address"))
     mgmt = n.select(
-        (F.col("n_nationkey").cast("long") + 3 * ACTION_SEQ_STRIDE).alias("seq"),
-        (F.col("n_nationkey").cast("long") + 30_000_000).alias("user_id"),
+        _seq("n_nationkey", 3), management_user(F.col("n_nationkey")).alias("user_id"),
         F.lower("n_name").alias("name"), null.alias("email"), F.lit("").alias("phone_number"),
         F.lit("x").alias("department"), F.lit("y").alias("address"))
     unknown = n.select(
-        (F.col("n_nationkey").cast("long") + 4 * ACTION_SEQ_STRIDE).alias("seq"),
-        (F.col("n_nationkey").cast("long") + 90_000_000).alias("user_id"),
+        _seq("n_nationkey", 4), unknown_user(F.col("n_nationkey")).alias("user_id"),
         F.lit("Ghost").alias("name"), null.alias("email"), null.alias("phone_number"),
         null.alias("department"), null.alias("address"))
     return students.unionByName(again).unionByName(teachers).unionByName(mgmt).unionByName(unknown)
@@ -90,14 +91,13 @@ def batch_update_users(spark, sf_dir) -> DataFrame:
 def batch_delete_users(spark, sf_dir) -> DataFrame:
     c = _raw(spark, sf_dir, "customer")
     s = _raw(spark, sf_dir, "supplier")
-    first = c.select((F.col("c_custkey") * 2).alias("seq"),
-                     F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey") + 10_000_000)
-                      .otherwise(F.col("c_custkey") + 50_000_000).alias("user_id"))
+    first = c.select(_seq("c_custkey", 0),
+                     F.when(F.col("c_mktsegment") == "BUILDING", student_user(F.col("c_custkey")))
+                      .otherwise(unknown_user(F.col("c_custkey"))).alias("user_id"))
     again = c.where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 9000)).select(
-        (F.col("c_custkey") * 2 + 1).alias("seq"), (F.col("c_custkey") + 10_000_000).alias("user_id"))
+        _seq("c_custkey", 1), student_user(F.col("c_custkey")).alias("user_id"))
     teachers = s.where(F.col("s_acctbal") < 0).select(
-        (F.col("s_suppkey") + ACTION_SEQ_STRIDE).alias("seq"),
-        (F.col("s_suppkey") + TEACHER_USER_BASE).alias("user_id"))
+        _seq("s_suppkey", 2), teacher_user(F.col("s_suppkey")).alias("user_id"))
     return first.unionByName(again).unionByName(teachers)
 
 
@@ -112,7 +112,7 @@ def batch_create_courses(spark, sf_dir) -> DataFrame:
          .otherwise(F.concat(F.lit("X-"), _s("p_partkey"))).alias("course_code"),
         F.concat(F.lit("Advanced "), F.col("p_name")).alias("course_name"),
         F.when(t == "MEDIUM", F.lit("")).otherwise(F.lit("Mon 9:00")).alias("schedule"),
-        F.when(t == "ECONOMY", F.col("p_size") + 1_000_000).when(t == "STANDARD", F.lit(0))
+        F.when(t == "ECONOMY", -F.col("p_size")).when(t == "STANDARD", F.lit(0))
          .otherwise(F.col("p_size")).cast("long").alias("teacher_id"))
 
 
@@ -129,7 +129,7 @@ def batch_update_courses(spark, sf_dir) -> DataFrame:
                .otherwise(m(F.lit("name"), F.lit(""))))
     return p.select(
         F.col("p_partkey").alias("seq"),
-        F.when((t == "MEDIUM") & (F.col("p_size") > 45), F.col("p_partkey") + 1_000_000_000)
+        F.when((t == "MEDIUM") & (F.col("p_size") > 45), -F.col("p_partkey") - 1)
          .otherwise(F.col("p_partkey")).alias("course_id"),
         fields.alias("fields"))
 
@@ -138,7 +138,7 @@ def batch_delete_courses(spark, sf_dir) -> DataFrame:
     p = _raw(spark, sf_dir, "part")
     promo = F.col("p_type") == "PROMO"
     first = p.select((F.col("p_partkey") * 2).alias("seq"),
-                     F.when(promo, F.col("p_partkey")).otherwise(F.col("p_partkey") + 1_000_000_000)
+                     F.when(promo, F.col("p_partkey")).otherwise(-F.col("p_partkey") - 1)
                       .alias("course_id"))
     again = p.where(promo & (F.col("p_size") > 25)).select(
         (F.col("p_partkey") * 2 + 1).alias("seq"), F.col("p_partkey").alias("course_id"))
@@ -148,22 +148,21 @@ def batch_delete_courses(spark, sf_dir) -> DataFrame:
 def _teacher_user(size_col: F.Column, wrong: F.Column) -> F.Column:
     """The course's teacher as a user id (course teacher = p_size, none when
     p_size is a multiple of 10); ``wrong`` picks the next teacher instead."""
-    return F.when(wrong, size_col + TEACHER_USER_BASE + 1).otherwise(size_col + TEACHER_USER_BASE).cast("long")
+    return teacher_user(F.when(wrong, size_col + 1).otherwise(size_col))
 
 
 def batch_update_grades(campus, spark, sf_dir) -> DataFrame:
     g = campus.grades.select("grade_id", "assignment_id", "grade", "feedback")
     g = g.withColumn("course_id", F.floor(F.col("assignment_id") / 10).cast("long")) \
          .join(campus.courses.select("course_id", "teacher_id"), "course_id", "left")
-    tuser = F.when(F.col("feedback") == "A", F.col("teacher_id") + TEACHER_USER_BASE + 1) \
-             .otherwise(F.col("teacher_id") + TEACHER_USER_BASE)
-    first = g.select((F.col("grade_id") * 2).alias("seq"), tuser.alias("teacher_user_id"), "grade_id",
+    tuser = teacher_user(F.when(F.col("feedback") == "A", F.col("teacher_id") + 1).otherwise(F.col("teacher_id")))
+    first = g.select(F.concat("grade_id", F.lit("#1")).alias("seq"), tuser.alias("teacher_user_id"), "grade_id",
                      F.when(F.col("grade") == "1", F.lit("")).otherwise(F.concat("grade", F.lit("/50")))
                       .alias("grade"),
                      F.when(F.col("feedback").isNotNull(), F.concat(F.lit("Reviewed "), F.col("feedback")))
                       .alias("feedback"))
     again = g.where(F.col("feedback") == "R").select(
-        (F.col("grade_id") * 2 + 1).alias("seq"), tuser.alias("teacher_user_id"), "grade_id",
+        F.concat("grade_id", F.lit("#2")).alias("seq"), tuser.alias("teacher_user_id"), "grade_id",
         F.lit("A+").alias("grade"), F.lit(None).cast("string").alias("feedback"))
     return first.unionByName(again)
 
@@ -205,7 +204,7 @@ def batch_post_notices(spark, sf_dir) -> DataFrame:
     d = _raw(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("seq"),
-        (F.col("n_chars") % 10 + TEACHER_USER_BASE).alias("user_id"),
+        teacher_user(F.floor(F.col("doc_id") / 20)).alias("user_id"),
         F.when(F.col("lang") == "de", F.lit("")).otherwise(F.concat(F.lit("Re: "), F.col("source")))
          .alias("title"),
         F.col("text").alias("content"))
@@ -216,12 +215,12 @@ def batch_pay_fees(spark, sf_dir) -> DataFrame:
     pr = F.col("o_orderpriority")
     first = o.select(
         (F.col("o_orderkey") * 2).alias("seq"),
-        F.when(pr == "1-URGENT", F.col("o_custkey") + 10_000_001)
-         .when(pr == "5-LOW", F.col("o_custkey") + 40_000_000)
-         .otherwise(F.col("o_custkey") + 10_000_000).alias("user_id"),
+        F.when(pr == "1-URGENT", student_user(F.col("o_custkey") + 1))
+         .when(pr == "5-LOW", unknown_user(F.col("o_custkey")))
+         .otherwise(student_user(F.col("o_custkey"))).alias("user_id"),
         F.col("o_orderkey").alias("fee_id"))
     again = o.where(pr == "2-HIGH").select(
-        (F.col("o_orderkey") * 2 + 1).alias("seq"), (F.col("o_custkey") + 10_000_000).alias("user_id"),
+        (F.col("o_orderkey") * 2 + 1).alias("seq"), student_user(F.col("o_custkey")).alias("user_id"),
         F.col("o_orderkey").alias("fee_id"))
     return first.unionByName(again)
 
@@ -233,7 +232,7 @@ def batch_course_access(spark, sf_dir) -> DataFrame:
     t, size = F.col("p_type"), F.col("p_size")
     return p.select(
         F.col("p_partkey").alias("seq"),
-        F.when(t == "LARGE", F.col("p_partkey") + 10_000_000)
+        F.when(t == "LARGE", student_user(F.col("p_partkey")))
          .otherwise(_teacher_user(size, t == "PROMO")).cast("long").alias("teacher_user_id"),
         F.col("p_partkey").alias("course_id"))
 
@@ -248,12 +247,8 @@ def _c01(spark, sf_dir):
 def batch_register_users(spark, sf_dir) -> DataFrame:
     """The create-users batch with the role left out for the AUTOMOBILE segment
     (registration defaults it to student)."""
-    b = batch_create_users(spark, sf_dir)
-    c = _raw(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), "c_mktsegment")
-    return (b.join(c, "seq")
-             .withColumn("role", F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(None).cast("string"))
-                                  .otherwise(F.col("role")))
-             .drop("c_mktsegment"))
+    # The address of a request is its customer's segment.
+    return batch_create_users(spark, sf_dir).withColumn("role", F.when(F.col("address") != "AUTOMOBILE", F.col("role")))
 
 
 def _c01r(spark, sf_dir):

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import declared
 from rollbook.registry_changes import AS_OF
-from rollbook.sources.campus import driver_table, load_driver, pin
+from rollbook.sources.campus import driver_table, load_driver, pin, student_user, unknown_user
 
 
 def batch_enroll(spark, sf_dir) -> DataFrame:
     """One enrollment request per order: F orders ask for a course the
     customer already has (the order's smallest part), others for a course
-    derived from the order total; LOW priority orders come from non-students."""
+    derived from the order's key; LOW priority orders come from non-students."""
     o = driver_table(spark, sf_dir, "orders")
     li = driver_table(spark, sf_dir, "lineitem")
     first_part = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("first_part"))
     j = o.join(first_part, "o_orderkey", "left")
     return j.select(
         F.col("o_orderkey").alias("seq"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_custkey") + 40_000_000)
-         .otherwise(F.col("o_custkey") + 10_000_000).alias("user_id"),
+        F.when(F.col("o_orderpriority") == "5-LOW", unknown_user(F.col("o_custkey")))
+         .otherwise(student_user(F.col("o_custkey"))).alias("user_id"),
         F.when(F.col("o_orderstatus") == "F", F.col("first_part"))
-         .otherwise(F.floor("o_totalprice").cast("long") % 3000).alias("course_id"))
+         .otherwise(F.floor(F.col("o_orderkey") / 30)).alias("course_id"))
 
 
 def _d2(spark, sf_dir):

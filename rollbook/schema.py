@@ -32,7 +32,7 @@ ATTENDANCE = _struct(("attendance_id", L), ("student_id", L), ("course_id", L),
                      ("attendance_date", D), ("status", S))
 ASSIGNMENTS = _struct(("assignment_id", L), ("course_id", L), ("title", S), ("description", S),
                       ("due_date", D), ("total_marks", MARKS), ("created_at", TS))
-GRADES = _struct(("grade_id", L), ("student_id", L), ("assignment_id", L), ("grade", S),
+GRADES = _struct(("grade_id", S), ("student_id", L), ("assignment_id", L), ("grade", S),
                  ("feedback", S), ("submitted_at", TS), ("graded_at", TS))
 NOTICES = _struct(("notice_id", L), ("title", S), ("content", S), ("posted_by_user_id", L),
                   ("created_at", TS))

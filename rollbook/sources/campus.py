@@ -3,7 +3,7 @@ the driver's TPC-H-style tables (role mapping).
 
 Role mapping (every derived table covers its whole source table):
 
-* students    <- customer     (user ids offset by STUDENT_USER_BASE)
+* students    <- customer     (user ids interleaved by role: ``student_user`` etc.)
 * teachers    <- supplier (+ nation for the department)
 * management  <- nation
 * users       <- union of the three role tables; a student's created_at is
@@ -24,24 +24,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.schema import MARKS, TABLES
 from rollbook.sources.io import conform, read_table
 
-# Fixed values of the mapping (user-id ranges keep the three roles apart
-# and keep user ids different from role-table ids).
-STUDENT_USER_BASE = 10_000_000
-TEACHER_USER_BASE = 20_000_000
-MANAGEMENT_USER_BASE = 30_000_000
-GRADE_ID_FACTOR = 10_000_000
+# Fixed values of the mapping.
 ASSIGNMENT_MARKS = 50
 ATTENDANCE_STATUS = {"click": "present", "view": "present", "error": "absent",
                      "purchase": "excused", "signup": "late"}
 FEE_STATUS = {"F": "paid", "P": "pending", "O": "unpaid"}
 
 
+def student_user(key: Column) -> Column:
+    """User ids interleave the roles (key * 4 + role), so they cannot meet
+    however large the role tables grow; multiples of 4 are nobody's."""
+    return key.cast("long") * 4 + 1
+
+
+def teacher_user(key: Column) -> Column:
+    return key.cast("long") * 4 + 2
+
+
+def management_user(key: Column) -> Column:
+    return key.cast("long") * 4 + 3
+
+
+def unknown_user(key: Column) -> Column:
+    return key.cast("long") * 4
+
+
 @dataclass(frozen=True)
 class Campus:
     users: DataFrame
@@ -171,7 +184,7 @@ def _null_s():
 def _students(raw, get):
     return conform(raw.customer.select(
         F.col("c_custkey").alias("student_id"),
-        (F.col("c_custkey") + STUDENT_USER_BASE).alias("user_id"),
+        student_user(F.col("c_custkey")).alias("user_id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("roll_number"),
         F.concat(F.lower("c_mktsegment"), F.lit("."), F.col("c_custkey").cast("string"),
@@ -185,7 +198,7 @@ def _teachers(raw, get):
     return conform(
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
             F.col("s_suppkey").alias("teacher_id"),
-            (F.col("s_suppkey") + TEACHER_USER_BASE).alias("user_id"),
+            teacher_user(F.col("s_suppkey")).alias("user_id"),
             F.col("s_name").alias("name"),
             F.concat(F.lit("t"), F.col("s_suppkey").cast("string"), F.lit("@example.org")).alias("email"),
             _null_s().alias("phone_number"),
@@ -195,7 +208,7 @@ def _teachers(raw, get):
 def _management(raw, get):
     return conform(raw.nation.select(
         F.col("n_nationkey").cast("long").alias("management_id"),
-        (F.col("n_nationkey").cast("long") + MANAGEMENT_USER_BASE).alias("user_id"),
+        management_user(F.col("n_nationkey")).alias("user_id"),
         F.col("n_name").alias("name"),
         F.concat(F.lit("m"), F.col("n_nationkey").cast("string"), F.lit("@example.org")).alias("email"),
         _null_s().alias("phone_number")), "management")
@@ -280,15 +293,11 @@ def _grades(raw, get):
     return conform(
         _lines(raw).groupBy("l_orderkey", "l_linenumber", "l_partkey", "o_custkey").agg(
             F.max(F.col("l_quantity").cast("int")).alias("q"),
-            # Feedback is the largest return flag other than N (flags are A, N, R);
-            # boolean flags keep the aggregation buffer fixed-width (hash aggregate).
-            F.bool_or(F.col("l_returnflag") == "R").alias("has_r"),
-            F.bool_or(F.col("l_returnflag") == "A").alias("has_a"),
+            # Feedback is the largest return flag other than N.
+            F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("feedback"),
             F.max("l_shipdate").alias("submitted_at"))
-        .withColumn("feedback", F.when(F.col("has_r"), F.lit("R")).when(F.col("has_a"), F.lit("A")))
         .select(
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * GRADE_ID_FACTOR
-             + F.col("l_partkey")).alias("grade_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "o_custkey").alias("grade_id"),
             F.col("o_custkey").alias("student_id"),
             (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("assignment_id"),
             F.col("q").cast("string").alias("grade"),
@@ -298,9 +307,10 @@ def _grades(raw, get):
 
 def _notices(raw, get):
     doc = F.col("doc_id")
-    poster = (F.when(doc % 3 == 0, MANAGEMENT_USER_BASE + doc % 25)
-              .when(doc % 3 == 1, TEACHER_USER_BASE + doc % 10)
-              .otherwise(STUDENT_USER_BASE + doc % 100))
+    # Posters grow in number with the documents; one without a user posts nothing that shows.
+    poster = (F.when(doc % 3 == 0, management_user(F.floor(doc / 100)))
+              .when(doc % 3 == 1, teacher_user(F.floor(doc / 20)))
+              .otherwise(student_user(F.floor(doc / 3))))
     return conform(raw.documents.select(
         doc.alias("notice_id"),
         F.concat(F.lit("Notice "), doc.cast("string"), F.lit(" ("), F.col("source"), F.lit(")")).alias("title"),

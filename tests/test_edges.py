@@ -111,10 +111,10 @@ def test_r8_falsy_values(spark):
     [t] = as_dicts(out["teachers"])
     assert t["phone_number"] is None
 
-    grades = table(spark, "grades", [{"grade_id": 1, "student_id": 1, "assignment_id": 50}])
+    grades = table(spark, "grades", [{"grade_id": "1", "student_id": 1, "assignment_id": 50}])
     a2 = table(spark, "assignments", [{"assignment_id": 50, "course_id": 5}])
-    gb = frame(spark, "seq long, teacher_user_id long, grade_id long, grade string, feedback string",
-               [(1, 21, 1, "", "x")])
+    gb = frame(spark, "seq long, teacher_user_id long, grade_id string, grade string, feedback string",
+               [(1, 21, "1", "", "x")])
     _, grej = changes.update_grades(grades, teachers, a2, courses, gb, AS_OF)
     assert as_dicts(grej) == [{"seq": 1, "reason": "Please provide a grade"}]
 
@@ -222,15 +222,15 @@ def test_c6_cascade_keeps_null_assignment_grades(spark):
     courses = table(spark, "courses", [{"course_id": 1}, {"course_id": 2}])
     assignments = table(spark, "assignments", [{"assignment_id": 10, "course_id": 1},
                                                {"assignment_id": 20, "course_id": 2}])
-    grades = table(spark, "grades", [{"grade_id": 1, "assignment_id": 10}, {"grade_id": 2, "assignment_id": 20},
-                                     {"grade_id": 3, "assignment_id": None}])
+    grades = table(spark, "grades", [{"grade_id": "1", "assignment_id": 10}, {"grade_id": "2", "assignment_id": 20},
+                                     {"grade_id": "3", "assignment_id": None}])
     attendance = table(spark, "attendance", [{"attendance_id": 1, "course_id": 1},
                                              {"attendance_id": 2, "course_id": 2}])
     enrollments = table(spark, "enrollments", [{"student_id": 1, "course_id": 1}])
     batch = frame(spark, "seq long, course_id long", [(1, 1), (2, 1), (3, 5)])
     out, rej = changes.delete_courses(courses, attendance, grades, assignments, enrollments, batch)
     assert as_dicts(rej, "seq") == [{"seq": 2, "reason": "Course not found"}, {"seq": 3, "reason": "Course not found"}]
-    assert sorted(r["grade_id"] for r in out["grades"].collect()) == [2, 3]
+    assert sorted(r["grade_id"] for r in out["grades"].collect()) == ["2", "3"]
     assert [r["course_id"] for r in out["courses"].collect()] == [2]
     assert [r["attendance_id"] for r in out["attendance"].collect()] == [2]
     assert out["enrollments"].count() == 0

@@ -6,7 +6,14 @@ from conftest import SF_SMALL
 
 from rollbook.operators import billing, declared, directory, learning
 from rollbook.sources import load_driver
-from rollbook.sources.campus import STUDENT_USER_BASE, TEACHER_USER_BASE
+
+
+def student_user(key):
+    return key * 4 + 1
+
+
+def teacher_user(key):
+    return key * 4 + 2
 
 
 def rows(df):
@@ -20,7 +27,7 @@ def c(spark):
 
 @pytest.mark.parametrize("student", [0, 7, 149])
 def test_student_filters(c, student):
-    uid = STUDENT_USER_BASE + student
+    uid = student_user(student)
     cases = [
         (learning.student_courses, (c.students, c.enrollments, c.courses)),
         (learning.student_grades, (c.students, c.grades, c.assignments, c.courses)),
@@ -35,10 +42,10 @@ def test_student_filters(c, student):
 
 
 def test_profile_and_directory_filters(c):
-    uid = STUDENT_USER_BASE + 3
+    uid = student_user(3)
     assert rows(directory.student_profile(c.students, c.users, user_id=uid)) == \
         rows(directory.student_profile(c.students, c.users).where(f"user_id = {uid}"))
-    tuid = TEACHER_USER_BASE + 2
+    tuid = teacher_user(2)
     assert rows(directory.teacher_profile(c.teachers, c.users, user_id=tuid)) == \
         rows(directory.teacher_profile(c.teachers, c.users).where(f"user_id = {tuid}"))
     assert rows(directory.user_directory(c.users, c.students, c.teachers, c.management, user_id=tuid)) == \
@@ -49,7 +56,7 @@ def test_profile_and_directory_filters(c):
 
 @pytest.mark.parametrize("teacher", [1, 4])
 def test_teacher_filters(c, teacher):
-    tuid = TEACHER_USER_BASE + teacher
+    tuid = teacher_user(teacher)
     load = learning.teacher_course_load(c.teachers, c.courses, c.enrollments, user_id=tuid)
     assert rows(load) == rows(learning.teacher_course_load(c.teachers, c.courses, c.enrollments)
                               .where(f"teacher_id = {teacher}"))
