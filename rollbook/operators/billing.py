@@ -30,6 +30,8 @@ def fee_stats(students: DataFrame, fees: DataFrame, user_id: int | None = None)
     student without fees gets zeros.
     """
     st = F.col("payment_status")
+    if user_id is not None:  # before the sums
+        fees = only_keys(fees, _students(students, user_id), "student_id")
     per = fees.groupBy("student_id").agg(
         money_sum("amount").alias("total"),
         money_sum("amount", st == FEE_PAID).alias("paid"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_num, present_str, ts_ntz
-from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
+from rollbook.plans.batches import existing_keys, first_claim, flag_existing, last_value, reason_of, split, wanted
+from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.plans.materialize import materialize
 from rollbook.schema import (
@@ -19,12 +20,12 @@ from rollbook.sources.io import conform
 
 
 def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   ) -> tuple[Deferred, DataFrame]:
     """C4: ``batch(seq, course_code, course_name, schedule, teacher_id)``.
 
     Checks in order: code and name given; the code is not taken (by the
     table, or by an earlier request of the batch that succeeds); a given
-    (non-zero) teacher exists.  Returns (courses, created, rejects);
+    (non-zero) teacher exists.  Returns ({courses, created}, rejects);
     created carries ``teacher_name`` and ``enrolled_students = 0``.
     """
     b0 = batch.withColumn("code", blank_to_null("course_code")) \
@@ -41,22 +42,28 @@ def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
         (bad_teacher, MSG_TEACHER_NOT_FOUND),
     ]))
     ok, rejects = split(annotated, pin=False)
-    base = current_max(courses, "course_id")
-    new = conform(number_rows(ok, ["seq"], "course_id", base).select(
-        "course_id", "course_code", "course_name",
-        blank_to_null("schedule").alias("schedule"),
-        F.col("tid").alias("teacher_id"),
-        F.lit(None).cast("string").alias("description"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at")), "courses")
-    created = (new.join(teachers.select("teacher_id", F.col("name").alias("teacher_name")), "teacher_id", "left")
-               .select(F.col("course_id").alias("id"), F.col("course_code").alias("code"),
-                       F.col("course_name").alias("name"), "schedule", "teacher_id", "teacher_name",
-                       F.lit(0).cast("long").alias("enrolled_students")))
-    return courses.unionByName(new), created, rejects
+
+    @once
+    def new() -> DataFrame:
+        base = current_max(courses, "course_id")
+        return conform(number_rows(ok, ["seq"], "course_id", base).select(
+            "course_id", "course_code", "course_name",
+            blank_to_null("schedule").alias("schedule"),
+            F.col("tid").alias("teacher_id"),
+            F.lit(None).cast("string").alias("description"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_at")), "courses")
+
+    def created() -> DataFrame:
+        return (new().join(teachers.select("teacher_id", F.col("name").alias("teacher_name")), "teacher_id", "left")
+                .select(F.col("course_id").alias("id"), F.col("course_code").alias("code"),
+                        F.col("course_name").alias("name"), "schedule", "teacher_id", "teacher_name",
+                        F.lit(0).cast("long").alias("enrolled_students")))
+
+    return Deferred({"courses": lambda: courses.unionByName(new()), "created": created}), rejects
 
 
 def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as_of: dt.datetime
-                   ) -> tuple[DataFrame, DataFrame]:
+                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``batch(seq, course_id, fields map<string,string>)``.
 
     Keys ``name`` and ``code`` are set when non-empty; ``description`` and
@@ -144,8 +151,9 @@ def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,
     b = first_claim(b, ["course_id"], F.col("course_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("course_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_COURSE_NOT_FOUND)]))
-    ok, rejects = split(annotated, pin=False)
-    doomed = ok.select("course_id").distinct()
+    _, rejects = split(annotated, pin=False)
+    # Every requested course that exists goes; which request wins matters for the rejects alone.
+    doomed = existing_keys(courses, batch, ["course_id"]).select("course_id")
     # Find the doomed assignments before the assignments are dropped.
     doomed_assignments = assignments.join(doomed, "course_id", "left_semi").select("assignment_id")
     out = {

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from rollbook.functions import blank_to_null, date_lit, present_num, present_str, ts_ntz
 from rollbook.operators.access import course_access_check, grade_access_check
 from rollbook.plans.batches import reason_of, split
+from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.schema import (
-    MARKS, MSG_ASSIGNMENT_FIELDS, MSG_ASSIGNMENT_PERMISSION, MSG_ATTENDANCE_PERMISSION,
+    MARKS, MSG_ASSIGNMENT_DATE, MSG_ASSIGNMENT_FIELDS, MSG_ASSIGNMENT_PERMISSION, MSG_ATTENDANCE_PERMISSION,
     MSG_GRADE_REQUIRED, MSG_NOTICE_FIELDS, MSG_RECORDS_REQUIRED,
 )
 from rollbook.sources.io import conform
@@ -64,70 +65,87 @@ def nested_attendance(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFrame,
                     requests: DataFrame, records: DataFrame, as_of: dt.datetime
-                    ) -> tuple[DataFrame, DataFrame]:
+                    ) -> tuple[Deferred, DataFrame]:
     """One attendance row per record of each accepted request, dated ``as_of``.
 
     ``requests(seq, teacher_user_id, course_id, records_given)`` and flat
-    ``records(seq, student_id, status)`` (records are kept flat so that a
-    request with a huge roster is never one row).  Checks: records given;
+    ``records(seq, record_pos, student_id, status)`` (records are kept flat so
+    that a request with a huge roster is never one row).  Checks: records given;
     teacher exists; teacher teaches the course.  No check on students or
     status values; a request is all-or-nothing.  New attendance ids follow
-    the table's maximum in (seq, student_id, status) order.
-    Returns (attendance, rejects).
+    the table's maximum in (seq, record_pos) order, records without a position
+    by student and status.  Returns ({attendance}, rejects); the rejects alone
+    read no record.
     """
     checked = course_access_check(requests, teachers, courses, MSG_ATTENDANCE_PERMISSION)
     annotated = checked.withColumn("reason", F.coalesce(
         reason_of([(~F.col("records_given"), MSG_RECORDS_REQUIRED)]), F.col("reason")))
     ok, rejects = split(annotated)
-    rows = records.join(ok.select("seq", "course_id"), "seq") \
-        .select("seq", "course_id", "student_id", "status")
-    base = current_max(attendance, "attendance_id")
-    new = number_rows(rows, ["seq", "student_id", "status"], "attendance_id", base).select(
-        "attendance_id", "student_id", "course_id",
-        date_lit(as_of).alias("attendance_date"), "status")
-    return attendance.unionByName(conform(new, "attendance")), rejects
+    order = ["seq", *(["record_pos"] if "record_pos" in records.columns else []), "student_id", "status"]
+
+    def table() -> DataFrame:
+        rows = records.join(ok.select("seq", "course_id"), "seq").select("course_id", *order)
+        base = current_max(attendance, "attendance_id")
+        new = number_rows(rows, order, "attendance_id", base).select(
+            "attendance_id", "student_id", "course_id",
+            date_lit(as_of).alias("attendance_date"), "status")
+        return attendance.unionByName(conform(new, "attendance"))
+
+    return Deferred({"attendance": table}), rejects
 
 
 def create_assignments(assignments: DataFrame, teachers: DataFrame, courses: DataFrame,
-                       batch: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+                       batch: DataFrame, as_of: dt.datetime) -> tuple[Deferred, DataFrame]:
     """``batch(seq, teacher_user_id, course_id, title, description, due_date, total_marks)``.
 
     Checks: title and non-zero total marks given; teacher exists; teacher
-    teaches the course.  Returns (assignments, created, rejects); created
-    has ``id, title, description, due_date, total_marks``.
+    teaches the course; a given due date is a date.  Returns ({assignments,
+    created}, rejects); created has ``id, title, description, due_date,
+    total_marks``.
     """
     checked = course_access_check(batch, teachers, courses, MSG_ASSIGNMENT_PERMISSION)
+    due = F.when(present_str("due_date"), F.try_to_date(F.col("due_date")))
     annotated = checked.withColumn("reason", F.coalesce(
         reason_of([(~(present_str("title") & present_num("total_marks")), MSG_ASSIGNMENT_FIELDS)]),
-        F.col("reason")))
+        F.col("reason"), F.when(present_str("due_date") & due.isNull(), MSG_ASSIGNMENT_DATE)))
     ok, rejects = split(annotated)
-    base = current_max(assignments, "assignment_id")
-    new = number_rows(ok, ["seq"], "assignment_id", base).select(
-        "assignment_id", "course_id", "title",
-        blank_to_null("description").alias("description"),
-        F.when(present_str("due_date"), F.try_to_date(F.col("due_date"))).alias("due_date"),
-        F.col("total_marks").cast(MARKS).alias("total_marks"),
-        _ts(as_of).alias("created_at"))
-    new = conform(new, "assignments")
-    created = new.select(F.col("assignment_id").alias("id"), "title", "description", "due_date",
-                         "total_marks")
-    return assignments.unionByName(new), created, rejects
+
+    @once
+    def new() -> DataFrame:
+        base = current_max(assignments, "assignment_id")
+        return conform(number_rows(ok, ["seq"], "assignment_id", base).select(
+            "assignment_id", "course_id", "title",
+            blank_to_null("description").alias("description"),
+            due.alias("due_date"),
+            F.col("total_marks").cast(MARKS).alias("total_marks"),
+            _ts(as_of).alias("created_at")), "assignments")
+
+    return Deferred({
+        "assignments": lambda: assignments.unionByName(new()),
+        "created": lambda: new().select(F.col("assignment_id").alias("id"), "title", "description", "due_date", "total_marks"),
+    }), rejects
 
 
 def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
-                 ) -> tuple[DataFrame, DataFrame]:
+                 ) -> tuple[Deferred, DataFrame]:
     """``batch(seq, user_id, title, content)``; title and content required.
 
-    No check on the author.  Returns (notices, created, rejects); ``created``
-    has ``id, title, content, created_at``.
+    No check on the author.  Returns ({notices, created}, rejects); ``created``
+    has ``id, title, content, created_at``.  Only the ``seq`` numbers are
+    sorted; the texts join their ids afterwards.
     """
     annotated = batch.withColumn("reason", reason_of(
         [(~(present_str("title") & present_str("content")), MSG_NOTICE_FIELDS)]))
     ok, rejects = split(annotated, pin=False)   # a projection of the batch: nothing to settle
-    base = current_max(notices, "notice_id")
-    new = number_rows(ok, ["seq"], "notice_id", base).select(
-        "notice_id", "title", "content", F.col("user_id").alias("posted_by_user_id"),
-        _ts(as_of).alias("created_at"))
-    new = conform(new, "notices")
-    created = new.select(F.col("notice_id").alias("id"), "title", "content", "created_at")
-    return notices.unionByName(new), created, rejects
+
+    @once
+    def new() -> DataFrame:
+        ids = number_rows(ok.select("seq"), ["seq"], "notice_id", current_max(notices, "notice_id"))
+        return conform(ok.join(ids, "seq").select(
+            "notice_id", "title", "content", F.col("user_id").alias("posted_by_user_id"),
+            _ts(as_of).alias("created_at")), "notices")
+
+    return Deferred({
+        "notices": lambda: notices.unionByName(new()),
+        "created": lambda: new().select(F.col("notice_id").alias("id"), "title", "content", "created_at"),
+    }), rejects

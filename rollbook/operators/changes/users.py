@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_str, ts_ntz
-from rollbook.plans.batches import first_claim, flag_existing, last_value, reason_of, split, wanted
+from rollbook.plans.batches import existing_keys, first_claim, flag_existing, last_value, reason_of, split, wanted
 from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, current_maxes, number_rows, number_rows_by_group
 from rollbook.plans.materialize import materialize
@@ -110,7 +110,8 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     phone_number, address, department`` (columns its role lacks are NULL).
     """
     ids = wanted(batch, ["user_id"])
-    roles = users.join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.min("role").alias("role"))
+    roles = users.join(ids, "user_id", "left_semi").groupBy("user_id").agg(F.min("role").alias("role")) \
+        .withColumn("known", F.lit(True))
     b = batch.join(roles, "user_id", "left")
     profiles = (students.select("user_id", F.lit(ROLE_STUDENT).alias("role"))
                 .unionByName(teachers.select("user_id", F.lit(ROLE_TEACHER).alias("role")))
@@ -118,11 +119,11 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     # Profiles of the requested users only, keyed by (user, role).
     held = profiles.join(ids, "user_id", "left_semi").distinct().withColumn("has_profile", F.lit(True))
     b = b.join(held, ["user_id", "role"], "left")
-    annotated = b.withColumn("reason", F.when(F.col("role").isNull(), F.lit(MSG_USER_NOT_FOUND))
+    annotated = b.withColumn("reason", F.when(F.col("known").isNull(), F.lit(MSG_USER_NOT_FOUND))
                              .when(F.col("has_profile").isNull(),
                                    F.concat(F.coalesce(F.col("role"), F.lit("null")),
                                             F.lit(MSG_PROFILE_NOT_FOUND.replace("{role}", "")))))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated.drop("known"))
     fields = ["name", "email", "phone_number", "address", "department"]
     # One patch per (user, role); a user has one role, so each table takes
     # the patches of its own role.
@@ -153,20 +154,19 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     return out, rejects
 
 
-def delete_users(users: DataFrame, batch: DataFrame, cascade: dict[str, DataFrame] | None = None
-                 ) -> tuple[dict[str, DataFrame], DataFrame]:
+def delete_users(users: DataFrame, students: DataFrame, teachers: DataFrame, management: DataFrame, batch: DataFrame,
+                 cascade: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """``batch(seq, user_id)``.  The first request for an existing user
-    deletes it (later ones find it gone); rows keyed by ``user_id`` in the
-    ``cascade`` tables (by default the three role tables) go with it.
-    Returns ({users, <cascade tables>}, rejects).
+    deletes it (later ones find it gone); its rows in the three role tables,
+    and in further ``cascade`` tables keyed by ``user_id``, go with it.
+    Returns ({users, students, teachers, management, <cascade tables>}, rejects).
     """
     b = flag_existing(batch, users, ["user_id"], flag="user_exists")
     b = first_claim(b, ["user_id"], F.col("user_exists").isNotNull())
     annotated = b.withColumn("reason", reason_of([
         (F.col("user_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_USER_NOT_FOUND)]))
-    ok, rejects = split(annotated, pin=False)
-    doomed = ok.select("user_id").distinct()
-    out = {"users": users.join(doomed, "user_id", "left_anti")}
-    for name, table in (cascade or {}).items():
-        out[name] = table.join(doomed, "user_id", "left_anti")
-    return out, rejects
+    _, rejects = split(annotated, pin=False)
+    # Every requested user that exists goes; which request wins matters for the rejects alone.
+    doomed = existing_keys(users, batch, ["user_id"]).select("user_id")
+    tables = {"users": users, "students": students, "teachers": teachers, "management": management, **(cascade or {})}
+    return {name: table.join(doomed, "user_id", "left_anti") for name, table in tables.items()}, rejects

@@ -75,6 +75,8 @@ def attendance_stats(students: DataFrame, attendance: DataFrame, courses: DataFr
         s = only_keys(s, role_key(students, "student_id", user_id), "student_id")
     rows = only_keys(attendance.select("student_id", "course_id", "attendance_id", "status"),
                      courses.select("course_id"), "course_id")
+    if user_id is not None:  # before the counts
+        rows = only_keys(rows, s, "student_id")
     per = rows.groupBy("student_id").agg(
         F.count("attendance_id").alias("total_classes"),
         count_if_eq("status", ATTENDANCE_PRESENT).alias("present"),
@@ -95,6 +97,8 @@ def teacher_course_load(teachers: DataFrame, courses: DataFrame, enrollments: Da
     """Q11: each teacher's courses with their enrollment counts (0 when none)."""
     t = role_key(teachers, "teacher_id", user_id).select("teacher_id")
     c = courses.join(t, "teacher_id")
+    if user_id is not None:  # before the counts
+        enrollments = only_keys(enrollments, c, "course_id")
     return (c.join(enrollment_counts(enrollments), "course_id", "left")
              .select("teacher_id", F.col("course_id").alias("id"), F.col("course_code").alias("code"),
                      F.col("course_name").alias("name"), "schedule",
@@ -136,6 +140,8 @@ def course_catalog(courses: DataFrame, teachers: DataFrame, enrollments: DataFra
         contains_any(["course_code", "course_name"], search) if search else None,
     ])
     t = teachers.select("teacher_id", F.col("name").alias("teacher_name"))
+    if teacher_id or search:  # before the counts
+        enrollments = only_keys(enrollments, c, "course_id")
     return (c.join(t, "teacher_id", "left")
              .join(enrollment_counts(enrollments), "course_id", "left")
              .select(F.col("course_id").alias("id"), F.col("course_code").alias("code"),
@@ -146,14 +152,13 @@ def course_catalog(courses: DataFrame, teachers: DataFrame, enrollments: DataFra
 def attendance_sheet(roster: DataFrame, overrides: DataFrame) -> DataFrame:
     """Q18: every rostered (course, student) marked present unless an entry
     for it says otherwise; of several entries the one with the highest
-    ``seq`` counts, and an empty status falls back to present.
+    ``seq`` counts (NULL is lowest, ties go to the larger status), and an
+    empty status falls back to present.
     """
-    # Latest entry per (course, student): max(seq) is a fixed-width hash
-    # aggregate; the status is fetched by joining back on (course, student, seq).
+    # One aggregate by (course, student), so it shares the join's partitioning.
     keys = ["course_id", "student_id"]
-    last_seq = overrides.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    latest = (overrides.select(*keys, "seq", F.col("status").alias("override"))
-              .join(last_seq, [*keys, "seq"]))
+    latest = overrides.groupBy(*keys).agg(F.max(F.struct("seq", "status")).alias("last")) \
+        .select(*keys, F.col("last.status").alias("override"))
     return (roster.select("course_id", "student_id")
                   .join(latest, ["course_id", "student_id"], "left")
                   .select("course_id", "student_id",
@@ -165,6 +170,14 @@ def _date_text(c: str):
     return F.date_format(c, "M/d/yyyy")
 
 
+def _percent_text(part: str, total: str):
+    """``part / total`` as a percentage with one decimal (0% without rows),
+    from the exact counts."""
+    tenths = F.floor((F.col(part) * 2000 + F.col(total)) / (F.col(total) * 2)).cast("long")
+    return F.when(F.col(total) > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))) \
+            .otherwise(F.lit("0%"))
+
+
 def display_rows(df: DataFrame, kind: str) -> DataFrame:
     """Q19: the dashboards' display columns (defaults for missing values,
     ``name (code)`` course text, ``M/d/yyyy`` dates, lower-case status).
@@ -196,4 +209,11 @@ def display_rows(df: DataFrame, kind: str) -> DataFrame:
         return df.select("id", "name", "code",
                          F.coalesce(F.nullif("teacher_name", F.lit("")), F.lit(SHOW_NO_TEACHER))
                           .alias("teacher_text"))
+    if kind == "stats":          # Q7 rows: percentages with one decimal, half up
+        return df.select("student_id", _percent_text("present", "total_classes").alias("present_text"),
+                         _percent_text("absent", "total_classes").alias("absent_text"),
+                         F.col("total_classes").cast("string").alias("total_text"))
+    if kind == "teacher_courses":  # Q11 rows
+        return df.select("teacher_id", "id", "name", F.concat(F.lit("Code: "), F.coalesce("code", F.lit(""))).alias("code_text"),
+                         F.concat(F.lit("Students: "), F.coalesce("enrolled_students", F.lit(0)).cast("string")).alias("students_text"))
     raise ValueError(f"unknown display kind: {kind}")

@@ -172,6 +172,21 @@ CHANGES["c01_create_users_rejects"] = _run(C1_REJECTS, C1)
 CHANGES["c01_create_users_created"] = _run("SELECT new_user_id AS id, domain_id, role, name, email FROM acc", C1)
 CHANGES["c01_register_users"] = _run(C1_USERS, C1R)
 CHANGES["c01_register_users_students"] = _run(C1_STUDENTS, C1R)
+CHANGES["c01_register_users_teachers"] = _run("""
+SELECT * FROM teachers
+UNION ALL
+SELECT (SELECT coalesce(max(teacher_id), 0) FROM teachers) + row_number() OVER (ORDER BY seq),
+       new_user_id, name, email, nullif(phone_number, ''), nullif(department, '')
+FROM acc WHERE role = 'teacher'
+""", C1R)
+CHANGES["c01_register_users_management"] = _run("""
+SELECT * FROM management
+UNION ALL
+SELECT (SELECT coalesce(max(management_id), 0) FROM management) + row_number() OVER (ORDER BY seq),
+       new_user_id, name, email, nullif(phone_number, '')
+FROM acc WHERE role = 'management'
+""", C1R)
+CHANGES["c01_register_users_created"] = _run("SELECT new_user_id AS id, domain_id, role, name, email FROM acc", C1R)
 CHANGES["c01_register_users_rejects"] = _run(C1_REJECTS, C1R)
 
 # ------------------------------------------------------------- C2 update users
@@ -200,15 +215,17 @@ b AS (
   SELECT CAST(n_nationkey AS BIGINT) * 5 + 4, CAST(n_nationkey AS BIGINT) * 4, 'Ghost',
          NULL, NULL, NULL, NULL
   FROM nation),
-roles AS (SELECT user_id, min(role) AS role FROM users GROUP BY user_id),
+roles AS (
+  SELECT user_id, min(CASE WHEN role <> 'management' OR user_id % 20 <> 3 THEN role END) AS role, true AS known
+  FROM users GROUP BY user_id),
 prof AS (
   SELECT DISTINCT user_id, 'student' AS role FROM students
   UNION SELECT DISTINCT user_id, 'teacher' FROM teachers
   UNION SELECT DISTINCT user_id, 'management' FROM management),
 ann AS (
   SELECT b.*, r.role,
-         CASE WHEN r.role IS NULL THEN 'User not found'
-              WHEN p.user_id IS NULL THEN r.role || ' profile not found' END AS reason
+         CASE WHEN r.known IS NULL THEN 'User not found'
+              WHEN p.user_id IS NULL THEN coalesce(r.role, 'null') || ' profile not found' END AS reason
   FROM b LEFT JOIN roles r ON r.user_id = b.user_id
   LEFT JOIN prof p ON p.user_id = b.user_id AND p.role = r.role),
 acc AS (SELECT * FROM ann WHERE reason IS NULL),
@@ -277,6 +294,10 @@ CHANGES["c03_delete_users"] = _run(
     "SELECT * FROM users WHERE user_id NOT IN (SELECT user_id FROM doomed)", C3)
 CHANGES["c03_delete_users_students"] = _run(
     "SELECT * FROM students WHERE user_id NOT IN (SELECT user_id FROM doomed)", C3)
+CHANGES["c03_delete_users_teachers"] = _run(
+    "SELECT * FROM teachers WHERE user_id NOT IN (SELECT user_id FROM doomed)", C3)
+CHANGES["c03_delete_users_management"] = _run(
+    "SELECT * FROM management WHERE user_id NOT IN (SELECT user_id FROM doomed)", C3)
 CHANGES["c03_delete_users_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C3)
 
 # ------------------------------------------------------------- C4 create courses
@@ -444,7 +465,7 @@ req AS (
          p_type <> 'SMALL' AS records_given
   FROM part),
 rec AS (
-  SELECT course_id AS seq, student_id,
+  SELECT course_id AS seq, -student_id AS pos, student_id,
          CASE WHEN progress >= 0.09 THEN 'excused' WHEN enrollment_status = 'F' THEN 'present'
               ELSE 'absent' END AS status
   FROM enrollments),
@@ -462,7 +483,7 @@ CHANGES["c08_take_attendance"] = _run(f"""
 SELECT * FROM attendance
 UNION ALL
 SELECT (SELECT coalesce(max(attendance_id), 0) FROM attendance)
-         + row_number() OVER (ORDER BY rec.seq, rec.student_id, rec.status),
+         + row_number() OVER (ORDER BY rec.seq, rec.pos, rec.student_id, rec.status),
        rec.student_id, a.course_id, {AS_OF_DATE}, rec.status
 FROM rec JOIN ann a ON a.seq = rec.seq AND a.reason IS NULL
 """, C8)
@@ -474,7 +495,8 @@ b AS (
   SELECT p_partkey AS seq, {tu('p_size', "p_type = 'PROMO'")} AS teacher_user_id, p_partkey AS course_id,
          CASE WHEN p_type = 'SMALL' AND p_size < 10 THEN '' ELSE 'Project ' || p_name END AS title,
          CASE WHEN p_type = 'LARGE' THEN '' ELSE p_type END AS description,
-         CASE WHEN p_type = 'MEDIUM' THEN NULL WHEN p_type = 'ECONOMY' THEN '' ELSE '2025-03-01' END AS due_date,
+         CASE WHEN p_type = 'MEDIUM' THEN NULL WHEN p_type = 'ECONOMY' THEN ''
+              WHEN p_type = 'SMALL' THEN '31/12/2025' ELSE '2025-03-01' END AS due_date,
          CAST(CASE WHEN p_type = 'STANDARD' AND p_size > 40 THEN 0 ELSE p_size END AS DECIMAL(18,0))
            AS total_marks
   FROM part),
@@ -485,7 +507,9 @@ ann AS (
                 THEN 'Please provide title and total marks'
               WHEN tk.teacher_id IS NULL THEN 'Teacher not found'
               WHEN NOT coalesce(c.teacher_id = tk.teacher_id, false)
-                THEN 'You do not have permission to create assignments for this course' END AS reason
+                THEN 'You do not have permission to create assignments for this course'
+              WHEN b.due_date <> '' AND TRY_CAST(b.due_date AS DATE) IS NULL
+                THEN 'Please provide a valid due date' END AS reason
   FROM b LEFT JOIN tk ON tk.user_id = b.teacher_user_id
   LEFT JOIN courses c ON c.course_id = b.course_id),
 new AS (

@@ -4,22 +4,26 @@ New ids continue after the table's current maximum, in the order of the
 given columns (normally the request ``seq``), the way identity columns
 number rows inserted one after another.
 
-Plan: range-partition by the order columns and sort within partitions,
-tag every row with its partition and position, and write that once as a
-table in the shared checkpoint folder (so the tags are pinned and lineage
-is cut).  Count rows per partition and add each row's position to the
-running total of the partitions before it.  Only the per-partition counts
-(one number per partition) reach the driver.
+Plan: write the rows to number once (the range partitioner samples its input,
+so they would be computed twice), range-partition by the order columns, sort
+within partitions, tag every row with its partition and position, and write
+that once (so the tags are pinned and lineage is cut).  Rows per partition
+are counted, and a row's id is its position plus the rows in the partitions
+before it.  Those offsets are a prefix sum over one row per partition, taken
+level by level over blocks of ``BLOCK`` partitions and joined on the partition
+number: nothing per partition reaches the driver or the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.plans.materialize import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+BLOCK = 1024  # partitions whose counts are summed up in one group
+_LEVELS = 4  # blocks of blocks; covers BLOCK ** 4 partitions
 
 
 def current_max(df: DataFrame, column: str) -> int:
@@ -39,29 +43,38 @@ def current_maxes(tables: dict[str, tuple[DataFrame, str]]) -> dict[str, int]:
 
 
 def _tag(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    ordered = materialize(df, "rows").repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     return materialize(ordered.withColumn("_part", F.spark_partition_id())
                               .withColumn("_mono", F.monotonically_increasing_id()), "ids")
 
 
+def prefix_sums(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """``counts`` (groups..., _part, _n) with ``_before``: the sum of ``_n`` of
+    the same group's smaller ``_part``s."""
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = counts.withColumn("_before", F.lit(0).cast("long"))
+    level, width, at = counts, 1, "_part"
+    for _ in range(_LEVELS):
+        # Within a block: the running total of the units before this one.
+        block = level.withColumn("_block", F.floor(F.col(at) / BLOCK).cast("long"))
+        running = F.sum("_n").over(Window.partitionBy(*groups, "_block").orderBy(at)) - F.col("_n")
+        ahead = block.select(*groups, F.col(at).alias("_unit"), running.alias("_ahead"))
+        out = (out.withColumn("_unit", F.floor(F.col("_part") / width).cast("long")).join(ahead, [*groups, "_unit"])
+               .withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_unit", "_ahead"))
+        width *= BLOCK
+        if partitions <= width:
+            break
+        level, at = block.groupBy(*groups, "_block").agg(F.sum("_n").alias("_n")).withColumnRenamed("_block", "_at"), "_at"
+    return out
+
+
 def number_rows(df: DataFrame, order_cols: list[str], id_col: str, start: int) -> DataFrame:
     """Add ``id_col`` = start + 1-based rank of the row in ``order_cols`` order."""
     tagged = _tag(df, order_cols)
-    sizes = {r["_part"]: r["_n"] for r in
-             tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()}
-    offsets, running = [], 0
-    for p in range(max(sizes) + 1 if sizes else 0):
-        offsets.append(running)
-        running += sizes.get(p, 0)
-    if not offsets:
-        return tagged.drop("_part", "_mono").withColumn(id_col, F.lit(None).cast("long"))
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_part") + 1)
+    offsets = prefix_sums(tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), []).select("_part", "_before")
     local = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), _ROW_BITS)
-    return (tagged.withColumn(id_col, F.lit(start).cast("long") + offset + local + 1)
-                  .drop("_part", "_mono"))
-
-
-_MAX_OFFSET_ROWS = 100_000  # (partition, group) pairs broadcast as a lookup at most
+    return (tagged.join(offsets, "_part").withColumn(id_col, F.lit(start).cast("long") + F.col("_before") + local + 1)
+                  .drop("_part", "_mono", "_before"))
 
 
 def number_rows_by_group(df: DataFrame, group_col: str, order_cols: list[str], id_col: str,
@@ -69,29 +82,17 @@ def number_rows_by_group(df: DataFrame, group_col: str, order_cols: list[str], i
     """Number rows within each group: ``id_col`` = starts[group] + 1-based
     rank of the row among its group's rows in ``order_cols`` order.
 
-    One range shuffle over (group, order) serves every group.  The lookup of
-    per-(partition, group) offsets has one row per such pair; it is
-    broadcast only when that count is at most ``_MAX_OFFSET_ROWS`` and
-    joined with a shuffle otherwise.
+    One range shuffle over (group, order) serves every group; offsets have
+    one row per (partition, group) that occurs.  ``starts`` becomes part of
+    the plan, so it holds a few groups (absent ones start at 0).
     """
-    spark = df.sparkSession
     tagged = _tag(df, [group_col, *order_cols])
-    stats = (tagged.groupBy("_part", group_col)
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-                   .collect())
-    running: dict = {}
-    rows = []
-    for r in sorted(stats, key=lambda r: r["_part"]):
-        g = r[group_col]
-        before = running.get(g, 0)
-        rows.append((r["_part"], g, int(starts.get(g, 0)) + before, r["_first"]))
-        running[g] = before + r["_n"]
-    if not rows:
-        return tagged.drop("_part", "_mono").withColumn(id_col, F.lit(None).cast("long"))
-    gtype = df.schema[group_col].dataType.simpleString()
-    lookup = spark.createDataFrame(rows, f"_part int, {group_col} {gtype}, _base long, _first long")
-    if len(rows) <= _MAX_OFFSET_ROWS:
-        lookup = F.broadcast(lookup)
+    stats = tagged.groupBy("_part", group_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+    offsets = prefix_sums(stats.select(group_col, "_part", "_n"), [group_col]).select(group_col, "_part", "_before")
+    lookup = stats.select(group_col, "_part", "_first").join(offsets, [group_col, "_part"])
+    start = F.lit(0).cast("long")
+    for g, n in starts.items():
+        start = F.when(F.col(group_col) == F.lit(g), F.lit(int(n)).cast("long")).otherwise(start)
     return (tagged.join(lookup, ["_part", group_col])
-                  .withColumn(id_col, F.col("_base") + (F.col("_mono") - F.col("_first")) + 1)
-                  .drop("_part", "_mono", "_base", "_first"))
+                  .withColumn(id_col, start + F.col("_before") + (F.col("_mono") - F.col("_first")) + 1)
+                  .drop("_part", "_mono", "_before", "_first"))

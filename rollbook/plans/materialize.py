@@ -3,20 +3,41 @@ checkpoint folder (``spark.checkpoint.dir``) and read it back.
 
 This cuts lineage like ``checkpoint()`` but computes the plan once (an
 eager RDD checkpoint runs it a second time to write it) and stores columnar,
-compressed data that later scans can prune and filter.
+compressed data that later scans can prune and filter.  ``clear_scratch``
+removes what a session has written once its results are out.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from rollbook.session import checkpoint_dir
 
+_WRITTEN: list[str] = []  # paths of this driver process, for clear_scratch
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far by this driver; to be called
+    when no DataFrame built on them is needed any more.  Returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

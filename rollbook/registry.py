@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators import billing, directory, learning, notices
+from rollbook.plans.materialize import scratch_path
+from rollbook.plans.presentation import present
+from rollbook.sources import read_changes, read_table, write_result, write_snapshot
 from rollbook.sources.campus import Campus, driver_table, load_driver, student_user, teacher_user, unknown_user
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,8 +171,89 @@ def q19_display_catalog(spark, sf_dir):
     return learning.display_rows(learning.course_catalog(c.courses, c.teachers, c.enrollments), "catalog")
 
 
+def q19_display_stats(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.display_rows(learning.attendance_stats(c.students, c.attendance, c.courses), "stats")
+
+
+def q19_display_teacher_courses(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.display_rows(learning.teacher_course_load(c.teachers, c.courses, c.enrollments), "teacher_courses")
+
+
+# The key-filtered forms that the application runs on every call.
+ONE_STUDENT, ONE_TEACHER, ONE_COURSE = 7 * 4 + 1, 4 * 4 + 2, 12
+
+
+def q04_student_courses_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.student_courses(c.students, c.enrollments, c.courses, user_id=ONE_STUDENT)
+
+
+def q05_student_grades_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.student_grades(c.students, c.grades, c.assignments, c.courses, user_id=ONE_STUDENT)
+
+
+def q07_attendance_stats_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.attendance_stats(c.students, c.attendance, c.courses, user_id=ONE_STUDENT)
+
+
+def q09_fee_detail_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return billing.fee_detail(c.students, c.fees, user_id=ONE_STUDENT)
+
+
+def q10_fee_stats_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return billing.fee_stats(c.students, c.fees, user_id=ONE_STUDENT)
+
+
+def q11_teacher_course_load_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.teacher_course_load(c.teachers, c.courses, c.enrollments, user_id=ONE_TEACHER)
+
+
+def q12_course_roster_one(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.course_roster(c.students, c.enrollments, c.courses, course_id=ONE_COURSE)
+
+
+def q13_course_catalog_teacher(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.course_catalog(c.courses, c.teachers, c.enrollments, teacher_id=4)
+
+
+def _sorted(df, operator):
+    """The rows through the presentation order (the order itself is tested)."""
+    return present(df, operator)
+
+
+def q05_student_grades_sorted(spark, sf_dir):
+    return _sorted(q05_student_grades(spark, sf_dir), "student_grades")
+
+
+def q13_course_catalog_sorted(spark, sf_dir):
+    return _sorted(q13_course_catalog(spark, sf_dir), "course_catalog")
+
+
+def s01_snapshot_round_trip(spark, sf_dir):
+    """Users written as a snapshot and scanned again."""
+    root = scratch_path(spark, "snapshot")
+    write_snapshot(_campus(spark, sf_dir).users, f"{root}/users")
+    return read_table(spark, root, "users")
+
+
+def s03_changes_from_json(spark, sf_dir):
+    """Payment requests emitted as JSON lines and read as changes."""
+    from rollbook.registry_changes import batch_pay_fees
+    path = write_result(batch_pay_fees(spark, sf_dir), scratch_path(spark, "requests"))
+    return read_changes(spark, path, batch_pay_fees(spark, sf_dir).schema)
+
+
 READS: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()
-                           if name.startswith("q") and name[1:3].isdigit() and callable(fn)}
+                           if name[0] in "qs" and name[1:3].isdigit() and callable(fn)}
 
 
 def queries() -> dict[str, Query]:

@@ -177,7 +177,7 @@ def batch_attendance(campus, spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         (F.col("p_type") != "SMALL").alias("records_given"))
     e = campus.enrollments
     records = e.select(
-        F.col("course_id").alias("seq"), "student_id",
+        F.col("course_id").alias("seq"), (-F.col("student_id")).alias("record_pos"), "student_id",
         F.when(F.col("progress") >= 0.09, F.lit("excused"))
          .when(F.col("enrollment_status") == "F", F.lit("present"))
          .otherwise(F.lit("absent")).alias("status"))
@@ -195,7 +195,7 @@ def batch_create_assignments(spark, sf_dir) -> DataFrame:
          .alias("title"),
         F.when(t == "LARGE", F.lit("")).otherwise(t).alias("description"),
         F.when(t == "MEDIUM", F.lit(None).cast("string")).when(t == "ECONOMY", F.lit(""))
-         .otherwise(F.lit("2025-03-01")).alias("due_date"),
+         .when(t == "SMALL", F.lit("31/12/2025")).otherwise(F.lit("2025-03-01")).alias("due_date"),
         F.when((t == "STANDARD") & (size > 40), F.lit(0)).otherwise(size).cast("decimal(18,0)")
          .alias("total_marks"))
 
@@ -259,15 +259,15 @@ def _c01r(spark, sf_dir):
 
 def _c02(spark, sf_dir):
     c = load_driver(spark, sf_dir)
-    return changes.update_users(c.users, c.students, c.teachers, c.management,
+    # Every fifth manager has no role.
+    users = c.users.withColumn("role", F.when((F.col("role") != "management") | (F.col("user_id") % 20 != 3), F.col("role")))
+    return changes.update_users(users, c.students, c.teachers, c.management,
                                 batch_update_users(spark, sf_dir))
 
 
 def _c03(spark, sf_dir):
     c = load_driver(spark, sf_dir)
-    return changes.delete_users(c.users, batch_delete_users(spark, sf_dir),
-                                cascade={"students": c.students, "teachers": c.teachers,
-                                         "management": c.management})
+    return changes.delete_users(c.users, c.students, c.teachers, c.management, batch_delete_users(spark, sf_dir))
 
 
 def _c04(spark, sf_dir):
@@ -338,6 +338,9 @@ CHANGES = {
     "c01_create_users_rejects": lambda s, d: _c01(s, d)[1],
     "c01_register_users": lambda s, d: _c01r(s, d)[0]["users"],
     "c01_register_users_students": lambda s, d: _c01r(s, d)[0]["students"],
+    "c01_register_users_teachers": lambda s, d: _c01r(s, d)[0]["teachers"],
+    "c01_register_users_management": lambda s, d: _c01r(s, d)[0]["management"],
+    "c01_register_users_created": lambda s, d: _c01r(s, d)[0]["created"],
     "c01_register_users_rejects": lambda s, d: _c01r(s, d)[1],
     "c02_update_users_students": lambda s, d: _c02(s, d)[0]["students"],
     "c02_update_users_teachers": lambda s, d: _c02(s, d)[0]["teachers"],
@@ -346,10 +349,12 @@ CHANGES = {
     "c02_update_users_rejects": lambda s, d: _c02(s, d)[1],
     "c03_delete_users": lambda s, d: _c03(s, d)[0]["users"],
     "c03_delete_users_students": lambda s, d: _c03(s, d)[0]["students"],
+    "c03_delete_users_teachers": lambda s, d: _c03(s, d)[0]["teachers"],
+    "c03_delete_users_management": lambda s, d: _c03(s, d)[0]["management"],
     "c03_delete_users_rejects": lambda s, d: _c03(s, d)[1],
-    "c04_create_courses": lambda s, d: _c04(s, d)[0],
-    "c04_create_courses_created": lambda s, d: _c04(s, d)[1],
-    "c04_create_courses_rejects": lambda s, d: _c04(s, d)[2],
+    "c04_create_courses": lambda s, d: _c04(s, d)[0]["courses"],
+    "c04_create_courses_created": lambda s, d: _c04(s, d)[0]["created"],
+    "c04_create_courses_rejects": lambda s, d: _c04(s, d)[1],
     "c05_update_courses": lambda s, d: _c05(s, d)[0],
     "c05_update_courses_updated": lambda s, d: _c05(s, d)[1],
     "c05_update_courses_rejects": lambda s, d: _c05(s, d)[2],
@@ -361,14 +366,14 @@ CHANGES = {
     "c06_delete_courses_rejects": lambda s, d: _c06(s, d)[1],
     "c07_update_grades": lambda s, d: _c07(s, d)[0],
     "c07_update_grades_rejects": lambda s, d: _c07(s, d)[1],
-    "c08_take_attendance": lambda s, d: _c08(s, d)[0],
+    "c08_take_attendance": lambda s, d: _c08(s, d)[0]["attendance"],
     "c08_take_attendance_rejects": lambda s, d: _c08(s, d)[1],
-    "c09_create_assignments": lambda s, d: _c09(s, d)[0],
-    "c09_create_assignments_created": lambda s, d: _c09(s, d)[1],
-    "c09_create_assignments_rejects": lambda s, d: _c09(s, d)[2],
-    "c10_post_notices": lambda s, d: _c10(s, d)[0],
-    "c10_post_notices_created": lambda s, d: _c10(s, d)[1],
-    "c10_post_notices_rejects": lambda s, d: _c10(s, d)[2],
+    "c09_create_assignments": lambda s, d: _c09(s, d)[0]["assignments"],
+    "c09_create_assignments_created": lambda s, d: _c09(s, d)[0]["created"],
+    "c09_create_assignments_rejects": lambda s, d: _c09(s, d)[1],
+    "c10_post_notices": lambda s, d: _c10(s, d)[0]["notices"],
+    "c10_post_notices_created": lambda s, d: _c10(s, d)[0]["created"],
+    "c10_post_notices_rejects": lambda s, d: _c10(s, d)[1],
     "c11_pay_fees": lambda s, d: _c11(s, d)[0],
     "c11_pay_fees_rejects": lambda s, d: _c11(s, d)[1],
 }

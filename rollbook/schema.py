@@ -86,6 +86,7 @@ MSG_ACCESS_COURSE = "You do not have permission to access this course"
 MSG_ATTENDANCE_PERMISSION = "You do not have permission to take attendance for this course"
 MSG_ASSIGNMENT_PERMISSION = "You do not have permission to create assignments for this course"
 MSG_ASSIGNMENT_FIELDS = "Please provide title and total marks"
+MSG_ASSIGNMENT_DATE = "Please provide a valid due date"  # our own: the application leaves the date to the database
 MSG_NOTICE_FIELDS = "Please provide title and content"
 MSG_STUDENT_NOT_FOUND = "Student not found"
 MSG_FEE_NOT_FOUND = "Fee not found or does not belong to student"

@@ -56,7 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     else:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Local session without a configured folder (tests): make our own.
+        # Local session without a configured folder (tests): make our own.  On a
+        # cluster a machine-local folder would lose data, so there it is an error.
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="rollbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)

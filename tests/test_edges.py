@@ -95,7 +95,8 @@ def test_r8_falsy_values(spark):
         [(1, 21, 5, "T", None, None, Decimal(0)), (2, 21, 5, "T", "", "", Decimal(10))],
         "seq long, teacher_user_id long, course_id long, title string, description string, "
         "due_date string, total_marks decimal(18,0)")
-    new, created, rejects = changes.create_assignments(assignments, teachers, courses, batch, AS_OF)
+    out, rejects = changes.create_assignments(assignments, teachers, courses, batch, AS_OF)
+    created = out["created"]
     assert as_dicts(rejects) == [{"seq": 1, "reason": "Please provide title and total marks"}]
     [c] = as_dicts(created)
     assert c["description"] is None and c["due_date"] is None and c["total_marks"] == Decimal(10)
@@ -257,17 +258,18 @@ def test_c8_nested_records_and_rejects(spark):
     courses = table(spark, "courses", [{"course_id": 5, "teacher_id": 1}, {"course_id": 6, "teacher_id": 2}])
     attendance = table(spark, "attendance", [{"attendance_id": 7, "student_id": 1, "course_id": 5}])
     batch = spark.createDataFrame(
-        [(1, 21, 5, [(1, "present"), (2, "absent")]), (2, 21, 6, [(3, "present")]),
+        [(1, 21, 5, [(9, "present"), (2, "absent")]), (2, 21, 6, [(3, "present")]),
          (3, 21, 5, None), (4, 99, 5, [(4, "present")])],
         "seq long, teacher_user_id long, course_id long, records array<struct<student_id:long,status:string>>")
     requests, records = changes.nested_attendance(batch)
-    new, rej = changes.take_attendance(attendance, teachers, courses, requests, records, AS_OF)
+    out, rej = changes.take_attendance(attendance, teachers, courses, requests, records, AS_OF)
+    new = out["attendance"]
     assert as_dicts(rej, "seq") == [
         {"seq": 2, "reason": "You do not have permission to take attendance for this course"},
         {"seq": 3, "reason": "Please provide attendance records"},
         {"seq": 4, "reason": "Teacher not found"}]
     rows = as_dicts(new, "attendance_id")
-    assert [(r["attendance_id"], r["student_id"], r["status"]) for r in rows[1:]] == [(8, 1, "present"), (9, 2, "absent")]
+    assert [(r["attendance_id"], r["student_id"], r["status"]) for r in rows[1:]] == [(8, 9, "present"), (9, 2, "absent")]  # in the records' order
     assert all(r["attendance_date"] == AS_OF.date() for r in rows[1:])
 
 
@@ -286,7 +288,7 @@ def test_as_of_does_not_depend_on_session_time_zone(spark):
     try:
         for tz in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
             spark.conf.set("spark.sql.session.timeZone", tz)
-            new, _, _ = changes.post_notices(notices_t, batch, AS_OF)
+            new = changes.post_notices(notices_t, batch, AS_OF)[0]["notices"]
             [row] = [r for r in new.collect() if r["notice_id"] == 2]
             assert row["created_at"] == AS_OF, tz
     finally:
@@ -346,3 +348,68 @@ def test_q18_same_seq_for_different_students(spark):
                       [(5, 1, 1, "absent"), (5, 1, 2, "excused")])
     out = as_dicts(learning.attendance_sheet(roster, overrides), "student_id")
     assert [r["status"] for r in out] == ["absent", "excused"]
+
+
+def test_q18_repeated_and_null_seq(spark):
+    roster = frame(spark, "course_id long, student_id long", [(1, 1), (1, 2)])
+    overrides = frame(spark, "seq long, course_id long, student_id long, status string",
+                      [(5, 1, 1, "absent"), (5, 1, 1, "excused"), (None, 1, 2, "absent")])
+    out = as_dicts(learning.attendance_sheet(roster, overrides), "student_id")
+    assert [r["status"] for r in out] == ["excused", "absent"]
+
+
+def test_c3_takes_the_role_rows_along(spark):
+    users = table(spark, "users", [{"user_id": 1, "role": "student"}, {"user_id": 2, "role": "teacher"}])
+    students = table(spark, "students", [{"student_id": 1, "user_id": 1}, {"student_id": 2, "user_id": 9}])
+    teachers = table(spark, "teachers", [{"teacher_id": 1, "user_id": 2}])
+    management = table(spark, "management", [])
+    batch = frame(spark, "seq long, user_id long", [(1, 1), (2, 1), (3, 9)])
+    out, rej = changes.delete_users(users, students, teachers, management, batch)
+    assert [r["user_id"] for r in out["users"].collect()] == [2]
+    assert [r["user_id"] for r in out["students"].collect()] == [9]   # not an existing user: not deleted
+    assert out["teachers"].count() == 1
+    assert as_dicts(rej, "seq") == [{"seq": 2, "reason": "User not found"}, {"seq": 3, "reason": "User not found"}]
+
+
+def test_c9_bad_due_date_is_rejected(spark):
+    teachers = table(spark, "teachers", [{"teacher_id": 1, "user_id": 21}])
+    courses = table(spark, "courses", [{"course_id": 5, "teacher_id": 1}])
+    batch = spark.createDataFrame(
+        [(1, 21, 5, "T", None, "31/12/2025", Decimal(5)), (2, 21, 5, "T", None, "2025-12-31", Decimal(5))],
+        "seq long, teacher_user_id long, course_id long, title string, description string, "
+        "due_date string, total_marks decimal(18,0)")
+    out, rej = changes.create_assignments(table(spark, "assignments", []), teachers, courses, batch, AS_OF)
+    assert as_dicts(rej) == [{"seq": 1, "reason": "Please provide a valid due date"}]
+    assert [str(r["due_date"]) for r in out["created"].collect()] == ["2025-12-31"]
+
+
+def test_c2_user_without_a_role(spark):
+    users = table(spark, "users", [{"user_id": 1, "role": None}])
+    empty = {n: table(spark, n, []) for n in ("students", "teachers", "management")}
+    batch = frame(spark, "seq long, user_id long, name string, email string, phone_number string, department string, address string",
+                  [(1, 1, "N", None, None, None, None), (2, 2, "N", None, None, None, None)])
+    _, rej = changes.update_users(users, empty["students"], empty["teachers"], empty["management"], batch)
+    assert as_dicts(rej, "seq") == [{"seq": 1, "reason": "null profile not found"}, {"seq": 2, "reason": "User not found"}]
+
+
+def test_ids_do_not_meet_at_large_keys(spark):
+    from rollbook.sources import campus
+    key = frame(spark, "k long", [(1,), (10_000_001,), (20_000_001,), (10 ** 17,)])
+    ids = [r[0] for f in (campus.student_user, campus.teacher_user, campus.management_user, campus.unknown_user)
+           for r in key.select(f(key.k)).collect()]
+    assert len(set(ids)) == 16
+
+
+def test_display_stats_text(spark):
+    rows = frame(spark, "student_id long, total_classes long, present long, absent long", [(1, 16, 1, 15), (2, 0, 0, 0), (3, 3, 2, 1), (4, 5, 5, 0)])
+    out = as_dicts(learning.display_rows(rows, "stats"), "student_id")
+    assert [(r["present_text"], r["absent_text"], r["total_text"]) for r in out] == [
+        ("6.3%", "93.8%", "16"), ("0%", "0%", "0"), ("66.7%", "33.3%", "3"), ("100.0%", "0.0%", "5")]
+
+
+def test_presentation_order(spark):
+    from rollbook.plans.presentation import present
+    rows = frame(spark, "id long, code string", [(1, "b"), (2, None), (3, "a"), (4, "a")])
+    assert [r.id for r in present(rows, "course_catalog").collect()] == [2, 3, 4, 1]
+    dated = frame(spark, "id long, payment_date string", [(1, "2024"), (2, None), (3, "2025")])
+    assert [r.id for r in present(dated, "fee_detail").collect()] == [3, 1, 2]

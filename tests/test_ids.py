@@ -73,3 +73,59 @@ def test_deferred_outputs_run_only_what_is_read(spark):
         assert calls == [1]                            # shared step runs once
     finally:
         users_mod.number_rows = original
+
+
+def test_prefix_sums_over_many_partitions(spark):
+    """20,000 partitions: two levels of blocks, no literal per partition."""
+    import time
+    from rollbook.plans.ids import prefix_sums
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = spark.range(20_000).select(F.col("id").cast("int").alias("_part"), (F.col("id") % 7).alias("_n"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20000")
+        start = time.time()
+        planned = prefix_sums(counts, [])
+        assert time.time() - start < 10
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = {r["_part"]: r["_before"] for r in planned.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    running = 0
+    for p in range(20_000):
+        assert got[p] == running
+        running += p % 7
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+    from rollbook import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
+def test_clear_scratch(spark):
+    from rollbook.plans import materialize as m
+    import os
+    df = m.materialize(spark.range(3), "gone")
+    path = m._WRITTEN[-1].replace("file:", "")
+    kept, m._WRITTEN[:] = m._WRITTEN[:-1], m._WRITTEN[-1:]
+    assert df.count() == 3 and os.path.isdir(path)
+    assert m.clear_scratch(spark) == 1 and not os.path.exists(path)
+    m._WRITTEN[:] = kept

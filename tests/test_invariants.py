@@ -42,8 +42,8 @@ def test_deleted_course_leaves_catalog(spark):
 def test_inserted_ids_continue_after_max(spark):
     c = load_driver(spark, SF_SMALL)
     base = c.notices.agg({"notice_id": "max"}).first()[0]
-    new, _, rejects = R._c10(spark, SF_SMALL)
-    added = new.where(f"notice_id > {base}")
+    out, rejects = R._c10(spark, SF_SMALL)
+    added = out["notices"].where(f"notice_id > {base}")
     n = added.count()
     assert n + rejects.count() == R.batch_post_notices(spark, SF_SMALL).count()
     assert added.agg({"notice_id": "max"}).first()[0] == base + n

@@ -4,15 +4,15 @@ partition exchange, filters and projections reach the Parquet scan."""
 import pytest
 from conftest import SF_SMALL
 
-import __spark_entry__ as E
+from rollbook import registry
 from rollbook.plans.inspect import physical_plan, plan_flags
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_forbidden_operators(spark, name):
-    flags = plan_flags(E.queries()[name](spark, SF_SMALL))
+    flags = plan_flags(registry.queries()[name](spark, SF_SMALL))
     assert not flags & {"CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                         "ArrowEvalPython", "SinglePartition"}, flags
 
@@ -59,3 +59,18 @@ def test_bucketed_snapshots_join_without_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS enrollments_by_student")
         spark.sql("DROP TABLE IF EXISTS students_by_student")
+
+
+def test_selected_keys_reach_the_facts_before_the_counts(spark):
+    """With a key filter a semi join stands below the partial aggregate."""
+    from rollbook import registry as R
+    for query in (R.q07_attendance_stats_one, R.q10_fee_stats_one, R.q11_teacher_course_load_one, R.q13_course_catalog_teacher):
+        plan = physical_plan(query(spark, SF_SMALL))
+        partial = plan.index("partial_")
+        assert "LeftSemi" in plan[partial:], query.__name__
+
+
+def test_rejects_of_an_attendance_batch_read_no_record(spark):
+    from rollbook import registry_changes as R
+    rejects = R.CHANGES["c08_take_attendance_rejects"](spark, SF_SMALL)
+    assert "lineitem" not in physical_plan(rejects)
