@@ -128,10 +128,11 @@ def _confirm(batches, words: int, percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
+    # Whatever the number of pairs, texts are joined by a sort-merge join, never a broadcast.
     leaders = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TARGET_MEMBERS).cast("int").alias("parts"))
     members = pairs.join(leaders, "a").select(F.col("b").alias("id"), "a", F.expr("pmod(hash(b), parts)").alias("part"), F.lit(1).alias("role"))
     heads = leaders.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    wanted = members.unionByName(heads).join(texts, "id").select("a", "part", "role", "id", "text")
+    wanted = members.unionByName(heads).join(texts.hint("merge"), "id").select("a", "part", "role", "id", "text")
     dealt = wanted.repartition(spread(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role")
     return dealt.mapInArrow(lambda batches: _confirm(batches, words, percent), "a long, b long")
 
@@ -165,11 +166,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     shared = shared.join(weight, "id")
 
     def headed(members: DataFrame) -> DataFrame:
-        """``members`` with the id ``a`` (and weight) that leads their bucket."""
-        heads = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("head"))
-        return members.join(heads, "key").withColumn("a", -F.col("head.minus")).withColumn("wa", F.col("head.w")).drop("head")
+        """``members`` with the id ``a`` (its weight ``wa``, component ``ca``) that leads their bucket."""
+        heads = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), "c")).alias("head"))
+        heads = heads.select("key", (-F.col("head.minus")).alias("a"), F.col("head.w").alias("wa"), F.col("head.c").alias("ca"))
+        return members.join(heads, "key")
 
-    led = stored(headed(shared), "led")
+    led = stored(headed(shared.withColumn("c", F.col("id"))).drop("c", "ca"), "led")
     places = nodes.select("rep", "n", "sig")
     least = least_matches(hashes, percent / 100)
 
@@ -185,17 +187,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     one = led.where("id <> a").groupBy(F.col("id").alias("b")).agg(F.max(F.struct("wa", (-F.col("a")).alias("minus"))).alias("top"))
     links = confirmed(one.select((-F.col("top.minus")).alias("a"), "b"), "top")
 
-    def with_components(members: DataFrame) -> DataFrame:
-        labels = components(links)
-        own = members.join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        return own.join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-
     # 2. Against the leaders of all buckets, where the components differ.
-    links = links.unionByName(confirmed(with_components(led).where("c <> ca").select("a", F.col("id").alias("b")), "leaders"))
+    labels = components(links)
+    members = (led.join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+               .join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a")))
+    found = members.where("c <> ca").select("a", F.col("id").alias("b"))
 
     # 3. Buckets that still hold several components.
-    members = with_components(led).drop("a", "ca", "wa")
-    found = None
+    members = members.drop("a", "ca", "wa")
     for level in range(LEVELS + 1):
         mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1").select("key", "members")
         members = stored(members.join(mixed, "key"), f"mixed-{level}")
@@ -204,9 +203,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
                  .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b"))
         large = members.where(F.col("members") > SMALL).drop("members")
         if level:
-            leaders = headed(large).where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+            leaders = headed(large).where("c <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
             pairs = pairs.unionByName(leaders)
-        found = pairs if found is None else found.unionByName(pairs)
+        found = found.unionByName(pairs)
         # The key of a large bucket is lengthened by the next group.
         number, side = level // 2 + 1, level % 2
         at = F.pmod(F.col("ij"[side]) + number, F.lit(groups))
