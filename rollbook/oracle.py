@@ -335,6 +335,27 @@ UNION ALL
 SELECT o_orderkey * 2 + 1, o_custkey * 4 + 1, o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'
 """
 
+REQUESTS = """
+SELECT c_custkey * 2 AS seq, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey * 4 ELSE c_custkey * 4 + 1 END AS user_id
+FROM customer
+UNION ALL
+SELECT s_suppkey * 2 + 1, CASE WHEN s_acctbal < 0 THEN s_suppkey * 4 ELSE s_suppkey * 4 + 2 END FROM supplier
+"""
+READS["q01_user_by_id"] = f"SELECT id AS user_id, * EXCLUDE (id) FROM ({READS['q01_user_directory']}) q"
+# Requests name users; the answer's key (a user id, or a role table's id) is a user id times 1, or follows from it.
+for _name, _key, _to_user, _message in (
+        ("q01_user_by_id", "user_id", "{}", "User not found"),
+        ("q02_student_profile", "user_id", "{}", "Student profile not found"),
+        ("q03_teacher_profile", "user_id", "{}", "Teacher profile not found"),
+        ("q09_fee_detail", "student_id", "{} * 4 + 1", "Student not found"),
+        ("q10_fee_stats", "student_id", "{} * 4 + 1", "Student not found"),
+        ("q11_teacher_course_load", "teacher_id", "{} * 4 + 2", "Teacher not found")):
+    _users = {"student_id": "SELECT c_custkey * 4 + 1 FROM customer", "teacher_id": "SELECT s_suppkey * 4 + 2 FROM supplier"}.get(
+        _key, f"SELECT user_id FROM ({READS[_name]}) k")
+    READS[f"{_name}_requests"] = f"SELECT r.seq, q.* FROM ({REQUESTS}) r JOIN ({READS[_name]}) q ON {_to_user.format('q.' + _key)} = r.user_id"
+    READS[f"{_name}_requests_rejects"] = f"SELECT seq, '{_message}' AS reason FROM ({REQUESTS}) r WHERE user_id NOT IN ({_users})"
+del READS["q01_user_by_id"]
+
 # The key-filtered forms: the unfiltered answer restricted to student 7, teacher 4, course 12.
 for _name, _key in (("q04_student_courses", "student_id = 7"), ("q05_student_grades", "student_id = 7"),
                     ("q07_attendance_stats", "student_id = 7"), ("q09_fee_detail", "student_id = 7"),

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators import billing, directory, learning, notices
+from rollbook.operators.keys import role_key
+from rollbook.operators.requests import read_for
 from rollbook.plans.materialize import scratch_path
 from rollbook.plans.presentation import present
+from rollbook.schema import MSG_STUDENT_NOT_FOUND, MSG_TEACHER_NOT_FOUND, MSG_USER_NOT_FOUND
 from rollbook.sources import read_changes, read_table, write_result, write_snapshot
 from rollbook.sources.campus import Campus, driver_table, load_driver, student_user, teacher_user, unknown_user
 
@@ -252,6 +255,36 @@ def s03_changes_from_json(spark, sf_dir):
     return read_changes(spark, path, batch_pay_fees(spark, sf_dir).schema)
 
 
+def batch_reads(spark, sf_dir) -> DataFrame:
+    """One read request per customer and supplier; some name nobody's id, and
+    to a student's read every teacher is unknown."""
+    customer, supplier = _raw(spark, sf_dir, "customer"), _raw(spark, sf_dir, "supplier")
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    return (customer.select((c * 2).alias("seq"), F.when(F.col("c_mktsegment") == "BUILDING", unknown_user(c)).otherwise(student_user(c)).alias("user_id"))
+            .unionByName(supplier.select((s * 2 + 1).alias("seq"), F.when(F.col("s_acctbal") < 0, unknown_user(s)).otherwise(teacher_user(s)).alias("user_id"))))
+
+
+def _read_requests(spark, sf_dir) -> dict:
+    """name -> (rows, rejects) of the reads that answer "not found"."""
+    c, requests = _campus(spark, sf_dir), batch_reads(spark, sf_dir)
+    student, teacher = role_key(c.students, "student_id"), role_key(c.teachers, "teacher_id")
+    profiles = {"q02_student_profile": (directory.student_profile(c.students, c.users), "Student profile not found"),
+                "q03_teacher_profile": (directory.teacher_profile(c.teachers, c.users), "Teacher profile not found"),
+                "q01_user_by_id": (directory.user_directory(c.users, c.students, c.teachers, c.management)
+                                   .withColumnRenamed("id", "user_id"), MSG_USER_NOT_FOUND)}
+    by_key = {"q09_fee_detail": (student, billing.fee_detail(c.students, c.fees), "student_id", MSG_STUDENT_NOT_FOUND),
+              "q10_fee_stats": (student, billing.fee_stats(c.students, c.fees), "student_id", MSG_STUDENT_NOT_FOUND),
+              "q11_teacher_course_load": (teacher, learning.teacher_course_load(c.teachers, c.courses, c.enrollments), "teacher_id", MSG_TEACHER_NOT_FOUND)}
+    return ({n: read_for(requests, rows.select("user_id").distinct(), rows, "user_id", m) for n, (rows, m) in profiles.items()}
+            | {n: read_for(requests, *args) for n, args in by_key.items()})
+
+
+def _request_queries() -> dict:
+    names = ["q01_user_by_id", "q02_student_profile", "q03_teacher_profile", "q09_fee_detail", "q10_fee_stats", "q11_teacher_course_load"]
+    out = {f"{n}_requests": (lambda s, d, n=n: _read_requests(s, d)[n][0]) for n in names}
+    return out | {f"{n}_requests_rejects": (lambda s, d, n=n: _read_requests(s, d)[n][1]) for n in names}
+
+
 READS: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()
                            if name[0] in "qs" and name[1:3].isdigit() and callable(fn)}
 
@@ -259,7 +292,7 @@ READS: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()
 def queries() -> dict[str, Query]:
     from rollbook.registry_changes import CHANGES
     from rollbook.registry_declared import DECLARED
-    out = dict(READS)
+    out = {**READS, **_request_queries()}
     out.update(CHANGES)
     out.update(DECLARED)
     return out
