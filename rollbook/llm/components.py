@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating stars.
 
 Each round hooks every node's larger neighbours, then its smaller ones, to its
-smallest neighbour; it ends when no link changes.  Links stay in tables; only
-one row of totals a round comes to the driver.
+smallest neighbour; it ends when all that is left are stars around their
+smallest nodes.  Links stay in tables; only the answer to that question comes
+to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def _least(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -28,15 +29,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_flat(links: DataFrame) -> bool:
+    """No node has two smaller neighbours, or a smaller and a larger one."""
+    ends = (links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, c) of every node of ``links`` (a, b): c is the smallest id of its
     component.  Null ends and loops are left out; no links, no rows."""
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    before = None
-    while True:
-        total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if total == before or not total[0]:
-            break
-        before = total
+    while not _is_flat(now):
         now = stored(_small_star(_large_star(now)), "stars")
     return now.select(F.col("u").alias("id"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())

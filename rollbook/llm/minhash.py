@@ -193,24 +193,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
                .join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a")))
     found = members.where("c <> ca").select("a", F.col("id").alias("b"))
 
-    # 3. Buckets that still hold several components.
-    members = members.drop("a", "ca", "wa")
-    for level in range(LEVELS + 1):
-        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1").select("key", "members")
-        members = stored(members.join(mixed, "key"), f"mixed-{level}")
-        small = members.where(F.col("members") <= SMALL)
-        pairs = (small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(small.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key")
-                 .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b"))
-        large = members.where(F.col("members") > SMALL).drop("members")
-        if level:
-            leaders = headed(large).where("c <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-            pairs = pairs.unionByName(leaders)
-        found = found.unionByName(pairs)
-        # The key of a large bucket is lengthened by the next group.
-        number, side = level // 2 + 1, level % 2
-        at = F.pmod(F.col("ij"[side]) + number, F.lit(groups))
-        members = (large.join(hashed.select(F.col("rep").alias("id"), F.col(f"g{side}").alias("g")), "id")
-                   .withColumn("key", F.xxhash64("key", F.col("g")[at])).drop("g"))
+    # 3. Buckets that still hold several components, the large ones with keys
+    # lengthened by one group after the other (1 to LEVELS of them).
+    def mixed(members: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        several = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1")
+        found = stored(members.join(several.select("key", "members"), "key"), label)
+        return found.where(F.col("members") <= SMALL).drop("members"), found.where(F.col("members") > SMALL).drop("members")
+
+    def across(small: DataFrame) -> DataFrame:
+        left, right = small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+        return left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
+
+    small, large = mixed(members.drop("a", "ca", "wa"), "mixed")
+    longer, key = [], F.col("key")
+    for level in range(LEVELS):
+        side = level % 2
+        key = F.xxhash64(key, F.col(f"g{side}")[F.pmod(F.col("ij"[side]) + level // 2 + 1, F.lit(groups))])
+        longer.append(key)
+    lengthened = large.join(hashed.withColumnRenamed("rep", "id"), "id").select("id", "w", "c", F.explode(F.array(*longer)).alias("key"))
+    split, still_large = mixed(lengthened, "lengthened")
+    leaders = headed(still_large).where("c <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    found = found.unionByName(across(small)).unionByName(across(split)).unionByName(leaders)
     links = stored(links.unionByName(confirmed(found, "rest")).distinct(), "all-links")
     labels = components(links)
 
