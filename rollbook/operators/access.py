@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.keys import role_key
+from rollbook.operators.keys import left_join_nullable, role_key
 from rollbook.plans.batches import wanted
 from rollbook.schema import MSG_ACCESS_COURSE, MSG_GRADE_PERMISSION, MSG_TEACHER_NOT_FOUND
 
@@ -25,7 +25,7 @@ def with_teacher(requests: DataFrame, teachers: DataFrame, user_col: str = "teac
     """Add ``teacher_id`` (NULL when the user has no Teachers row)."""
     tk = role_key(teachers, "teacher_id", requests=requests, request_col=user_col) \
         .withColumnRenamed("user_id", user_col)
-    return requests.join(tk, user_col, "left")
+    return left_join_nullable(requests, tk, user_col, "seq")
 
 
 def course_access_check(requests: DataFrame, teachers: DataFrame, courses: DataFrame,

@@ -25,6 +25,16 @@ def role_key(role_table: DataFrame, key: str, user_id: int | None = None,
     return t.groupBy("user_id").agg(F.min(key).alias(key))
 
 
+def left_join_nullable(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """``left`` left-joined with ``right`` on ``key``, the rows whose key is
+    NULL dealt out by ``by``: they match nothing, yet would all be shuffled
+    to one task."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(1024)))
+    return (left.withColumn("_spread", F.coalesce(spread, F.lit(-1).cast("long")))
+            .join(right.withColumn("_spread", F.when(F.col(key).isNull(), F.lit(-2)).otherwise(F.lit(-1)).cast("long")), [key, "_spread"], "left")
+            .drop("_spread"))
+
+
 def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Restrict ``df`` to the given keys without fan-out (left semi join)."""
     return df.join(keys.select(key), key, "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import contains_any, count_if_eq, pct, where_all
-from rollbook.operators.keys import only_keys, role_key
+from rollbook.operators.keys import left_join_nullable, only_keys, role_key
 from rollbook.schema import (
     ATTENDANCE_ABSENT, ATTENDANCE_EXCUSED, ATTENDANCE_PRESENT, SHOW_NO_FEEDBACK,
     SHOW_NO_PROGRESS, SHOW_NO_TEACHER, SHOW_NOT_GRADED,
@@ -142,7 +142,7 @@ def course_catalog(courses: DataFrame, teachers: DataFrame, enrollments: DataFra
     t = teachers.select("teacher_id", F.col("name").alias("teacher_name"))
     if teacher_id or search:  # before the counts
         enrollments = only_keys(enrollments, c, "course_id")
-    return (c.join(t, "teacher_id", "left")
+    return (left_join_nullable(c, t, "teacher_id", "course_id")
              .join(enrollment_counts(enrollments), "course_id", "left")
              .select(F.col("course_id").alias("id"), F.col("course_code").alias("code"),
                      F.col("course_name").alias("name"), "schedule", "teacher_id", "teacher_name",

@@ -21,7 +21,7 @@ COUNTED = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Broadcast
 def main() -> None:
     from rollbook.plans.inspect import physical_plan
     from rollbook.session import get_session
-    import __spark_entry__ as E
+    from rollbook import registry
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("local[8]", 8)
     lines = ["# PLANS", "",
@@ -29,18 +29,23 @@ def main() -> None:
              "8 shuffle partitions (`python tests/plan_report.py`). Counts are operators in the",
              "final plan; a join counted as BroadcastHashJoin was planned as a shuffle join and",
              "converted by AQE after measuring its smaller side, or was under the broadcast threshold.",
-             "", "| query | hash exch. | range exch. | bcast exch. | BHJ | SMJ | SHJ | HashAgg | SortAgg | scans |",
-             "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
-    for name, fn in E.queries().items():
+             "", "| query | hash exch. | range exch. | bcast exch. | BHJ | SMJ | SHJ | HashAgg | SortAgg | scans | jobs | stages |",
+             "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
+    tracker = spark.sparkContext.statusTracker()
+    for name, fn in registry.queries().items():
+        spark.sparkContext.setJobGroup(name, name)
         df = fn(spark, sf)
         df.collect()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(name)]
+        ran = [len(jobs), sum(len(j.stageIds) for j in jobs if j)]
         plan = physical_plan(df, "simple")
         final = plan.split("== Initial Plan ==")[0]
         counts = [len(re.findall(re.escape(k), final)) for k in COUNTED]
-        lines.append(f"| {name} | " + " | ".join(str(c) for c in counts) + " |")
+        lines.append(f"| {name} | " + " | ".join(str(c) for c in counts + ran) + " |")
         print(name, counts, flush=True)
-    lines += ["", "Helper jobs that run before a query's own plan (current maximum id, per-partition",
-              "counts for dense ids, materialized intermediates) are not in these counts.", ""]
+    lines += ["", "Operators are those of a query's own last plan.  Jobs and stages are all that ran for it,",
+              "with the helper jobs (current maximum id, counts for dense ids, scratch tables) and",
+              "stages that were skipped because their shuffle files were there.", ""]
     with open(os.path.join(os.path.dirname(HERE), "PLANS.md"), "w") as f:
         f.write("\n".join(lines))
 

@@ -101,3 +101,23 @@ def test_hot_domain_id_claims(skewed):
     assert rej == expect
     new = {r["domain_id"]: r["user_id"] for r in out["users"].collect() if r["user_id"] > 1}
     assert new == {dom: 1 + k + 1 for k, (_, dom) in enumerate(created)}
+
+
+def test_null_keys_are_dealt_out(spark):
+    """A third of a million requests without a key do not meet in one task."""
+    from pyspark.sql import functions as F
+    from rollbook.operators.keys import left_join_nullable
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(1_000_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 != 0, F.col("id") % 1000).alias("k"))
+        right = spark.range(500).select(F.col("id").alias("k"), F.col("id").alias("v")).unionByName(
+            spark.createDataFrame([(None, 7)], "k long, v long"))
+        out = left_join_nullable(left, right, "k", "seq")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1_000_000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        assert out.where("v is not null").count() == left.where("k < 500").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
