@@ -22,7 +22,7 @@ Defined results: vectors that are null, zero, empty or hold null or non-finite
 components take no part, neither do null ids; vectors of another dimension are
 no candidates of a query.  A query's own id is no candidate.  Ties go to the
 smaller id; a candidate id that comes up in several rows is ranked for each.
-Repeated query rows are one query each, and share its answer.  With fewer than
+Rows of one query id share one ranked list of ``k``; equal ones are one query.  With fewer than
 ``k`` candidates, all are returned.  Only ``id_col`` and ``vector_col`` are
 read.
 """
