@@ -181,8 +181,8 @@ def fit(docs: DataFrame, max_documents: int = 300, id_col: str = "doc_id", text_
     documents as negatives."""
     text = F.coalesce(text_of(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(max_documents).distinct()
-    lines = (docs.select(F.col(id_col).alias("id"), F.split(text, "\n").alias("ls")).join(F.broadcast(plain), "id")
-             .select("id", F.filter("ls", lambda x: F.length(F.trim(x)).between(1, 2000) & ~F.lower(x).rlike("|".join(CUES))).alias("ls"))
+    lines = (docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(plain), "id")
+             .select("id", F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)).between(1, 2000) & ~F.lower(x).rlike("|".join(CUES))).alias("ls"))
              .where(F.size("ls") > 0).groupBy("id").agg(F.min(F.col("ls")[0]).alias("line")))
     return train([r.line for r in sorted(lines.collect(), key=lambda r: str(r.id))])
 
