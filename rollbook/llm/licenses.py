@@ -179,12 +179,12 @@ def train(negatives: list[str], seed: int = 8, variants: int = 30, rounds: int =
 def fit(docs: DataFrame, max_documents: int = 300, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Train with the first cue-free paragraph of at most ``max_documents``
     documents as negatives."""
-    text = F.coalesce(text_of(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(max_documents).distinct()
-    lines = (docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(plain), "id")
+    lines = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(plain), "id")
              .select("id", F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)).between(1, 2000) & ~F.lower(x).rlike("|".join(CUES))).alias("ls"))
-             .where(F.size("ls") > 0).groupBy("id").agg(F.min(F.col("ls")[0]).alias("line")))
-    return train([r.line for r in sorted(lines.collect(), key=lambda r: str(r.id))])
+             # A filter on the lines would be pushed below the join, to all documents.
+             .groupBy("id").agg(F.min(F.get("ls", F.lit(0))).alias("line")))
+    return train([r.line for r in sorted(lines.collect(), key=lambda r: str(r.id)) if r.line is not None])
 
 
 def scan(docs: DataFrame, model: dict, min_probability: float = 0.5, min_similarity: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
