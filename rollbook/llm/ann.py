@@ -96,10 +96,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, slack: float = 1.
             .where(_usable(F.col("v"))).withColumn("dim", F.size("v")))
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()  # one row
     blocks, query_blocks = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
-    base = (rows.withColumn("b", deal(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-            .select("dim", "b", "qb", "id", "v"))
-    asks = (rows.where("q").dropDuplicates(["id", "v"]).withColumn("qb", deal(query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    # Keys of both sides are longs: a cogroup does not bring their types together.
+    def deal(n):
+        return F.pmod(F.xxhash64("id", "v"), F.lit(n).cast("long"))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    base = rows.withColumn("b", deal(blocks)).withColumn("qb", every(query_blocks)).select("dim", "b", "qb", "id", "v")
+    asks = (rows.where("q").dropDuplicates(["id", "v"]).withColumn("qb", deal(query_blocks)).withColumn("b", every(blocks))
             .select("dim", "b", "qb", "id", "v"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

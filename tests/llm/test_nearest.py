@@ -47,7 +47,11 @@ def test_error_bound_holds_mostly():
 
 
 @pytest.mark.parametrize("block", [40, 16_384])
-def test_ties_odd_vectors_and_blocks(spark, monkeypatch, block):
+def test_ties_odd_vectors_and_blocks(spark, monkeypatch, request, block):
+    # Keep the shuffle partitions apart, so that groups must really meet.
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     monkeypatch.setattr(ann, "BLOCK", block)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     random = np.random.default_rng(5)
