@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rollbook.llm.common import text_of
+from rollbook.llm.common import small_batches, text_of
 
 NONE = 1 << 30
 
@@ -277,6 +277,7 @@ def in_portions(texts, chars: int = 2_000_000):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text: ``id_col``, ``n_tokens`` long and ``ids``, the
     ids as little-endian unsigned 32-bit integers."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches):
@@ -295,26 +296,33 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col), text_of(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+class Decoder:
+    """The tokens' strings joined by spaces, as for files that name no
+    decoder; ids outside the vocabulary are left out."""
+
+    def __init__(self, strings: dict[int, str]):
+        self.table = np.empty(max(strings) + 2, dtype=object)  # the last place: unknown
+        for i, s in strings.items():
+            self.table[i] = s
+
+    def decode(self, ids: bytes | None) -> str:
+        at = np.minimum(np.frombuffer(ids or b"", dtype="<u4"), len(self.table) - 1)
+        found = self.table[at].tolist()
+        return " ".join(found if None not in found else [s for s in found if s is not None])
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text that the ids stand for in ``out_col`` (an
-    existing column of that name is replaced): the tokens' strings joined by
-    spaces, as for files that name no decoder.  Null ids give the empty text;
-    ids outside the vocabulary are left out."""
+    existing column of that name is replaced).  Null ids give the empty text."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(read_vocabulary(path)).strings)
     rest = [c for c in encoded.columns if c != out_col]
     at = rest.index(ids_col)
 
     def run(batches):
-        strings = shared.value
-        table = np.empty(max(strings) + 2, dtype=object)
-        for i, s in strings.items():
-            table[i] = s
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            out = []
-            for x in batch.column(at):
-                ids = np.frombuffer(x.as_py() or b"", dtype="<u4")
-                found = table[np.minimum(ids, len(table) - 1)].tolist()
-                out.append(" ".join(found if None not in found else [s for s in found if s is not None]))
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            out = [decoder.decode(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded_text"])
 
     frame = encoded.select(*rest)
@@ -323,3 +331,26 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return (frame.toDF(*names)
             .mapInArrow(run, T.StructType([T.StructField(n, f.dataType) for n, f in zip([*names, "decoded_text"], schema.fields)]))
             .toDF(*rest, out_col))
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: ``id_col``,
+    ``n_tokens``, ``ids`` and ``decoded``, the text that the ids stand for."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(batches):
+        vocabulary = Vocabulary(shared.value)
+        encoder, decoder = WordEncoder(vocabulary), Decoder(vocabulary.strings)
+        for batch in batches:
+            start = 0
+            for part in in_portions(map(pa.StringScalar.as_py, batch.column(1))):
+                ids = encoder.encode_many(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(map(decoder.decode, ids), pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+                start += len(ids)
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return docs.select(F.col(id_col), text_of(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)

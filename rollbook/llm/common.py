@@ -41,3 +41,15 @@ class Bounded(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session Arrow batches hold at most 1,000 rows and
+    8 MB.  Batches of texts lie outside the heap, several at a time for each
+    task, so the defaults (10,000 rows, 64 MB) take more memory than a task's
+    share."""
+    for key, most, unit in (("maxRecordsPerBatch", 1000, ""), ("maxBytesPerBatch", 8 << 20, "b")):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(name, f"{most}{unit}")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rollbook.llm.common import text_of
+from rollbook.llm.common import small_batches, text_of
 
 # Notices by which works commonly name their licence.
 TEMPLATES = {
@@ -191,6 +191,7 @@ def scan(docs: DataFrame, model: dict, min_probability: float = 0.5, min_similar
     """Per document ``n_paragraphs`` and ``found``: an array of (paragraph,
     start, end, family, probability, similarity, confirmed) in text order
     (paragraphs from 1, code points, end exclusive)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found_type = T.ArrayType(T.StructType([
         T.StructField("paragraph", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("family", T.StringType()),

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rollbook.llm.common import text_of
+from rollbook.llm.common import small_batches, text_of
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -177,6 +177,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 def judge(docs: DataFrame, model, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: base counts, ``base_failed``, ``content_lines`` (numbers
     of the lines marked content, from 0), ``content_share`` and ``kept``."""
+    small_batches(docs.sparkSession)
     w, move = model
 
     def run(batches):

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rollbook.llm.common import spread, stored, text_of
+from rollbook.llm.common import small_batches, spread, stored, text_of
 
 # The characters stripped at both ends of a line's key.
 STRIPPED = " \t\n\v\f\r"
@@ -152,6 +152,7 @@ def _apply(batches, at: int):
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with dropped lines cut from the text, and ``__n_lines`` (before
     the cut) and ``__n_dropped`` appended."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     kinds = docs.schema.fields
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))

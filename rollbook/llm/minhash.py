@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollbook.llm.common import Bounded, spread, stored, text_of
+from rollbook.llm.common import Bounded, small_batches, spread, stored, text_of
 from rollbook.llm.components import components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     """``id_col``, ``tk`` (hash of the row's text), ``n_shingles``,
     ``component_id`` (smallest id reachable by links of ``percent`` % or more)
     and ``kept`` of every row."""
+    small_batches(docs.sparkSession)
     hashes = 2 * groups * rows
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     signed = stored(

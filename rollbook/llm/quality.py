@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rollbook.llm.common import text_of
+from rollbook.llm.common import small_batches, text_of
 
 KINDS = 20  # classes of bytes in the form trigrams
 WORD_STATS = 10
@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     """Fit on the training folds (rows that are not ``held_out``): at most
     ``max_positive`` documents that ``labels`` (doc_id, quality) marks 1 and
     ``max_unlabelled`` documents of any label."""
+    small_batches(docs.sparkSession)
+
     def sample(ids: DataFrame, most: int, kind: int) -> DataFrame:
         picked = ids.where(F.col("id").isNotNull() & ~held_out("id")).select("id").distinct()
         return picked.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("kind", F.lit(kind))
@@ -207,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``id_col``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from
     ``threshold``) of every document."""
+    small_batches(docs.sparkSession)
     weights, constant, prior = model.weights, model.constant, model.prior
 
     def run(batches):
@@ -223,6 +226,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more."""
     weights, constant, prior = model.weights, model.constant, model.prior
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rollbook.llm.bpe import SPACES, Vocabulary, byte_symbols, in_portions, merge, merge_words, read_vocabulary
-from rollbook.llm.common import text_of
+from rollbook.llm.common import small_batches, text_of
 
 
 def whole_tokens(vocabulary: Vocabulary) -> set[str]:
@@ -89,6 +89,7 @@ class TokenCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``
     (``n_tokens > limit``) of every whole text."""
+    small_batches(docs.sparkSession)
     spec = read_vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(Vocabulary(spec))))
 

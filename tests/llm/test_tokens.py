@@ -77,6 +77,8 @@ def test_odd_rows(odd, empty):
     encoded = bpe.encode(odd, WORD)
     out = bpe.decode(encoded, WORD).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("a"), F.sha2("decoded", 256).alias("b")).collect()
     assert sorted((r.n_tokens, r.a, r.b) for r in out) == sorted(map(expected_round_trip, texts))
+    both = bpe.round_trip(odd, WORD).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("a"), F.sha2("decoded", 256).alias("b")).collect()
+    assert sorted((r.n_tokens, r.a, r.b) for r in both) == sorted((r.n_tokens, r.a, r.b) for r in out)
     t = Tokenizer.from_file(BYTE)
     counts = token_counts.token_counts(odd, BYTE).collect()
     assert sorted((r.n_bytes, r.n_tokens) for r in counts) == sorted((len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for x in texts)
