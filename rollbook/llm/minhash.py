@@ -14,9 +14,13 @@ of its buckets (the weight of an id is the number of others it meets, so the
 middle of a group leads), then, where the components of the links found so far
 differ, against the leaders of all its buckets.  Of what still lies in one
 bucket but in several components, buckets of up to ``SMALL`` ids compare all
-such pairs; larger ones are split by lengthening their keys, group by group, as
-in an LSH forest, and treated alike.  As a pair at the threshold meets in about
-26 of 64 tables, it withstands the splits in several of them.
+such pairs.  The ids of larger ones are joined on their rarest shingles: two
+sets that reach the similarity share one of the first
+``n - ceil(2 * percent * n / (100 + percent)) + 1`` shingles of the smaller set
+and the first ``n - ceil(percent * n / 100) + 1`` of the larger, in any one
+order of all shingles, so no pair of these ids is left out.  The order goes by
+counts in a table of ``SKETCH`` cells; what a templated family shares comes
+last in it, and its members do not meet by it.
 Before texts are fetched, pairs go whose set sizes alone rule the similarity
 out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
@@ -44,7 +48,8 @@ from rollbook.llm.common import Bounded, small_batches, spread, stored, text_of
 from rollbook.llm.components import components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
-SMALL, LEVELS = 16, 4
+SMALL = 16  # ids of a bucket that are all compared
+SKETCH, BLOCK = 1 << 20, 256  # cells of shingle counts; ids of a shingle in one block of the join
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -137,6 +142,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return dealt.mapInArrow(lambda batches: _confirm(batches, words, percent), "a long, b long")
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
+
+
+def _shingle_counts(batches, words: int):
+    """Rows (id, c, text): in how many texts the shingles of a cell are."""
+    shingler, counts = Shingler(words), np.zeros(SKETCH, dtype=np.int64)
+    for batch in batches:
+        for t in batch.column(2):
+            np.add.at(counts, _cells(shingler(t.as_py())), 1)
+    used = np.flatnonzero(counts)
+    for at in range(0, len(used), 50_000):
+        cells = used[at:at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(batches, words: int, percent: int, counts: np.ndarray):
+    """Rows (id, c, text): the rarest shingles of each text, ``inner`` for those
+    by which it meets larger sets."""
+    shingler = Shingler(words)
+    for batch in batches:
+        columns = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
+        for i, c, t in zip(*batch.columns):
+            s = shingler(t.as_py())
+            n = len(s)
+            outer, inner = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+            first = s[np.lexsort((s, counts[_cells(s)]))[:outer]]
+            for column, x in zip(columns, (first.view(np.int64), *(np.full(len(first), y.as_py()) for y in (i, c)), np.full(len(first), n), np.arange(len(first)) < inner)):
+                column.append(x)
+        token, ids, cs, ns, inner = (np.concatenate(x) for x in columns)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(cs), pa.array(ns), pa.array(inner.astype(bool))],
+                                         names=["token", "id", "c", "n", "inner"])
+
+
+def _rare_pairs(ids: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``ids`` (id, c) with unequal c that may reach the
+    similarity, every one that does among them."""
+    spark = ids.sparkSession
+    own = stored(ids.join(texts.hint("merge"), "id").select("id", "c", "text"), "large-texts")
+    cells = own.mapInArrow(lambda batches: _shingle_counts(batches, words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    rows = stored(own.mapInArrow(lambda batches: _prefixes(batches, words, percent, shared.value), "token long, id long, c long, n long, inner boolean"), "prefixes")
+    met = (rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("ids")).where("c0 < c1")
+           .select("token", F.ceil(F.col("ids") / BLOCK).cast("int").alias("blocks")))
+    # A shingle of many ids is joined block with block.
+    dealt = rows.join(met, "token").withColumn("own", F.pmod(F.hash("id"), "blocks"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.where("inner").select("token", F.col("own").alias("x"), each.alias("y"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    right = dealt.select("token", each.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    pairs = left.join(right, ["token", "x", "y"]).where(
+        (F.col("ca") != F.col("cb")) & (F.struct("na", "a") < F.struct(F.col("nb").alias("na"), F.col("b").alias("a"))) & (F.col("na") * 100 >= F.col("nb") * percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 8, rows: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``tk`` (hash of the row's text), ``n_shingles``,
@@ -158,21 +219,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
 
     collections = [F.array(*[F.xxhash64(F.lit(i), group(i)) for i in range(c * groups, (c + 1) * groups)]) for c in (0, 1)]
     hashed = nodes.select("rep", collections[0].alias("g0"), collections[1].alias("g1"))
-    keys = (hashed.select("rep", F.posexplode("g0").alias("i", "first"), "g1").select("rep", "i", "first", F.posexplode("g1").alias("j", "second"))
-            .select(F.xxhash64("first", "second").alias("key"), "i", "j", F.col("rep").alias("id")))
+    keys = (hashed.select("rep", F.explode("g0").alias("first"), "g1").select("rep", "first", F.explode("g1").alias("second"))
+            .select(F.xxhash64("first", "second").alias("key"), F.col("rep").alias("id")))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = stored(keys.join(sizes.select("key", "size"), "key"), "buckets")  # buckets of two or more ids
     # How many others an id meets; the middle of a group meets most of it.
     weight = stored(shared.groupBy("id").agg(F.sum("size").alias("w")), "weights")
     shared = shared.join(weight, "id")
 
-    def headed(members: DataFrame) -> DataFrame:
-        """``members`` with the id ``a`` (its weight ``wa``, component ``ca``) that leads their bucket."""
-        heads = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), "c")).alias("head"))
-        heads = heads.select("key", (-F.col("head.minus")).alias("a"), F.col("head.w").alias("wa"), F.col("head.c").alias("ca"))
-        return members.join(heads, "key")
-
-    led = stored(headed(shared.withColumn("c", F.col("id"))).drop("c", "ca"), "led")
+    # Every id with the id ``a`` (its weight ``wa``) that leads its bucket.
+    heads = shared.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("head"))
+    heads = heads.select("key", (-F.col("head.minus")).alias("a"), F.col("head.w").alias("wa"))
+    led = stored(shared.select("key", "id").join(heads, "key"), "led")
     places = nodes.select("rep", "n", "sig")
     least = least_matches(hashes, percent / 100)
 
@@ -194,30 +252,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
                .join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a")))
     found = members.where("c <> ca").select("a", F.col("id").alias("b"))
 
-    # 3. Buckets that still hold several components, the large ones with keys
-    # lengthened by one group after the other (1 to LEVELS of them).
-    def mixed(members: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    # 3. Buckets that still hold several components: all pairs of the small ones.
+    def mixed(members: DataFrame) -> DataFrame:
         several = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1")
-        found = stored(members.join(several.select("key", "members"), "key"), label)
-        return found.where(F.col("members") <= SMALL).drop("members"), found.where(F.col("members") > SMALL).drop("members")
+        return members.join(several.select("key", "members"), "key")
 
     def across(small: DataFrame) -> DataFrame:
         left, right = small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
         return left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
-    small, large = mixed(members.drop("a", "ca", "wa"), "mixed")
-    longer, key = [], F.col("key")
-    for level in range(LEVELS):
-        side = level % 2
-        key = F.xxhash64(key, F.col(f"g{side}")[F.pmod(F.col("ij"[side]) + level // 2 + 1, F.lit(groups))])
-        longer.append(key)
-    lengthened = large.join(hashed.withColumnRenamed("rep", "id"), "id").select("id", "w", "c", F.explode(F.array(*longer)).alias("key"))
-    split, still_large = mixed(lengthened, "lengthened")
-    leaders = headed(still_large).where("c <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    found = found.unionByName(across(small)).unionByName(across(split)).unionByName(leaders)
+    of_several = stored(mixed(members.select("key", "id", "c")), "mixed")
+    found = found.unionByName(across(of_several.where(F.col("members") <= SMALL)))
     links = stored(links.unionByName(confirmed(found, "rest")).distinct(), "all-links")
     labels = components(links)
 
+    # 4. The ids of the large ones that do so even now, on their rarest shingles.
+    large = of_several.where(F.col("members") > SMALL).select("key", "id").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    ids = stored(mixed(large).select("id", "c").distinct(), "large-ids")
+    if not ids.isEmpty():
+        links = stored(links.unionByName(confirmed(_rare_pairs(ids, source, words, percent), "large")).distinct(), "links-of-large")
+        labels = components(links)
+
     of_class = nodes.select("digest", "rep").join(labels.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
     out = signed.join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))

@@ -48,6 +48,30 @@ def test_planted_groups(spark):
     assert kept == {c for _, c in got.values()}
 
 
+def family(pages=300, pairs=100, seed=7):
+    """Pages of one template, each about 0.7 like any other, and near copies of
+    some of them that are no leaders."""
+    random.seed(seed)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    template, texts = [word() for _ in range(330)], []
+    for i in range(pages):
+        own = [word() for _ in range(70)]
+        texts.append(" ".join(template + own))
+        if i < pairs:
+            own[30:] = [word() for _ in range(40)]
+            texts.append(" ".join(template + own))
+    random.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_pairs_inside_a_templated_family(spark):
+    rows = family()
+    expected = brute_components(rows, 4, 80)
+    assert len({c for _, c in expected.values()}) == 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, words=4).collect()} == expected
+
+
 def test_components(spark):
     random.seed(1)
     links = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(300, x) for x in range(400, 500)] + [(9, 9), (None, 3)] + [(7, 8)] * 3
