@@ -10,10 +10,12 @@ the entity e and n(t, e) both close together, t reveals
 of e's self-information (1: whoever reads t knows e; 0 or less: nothing).
 Words near an entity that do so in ``min_contexts`` different surroundings or
 more (copies of one passage are one surrounding) are generalised from
-``generalise_at`` and removed from ``remove_at`` on, where they stand near it.
+``generalise_at`` and removed from ``remove_at`` on, wherever they stand in any
+document.
 
-n(t) is counted over all documents.  Only narrow rows are shuffled: the
-entities' surroundings, and partial word counts.
+n(t) is counted over all documents.  Narrow rows are shuffled: the entities'
+surroundings, partial word counts and the words of texts; the texts that hold a
+disclosing term are joined to it.
 
 Defined results: a null or empty text has no spans.  Rows of one id are told
 apart by their texts, and repeated rows get equal results; null ids are
@@ -40,6 +42,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 REACH = 80  # characters on either side of an entity, within its line
 
+CORE = r"^[^\p{L}\d@]*(\p{L}+)[^\p{L}\d@]*$"  # a word that consists of letters, but for punctuation at its ends
+
 _SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
 
 
@@ -108,7 +112,7 @@ def _near_terms(spans: DataFrame) -> DataFrame:
     ahead = F.aggregate(F.slice(words, F.lit(1), F.col("i")), F.lit(0), lambda n, w: n + F.char_length(w))
     placed = pieces.select("id", "tk", "kind", "value", "around", F.col("p.word").alias("word"), (F.col("at") + ahead + F.char_length("p.gap")).alias("at"))
     lead = F.char_length(F.regexp_extract("word", r"^([^\p{L}]*)", 1))
-    core = F.regexp_extract("word", r"^[^\p{L}\d@]*(\p{L}+)[^\p{L}\d@]*$", 1)
+    core = F.regexp_extract("word", CORE, 1)
     return (placed.select("id", "tk", "kind", "value", "around", F.lower(core).alias("term"), (F.col("at") + lead).alias("start"),
                           (F.col("at") + lead + F.char_length(core)).alias("end"))
             .where(F.char_length("term") >= 3))
@@ -131,6 +135,27 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, min_contexts: int = 2, ge
             .where(F.col("revealed") >= generalise_at).select(*entity, "term", "revealed"))
 
 
+def _occurrences(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tk, term, start, end) of every word of the texts that is one of
+    ``terms`` (term), wherever it stands."""
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
+    held = texts.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term")
+    held = held.groupBy(F.col("id").alias("id_t"), F.col("tk").alias("tk_t")).agg(F.collect_set("term").alias("terms"))
+    pieces = [F.regexp_extract_all("text", F.lit(r"\G(\s*)(\S+)"), F.lit(i)) for i in (1, 2)]
+    placed = (texts.join(held, F.col("id").eqNullSafe(F.col("id_t")) & (F.col("tk") == F.col("tk_t")))
+              .select("id", "tk", "terms", F.arrays_zip(pieces[0].alias("gap"), pieces[1].alias("word")).alias("words")))
+
+    def step(done, x):
+        core = F.regexp_extract(x["word"], CORE, 1)
+        start = done["at"] + F.char_length(x["gap"]) + F.char_length(F.regexp_extract(x["word"], r"^([^\p{L}]*)", 1))
+        here = F.struct(F.lower(core).alias("term"), start.alias("start"), (start + F.char_length(core)).alias("end"))
+        return F.struct((done["at"] + F.char_length(x["gap"]) + F.char_length(x["word"])).alias("at"),
+                        F.when(F.array_contains("terms", F.lower(core)), F.concat(done["out"], F.array(here))).otherwise(done["out"]).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
+    return placed.select("id", "tk", F.explode(F.aggregate("words", none, step, lambda done: done["out"])).alias("s")).select("id", "tk", "s.term", "s.start", "s.end")
+
+
 def find(docs: DataFrame, min_contexts: int = 2, generalise_at: float = 0.8, remove_at: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``tk``, the arrays ``email``, ``ip``, ``card``, ``phone``
     and ``term`` of spans (kind, start, end), and ``removed``: the starts of
@@ -138,7 +163,10 @@ def find(docs: DataFrame, min_contexts: int = 2, generalise_at: float = 0.8, rem
     base = stored(base_spans(docs, id_col, text_col), "pii-spans")
     near = stored(_near_terms(base.where(F.size(F.concat(*PATTERNS)) > 0)), "pii-near")
     terms = disclosing_terms(docs, near, min_contexts, generalise_at, id_col, text_col)
-    hits = (near.join(terms, ["kind", "value", "term"]).groupBy("id", "tk", "start", "end").agg(F.max("revealed").alias("revealed"))
+    terms = stored(terms.groupBy("term").agg(F.max("revealed").alias("revealed")), "pii-terms")
+    # Also near ones: beside an entity a word can stand without a space.
+    places = near.select("id", "tk", "term", "start", "end").unionByName(_occurrences(docs, terms.select("term"), id_col, text_col))
+    hits = (places.join(terms, "term").groupBy("id", "tk", "start", "end").agg(F.max("revealed").alias("revealed"))
             .groupBy(F.col("id").alias("id_t"), F.col("tk").alias("tk_t")).agg(
                 F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("term"),
                 F.sort_array(F.collect_list(F.when(F.col("revealed") >= remove_at, F.col("start")))).alias("removed")))

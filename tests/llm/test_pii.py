@@ -80,3 +80,16 @@ def test_terms_that_give_an_entity_away(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(frame, found).collect()}
     assert clean[0] == "the <term> person is <email> common word"
     assert clean[2] == texts[2]
+
+
+def test_terms_are_found_in_every_document(spark):
+    """Also in documents without the entity, and far from it in those with it."""
+    texts = ["the zorblax person is bob@x.org common word", "write to zorblax at bob@x.org common thing\n" + "much more text " * 20 + "(Zorblax)",
+             *["common filler words number %d" % i for i in range(60)], "é😀 yes,  it was Zorblax, not zorblaxes", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find(frame)
+    spans = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.term] for r in found.collect() if r.term}
+    assert spans == {0: ["zorblax"], 1: ["zorblax", "Zorblax"], 62: ["Zorblax"]}
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame, found).collect()}
+    assert clean[62] == "é😀 yes,  it was <word>, not zorblaxes"
+    assert clean[1].endswith("text (<word>)")
