@@ -12,7 +12,8 @@ columns of documents.
    similarity 0.8) stays.
 4. mix: every document once, in the order of the mixing schedule; files read
    in their order follow the target weights.
-5. bpe: token ids of every text, and the digest of the text decoded from them.
+5. bpe: token ids of every text, and the digest of the text decoded from them,
+   in the order of the schedule, with each document's ``slot`` and ``place`` in it.
 
 Null ids, null or empty texts, repeated rows, empty tables and further columns
 are handled as the operators' docstrings say.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook.llm import bpe, lines, minhash, mixing, quality
-from rollbook.llm.common import stored, table, text_of
+from rollbook.llm.common import spread, stored, table, text_of
 from rollbook.llm.queries import tokenizer
 
 
@@ -47,7 +48,12 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, tokenizer("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    # Files are read in no set order, so the places are worked out anew; they pass by the tokenizer within the id.
+    order = ["__slot", "__place"]
+    placed = mixing.place(docs).select("doc_id", "text", *order).repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
+    done = bpe.round_trip(placed.select(F.struct("doc_id", *order).alias("doc_id"), "text"), tokenizer("word_bpe_49k.json"))
+    return done.select("doc_id.doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.col("doc_id.__slot").alias("slot"), F.col("doc_id.__place").alias("place"))
 
 
 STAGES = [("quality", _quality), ("line_dedup", _line_dedup), ("near_dedup", _near_dedup), ("mix", _mix), ("bpe", _bpe)]

@@ -85,3 +85,13 @@ def test_odd_rows_and_empty_table(spark, odd, empty):
                 assert out.count() == docs.count(), name
             else:
                 assert out.count() <= docs.count(), name
+
+
+def test_the_schedule_reaches_the_result(spark, odd, empty, docs):
+    """Whatever order the last stage's rows come in."""
+    expected = [(r["__slot"], r["__place"], r.doc_id) for r in mixing.place(docs).orderBy("__slot", "__place").select("__slot", "__place", "doc_id").collect()]
+    out = corpus_pipeline._bpe(spark, docs.orderBy("n_chars"), DIR)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256", "slot", "place"]
+    assert [(r.slot, r.place, r.doc_id) for r in out.collect()] == expected
+    assert corpus_pipeline._bpe(spark, odd, DIR).select("slot", "place").distinct().count() == odd.count()
+    assert corpus_pipeline._bpe(spark, empty, DIR).count() == 0
