@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, pii, quality, token_counts
+from rollbook.llm import ann, bpe, licenses, line_crf, lines, minhash, mixing, pii, quality, runs, token_counts, toxicity, whitening
 from rollbook.llm.common import table
 
 
@@ -80,8 +80,36 @@ def op10_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels"))).drop("content_lines")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = whitening.fit(whitening.whole(table(spark, sf_dir, "embeddings")), components=4)
+    return whitening.apply(rows, model).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def repeated_tail(h: int, n: int) -> tuple[int, int] | None:
+    """Where the documents that op12 plants a repetition in have it, and its period."""
+    g = h // 10
+    a = g % n
+    return (a, 1 + (n - a) // (3 + g % 8)) if h % 10 == 0 else None
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents"), repeated_tail, F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    longest = F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.signum(b["length"] - a["length"]))
+                           .when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int"))
+    lines_ = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    return found.withColumn("top", F.get(longest, F.lit(0))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"), F.sha2(lines_, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op8_licenses, op9_near_dedup, op10_line_labels)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe_round_trip, op4_mix, op5_line_dedup, op6_nearest, op7_token_counts, op8_licenses, op9_near_dedup, op10_line_labels,
+                                    op11_whitening, op12_runs, op13_toxicity)}
 
 
 OP4_SQL = """
