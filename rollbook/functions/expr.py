@@ -104,3 +104,41 @@ def date_lit(value) -> Column:
     """A date literal from a date (or the date part of a datetime)."""
     d = value.date() if hasattr(value, "date") else value
     return F.lit(d.isoformat()).cast("date")
+
+
+def number_text(c) -> Column:
+    """A double as the application's pages print it: the shortest digits that
+    read back as the number, plain from 1e-6 up to below 1e21 and with an
+    exponent beyond (``1``, ``0.00001``, ``1.5e-7``, ``1e+21``); never ``.0``."""
+    x = F.col(c) if isinstance(c, str) else c
+    java = F.abs(x).cast("string")  # d.dddE-n, or plain digits
+    mantissa, exponent = F.substring_index(java, "E", 1), F.when(java.contains("E"), F.substring_index(java, "E", -1)).otherwise("0").try_cast("int")
+    before, after = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
+    every = F.concat(before, after)
+    some = F.ltrim(every, F.lit("0"))
+    digits = F.rtrim(some, F.lit("0"))
+    # The number is 0.<digits> times ten to the power of ``point``.
+    point = F.length(before) + exponent - (F.length(every) - F.length(some))
+    n, zeros = F.length(digits), lambda k: F.repeat(F.lit("0"), k)
+    power = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(point - 1).cast("string"))
+    text = (F.when(x == 0, F.lit("0"))
+            .when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n)))
+            .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+            .when(n == 1, F.concat(digits, power))
+            .otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n), power)))
+    return (F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
+            .otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)))
+
+
+def one_decimal(c) -> Column:
+    """A double from 0 up to 1e15 with one decimal, rounded by its exact value,
+    halves up (0.35, which is a little less, gives ``0.3``; 12.25 gives ``12.3``)."""
+    x = F.col(c) if isinstance(c, str) else c
+    # 20 x as a rounded sum and its exact error: 16 x and 4 x are exact.
+    big, small = x * 16, x * 4
+    total = big + small
+    error = small - (total - big)
+    down = F.floor(total) - F.when((F.floor(total) == total) & (error < 0), 1).otherwise(0)
+    tenths = F.floor((down + 1) / 2).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))

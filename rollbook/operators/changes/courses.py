@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_num, present_str, ts_ntz
-from rollbook.plans.batches import existing_keys, first_claim, flag_existing, last_value, reason_of, split, wanted
+from rollbook.plans.batches import existing_keys, first_claim, flag_existing, gone_before, last_value, reason_of, split, wanted
 from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, number_rows
 from rollbook.plans.materialize import materialize
@@ -62,8 +62,8 @@ def create_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame
     return Deferred({"courses": lambda: courses.unionByName(new()), "created": created}), rejects
 
 
-def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as_of: dt.datetime
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
+def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as_of: dt.datetime,
+                   target: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``batch(seq, course_id, fields map<string,string>)``.
 
     Keys ``name`` and ``code`` are set when non-empty; ``description`` and
@@ -74,7 +74,8 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
     teacher exists; at least one field.  Accepted requests set
     ``updated_at``; per field the highest seq wins.  Returns (courses,
     updated, rejects); ``updated`` has ``id, name, code, description,
-    teacher_id`` of each changed course.
+    teacher_id`` of each changed course.  ``target`` narrows the rows to return
+    to a part of the courses that holds all requested ones.
     """
     fld = F.col("fields")
     name = blank_to_null(fld.getItem("name"))
@@ -121,7 +122,7 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
         last_value(F.col("new_code"), F.col("new_code").isNotNull()).alias("u_code"),
         last_value(F.col("new_desc"), F.col("has_desc")).alias("u_desc"),
         last_value(F.col("new_tid"), F.col("has_teacher")).alias("u_tid"))
-    c = courses.join(upd.withColumn("touched", F.lit(True)), "course_id", "left")
+    c = (courses if target is None else target).join(upd.withColumn("touched", F.lit(True)), "course_id", "left")
 
     def pick(u: str, old: str):
         return F.when(F.col(u).isNotNull(), F.col(f"{u}.v")).otherwise(F.col(old))
@@ -147,11 +148,6 @@ def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,
     attendance, the grades of its assignments, its assignments and its
     enrollments.  Returns ({table: new table}, rejects).
     """
-    b = flag_existing(batch, courses, ["course_id"], flag="course_exists")
-    b = first_claim(b, ["course_id"], F.col("course_exists").isNotNull())
-    annotated = b.withColumn("reason", reason_of([
-        (F.col("course_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_COURSE_NOT_FOUND)]))
-    _, rejects = split(annotated, pin=False)
     # Every requested course that exists goes; which request wins matters for the rejects alone.
     doomed = existing_keys(courses, batch, ["course_id"]).select("course_id")
     # Find the doomed assignments before the assignments are dropped.
@@ -163,4 +159,4 @@ def delete_courses(courses: DataFrame, attendance: DataFrame, grades: DataFrame,
         "enrollments": enrollments.join(doomed, "course_id", "left_anti"),
         "courses": courses.join(doomed, "course_id", "left_anti"),
     }
-    return out, rejects
+    return out, gone_before(batch, courses, "course_id", MSG_COURSE_NOT_FOUND)

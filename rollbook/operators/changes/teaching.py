@@ -13,6 +13,7 @@ from rollbook.operators.access import course_access_check, grade_access_check
 from rollbook.plans.batches import reason_of, split
 from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, number_rows
+from rollbook.plans.materialize import materialize
 from rollbook.schema import (
     MARKS, MSG_ASSIGNMENT_DATE, MSG_ASSIGNMENT_FIELDS, MSG_ASSIGNMENT_PERMISSION, MSG_ATTENDANCE_PERMISSION,
     MSG_GRADE_REQUIRED, MSG_NOTICE_FIELDS, MSG_RECORDS_REQUIRED,
@@ -64,8 +65,8 @@ def nested_attendance(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFrame,
-                    requests: DataFrame, records: DataFrame, as_of: dt.datetime
-                    ) -> tuple[Deferred, DataFrame]:
+                    requests: DataFrame, records: DataFrame, as_of: dt.datetime,
+                    last_id: DataFrame | None = None) -> tuple[Deferred, DataFrame]:
     """One attendance row per record of each accepted request, dated ``as_of``.
 
     ``requests(seq, teacher_user_id, course_id, records_given)`` and flat
@@ -74,8 +75,9 @@ def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFra
     teacher exists; teacher teaches the course.  No check on students or
     status values; a request is all-or-nothing.  New attendance ids follow
     the table's maximum in (seq, record_pos) order, records without a position
-    by student and status.  Returns ({attendance}, rejects); the rejects alone
-    read no record.
+    by student and status (``last_id`` may name another frame to take that
+    maximum from).  Returns ({attendance}, rejects); the rejects alone read no
+    record.
     """
     checked = course_access_check(requests, teachers, courses, MSG_ATTENDANCE_PERMISSION)
     annotated = checked.withColumn("reason", F.coalesce(
@@ -85,7 +87,7 @@ def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFra
 
     def table() -> DataFrame:
         rows = records.join(ok.select("seq", "course_id"), "seq").select("course_id", *order)
-        base = current_max(attendance, "attendance_id")
+        base = current_max(attendance if last_id is None else last_id, "attendance_id")
         new = number_rows(rows, order, "attendance_id", base).select(
             "attendance_id", "student_id", "course_id",
             date_lit(as_of).alias("attendance_date"), "status")
@@ -95,7 +97,7 @@ def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFra
 
 
 def create_assignments(assignments: DataFrame, teachers: DataFrame, courses: DataFrame,
-                       batch: DataFrame, as_of: dt.datetime) -> tuple[Deferred, DataFrame]:
+                       batch: DataFrame, as_of: dt.datetime, last_id: DataFrame | None = None) -> tuple[Deferred, DataFrame]:
     """``batch(seq, teacher_user_id, course_id, title, description, due_date, total_marks)``.
 
     Checks: title and non-zero total marks given; teacher exists; teacher
@@ -112,7 +114,7 @@ def create_assignments(assignments: DataFrame, teachers: DataFrame, courses: Dat
 
     @once
     def new() -> DataFrame:
-        base = current_max(assignments, "assignment_id")
+        base = current_max(assignments if last_id is None else last_id, "assignment_id")
         return conform(number_rows(ok, ["seq"], "assignment_id", base).select(
             "assignment_id", "course_id", "title",
             blank_to_null("description").alias("description"),
@@ -126,13 +128,15 @@ def create_assignments(assignments: DataFrame, teachers: DataFrame, courses: Dat
     }), rejects
 
 
-def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
+def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime, last_id: DataFrame | None = None
                  ) -> tuple[Deferred, DataFrame]:
     """``batch(seq, user_id, title, content)``; title and content required.
 
-    No check on the author.  Returns ({notices, created}, rejects); ``created``
-    has ``id, title, content, created_at``.  Only the ``seq`` numbers are
-    sorted; the texts join their ids afterwards.
+    No check on the author.  Every accepted request becomes one notice, also
+    where ``seq`` is null or repeated (null first, equal ones in any order).
+    Returns ({notices, created}, rejects); ``created`` has ``id, title,
+    content, created_at``.  Only the ``seq`` numbers and a tag of each row are
+    sorted; the texts join their ids by the tag.
     """
     annotated = batch.withColumn("reason", reason_of(
         [(~(present_str("title") & present_str("content")), MSG_NOTICE_FIELDS)]))
@@ -140,8 +144,11 @@ def post_notices(notices: DataFrame, batch: DataFrame, as_of: dt.datetime
 
     @once
     def new() -> DataFrame:
-        ids = number_rows(ok.select("seq"), ["seq"], "notice_id", current_max(notices, "notice_id"))
-        return conform(ok.join(ids, "seq").select(
+        # Written once: the tag must be the same for the texts and for the numbers.
+        rows = materialize(ok.withColumn("_tag", F.monotonically_increasing_id()), "notices")
+        base = current_max(notices if last_id is None else last_id, "notice_id")
+        ids = number_rows(rows.select("seq", "_tag"), ["seq", "_tag"], "notice_id", base).drop("seq")
+        return conform(rows.join(ids, "_tag").select(
             "notice_id", "title", "content", F.col("user_id").alias("posted_by_user_id"),
             _ts(as_of).alias("created_at")), "notices")
 

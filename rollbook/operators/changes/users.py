@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_str, ts_ntz
-from rollbook.plans.batches import existing_keys, first_claim, flag_existing, last_value, reason_of, split, wanted
+from rollbook.plans.batches import existing_keys, first_claim, flag_existing, gone_before, last_value, reason_of, split, wanted
 from rollbook.plans.deferred import Deferred, once
 from rollbook.plans.ids import current_max, current_maxes, number_rows, number_rows_by_group
 from rollbook.plans.materialize import materialize
@@ -98,7 +98,7 @@ def create_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
 
 
 def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, management: DataFrame,
-                 batch: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+                 batch: DataFrame) -> tuple[Deferred, DataFrame]:
     """``batch(seq, user_id, name, email, phone_number, department, address)``.
 
     Checks: the user exists; the user's role table has a row for it
@@ -125,33 +125,37 @@ def update_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
                                             F.lit(MSG_PROFILE_NOT_FOUND.replace("{role}", "")))))
     ok, rejects = split(annotated.drop("known"))
     fields = ["name", "email", "phone_number", "address", "department"]
-    # One patch per (user, role); a user has one role, so each table takes
-    # the patches of its own role.
-    # Read by all three role tables and the updated rows: materialized once.
-    patch = materialize(ok.groupBy("user_id", "role").agg(*[
-        last_value(blank_to_null(f), present_str(f)).alias(f"u_{f}") for f in fields]), "patch")
-    out = {}
-    for tname, role, cols in (("students", ROLE_STUDENT, ["name", "email", "phone_number", "address"]),
-                              ("teachers", ROLE_TEACHER, ["name", "email", "phone_number", "department"]),
-                              ("management", ROLE_MANAGEMENT, ["name", "email", "phone_number"])):
-        table = {"students": students, "teachers": teachers, "management": management}[tname]
-        p = patch.where(F.col("role") == F.lit(role))
+
+    @once
+    def patch() -> DataFrame:
+        # One patch per (user, role); a user has one role, so each table takes the patches of its
+        # own role.  Read by all three role tables and the updated rows, it is written once.
+        return materialize(ok.groupBy("user_id", "role").agg(*[
+            last_value(blank_to_null(f), present_str(f)).alias(f"u_{f}") for f in fields]), "patch")
+
+    parts = {"students": (students, ROLE_STUDENT, ["name", "email", "phone_number", "address"]),
+             "teachers": (teachers, ROLE_TEACHER, ["name", "email", "phone_number", "department"]),
+             "management": (management, ROLE_MANAGEMENT, ["name", "email", "phone_number"])}
+
+    def patched(tname: str) -> DataFrame:
+        table, role, cols = parts[tname]
+        p = patch().where(F.col("role") == F.lit(role))
         j = table.join(p.select("user_id", *[f"u_{c}" for c in cols]), "user_id", "left")
         sel = [F.when(F.col(f"u_{c}").isNotNull(), F.col(f"u_{c}.v")).otherwise(F.col(c)).alias(c)
                if c in cols else F.col(c) for c in table.columns]
-        out[tname] = conform(j.select(*sel), tname)
-    touched = patch.select("user_id", "role")
-    null = F.lit(None).cast("string")
-    profile = (out["students"].select("user_id", F.lit(ROLE_STUDENT).alias("role"), "name", "email",
-                                      "phone_number", "address", null.alias("department"))
-               .unionByName(out["teachers"].select("user_id", F.lit(ROLE_TEACHER).alias("role"), "name", "email",
-                                                   "phone_number", null.alias("address"), "department"))
-               .unionByName(out["management"].select("user_id", F.lit(ROLE_MANAGEMENT).alias("role"), "name",
-                                                     "email", "phone_number", null.alias("address"),
-                                                     null.alias("department"))))
-    out["updated"] = (profile.join(touched, ["user_id", "role"], "left_semi")
-                      .withColumnRenamed("user_id", "id"))
-    return out, rejects
+        return conform(j.select(*sel), tname)
+
+    def updated() -> DataFrame:
+        profile = None
+        for tname, (_, role, cols) in parts.items():
+            null = F.lit(None).cast("string")
+            rows = patched(tname).select("user_id", F.lit(role).alias("role"), "name", "email", "phone_number", *(
+                F.col(c) if c in cols else null.alias(c) for c in ("address", "department")))
+            profile = rows if profile is None else profile.unionByName(rows)
+        return (profile.join(patch().select("user_id", "role"), ["user_id", "role"], "left_semi")
+                .withColumnRenamed("user_id", "id"))
+
+    return Deferred({**{n: (lambda n=n: patched(n)) for n in parts}, "updated": updated}), rejects
 
 
 def delete_users(users: DataFrame, students: DataFrame, teachers: DataFrame, management: DataFrame, batch: DataFrame,
@@ -161,12 +165,7 @@ def delete_users(users: DataFrame, students: DataFrame, teachers: DataFrame, man
     and in further ``cascade`` tables keyed by ``user_id``, go with it.
     Returns ({users, students, teachers, management, <cascade tables>}, rejects).
     """
-    b = flag_existing(batch, users, ["user_id"], flag="user_exists")
-    b = first_claim(b, ["user_id"], F.col("user_exists").isNotNull())
-    annotated = b.withColumn("reason", reason_of([
-        (F.col("user_exists").isNull() | (F.col("seq") > F.col("first_seq")), MSG_USER_NOT_FOUND)]))
-    _, rejects = split(annotated, pin=False)
     # Every requested user that exists goes; which request wins matters for the rejects alone.
     doomed = existing_keys(users, batch, ["user_id"]).select("user_id")
     tables = {"users": users, "students": students, "teachers": teachers, "management": management, **(cascade or {})}
-    return {name: table.join(doomed, "user_id", "left_anti") for name, table in tables.items()}, rejects
+    return {name: table.join(doomed, "user_id", "left_anti") for name, table in tables.items()}, gone_before(batch, users, "user_id", MSG_USER_NOT_FOUND)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions import contains_any, count_if_eq, pct, where_all
+from rollbook.functions import contains_any, count_if_eq, number_text, one_decimal, pct, where_all
 from rollbook.operators.keys import left_join_nullable, only_keys, role_key
 from rollbook.schema import (
     ATTENDANCE_ABSENT, ATTENDANCE_EXCUSED, ATTENDANCE_PRESENT, SHOW_NO_FEEDBACK,
@@ -170,12 +170,9 @@ def _date_text(c: str):
     return F.date_format(c, "M/d/yyyy")
 
 
-def _percent_text(part: str, total: str):
-    """``part / total`` as a percentage with one decimal (0% without rows),
-    from the exact counts."""
-    tenths = F.floor((F.col(part) * 2000 + F.col(total)) / (F.col(total) * 2)).cast("long")
-    return F.when(F.col(total) > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))) \
-            .otherwise(F.lit("0%"))
+def _percent_text(percentage: str):
+    """A percentage with one decimal; entities without rows have 0."""
+    return F.concat(one_decimal(percentage), F.lit("%"))
 
 
 def display_rows(df: DataFrame, kind: str) -> DataFrame:
@@ -184,7 +181,7 @@ def display_rows(df: DataFrame, kind: str) -> DataFrame:
     """
     if kind == "courses":        # Q4 rows
         return df.select("student_id", "id", "name", "code", "status",
-                         F.coalesce(F.when(F.col("progress") != 0, F.col("progress").cast("string")),
+                         F.coalesce(F.when((F.col("progress") != 0) & ~F.isnan("progress"), number_text("progress")),
                                     F.lit(SHOW_NO_PROGRESS)).alias("progress_text"))
     if kind == "grades":         # Q5 rows
         return df.select("student_id", "id",
@@ -209,9 +206,9 @@ def display_rows(df: DataFrame, kind: str) -> DataFrame:
         return df.select("id", "name", "code",
                          F.coalesce(F.nullif("teacher_name", F.lit("")), F.lit(SHOW_NO_TEACHER))
                           .alias("teacher_text"))
-    if kind == "stats":          # Q7 rows: percentages with one decimal, half up
-        return df.select("student_id", _percent_text("present", "total_classes").alias("present_text"),
-                         _percent_text("absent", "total_classes").alias("absent_text"),
+    if kind == "stats":          # Q7 rows
+        return df.select("student_id", _percent_text("present_percentage").alias("present_text"),
+                         _percent_text("absent_percentage").alias("absent_text"),
                          F.col("total_classes").cast("string").alias("total_text"))
     if kind == "teacher_courses":  # Q11 rows
         return df.select("teacher_id", "id", "name", F.concat(F.lit("Code: "), F.coalesce("code", F.lit(""))).alias("code_text"),

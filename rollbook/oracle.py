@@ -284,8 +284,9 @@ JOIN courses c ON a.course_id = c.course_id
 READS["q19_display_courses"] = with_mapping("""
 SELECT e.student_id, c.course_id AS id, c.course_name AS name, c.course_code AS code,
        e.enrollment_status AS status,
-       CASE WHEN e.progress IS NOT NULL AND e.progress <> 0 THEN CAST(e.progress AS VARCHAR) ELSE '0%' END
-         AS progress_text
+       CASE WHEN e.progress IS NULL OR e.progress = 0 THEN '0%'
+            WHEN e.progress = floor(e.progress) THEN CAST(CAST(e.progress AS BIGINT) AS VARCHAR)
+            ELSE CAST(e.progress AS VARCHAR) END AS progress_text
 FROM courses c JOIN enrollments e ON c.course_id = e.course_id
 """)
 
@@ -309,15 +310,27 @@ FROM courses c LEFT JOIN teachers t ON c.teacher_id = t.teacher_id
 """)
 
 
+# toFixed(1): printf rounds the exact value and exact ties to even; ties are multiples of 1/4 that are none of 1/2, and go up.
+_FIXED = """CASE WHEN {0} * 4 = floor({0} * 4) AND {0} * 2 <> floor({0} * 2) THEN printf('%.1f', {0} + 0.05) ELSE printf('%.1f', {0}) END || '%'"""
 READS["q19_display_stats"] = f"""
-SELECT student_id,
-       CASE WHEN total_classes > 0 THEN CAST(p // 10 AS VARCHAR) || '.' || CAST(p % 10 AS VARCHAR) || '%' ELSE '0%' END AS present_text,
-       CASE WHEN total_classes > 0 THEN CAST(a // 10 AS VARCHAR) || '.' || CAST(a % 10 AS VARCHAR) || '%' ELSE '0%' END AS absent_text,
+SELECT student_id, {_FIXED.format("present_percentage")} AS present_text, {_FIXED.format("absent_percentage")} AS absent_text,
        CAST(total_classes AS VARCHAR) AS total_text
-FROM (SELECT *, (present * 2000 + total_classes) // (2 * greatest(total_classes, 1)) AS p, (absent * 2000 + total_classes) // (2 * greatest(total_classes, 1)) AS a
-      FROM ({READS["q07_attendance_stats"]}) q) x
+FROM ({READS["q07_attendance_stats"]}) q
 """
 
+READS["q19_display_numbers"] = with_mapping("""
+SELECT l.student_id, c.course_id AS id, c.course_name AS name, c.course_code AS code, l.status, l.progress_text
+FROM (
+  SELECT l_orderkey AS student_id, l_partkey AS course_id, 'whole' AS status, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS progress_text FROM lineitem
+  UNION ALL
+  SELECT l_orderkey, l_partkey, 'price', CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR)
+                                              ELSE CAST(CAST(l_extendedprice AS DOUBLE) AS VARCHAR) END FROM lineitem
+  UNION ALL SELECT l_orderkey, l_partkey, 'small', '0.0000' || CAST(l_linenumber AS VARCHAR) FROM lineitem
+  UNION ALL SELECT l_orderkey, l_partkey, 'none', '0%' FROM lineitem
+  UNION ALL SELECT l_orderkey, l_partkey, 'missing', '0%' FROM lineitem) l
+JOIN courses c ON c.course_id = l.course_id
+""")
+
 READS["q19_display_teacher_courses"] = f"""
 SELECT teacher_id, id, name, 'Code: ' || coalesce(code, '') AS code_text,
        'Students: ' || CAST(enrolled_students AS VARCHAR) AS students_text
@@ -326,6 +339,16 @@ FROM ({READS["q11_teacher_course_load"]}) q
 
 READS["q05_student_grades_sorted"] = READS["q05_student_grades"]
 READS["s01_snapshot_round_trip"] = with_mapping("SELECT * FROM users")
+READS["s03_requests_or_rejects"] = """
+SELECT CASE WHEN fine THEN c_custkey END AS seq, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_custkey END AS user_id,
+       CASE WHEN fine AND c_mktsegment <> 'AUTOMOBILE' THEN c_name END AS title,
+       CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN '7' WHEN fine THEN 'x' END AS code, CASE WHEN fine THEN c_mktsegment = 'AUTOMOBILE' END AS clears_name,
+       CASE c_mktsegment WHEN 'MACHINERY' THEN '{"seq": ' || k || ', "title"' WHEN 'HOUSEHOLD' THEN '{"seq": "no' || k || '", "user_id": true}'
+                         WHEN 'FURNITURE' THEN '[{"seq": ' || k || '}]' END AS line,
+       CASE c_mktsegment WHEN 'MACHINERY' THEN 'Request body is not JSON' WHEN 'HOUSEHOLD' THEN 'Wrong type: seq, user_id'
+                         WHEN 'FURNITURE' THEN 'Request body must be an object' END AS reason
+FROM (SELECT *, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment NOT IN ('MACHINERY', 'HOUSEHOLD', 'FURNITURE') AS fine FROM customer) c
+"""
 READS["s03_changes_from_json"] = """
 SELECT o_orderkey * 2 AS seq,
        CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey * 4 + 5 WHEN '5-LOW' THEN o_custkey * 4

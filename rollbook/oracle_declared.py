@@ -15,6 +15,13 @@ FROM students s LEFT JOIN (
   WHERE course_id IN (SELECT course_id FROM courses) GROUP BY student_id) m ON m.student_id = s.student_id
 """)
 
+DECLARED["d01_available_courses_set"] = with_mapping("""
+SELECT s.c_custkey AS student_id, c.course_id AS id, c.course_name AS name, c.course_code AS code, c.description
+FROM customer s, courses c
+WHERE s.c_mktsegment = 'BUILDING' AND s.c_nationkey = 7
+  AND NOT EXISTS (SELECT 1 FROM enrollments e WHERE e.student_id = s.c_custkey AND e.course_id = c.course_id)
+""")
+
 D2 = """
 b AS (
   SELECT o_orderkey AS seq,

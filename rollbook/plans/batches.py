@@ -105,3 +105,14 @@ def flag_existing(requests: DataFrame, table: DataFrame, table_cols: list[str],
     src = requests if keys_from is None else keys_from
     return requests.join(existing_keys(table, src, table_cols, request_cols, flag),
                          request_cols, "left")
+
+
+def gone_before(requests: DataFrame, table: DataFrame, key: str, message: str) -> DataFrame:
+    """Rejects of deletions: requests for a key that is not in ``table``, or
+    that an earlier request has deleted (a null ``seq`` counts as earlier than
+    none, and rejects nobody).  The first request of each key that exists is an
+    aggregate of the batch, joined back; nothing is written."""
+    firsts = (requests.groupBy(key).agg(F.min("seq").alias("_first"))
+              .join(existing_keys(table, requests, [key], flag="_exists"), key, "left"))
+    late = F.col("_exists").isNull() | (F.col("seq") > F.col("_first"))
+    return requests.select("seq", key).join(firsts, key, "left").where(late).select("seq", F.lit(message).alias("reason"))

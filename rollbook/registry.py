@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.operators import billing, directory, learning, notices
 from rollbook.operators.keys import role_key
@@ -18,7 +19,7 @@ from rollbook.operators.requests import read_for
 from rollbook.plans.materialize import scratch_path
 from rollbook.plans.presentation import present
 from rollbook.schema import MSG_STUDENT_NOT_FOUND, MSG_TEACHER_NOT_FOUND, MSG_USER_NOT_FOUND
-from rollbook.sources import read_changes, read_table, write_result, write_snapshot
+from rollbook.sources import read_changes, read_requests, read_table, write_result, write_snapshot
 from rollbook.sources.campus import Campus, driver_table, load_driver, student_user, teacher_user, unknown_user
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,21 @@ def q19_display_stats(spark, sf_dir):
     return learning.display_rows(learning.attendance_stats(c.students, c.attendance, c.courses), "stats")
 
 
+def q19_display_numbers(spark, sf_dir):
+    """Progress texts of whole numbers, prices, and numbers of five decimals."""
+    c, li = _campus(spark, sf_dir), _raw(spark, sf_dir, "lineitem")
+    known = c.courses.select("course_id", "course_name", "course_code")
+    rows = None
+    for kind, progress in (("whole", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice").cast("double")),
+                           ("small", F.concat(F.col("l_linenumber").cast("string"), F.lit("e-5")).cast("double")),
+                           ("none", F.lit(0.0)), ("missing", F.lit(None).cast("double"))):
+        part = li.select(F.col("l_orderkey").alias("student_id"), F.col("l_partkey").alias("course_id"), F.lit(kind).alias("status"), progress.alias("progress"))
+        rows = part if rows is None else rows.unionByName(part)
+    joined = rows.join(known, "course_id").select("student_id", F.col("course_id").alias("id"), F.col("course_name").alias("name"),
+                                                  F.col("course_code").alias("code"), "status", "progress")
+    return learning.display_rows(joined, "courses")
+
+
 def q19_display_teacher_courses(spark, sf_dir):
     c = _campus(spark, sf_dir)
     return learning.display_rows(learning.teacher_course_load(c.teachers, c.courses, c.enrollments), "teacher_courses")
@@ -255,6 +271,31 @@ def s03_changes_from_json(spark, sf_dir):
     return read_changes(spark, path, batch_pay_fees(spark, sf_dir).schema)
 
 
+def _request_lines(spark, sf_dir) -> DataFrame:
+    """One line of JSON per customer; each segment but one has its own fault."""
+    seg, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    name = F.to_json(F.struct(F.col("c_custkey").alias("seq"), F.col("c_name").alias("title"), F.struct(F.lit("x").alias("code")).alias("fields")))
+    return _raw(spark, sf_dir, "customer").select(
+        F.when(seg == "MACHINERY", F.concat(F.lit('{"seq": '), key, F.lit(', "title"')))
+         .when(seg == "HOUSEHOLD", F.concat(F.lit('{"seq": "no'), key, F.lit('", "user_id": true}')))
+         .when(seg == "FURNITURE", F.concat(F.lit('[{"seq": '), key, F.lit("}]")))
+         .when(seg == "AUTOMOBILE", F.concat(F.lit('{"seq": "'), key, F.lit('", "user_id": '), key, F.lit('.0, "title": null, "fields": {"name": null, "code": 7}}')))
+         .otherwise(name).alias("value"))
+
+
+def s03_requests_or_rejects(spark, sf_dir):
+    """S3: lines of JSON, well formed and not; each is a request or a reject."""
+    path = scratch_path(spark, "request-lines")
+    _request_lines(spark, sf_dir).write.mode("errorifexists").text(path)
+    schema = T.StructType.fromDDL("seq long, user_id long, title string, fields map<string,string>")
+    requests, rejects = read_requests(spark, path, schema, "fields")
+    null = F.lit(None)
+    return (requests.select("seq", "user_id", "title", F.col("fields")["code"].alias("code"), F.map_contains_key("fields", F.lit("name")).alias("clears_name"),
+                            null.cast("string").alias("line"), null.cast("string").alias("reason"))
+            .unionByName(rejects.select(null.cast("long").alias("seq"), null.cast("long").alias("user_id"), null.cast("string").alias("title"),
+                                        null.cast("string").alias("code"), null.cast("boolean").alias("clears_name"), "line", "reason")))
+
+
 def batch_reads(spark, sf_dir) -> DataFrame:
     """One read request per customer and supplier; some name nobody's id, and
     to a student's read every teacher is unknown."""

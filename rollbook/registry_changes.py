@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import access, changes
+from rollbook.plans.materialize import scratch_path
+from rollbook.sources.snapshots import create_snapshot
 from rollbook.sources.campus import driver_table, load_driver, management_user, pin, student_user, teacher_user, unknown_user
 
 AS_OF = dt.datetime(2025, 1, 15, 9, 30, 0)
@@ -325,6 +327,73 @@ def _q17(spark, sf_dir):
     return access.grade_access(req, c.teachers, c.grades, c.assignments, c.courses)
 
 
+# ---------------------------------------------------------------- stored snapshots
+def _kept(spark, df: DataFrame, name: str, key: str):
+    """The table as a snapshot of hash partitions in a scratch folder."""
+    return create_snapshot(df, scratch_path(spark, f"stored-{name}"), name, key, 16)
+
+
+def _c02_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    users = c.users.withColumn("role", F.when((F.col("role") != "management") | (F.col("user_id") % 20 != 3), F.col("role")))
+    tables = {n: _kept(spark, getattr(c, n), n, "user_id") for n in ("students", "teachers", "management")}
+    return changes.stored_update_users(users, tables, batch_update_users(spark, sf_dir))
+
+
+def _c05_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.stored_update_courses(_kept(spark, c.courses, "courses", "course_id"), c.teachers, batch_update_courses(spark, sf_dir), AS_OF)
+
+
+def _c06_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    keys = {"courses": "course_id", "attendance": "attendance_id", "grades": "grade_id", "assignments": "course_id", "enrollments": "course_id"}
+    return changes.stored_delete_courses({n: _kept(spark, getattr(c, n), n, k) for n, k in keys.items()}, batch_delete_courses(spark, sf_dir))
+
+
+def _c07_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir).pinned("grades")
+    return changes.stored_update_grades(_kept(spark, c.grades, "grades", "grade_id"), c.teachers, c.assignments, c.courses,
+                                        pin(batch_update_grades(c, spark, sf_dir)), AS_OF)
+
+
+def _c08_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    requests, records = batch_attendance(c, spark, sf_dir)
+    return changes.stored_take_attendance(_kept(spark, c.attendance, "attendance", "attendance_id"), c.teachers, c.courses, requests, records, AS_OF)
+
+
+def _c09_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.stored_create_assignments(_kept(spark, c.assignments, "assignments", "assignment_id"), c.teachers, c.courses,
+                                             batch_create_assignments(spark, sf_dir), AS_OF)
+
+
+def _c10_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.stored_post_notices(_kept(spark, c.notices, "notices", "notice_id"), batch_post_notices(spark, sf_dir), AS_OF)
+
+
+def _c11_stored(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.stored_pay_fees(_kept(spark, c.fees, "fees", "fee_id"), c.students, batch_pay_fees(spark, sf_dir), AS_OF.date())
+
+
+#: Name of the plain form -> the same table from stored snapshots; the answers are the same.
+STORED = {
+    "c02_update_users_students": lambda s, d: _c02_stored(s, d)[0]["students"].read(),
+    "c05_update_courses": lambda s, d: _c05_stored(s, d)[0].read(),
+    "c06_delete_courses_grades": lambda s, d: _c06_stored(s, d)[0]["grades"].read(),
+    "c06_delete_courses_enrollments": lambda s, d: _c06_stored(s, d)[0]["enrollments"].read(),
+    "c07_update_grades": lambda s, d: _c07_stored(s, d)[0].read(),
+    "c07_update_grades_rejects": lambda s, d: _c07_stored(s, d)[1],
+    "c08_take_attendance": lambda s, d: _c08_stored(s, d)[0].read(),
+    "c09_create_assignments": lambda s, d: _c09_stored(s, d)[0].read(),
+    "c10_post_notices": lambda s, d: _c10_stored(s, d)[0].read(),
+    "c11_pay_fees": lambda s, d: _c11_stored(s, d)[0].read(),
+    "c11_pay_fees_rejects": lambda s, d: _c11_stored(s, d)[1],
+}
+
 CHANGES = {
     "q16_course_access": lambda s, d: _q16(s, d)[0].select("seq", "teacher_user_id", "course_id", "teacher_id"),
     "q16_course_access_rejects": lambda s, d: _q16(s, d)[1],
@@ -377,3 +446,4 @@ CHANGES = {
     "c11_pay_fees": lambda s, d: _c11(s, d)[0],
     "c11_pay_fees_rejects": lambda s, d: _c11(s, d)[1],
 }
+CHANGES |= {f"{n}_stored": q for n, q in STORED.items()}

@@ -36,6 +36,13 @@ def d01_available_course_counts(spark, sf_dir):
     return declared.available_course_counts(c.students, c.courses, c.enrollments)
 
 
+def d01_available_courses_set(spark, sf_dir):
+    """The courses that the students of one segment and nation can still take."""
+    c = load_driver(spark, sf_dir)
+    asked = driver_table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") == 7))
+    return declared.available_courses_of(asked.select(F.col("c_custkey").alias("student_id")), c.courses, c.enrollments)
+
+
 def d03_course_assignments(spark, sf_dir):
     c = load_driver(spark, sf_dir)
     return declared.course_assignments(c.assignments, c.courses)
@@ -53,6 +60,7 @@ def d05_student_progress(spark, sf_dir):
 
 DECLARED = {
     "d01_available_course_counts": d01_available_course_counts,
+    "d01_available_courses_set": d01_available_courses_set,
     "d02_enroll": lambda s, d: _d2(s, d)[0],
     "d02_enroll_rejects": lambda s, d: _d2(s, d)[1],
     "d03_course_assignments": d03_course_assignments,

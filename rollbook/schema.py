@@ -104,3 +104,8 @@ ENROLLMENT_ACTIVE = "active"
 MSG_ENROLL_STUDENT = "Student not found"
 MSG_ENROLL_COURSE = "Course not found"
 MSG_ENROLL_EXISTS = "Already enrolled"
+
+# --- Refused request bodies (our wording). ---
+MSG_BAD_JSON = "Request body is not JSON"
+MSG_BAD_BODY = "Request body must be an object"
+MSG_BAD_FIELDS = "Wrong type: "

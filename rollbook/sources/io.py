@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.schema import TABLES
+from rollbook.schema import MSG_BAD_BODY, MSG_BAD_FIELDS, MSG_BAD_JSON, TABLES
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -56,6 +56,65 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType,
                           F.from_json(F.col(patch_column), T.MapType(T.StringType(), T.StringType())))
 
 
+def read_requests(spark: SparkSession, path: str, schema: T.StructType,
+                  patch_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Read change requests (JSON lines): ``(requests, rejects)``.
+
+    Every line is either a request or one row of ``rejects(file, line,
+    reason)``, ``line`` being its text: one that is no JSON, whose body is not an
+    object, or one of whose fields has a value of another type than ``schema``
+    says (a field that is missing or null is null).  Requests have the columns
+    of ``schema``; ``patch_column`` names an object field kept as
+    ``map<string,string>``, as in ``read_changes``, and its values may be of
+    any plain type.  Integral fields take whole numbers and texts of such
+    (``"12"``), text fields anything plain, arrays and objects only their like.
+    Each line is parsed once as a whole and once by the schema, in one scan.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    # The parser stops after the first value; so the line is read as a field of an object that must
+    # go on with a field named after the line's hash.
+    mark = F.concat(F.lit("t"), F.hex(F.xxhash64("line")))
+    framed = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("line"), F.lit(',"'), mark, F.lit('":1}')))
+    whole = F.try_variant_get("framed", F.concat(F.lit("$."), mark), "int") == 1
+    body = F.try_variant_get("framed", "$.v", "variant")
+    # Fields of a plain type are taken by a cast of their own, so that one bad field spoils no other.
+    nested = [f for f in schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType)) and f.name != patch_column]
+    parsed = lines.withColumn("framed", framed).withColumn("body", F.when(whole, body)).withColumn("kind", F.schema_of_variant("body"))
+    if nested:
+        shape = T.StructType([*nested, T.StructField("_unreadable", T.StringType())])
+        parsed = parsed.withColumn("nested", F.from_json("line", shape, {"columnNameOfCorruptRecord": "_unreadable"}))
+    values, wrong = [], []
+    for f in schema.fields:
+        path_of = "$." + f.name if f.name.isidentifier() else f"$['{f.name}']"
+        raw = F.try_variant_get("body", path_of, "variant")
+        given = raw.isNotNull() & (F.schema_of_variant(raw) != "VOID")
+        of = F.schema_of_variant(raw)
+        if f.name == patch_column:
+            value = F.from_json(F.when(of.startswith("OBJECT"), F.to_json(raw)), T.MapType(T.StringType(), T.StringType()))
+        elif f in nested:
+            # The parser leaves out elements that do not fit; a record with any is marked unreadable.
+            like = of.startswith("ARRAY" if isinstance(f.dataType, T.ArrayType) else "OBJECT")
+            value = F.when(like & F.col("nested._unreadable").isNull(), F.col(f"nested.{f.name}"))
+        elif isinstance(f.dataType, T.StringType):
+            value = F.when(~of.startswith("OBJECT") & ~of.startswith("ARRAY"), F.try_variant_get("body", path_of, "string"))
+        else:
+            text = F.when(of.isin("BIGINT", "STRING") | of.startswith("DECIMAL") | of.isin("DOUBLE", "FLOAT", "BOOLEAN"), F.try_variant_get("body", path_of, "string"))
+            if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+                text = F.when(text.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$"), F.regexp_replace(text, r"\.0*\s*$", ""))
+            if isinstance(f.dataType, T.BooleanType):
+                text = F.when(of == "BOOLEAN", text)
+            value = text.try_cast(f.dataType)
+        values.append(value.alias(f.name))
+        wrong.append((f.name, given & value.isNull()))
+    parsed = parsed.withColumn("wrong", F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in wrong])))
+    reason = (F.when(F.col("kind").isNull(), F.lit(MSG_BAD_JSON))
+              .when(~F.col("kind").startswith("OBJECT"), F.lit(MSG_BAD_BODY))
+              .when(F.size("wrong") > 0, F.concat(F.lit(MSG_BAD_FIELDS), F.array_join("wrong", ", "))))
+    judged = parsed.withColumn("reason", reason)
+    return (judged.where(F.col("reason").isNull()).select(*values),
+            judged.where(F.col("reason").isNotNull()).select("file", "line", "reason"))
+
+
 def explode_records(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """One row per element of an array-of-struct request field."""
     return (df.select(*keep, F.posexplode_outer(column).alias("record_pos", "record"))
