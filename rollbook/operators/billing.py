@@ -24,19 +24,23 @@ def fee_detail(students: DataFrame, fees: DataFrame, user_id: int | None = None)
                     "payment_date")
 
 
-def fee_stats(students: DataFrame, fees: DataFrame, user_id: int | None = None) -> DataFrame:
+def fee_stats(students: DataFrame, fees: DataFrame | None, user_id: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Q10: per student the total, paid, pending and unpaid sums and the paid
     percentage.  Sums are exact (decimal), NULL amounts add nothing, and a
-    student without fees gets zeros.
+    student without fees gets zeros.  With ``counts`` (``running.FEES``) no fee
+    is read.
     """
     st = F.col("payment_status")
-    if user_id is not None:  # before the sums
-        fees = only_keys(fees, _students(students, user_id), "student_id")
-    per = fees.groupBy("student_id").agg(
-        money_sum("amount").alias("total"),
-        money_sum("amount", st == FEE_PAID).alias("paid"),
-        money_sum("amount", st == FEE_PENDING).alias("pending"),
-        money_sum("amount", st == FEE_UNPAID).alias("unpaid"))
+    if counts is not None:
+        per = counts
+    else:
+        if user_id is not None:  # before the sums
+            fees = only_keys(fees, _students(students, user_id), "student_id")
+        per = fees.groupBy("student_id").agg(
+            money_sum("amount").alias("total"),
+            money_sum("amount", st == FEE_PAID).alias("paid"),
+            money_sum("amount", st == FEE_PENDING).alias("pending"),
+            money_sum("amount", st == FEE_UNPAID).alias("unpaid"))
     out = _students(students, user_id).join(per, "student_id", "left").select(
         "student_id", money_out("total").alias("total_fees"), money_out("paid").alias("paid_fees"),
         money_out("pending").alias("pending_fees"), money_out("unpaid").alias("unpaid_fees"))

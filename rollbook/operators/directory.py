@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import contains_any, where_all
+from rollbook.operators.search import candidates, narrowed
 from rollbook.schema import ROLE_MANAGEMENT, ROLE_STUDENT, ROLE_TEACHER
 
 
@@ -18,14 +19,18 @@ def _role_pick(role_col, s, t, m):
 
 def user_directory(users: DataFrame, students: DataFrame, teachers: DataFrame,
                    management: DataFrame, role: str | None = None, search: str | None = None,
-                   user_id: int | None = None) -> DataFrame:
+                   user_id: int | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Q1: ``id, domain_id, role, created_at, name, email`` for every user.
 
     Name and e-mail come from the role table matching the user's role.
     The search tests domain id, and names and e-mails in *all three* role
     tables whatever the user's role.  All three left joins are on
-    ``user_id``, so they share one partitioning of the users side.
+    ``user_id``, so they share one partitioning of the users side.  With
+    ``postings`` (``search.directory_values``) a search reads its candidates only.
     """
+    ids = candidates(postings, search) if search and postings is not None else None
+    if ids is not None:
+        users, students, teachers, management = narrowed([(t, "user_id") for t in (users, students, teachers, management)], ids)
     u = where_all(users, [
         (F.col("user_id") == F.lit(user_id)) if user_id is not None else None,
         (F.col("role") == F.lit(role)) if role else None,

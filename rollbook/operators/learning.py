@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import contains_any, count_if_eq, number_text, one_decimal, pct, where_all
 from rollbook.operators.keys import left_join_nullable, only_keys, role_key
+from rollbook.operators.search import candidates, narrowed
 from rollbook.schema import (
     ATTENDANCE_ABSENT, ATTENDANCE_EXCUSED, ATTENDANCE_PRESENT, SHOW_NO_FEEDBACK,
     SHOW_NO_PROGRESS, SHOW_NO_TEACHER, SHOW_NOT_GRADED,
@@ -63,25 +64,29 @@ def student_attendance(students: DataFrame, attendance: DataFrame, courses: Data
                      F.col("attendance_date").alias("date"), "status", "course_name", "course_code"))
 
 
-def attendance_stats(students: DataFrame, attendance: DataFrame, courses: DataFrame,
-                     user_id: int | None = None) -> DataFrame:
+def attendance_stats(students: DataFrame, attendance: DataFrame | None, courses: DataFrame | None,
+                     user_id: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Q7: per student, counts by status and percentages of the Q6 rows.
 
     Students without rows get zeros.  Status compare is exact; other
-    statuses count in the total only.
+    statuses count in the total only.  With ``counts`` (``running.CLASSES``)
+    no attendance is read.
     """
     s = students.select("student_id", "user_id")
     if user_id is not None:
         s = only_keys(s, role_key(students, "student_id", user_id), "student_id")
-    rows = only_keys(attendance.select("student_id", "course_id", "attendance_id", "status"),
-                     courses.select("course_id"), "course_id")
-    if user_id is not None:  # before the counts
-        rows = only_keys(rows, s, "student_id")
-    per = rows.groupBy("student_id").agg(
-        F.count("attendance_id").alias("total_classes"),
-        count_if_eq("status", ATTENDANCE_PRESENT).alias("present"),
-        count_if_eq("status", ATTENDANCE_ABSENT).alias("absent"),
-        count_if_eq("status", ATTENDANCE_EXCUSED).alias("excused"))
+    if counts is not None:
+        per = counts
+    else:
+        rows = only_keys(attendance.select("student_id", "course_id", "attendance_id", "status"),
+                         courses.select("course_id"), "course_id")
+        if user_id is not None:  # before the counts
+            rows = only_keys(rows, s, "student_id")
+        per = rows.groupBy("student_id").agg(
+            F.count("attendance_id").alias("total_classes"),
+            count_if_eq("status", ATTENDANCE_PRESENT).alias("present"),
+            count_if_eq("status", ATTENDANCE_ABSENT).alias("absent"),
+            count_if_eq("status", ATTENDANCE_EXCUSED).alias("excused"))
     out = s.select("student_id").join(per, "student_id", "left")
     zero = F.lit(0).cast("long")
     out = out.select("student_id", *[F.coalesce(c, zero).alias(c)
@@ -92,14 +97,15 @@ def attendance_stats(students: DataFrame, attendance: DataFrame, courses: DataFr
                       pct("excused", "total_classes").alias("excused_percentage"))
 
 
-def teacher_course_load(teachers: DataFrame, courses: DataFrame, enrollments: DataFrame,
-                        user_id: int | None = None) -> DataFrame:
-    """Q11: each teacher's courses with their enrollment counts (0 when none)."""
+def teacher_course_load(teachers: DataFrame, courses: DataFrame, enrollments: DataFrame | None,
+                        user_id: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Q11: each teacher's courses with their enrollment counts (0 when none).
+    With ``counts`` (``running.ENROLLED``) no enrollment is read."""
     t = role_key(teachers, "teacher_id", user_id).select("teacher_id")
     c = courses.join(t, "teacher_id")
-    if user_id is not None:  # before the counts
+    if user_id is not None and counts is None:  # before the counts
         enrollments = only_keys(enrollments, c, "course_id")
-    return (c.join(enrollment_counts(enrollments), "course_id", "left")
+    return (c.join(enrollment_counts(enrollments) if counts is None else counts, "course_id", "left")
              .select("teacher_id", F.col("course_id").alias("id"), F.col("course_code").alias("code"),
                      F.col("course_name").alias("name"), "schedule",
                      F.coalesce("enrolled_students", F.lit(0).cast("long")).alias("enrolled_students")))
@@ -127,23 +133,29 @@ def course_roster(students: DataFrame, enrollments: DataFrame, courses: DataFram
                      F.col("enrollment_status").alias("status"), F.col("created_at").alias("enrolled_at")))
 
 
-def course_catalog(courses: DataFrame, teachers: DataFrame, enrollments: DataFrame,
-                   teacher_id: int | None = None, search: str | None = None) -> DataFrame:
+def course_catalog(courses: DataFrame, teachers: DataFrame, enrollments: DataFrame | None,
+                   teacher_id: int | None = None, search: str | None = None,
+                   counts: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Q13: every course with its teacher's name and enrollment count.
 
     Optional filters: teacher id equality, and a contains-search over code
     and name (the term's own % and _ act as wildcards).  Counts are
-    aggregated per course before the joins.
+    aggregated per course before the joins.  With ``counts``
+    (``running.ENROLLED``) no enrollment is read; with ``postings``
+    (``search.course_values``) a search reads its candidates only.
     """
+    ids = candidates(postings, search) if search and postings is not None else None
+    if ids is not None:
+        courses, = narrowed([(courses, "course_id")], ids)
     c = where_all(courses, [
         (F.col("teacher_id") == F.lit(teacher_id)) if teacher_id else None,
         contains_any(["course_code", "course_name"], search) if search else None,
     ])
     t = teachers.select("teacher_id", F.col("name").alias("teacher_name"))
-    if teacher_id or search:  # before the counts
+    if (teacher_id or search) and counts is None:  # before the counts
         enrollments = only_keys(enrollments, c, "course_id")
     return (left_join_nullable(c, t, "teacher_id", "course_id")
-             .join(enrollment_counts(enrollments), "course_id", "left")
+             .join(enrollment_counts(enrollments) if counts is None else counts, "course_id", "left")
              .select(F.col("course_id").alias("id"), F.col("course_code").alias("code"),
                      F.col("course_name").alias("name"), "schedule", "teacher_id", "teacher_name",
                      F.coalesce("enrolled_students", F.lit(0).cast("long")).alias("enrolled_students")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from rollbook.oracle import _pct, with_mapping
-from rollbook.oracle_changes import AS_OF_TS
+import re
+
+from rollbook.oracle import READS, _pct, with_mapping
+from rollbook.oracle_changes import AS_OF_TS, CHANGES
 
 DECLARED: dict[str, str] = {}
 
@@ -89,3 +91,9 @@ LEFT JOIN (SELECT student_id, course_id, count(attendance_id) AS classes,
            FROM attendance GROUP BY student_id, course_id) t
        ON t.student_id = p.student_id AND t.course_id = p.course_id
 """)
+
+# Running counts: the plain answers over the table as the batch leaves it.
+DECLARED["d02_enroll_stored"] = DECLARED["d02_enroll"]
+for _name, _table, _after in (("q13_course_catalog", "enrollments", DECLARED["d02_enroll"]), ("q11_teacher_course_load", "enrollments", DECLARED["d02_enroll"]),
+                              ("q07_attendance_stats", "attendance", CHANGES["c08_take_attendance"]), ("q10_fee_stats", "fees", CHANGES["c11_pay_fees"])):
+    DECLARED[f"{_name}_running"] = re.sub(rf"\b(FROM|JOIN) {_table}\b", lambda m, after=_after: f"{m[1]} ({after})", READS[_name])

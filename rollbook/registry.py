@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.operators import billing, directory, learning, notices
+from rollbook.operators import billing, directory, learning, notices, search
 from rollbook.operators.keys import role_key
 from rollbook.operators.requests import read_for
 from rollbook.plans.materialize import scratch_path
@@ -44,6 +44,20 @@ def q01_user_directory_search(spark, sf_dir):
                                     role="student", search="1_0")
 
 
+def _indexed_directory(spark, sf_dir, term):
+    c = _campus(spark, sf_dir)
+    tables = c.users, c.students, c.teachers, c.management
+    return directory.user_directory(*tables, search=term, postings=search.write_postings(search.directory_values(*tables), scratch_path(spark, "postings")))
+
+
+def q01_user_directory_search_indexed(spark, sf_dir):
+    return _indexed_directory(spark, sf_dir, "MER#%7_1")
+
+
+def q01_user_directory_search_indexed_short(spark, sf_dir):
+    return _indexed_directory(spark, sf_dir, "1_0")
+
+
 def q02_student_profile(spark, sf_dir):
     c = _campus(spark, sf_dir)
     return directory.student_profile(c.students, c.users)
@@ -109,6 +123,12 @@ def q13_course_catalog_search(spark, sf_dir):
     return learning.course_catalog(c.courses, c.teachers, c.enrollments, search="#1_-")
 
 
+def q13_course_catalog_search_indexed(spark, sf_dir):
+    c = _campus(spark, sf_dir)
+    return learning.course_catalog(c.courses, c.teachers, c.enrollments, search="AND#1_-",
+                                   postings=search.write_postings(search.course_values(c.courses), scratch_path(spark, "postings")))
+
+
 def q14_find_users_by_email(spark, sf_dir):
     c = _campus(spark, sf_dir)
     customer, supplier, nation = (_raw(spark, sf_dir, n) for n in ("customer", "supplier", "nation"))

@@ -70,6 +70,14 @@ class Snapshot:
         one scan of that column and the key."""
         return self.parts_of(self.read().select(*{self.key, column}).join(keys.select(column), column, "left_semi"))
 
+    def difference(self, older: Snapshot) -> tuple[DataFrame, DataFrame]:
+        """``(added, gone)``: the rows of the writes that this version has and
+        ``older`` has not, and the other way round.  Rows of a rewritten
+        partition that stayed as they were are in both."""
+        return tuple(Snapshot(self.spark, self.path, self.name, self.key, self.parts, self.version, {
+            p: kept for p, writes in a.held.items() if (kept := [w for w in writes if w not in b.held.get(p, [])])}).read()
+            for a, b in ((self, older), (older, self)))
+
     def _write(self, rows: DataFrame, tasks: int) -> tuple[str, list[int]]:
         write = f"{self.version + 1:08d}-{uuid.uuid4().hex}"
         folder = f"{self.path}/data/{write}"
