@@ -9,7 +9,7 @@ place: callers persist the returned tables with ``write_snapshot``; the
 read and write only the partitions that a batch touches.
 """
 
-from rollbook.operators.changes.courses import create_courses, delete_courses, update_courses  # noqa: F401
+from rollbook.operators.changes.courses import create_courses, delete_courses, update_courses, update_courses_in_order  # noqa: F401
 from rollbook.operators.changes.fees import pay_fees  # noqa: F401
 from rollbook.operators.changes.teaching import (  # noqa: F401
     create_assignments, nested_attendance, post_notices, take_attendance, update_grades,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import blank_to_null, present_num, present_str, ts_ntz
 from rollbook.plans.batches import existing_keys, first_claim, flag_existing, gone_before, last_value, reason_of, split, wanted
 from rollbook.plans.deferred import Deferred, once
-from rollbook.plans.ids import current_max, number_rows
+from rollbook.plans.ids import current_max, number_rows, running_last, running_sum
 from rollbook.plans.materialize import materialize
 from rollbook.schema import (
     MSG_COURSE_CODE_EXISTS, MSG_COURSE_CODE_IN_USE, MSG_COURSE_FIELDS, MSG_COURSE_NOT_FOUND,
@@ -77,44 +77,101 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
     teacher_id`` of each changed course.  ``target`` narrows the rows to return
     to a part of the courses that holds all requested ones.
     """
+    b = materialize(_checked_updates(courses, teachers, batch), "checked")  # the claims and the join back read it
+    # Holders of the requested codes only (semi join before the aggregate).
+    holders = (courses.join(wanted(b, ["new_code"], ["course_code"]), "course_code", "left_semi")
+               .groupBy(F.col("course_code").alias("new_code"))
+               .agg(F.min("course_id").alias("holder_min"), F.max("course_id").alias("holder_max")))
+    b = b.join(holders, "new_code", "left")
+    in_use = F.col("new_code").isNotNull() & F.col("holder_min").isNotNull() & (
+        (F.col("holder_min") != F.col("course_id")) | (F.col("holder_max") != F.col("course_id")))
+    candidate = ~F.col("not_found") & ~in_use & ~F.col("bad_teacher") & ~F.col("nothing")
+    # Among accepted claims of one new code, the first request's course keeps it.
+    claims = (b.where(candidate & F.col("new_code").isNotNull())
+               .groupBy("new_code").agg(F.min_by("course_id", "seq").alias("claim_course")))
+    b = b.join(claims, "new_code", "left")
+    lost_claim = F.col("claim_course").isNotNull() & (F.col("claim_course") != F.col("course_id"))
+    return _apply_updates(courses if target is None else target, b, in_use | lost_claim, as_of)
+
+
+def update_courses_in_order(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as_of: dt.datetime
+                            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C5 with each request checked against the state that the requests before
+    it have left, as the application does one by one: a code that an earlier
+    request has freed can be taken, one that it has taken cannot.  ``seq`` is
+    unique; else as ``update_courses``.
+
+    Only codes depend on earlier requests.  Which requests get their code is
+    found in rounds: assuming those of the last round (first: all), every
+    course's codes over time are known, hence the number of other holders of
+    each requested code at each request.  A request depends on earlier ones
+    alone, so a round settles at least one more request of every chain of
+    dependent ones, and the rounds end when nothing changes: claims of one
+    code by many courses take two or three, a chain of n courses that each take
+    the code the one before has just freed up to n.  Both running values of a
+    round are taken within range partitions and carried over their borders
+    by one row a partition, so that a code or course of a third of all
+    requests is not one task's.
+    """
+    b = materialize(_checked_updates(courses, teachers, batch), "checked")
+    asks = b.where(F.col("new_code").isNotNull() & ~F.col("not_found")).select(
+        "seq", "course_id", F.col("new_code").alias("code"), (~F.col("bad_teacher")).alias("can"))
+    asks = materialize(asks, "code-requests")
+    held = courses.select("course_id", F.col("course_code").alias("code")).where(F.col("code").isNotNull())
+    of_courses = held.join(wanted(asks, ["course_id"]), "course_id", "left_semi")
+    of_codes = held.join(wanted(asks, ["code"]), "code", "left_semi")
+    start = materialize(of_courses.select("course_id", "code").unionByName(of_codes.select("course_id", "code")).distinct(), "codes-before")
+    ok = asks.withColumn("ok", F.col("can"))
+    while True:
+        # The code that each asking course has just before its request.
+        moves = (start.select("course_id", F.lit(None).cast("long").alias("seq"), "code", F.lit(True).alias("can"), F.lit(True).alias("ok"), F.col("code").alias("has"))
+                 .unionByName(ok.select("course_id", "seq", "code", "can", "ok", F.when(F.col("ok"), F.col("code")).alias("has"))))
+        asked = materialize(running_last(moves, "course_id", ["seq"], "has", "had").where(F.col("seq").isNotNull()).drop("has"), "codes-then")
+        # How many courses hold the requested code then: +1 where one takes it, -1 where one leaves it.
+        events = (start.select("code", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(1).alias("step"))
+                  .unionByName(asked.where("ok").select("code", "seq", F.lit(1).alias("kind"), F.lit(1).alias("step")))
+                  .unionByName(asked.where("ok AND had IS NOT NULL").select(F.col("had").alias("code"), "seq", F.lit(1).alias("kind"), F.lit(-1).alias("step")))
+                  .unionByName(asked.select("code", "seq", F.lit(0).alias("kind"), F.lit(0).alias("step"))))
+        holders = running_sum(events, "code", ["seq", "kind"], "step", "holders").where("kind = 0").select("code", "seq", "holders")
+        others = F.col("holders") - F.when(F.col("had") == F.col("code"), 1).otherwise(0)
+        now = materialize(asked.join(holders, ["code", "seq"]).select("course_id", "seq", "code", "can", F.col("ok").alias("was"), (others > 0).alias("in_use"),
+                                                                      (F.col("can") & (others <= 0)).alias("ok")), "code-round")
+        if now.where("ok <> was").isEmpty():
+            break
+        ok = now.select("course_id", "seq", "code", "can", "ok")
+    b = b.join(now.select("seq", "in_use"), "seq", "left")
+    return _apply_updates(courses, b, F.coalesce("in_use", F.lit(False)), as_of)
+
+
+def _checked_updates(courses: DataFrame, teachers: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch of C5 with its fields as columns and the checks that do not
+    depend on other requests: ``not_found``, ``bad_teacher``, ``nothing``."""
     fld = F.col("fields")
     name = blank_to_null(fld.getItem("name"))
     code = blank_to_null(fld.getItem("code"))
     has_desc = F.coalesce(F.map_contains_key(fld, F.lit("description")), F.lit(False))
     has_teacher = F.coalesce(F.map_contains_key(fld, F.lit("teacher_id")), F.lit(False))
-    b0 = batch.select("seq", "course_id", "fields",
+    b0 = batch.select("seq", "course_id",
                      name.alias("new_name"), code.alias("new_code"),
                      has_desc.alias("has_desc"), has_teacher.alias("has_teacher"),
                      fld.getItem("description").alias("new_desc"),
                      fld.getItem("teacher_id").try_cast("long").alias("new_tid"),
-                     (has_teacher & fld.getItem("teacher_id").isNotNull()).alias("sets_teacher"))
+                     (has_teacher & F.coalesce(fld.getItem("teacher_id").isNotNull(), F.lit(False))).alias("sets_teacher"))
     b = flag_existing(b0, courses, ["course_id"], flag="course_exists", keys_from=b0)
-    # Holders of the requested codes only (semi join before the aggregate).
-    holders = (courses.join(wanted(b0, ["new_code"], ["course_code"]), "course_code", "left_semi")
-               .groupBy(F.col("course_code").alias("new_code"))
-               .agg(F.min("course_id").alias("holder_min"), F.max("course_id").alias("holder_max")))
-    b = b.join(holders, "new_code", "left")
     b = flag_existing(b, teachers, ["teacher_id"], ["new_tid"], "teacher_ok", keys_from=b0)
+    return b.select("seq", "course_id", "new_name", "new_code", "has_desc", "has_teacher", "new_desc", "new_tid",
+                    F.col("course_exists").isNull().alias("not_found"),
+                    (F.col("sets_teacher") & F.col("teacher_ok").isNull()).alias("bad_teacher"),
+                    (~(F.col("new_name").isNotNull() | F.col("new_code").isNotNull() | F.col("has_desc") | F.col("has_teacher"))).alias("nothing"))
 
-    not_found = F.col("course_exists").isNull()
-    in_use = F.col("new_code").isNotNull() & F.col("holder_min").isNotNull() & (
-        (F.col("holder_min") != F.col("course_id")) | (F.col("holder_max") != F.col("course_id")))
-    bad_teacher = F.col("sets_teacher") & F.col("teacher_ok").isNull()
-    nothing = ~(F.col("new_name").isNotNull() | F.col("new_code").isNotNull()
-                | F.col("has_desc") | F.col("has_teacher"))
-    candidate = ~not_found & ~in_use & ~bad_teacher & ~nothing
-    # Both the claims aggregate and the join back read the checked batch.
-    b = materialize(b, "checked")
-    # Among accepted claims of one new code, the first request's course keeps it.
-    claims = (b.where(candidate & F.col("new_code").isNotNull())
-               .groupBy("new_code").agg(F.min_by("course_id", "seq").alias("claim_course")))
-    b = b.join(claims, "new_code", "left")
-    lost_claim = F.col("claim_course").isNotNull() & (F.col("claim_course") != F.col("course_id"))
+
+def _apply_updates(courses: DataFrame, b: DataFrame, in_use: Column, as_of: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(courses, updated, rejects) of checked updates."""
     annotated = b.withColumn("reason", reason_of([
-        (not_found, MSG_COURSE_NOT_FOUND),
-        (in_use | lost_claim, MSG_COURSE_CODE_IN_USE),
-        (bad_teacher, MSG_TEACHER_NOT_FOUND),
-        (nothing, MSG_NO_FIELDS),
+        (F.col("not_found"), MSG_COURSE_NOT_FOUND),
+        (in_use, MSG_COURSE_CODE_IN_USE),
+        (F.col("bad_teacher"), MSG_TEACHER_NOT_FOUND),
+        (F.col("nothing"), MSG_NO_FIELDS),
     ]))
     ok, rejects = split(annotated, pin=False)
     upd = ok.groupBy("course_id").agg(
@@ -122,7 +179,7 @@ def update_courses(courses: DataFrame, teachers: DataFrame, batch: DataFrame, as
         last_value(F.col("new_code"), F.col("new_code").isNotNull()).alias("u_code"),
         last_value(F.col("new_desc"), F.col("has_desc")).alias("u_desc"),
         last_value(F.col("new_tid"), F.col("has_teacher")).alias("u_tid"))
-    c = (courses if target is None else target).join(upd.withColumn("touched", F.lit(True)), "course_id", "left")
+    c = courses.join(upd.withColumn("touched", F.lit(True)), "course_id", "left")
 
     def pick(u: str, old: str):
         return F.when(F.col(u).isNotNull(), F.col(f"{u}.v")).otherwise(F.col(old))

@@ -587,6 +587,29 @@ FROM fees f LEFT JOIN paid_now p ON p.fee_id = f.fee_id
 """, C11)
 CHANGES["c11_pay_fees_rejects"] = _run("SELECT seq, reason FROM ann WHERE reason IS NOT NULL", C11)
 
+# Of a shared code's first askers the first gets it; if that is a LARGE course it leaves the
+# code, and the first of the later askers gets it.
+C5_ORDER = """
+p AS (SELECT p_partkey AS id, p_type AS t, p_partkey // 10 AS pool FROM part),
+early AS (SELECT pool, min(id) AS id, arg_min(t, id) AS t FROM p WHERE t IN ('SMALL', 'LARGE', 'ECONOMY') GROUP BY pool),
+late AS (SELECT pool, min(id) AS id FROM p WHERE t IN ('PROMO', 'STANDARD')
+         AND pool NOT IN (SELECT pool FROM early WHERE t <> 'LARGE') GROUP BY pool)
+"""
+CHANGES["c05_update_courses_in_order"] = _run(f"""
+SELECT c.course_id, CASE WHEN p.t = 'LARGE' THEN 'FREE-' || CAST(p.id AS VARCHAR)
+                         WHEN p.id IN (SELECT id FROM early) OR p.id IN (SELECT id FROM late) THEN 'POOL-' || CAST(p.pool AS VARCHAR)
+                         ELSE c.course_code END AS course_code,
+       c.course_name, c.schedule, c.teacher_id, c.description,
+       CASE WHEN p.t = 'LARGE' OR p.id IN (SELECT id FROM early) OR p.id IN (SELECT id FROM late) THEN {AS_OF_TS} ELSE c.updated_at END AS updated_at
+FROM courses c JOIN p ON p.id = c.course_id
+""", C5_ORDER)
+CHANGES["c05_update_courses_in_order_rejects"] = _run("""
+SELECT id AS seq, 'Course code already in use' AS reason FROM p
+WHERE t IN ('SMALL', 'LARGE', 'ECONOMY') AND id NOT IN (SELECT id FROM early)
+UNION ALL
+SELECT 2000000000000 + id, 'Course code already in use' FROM p WHERE t IN ('PROMO', 'STANDARD') AND id NOT IN (SELECT id FROM late)
+""", C5_ORDER)
+
 # Stored snapshots give the answers of the plain forms.
 for _name in ("c02_update_users_students", "c05_update_courses", "c06_delete_courses_grades", "c06_delete_courses_enrollments",
               "c07_update_grades", "c07_update_grades_rejects", "c08_take_attendance", "c09_create_assignments", "c10_post_notices",

@@ -96,3 +96,38 @@ def number_rows_by_group(df: DataFrame, group_col: str, order_cols: list[str], i
     return (tagged.join(lookup, ["_part", group_col])
                   .withColumn(id_col, start + F.col("_before") + (F.col("_mono") - F.col("_first")) + 1)
                   .drop("_part", "_mono", "_before", "_first"))
+
+
+def _in_ranges(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` dealt out by ranges of (group, order), with its partition in ``_part``."""
+    ranged = materialize(df, "rows").repartitionByRange(group, *order)
+    return materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same group up to
+    and with this one, in the given order (NULL first; ties in any order).
+
+    A group may be any part of all rows: its rows are summed up within range
+    partitions, and the sums of the partitions before, one row each, are added.
+    """
+    rows = _in_ranges(df, group, order)
+    totals = rows.groupBy(group, "_part").agg(F.sum(value).cast("long").alias("_n"))
+    before = prefix_sums(totals, [group]).select(group, "_part", "_before")
+    local = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn("_local", F.sum(value).over(local)).join(before, [group, "_part"])
+            .withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before"))
+
+
+def running_last(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the last ``value`` that is not NULL among the rows of the
+    same group before this one, in the given order (NULL first); dealt out like
+    ``running_sum``, with the last value of each partition carried on."""
+    rows = _in_ranges(df, group, order)
+    local = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition that a group reaches into.
+    ends = rows.groupBy(group, "_part").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v")))).alias("_end"))
+    carried = ends.select(group, "_part", F.last("_end._v", ignorenulls=True).over(
+        Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    return (rows.withColumn("_local", F.last(value, ignorenulls=True).over(local)).join(carried, [group, "_part"])
+            .withColumn(out, F.coalesce("_local", "_carried")).drop("_part", "_local", "_carried"))

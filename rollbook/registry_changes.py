@@ -136,6 +136,19 @@ def batch_update_courses(spark, sf_dir) -> DataFrame:
         fields.alias("fields"))
 
 
+def batch_course_codes(spark, sf_dir) -> DataFrame:
+    """Courses ask for a code that ten of them share; those of type LARGE go on
+    to a code of their own and so free what they had got; others ask then."""
+    p = _raw(spark, sf_dir, "part")
+    shared = F.concat(F.lit("POOL-"), F.floor(F.col("p_partkey") / 10).cast("string"))
+    rows = None
+    for turn, types, code in ((0, ["SMALL", "LARGE", "ECONOMY"], shared), (1, ["LARGE"], F.concat(F.lit("FREE-"), _s("p_partkey"))), (2, ["PROMO", "STANDARD"], shared)):
+        part = p.where(F.col("p_type").isin(types)).select(
+            (F.lit(turn).cast("long") * 1_000_000_000_000 + F.col("p_partkey")).alias("seq"), F.col("p_partkey").alias("course_id"), F.create_map(F.lit("code"), code).alias("fields"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def batch_delete_courses(spark, sf_dir) -> DataFrame:
     p = _raw(spark, sf_dir, "part")
     promo = F.col("p_type") == "PROMO"
@@ -282,6 +295,11 @@ def _c05(spark, sf_dir):
     return changes.update_courses(c.courses, c.teachers, batch_update_courses(spark, sf_dir), AS_OF)
 
 
+def _c05_in_order(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return changes.update_courses_in_order(c.courses, c.teachers, batch_course_codes(spark, sf_dir), AS_OF)
+
+
 def _c06(spark, sf_dir):
     c = load_driver(spark, sf_dir)
     return changes.delete_courses(c.courses, c.attendance, c.grades, c.assignments, c.enrollments,
@@ -427,6 +445,8 @@ CHANGES = {
     "c05_update_courses": lambda s, d: _c05(s, d)[0],
     "c05_update_courses_updated": lambda s, d: _c05(s, d)[1],
     "c05_update_courses_rejects": lambda s, d: _c05(s, d)[2],
+    "c05_update_courses_in_order": lambda s, d: _c05_in_order(s, d)[0],
+    "c05_update_courses_in_order_rejects": lambda s, d: _c05_in_order(s, d)[2],
     "c06_delete_courses": lambda s, d: _c06(s, d)[0]["courses"],
     "c06_delete_courses_grades": lambda s, d: _c06(s, d)[0]["grades"],
     "c06_delete_courses_attendance": lambda s, d: _c06(s, d)[0]["attendance"],
