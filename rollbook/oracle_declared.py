@@ -93,7 +93,7 @@ LEFT JOIN (SELECT student_id, course_id, count(attendance_id) AS classes,
 """)
 
 # Running counts: the plain answers over the table as the batch leaves it.
-DECLARED["d02_enroll_stored"] = DECLARED["d02_enroll"]
+DECLARED["d02_enroll_stored"] = DECLARED["d02_enroll_key_filter"] = DECLARED["d02_enroll"]
 for _name, _table, _after in (("q13_course_catalog", "enrollments", DECLARED["d02_enroll"]), ("q11_teacher_course_load", "enrollments", DECLARED["d02_enroll"]),
                               ("q07_attendance_stats", "attendance", CHANGES["c08_take_attendance"]), ("q10_fee_stats", "fees", CHANGES["c11_pay_fees"])):
     DECLARED[f"{_name}_running"] = re.sub(rf"\b(FROM|JOIN) {_table}\b", lambda m, after=_after: f"{m[1]} ({after})", READS[_name])

@@ -77,25 +77,59 @@ def wanted(requests: DataFrame, cols: list[str], as_cols: list[str] | None = Non
     return sel.distinct()
 
 
+#: A batch's keys are tested by bitmap before a join from this many on (below, Spark broadcasts
+#: them as they are), and up to as many as give bitmaps of 32 MB.
+FILTER_FROM, FILTER_TO = 200_000, 16_000_000
+BITS_A_KEY, BITMAP = 16, 32_768
+
+
+def key_filtered(table: DataFrame, cols: list[str], keys: DataFrame, at_least: int | None = None) -> DataFrame:
+    """The rows of ``table`` whose key may be among ``keys`` (same columns, distinct).
+
+    Each key sets one of 16 bits a key by its hash; the bits, in bitmaps of 4 KB,
+    are broadcast (32 MB at most), and rows whose bit is not set go before any
+    shuffle.  One row in sixteen of the others stays, so an exact join has to
+    follow.  Key sets too small to need it, or too large for it, leave the table
+    as it is.
+    """
+    n = keys.limit(FILTER_TO + 1).count()
+    if not (FILTER_FROM if at_least is None else at_least) <= n <= FILTER_TO:
+        return table
+    bits = 1 << max(15, (n * BITS_A_KEY - 1).bit_length())
+    place = F.pmod(F.xxhash64(*cols), F.lit(bits).cast("long"))
+    maps = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BITMAP).alias("_slot")) \
+        .agg(F.bitmap_construct_agg(F.col("_place") % BITMAP).alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast((_place % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return (table.withColumn("_place", place).withColumn("_slot", F.floor(F.col("_place") / BITMAP)).join(F.broadcast(maps), "_slot")
+            .where(F.expr(f"({byte} & shiftleft(1, cast(_place % 8 as int))) <> 0")).select(*table.columns))
+
+
 def existing_keys(table: DataFrame, requests: DataFrame, table_cols: list[str],
-                  request_cols: list[str] | None = None, flag: str = "exists") -> DataFrame:
+                  request_cols: list[str] | None = None, flag: str = "exists", filter_from: int | None = None) -> DataFrame:
     """``(request_cols..., flag=True)`` for the requested keys present in ``table``.
 
     The table is first narrowed to the requested keys by a semi join (a
     broadcast filter when the batch's key set is small), so a batch never
     makes the whole table shuffle or aggregate; only the matches are
-    de-duplicated.
+    de-duplicated.  ``filter_from`` says from how many keys on the table's rows
+    are tested by bitmap first (``key_filtered``); None: never.
     """
     request_cols = request_cols or table_cols
     keys = wanted(requests, request_cols, table_cols)
-    hits = table.select(*table_cols).join(keys, table_cols, "left_semi").distinct()
+    rows = table.select(*table_cols)
+    kind = "left_semi"
+    if filter_from is not None:
+        keys = materialize(keys, "keys")
+        rows = key_filtered(rows, table_cols, keys, filter_from)
+        kind = "inner"  # a semi join would be moved below the filter's join; the keys are distinct
+    hits = rows.join(keys, table_cols, kind).distinct()
     return hits.select(*[F.col(t).alias(r) for t, r in zip(table_cols, request_cols)]) \
                .withColumn(flag, F.lit(True))
 
 
 def flag_existing(requests: DataFrame, table: DataFrame, table_cols: list[str],
                   request_cols: list[str] | None = None, flag: str = "exists",
-                  keys_from: DataFrame | None = None) -> DataFrame:
+                  keys_from: DataFrame | None = None, filter_from: int | None = None) -> DataFrame:
     """Add boolean-or-NULL ``flag``: the request's key exists in ``table``.
 
     ``keys_from`` is the frame the key set is read from (the original batch
@@ -103,7 +137,7 @@ def flag_existing(requests: DataFrame, table: DataFrame, table_cols: list[str],
     """
     request_cols = request_cols or table_cols
     src = requests if keys_from is None else keys_from
-    return requests.join(existing_keys(table, src, table_cols, request_cols, flag),
+    return requests.join(existing_keys(table, src, table_cols, request_cols, flag, filter_from),
                          request_cols, "left")
 
 

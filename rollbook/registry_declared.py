@@ -34,6 +34,11 @@ def _d2(spark, sf_dir):
     return declared.enroll(c.enrollments, c.students, c.courses, pin(batch_enroll(spark, sf_dir)), AS_OF)
 
 
+def _d2_filtered(spark, sf_dir):
+    c = load_driver(spark, sf_dir)
+    return declared.enroll(c.enrollments, c.students, c.courses, pin(batch_enroll(spark, sf_dir)), AS_OF, filter_from=0)
+
+
 def _d2_stored(spark, sf_dir):
     c = load_driver(spark, sf_dir)
     old = create_snapshot(c.enrollments, scratch_path(spark, "stored-enrollments"), "enrollments", "course_id", 16)
@@ -106,6 +111,7 @@ def d05_student_progress(spark, sf_dir):
 DECLARED = {
     "d01_available_course_counts": d01_available_course_counts,
     "d01_available_courses_set": d01_available_courses_set,
+    "d02_enroll_key_filter": lambda s, d: _d2_filtered(s, d)[0],
     "d02_enroll_stored": lambda s, d: _d2_stored(s, d)[0].read(),
     "q07_attendance_stats_running": q07_attendance_stats_running,
     "q10_fee_stats_running": q10_fee_stats_running,
