@@ -401,10 +401,11 @@ def test_ids_do_not_meet_at_large_keys(spark):
 
 
 def test_display_stats_text(spark):
-    rows = frame(spark, "student_id long, total_classes long, present long, absent long", [(1, 16, 1, 15), (2, 0, 0, 0), (3, 3, 2, 1), (4, 5, 5, 0)])
+    rows = frame(spark, "student_id long, total_classes long, present_percentage double, absent_percentage double",
+                 [(i + 1, n, p / n * 100 if n else 0.0, a / n * 100 if n else 0.0) for i, (n, p, a) in enumerate([(16, 1, 15), (0, 0, 0), (3, 2, 1), (5, 5, 0)])])
     out = as_dicts(learning.display_rows(rows, "stats"), "student_id")
     assert [(r["present_text"], r["absent_text"], r["total_text"]) for r in out] == [
-        ("6.3%", "93.8%", "16"), ("0%", "0%", "0"), ("66.7%", "33.3%", "3"), ("100.0%", "0.0%", "5")]
+        ("6.3%", "93.8%", "16"), ("0.0%", "0.0%", "0"), ("66.7%", "33.3%", "3"), ("100.0%", "0.0%", "5")]
 
 
 def test_presentation_order(spark):
