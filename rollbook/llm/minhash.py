@@ -8,8 +8,11 @@ tables of ``2 * rows`` hashes.  At similarity s a pair meets in some table with
 probability (1 - (1 - s**rows)**groups)**2: 0.9994 at 0.8 for 8 groups of 2,
 more above.
 
-Pairs are compared so that a large group costs a few comparisons a member and
-never emits all its pairs.  Each id is first held against the weightiest leader
+Pairs are compared so that a large group whose members resemble each other
+well costs a few comparisons a member.  A family of pages that lie just *below*
+the similarity of each other is not so cheap: its members stay in components of
+their own, and the last step below joins them on shared rare shingles, which
+grows with the square of the family.  Each id is first held against the weightiest leader
 of its buckets (the weight of an id is the number of others it meets, so the
 middle of a group leads), then, where the components of the links found so far
 differ, against the leaders of all its buckets.  Of what still lies in one
@@ -20,7 +23,7 @@ sets that reach the similarity share one of the first
 and the first ``n - ceil(percent * n / 100) + 1`` of the larger, in any one
 order of all shingles, so no pair of these ids is left out.  The order goes by
 counts in a table of ``SKETCH`` cells; what a templated family shares comes
-last in it, and its members do not meet by it.
+last in it, and its members do not meet by that alone.
 Before texts are fetched, pairs go whose set sizes alone rule the similarity
 out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
