@@ -38,7 +38,9 @@ def update_grades(grades: DataFrame, teachers: DataFrame, assignments: DataFrame
     checked = grade_access_check(batch, teachers, grades, assignments, courses)
     annotated = checked.withColumn("reason", F.coalesce(
         reason_of([(~present_str("grade"), MSG_GRADE_REQUIRED)]), F.col("reason")))
-    ok, rejects = split(annotated)
+    # Not written in between: the checks' join on the grade, the latest request of each grade and the
+    # join with the grades then share one partitioning.
+    ok, rejects = split(annotated, pin=False)
     latest = ok.groupBy("grade_id").agg(
         F.max(F.struct("seq", "grade", F.coalesce(blank_to_null("feedback"), F.lit("")).alias("feedback")))
          .alias("u"))
@@ -82,7 +84,7 @@ def take_attendance(attendance: DataFrame, teachers: DataFrame, courses: DataFra
     checked = course_access_check(requests, teachers, courses, MSG_ATTENDANCE_PERMISSION)
     annotated = checked.withColumn("reason", F.coalesce(
         reason_of([(~F.col("records_given"), MSG_RECORDS_REQUIRED)]), F.col("reason")))
-    ok, rejects = split(annotated)
+    ok, rejects = split(annotated, pin=False)
     order = ["seq", *(["record_pos"] if "record_pos" in records.columns else []), "student_id", "status"]
 
     def table() -> DataFrame:
