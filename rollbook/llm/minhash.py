@@ -11,19 +11,17 @@ more above.
 Pairs are compared so that a large group whose members resemble each other
 well costs a few comparisons a member.  A family of pages that lie just *below*
 the similarity of each other is not so cheap: its members stay in components of
-their own, and the last step below joins them on shared rare shingles, which
-grows with the square of the family.  Each id is first held against the weightiest leader
+their own, and of its pairs at 0.7 about half are compared in the last step
+(of those at 0.6 a twentieth).  Each id is first held against the weightiest leader
 of its buckets (the weight of an id is the number of others it meets, so the
 middle of a group leads), then, where the components of the links found so far
 differ, against the leaders of all its buckets.  Of what still lies in one
 bucket but in several components, buckets of up to ``SMALL`` ids compare all
-such pairs.  The ids of larger ones are joined on their rarest shingles: two
-sets that reach the similarity share one of the first
-``n - ceil(2 * percent * n / (100 + percent)) + 1`` shingles of the smaller set
-and the first ``n - ceil(percent * n / 100) + 1`` of the larger, in any one
-order of all shingles, so no pair of these ids is left out.  The order goes by
-counts in a table of ``SKETCH`` cells; what a templated family shares comes
-last in it, and its members do not meet by that alone.
+such pairs.  The ids of larger ones go into ``STEEP`` further tables of ``LONG``
+hashes, where a pair at 0.8 meets with probability 0.996, one at 0.7 with 0.48,
+one at 0.6 with 0.05.  There each id is held against one id of each of its
+buckets, which joins a family with many links into few components at a cost in
+proportion to its ids, and only then are pairs of different components compared.
 Before texts are fetched, pairs go whose set sizes alone rule the similarity
 out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
@@ -52,7 +50,8 @@ from rollbook.llm.components import components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
 SMALL = 16  # ids of a bucket that are all compared
-SKETCH, BLOCK = 1 << 20, 256  # cells of shingle counts; ids of a shingle in one block of the join
+STEEP, LONG = 200, 16  # tables for the ids of larger ones, hashes in a key
+BLOCK = 256  # ids of a key in one block of the join
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,60 +144,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return dealt.mapInArrow(lambda batches: _confirm(batches, words, percent), "a long, b long")
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
-
-
-def _shingle_counts(batches, words: int):
-    """Rows (id, c, text): in how many texts the shingles of a cell are."""
-    shingler, counts = Shingler(words), np.zeros(SKETCH, dtype=np.int64)
-    for batch in batches:
-        for t in batch.column(2):
-            np.add.at(counts, _cells(shingler(t.as_py())), 1)
-    used = np.flatnonzero(counts)
-    for at in range(0, len(used), 50_000):
-        cells = used[at:at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
-
-
-def _prefixes(batches, words: int, percent: int, counts: np.ndarray):
-    """Rows (id, c, text): the rarest shingles of each text, ``inner`` for those
-    by which it meets larger sets."""
+def _steep_keys(batches, words: int):
+    """Rows (id, c, text): the keys of each text in ``STEEP`` tables of ``LONG`` hashes."""
     shingler = Shingler(words)
+    random = np.random.default_rng(90)
+    factors = random.integers(1, 1 << 63, (STEEP, LONG), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = random.integers(0, 1 << 63, (STEEP, LONG), dtype=np.uint64)
     for batch in batches:
-        columns = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
+        columns = [[np.empty(0, dtype=np.int64)] for _ in range(3)]
         for i, c, t in zip(*batch.columns):
             s = shingler(t.as_py())
-            n = len(s)
-            outer, inner = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
-            first = s[np.lexsort((s, counts[_cells(s)]))[:outer]]
-            for column, x in zip(columns, (first.view(np.int64), *(np.full(len(first), y.as_py()) for y in (i, c)), np.full(len(first), n), np.arange(len(first)) < inner)):
+            key = np.arange(STEEP, dtype=np.uint64)
+            for h in range(LONG):
+                low = np.full(STEEP, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(s), 1000):  # a bounded block of a long text's shingles at a time
+                    low = np.minimum(low, (s[at:at + 1000] * factors[:, h:h + 1] + terms[:, h:h + 1]).min(axis=1))
+                key = _mix(key + (low >> np.uint64(32)))
+            for column, x in zip(columns, (key.view(np.int64), *(np.full(STEEP, y) for y in (i.as_py(), c.as_py())))):
                 column.append(x)
-        token, ids, cs, ns, inner = (np.concatenate(x) for x in columns)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(cs), pa.array(ns), pa.array(inner.astype(bool))],
-                                         names=["token", "id", "c", "n", "inner"])
-
-
-def _rare_pairs(ids: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``ids`` (id, c) with unequal c that may reach the
-    similarity, every one that does among them."""
-    spark = ids.sparkSession
-    own = stored(ids.join(texts.hint("merge"), "id").select("id", "c", "text"), "large-texts")
-    cells = own.mapInArrow(lambda batches: _shingle_counts(batches, words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(counts)
-    rows = stored(own.mapInArrow(lambda batches: _prefixes(batches, words, percent, shared.value), "token long, id long, c long, n long, inner boolean"), "prefixes")
-    met = (rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("ids")).where("c0 < c1")
-           .select("token", F.ceil(F.col("ids") / BLOCK).cast("int").alias("blocks")))
-    # A shingle of many ids is joined block with block.
-    dealt = rows.join(met, "token").withColumn("own", F.pmod(F.hash("id"), "blocks"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "id", "c"])
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, c) of keys that hold ids of different components,
+    with ``members``."""
+    met = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1")
+    return rows.join(met.select("key", "members"), "key")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of unequal c that share a key; a key of many ids is
+    joined block with block."""
+    dealt = _several(rows).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("id"), "blocks"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.where("inner").select("token", F.col("own").alias("x"), each.alias("y"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    right = dealt.select("token", each.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["token", "x", "y"]).where(
-        (F.col("ca") != F.col("cb")) & (F.struct("na", "a") < F.struct(F.col("nb").alias("na"), F.col("b").alias("a"))) & (F.col("na") * 100 >= F.col("nb") * percent))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = dealt.select("key", F.col("own").alias("x"), each.alias("y"), F.col("id").alias("a"), F.col("c").alias("ca"))
+    right = dealt.select("key", each.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    return left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 8, rows: int = 2,
@@ -256,24 +237,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     found = members.where("c <> ca").select("a", F.col("id").alias("b"))
 
     # 3. Buckets that still hold several components: all pairs of the small ones.
-    def mixed(members: DataFrame) -> DataFrame:
-        several = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 < c1")
-        return members.join(several.select("key", "members"), "key")
-
     def across(small: DataFrame) -> DataFrame:
         left, right = small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
         return left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
-    of_several = stored(mixed(members.select("key", "id", "c")), "mixed")
+    of_several = stored(_several(members.select("key", "id", "c")), "mixed")
     found = found.unionByName(across(of_several.where(F.col("members") <= SMALL)))
     links = stored(links.unionByName(confirmed(found, "rest")).distinct(), "all-links")
     labels = components(links)
 
-    # 4. The ids of the large ones that do so even now, on their rarest shingles.
-    large = of_several.where(F.col("members") > SMALL).select("key", "id").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    ids = stored(mixed(large).select("id", "c").distinct(), "large-ids")
+    # 4. The ids of the large ones that do so even now, in steeper tables: each
+    # against the first of its buckets, then what is left across components.
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    large = with_component(of_several.where(F.col("members") > SMALL).select("key", "id"))
+    ids = stored(_several(large).select("id", "c").distinct(), "large-ids")
     if not ids.isEmpty():
-        links = stored(links.unionByName(confirmed(_rare_pairs(ids, source, words, percent), "large")).distinct(), "links-of-large")
+        texts = ids.join(source.hint("merge"), "id").select("id", "c", "text").repartition(spread(docs.sparkSession))
+        steep = stored(_several(texts.mapInArrow(lambda batches: _steep_keys(batches, words), "key long, id long, c long")), "steep")
+        first = steep.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c")).alias("first"))
+        led = steep.join(first, "key").where(F.col("c") != F.col("first.c")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+        links = stored(links.unionByName(confirmed(led, "led-steep")).distinct(), "links-led-steep")
+        labels = components(links)
+        rest = _across(with_component(steep.select("key", "id").distinct()))
+        links = stored(links.unionByName(confirmed(rest, "steep")).distinct(), "links-steep")
         labels = components(links)
 
     of_class = nodes.select("digest", "rep").join(labels.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))

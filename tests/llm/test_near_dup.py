@@ -99,3 +99,36 @@ def test_odd_rows(odd, empty):
 
 def test_meeting_probability():
     assert minhash.least_matches(32, 0.8) == 15
+
+
+def assembled(pages, seed=11):
+    """Pages of one template and ten optional blocks."""
+    random.seed(seed)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    template, blocks, texts = [word() for _ in range(220)], [[word() for _ in range(22)] for _ in range(10)], []
+    for _ in range(pages):
+        chosen = [b for b in blocks if random.random() < 0.5]
+        texts.append(" ".join(template + [w for b in chosen for w in b] + [word() for _ in range(30)]))
+    return list(enumerate(texts))
+
+
+def test_pages_assembled_from_blocks(spark):
+    rows = assembled(250)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, words=4).collect()} == brute_components(rows, 4, 80)
+
+
+def test_steep_tables_leave_out_most_pairs_below_the_similarity(spark):
+    """Pages at 0.59 of each other rarely meet, near copies at 0.81 do."""
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    template, texts = [word() for _ in range(300)], []
+    for i in range(200):
+        own = [word() for _ in range(100)]
+        texts += [" ".join(template + own), " ".join(template + own[:60] + [word() for _ in range(40)])]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, c long, text string")
+    keys = frame.mapInArrow(lambda batches: minhash._steep_keys(batches, 4), "key long, id long, c long")
+    pairs = {(r.a, r.b) for r in minhash._across(keys).collect()}
+    assert all((i, i + 1) in pairs for i in range(0, 400, 2))  # at 0.81
+    assert len(pairs) < 0.12 * 400 * 399 / 2
