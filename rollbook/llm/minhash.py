@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     ids = stored(_several(large).select("id", "c").distinct(), "large-ids")
     if not ids.isEmpty():
         texts = ids.join(source.hint("merge"), "id").select("id", "c", "text").repartition(spread(docs.sparkSession))
-        steep = stored(_several(texts.mapInArrow(lambda batches: _steep_keys(batches, words), "key long, id long, c long")), "steep")
+        keyed = stored(texts.mapInArrow(lambda batches: _steep_keys(batches, words), "key long, id long, c long"), "steep-keys")
+        steep = stored(_several(keyed), "steep")
         first = steep.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c")).alias("first"))
         led = steep.join(first, "key").where(F.col("c") != F.col("first.c")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
         links = stored(links.unionByName(confirmed(led, "led-steep")).distinct(), "links-led-steep")
