@@ -5,10 +5,14 @@ or boilerplate; Viterbi decoding finds the best labels of the whole sequence,
 and a document is kept if enough of its word characters lie in content lines
 (and the base rules do not fail it).
 
-The field is trained on weak labels: all lines of a document carry its quality
-label.  At most ``max_documents`` labelled documents of each class (those with
-the smallest id hashes) are used, whole texts; their line features go to the
-driver, a few dozen weights are broadcast.
+The field is trained on sequences joined from short pieces of good and bad
+documents, each line labelled by the document it comes from, so that it sees
+content and boilerplate follow each other.  Labels are read only of documents
+with crc32(id as text) mod 5 not 0.  At most ``max_documents`` labelled documents
+of each class (those with the smallest id hashes) give a stretch of at most
+``max_lines`` consecutive lines each, from a place set by the id; so at most
+``2 * max_documents * max_lines`` lines of 14 numbers go to the driver, and a few
+dozen weights are broadcast.  Every text is judged whole.
 
 Defined results: a null or empty text has no words, fails the base rules and
 has content share 0.  Lines without words are labelled but weigh nothing.
@@ -81,10 +85,10 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _gradient(w: np.ndarray, move: np.ndarray, steps: list[np.ndarray], labels: np.ndarray):
+def _gradient(w: np.ndarray, move: np.ndarray, steps: list[np.ndarray], labels: list[np.ndarray]):
     """Gradient of the mean log-likelihood per line.  ``steps[t]`` holds the
-    t-th line's features of all texts that are longer than t; texts come
-    longest first, and all lines of a text have the text's label."""
+    t-th line's features of all texts that are longer than t, ``labels[t]`` their
+    labels; texts come longest first."""
     emit = [x @ w for x in steps]
     forward = [emit[0]]
     for e in emit[1:]:
@@ -94,27 +98,48 @@ def _gradient(w: np.ndarray, move: np.ndarray, steps: list[np.ndarray], labels:
         n = len(emit[t + 1])
         back[t][:n] = _log_sum(move + (emit[t + 1] + back[t + 1])[:, None, :], 2)
     total = _log_sum(forward[0] + back[0], 1)
-    gw, gm, truth = np.zeros_like(w), np.zeros_like(move), np.eye(2)[labels]
+    gw, gm, truth = np.zeros_like(w), np.zeros_like(move), [np.eye(2)[y] for y in labels]
     for t, x in enumerate(steps):
         n = len(x)
-        gw += x.T @ (truth[:n] - np.exp(forward[t] + back[t] - total[:n, None]))
+        gw += x.T @ (truth[t] - np.exp(forward[t] + back[t] - total[:n, None]))
         if t:
             both = forward[t - 1][:n, :, None] + move + (emit[t] + back[t])[:, None, :] - total[:n, None, None]
-            gm += np.diag(truth[:n].sum(0)) - np.exp(both).sum(0)
+            gm += truth[t - 1][:n].T @ truth[t] - np.exp(both).sum(0)
     lines = sum(map(len, steps))
     return gw / lines, gm / lines
 
 
+def spliced(texts: list[np.ndarray], labels: list[int], longest: int = 8, most: int = 8, seed: int = 10):
+    """The texts' lines, cut into pieces of one to ``longest`` lines, in
+    sequences of one to ``most`` pieces in random order, and each line's label."""
+    random = np.random.default_rng(seed)
+    pieces = []
+    for x, y in zip(texts, labels):
+        at = 0
+        while at < len(x):
+            piece = x[at:at + random.integers(1, longest + 1)]
+            pieces.append((piece, np.full(len(piece), y)))
+            at += len(piece)
+    order, at, out = random.permutation(len(pieces)), 0, []
+    while at < len(order):
+        some = [pieces[i] for i in order[at:at + random.integers(1, most + 1)]]
+        out.append((np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some])))
+        at += len(some)
+    return out
+
+
 def train(texts: list[np.ndarray], labels: list[int], rounds: int = 120, decay: float = 1e-3):
     """Weights (features x 2) and moves (2 x 2) for line features of texts."""
     w, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     if len(set(labels)) < 2:
         w[0, CONTENT] = 1.0
         return w, move
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    y = np.array([labels[i] for i in order])
-    lengths = np.array([len(texts[i]) for i in order])
-    steps = [np.stack([texts[i][t] for i in order[:int((lengths > t).sum())]]) for t in range(lengths[0])]
+    sequences = sorted(spliced(texts, labels), key=lambda s: -len(s[1]))
+    steps, y = [], []
+    for t in range(len(sequences[0][1])):
+        sequences = [s for s in sequences if len(s[1]) > t]
+        steps.append(np.stack([x[t] for x, _ in sequences]))
+        y.append(np.array([z[t] for _, z in sequences]))
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, move)]
     for step in range(1, rounds + 1):
         for x, g, (m, s) in zip((w, move), _gradient(w, move, steps, y), state):
@@ -125,15 +150,20 @@ def train(texts: list[np.ndarray], labels: list[int], rounds: int = 120, decay:
     return w, move
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 1500, id_col: str = "doc_id", text_col: str = "text"):
-    """Train on at most ``max_documents`` labelled documents of each quality."""
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 1500, max_lines: int = 100, id_col: str = "doc_id", text_col: str = "text"):
+    """Train on ``max_lines`` lines of at most ``max_documents`` labelled documents of each quality."""
     def sample(quality: int) -> DataFrame:
-        ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+        ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("long").alias("id")).where("id is not null").where(F.crc32(F.col("id").cast("string")) % 5 != 0).distinct()
         return ids.orderBy(F.xxhash64("id"), "id").limit(max_documents).withColumn("label", F.lit(quality))
 
+    def stretch(i: int, text: str) -> bytes:
+        x = line_features(text)[0]
+        first = i * 2654435761 % max(len(x) - max_lines + 1, 1)
+        return x[first:first + max_lines].astype("<f4").tobytes()
+
     def run(batches):
         for batch in batches:
-            packed = [line_features(t.as_py())[0].astype("<f4").tobytes() for t in batch.column(2)]
+            packed = [stretch(i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))

@@ -96,17 +96,18 @@ def test_viterbi_and_gradient():
     assert line_crf.viterbi(emit, move).tolist() == max(paths, key=score)
     texts = sorted((random.normal(size=(n, 3)) for n in (1, 4, 2)), key=len, reverse=True)
     steps = [np.stack([x[t] for x in texts if len(x) > t]) for t in range(4)]
-    labels, w = np.array([1, 0, 1]), random.normal(size=(3, 2))
+    labels, w = [random.integers(0, 2, len(x)) for x in texts], random.normal(size=(3, 2))
+    by_step = [np.array([y[t] for y in labels if len(y) > t]) for t in range(4)]
 
     def likelihood(w, move):
         total = 0.0
         for x, y in zip(texts, labels):
             e = x @ w
             every = [sum(e[i, s] for i, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:])) for p in ([c >> i & 1 for i in range(len(x))] for c in range(2 ** len(x)))]
-            total += sum(e[:, y]) + (len(x) - 1) * move[y, y] - np.log(np.exp(every).sum())
+            total += sum(e[i, s] for i, s in enumerate(y)) + sum(move[a, b] for a, b in zip(y, y[1:])) - np.log(np.exp(every).sum())
         return total / 7
 
-    gw, gm = line_crf._gradient(w, move, steps, labels)
+    gw, gm = line_crf._gradient(w, move, steps, by_step)
     for g, x in ((gw, w), (gm, move)):
         for at in np.ndindex(x.shape):
             x[at] += 1e-5
@@ -116,6 +117,20 @@ def test_viterbi_and_gradient():
             x[at] += 1e-5
 
 
+def test_content_between_boilerplate(ten, labels, spark):
+    """The learnt field changes its label within a text, and is right on labels it has not read."""
+    model = line_crf.fit(ten, labels)
+    sentences = [f"The quick river carried {n} small boats toward the harbour where merchants waited for news." for n in "two three four five six seven eight nine".split()]
+    menu = ["home | about | contact | news"] * 3
+    text = "\n".join(menu + sentences[:4] + menu + sentences[4:] + menu)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert line_crf.judge(frame, model).first().content_lines == [3, 4, 5, 6, 10, 11, 12, 13]
+    truth = {i: q for i, q in rows_of(TEN, "labels", "doc_id, quality") if zlib.crc32(str(i).encode()) % 5 == 0}
+    judged = {r.doc_id: r for r in line_crf.judge(ten, model).collect()}
+    right = [(judged[i].content_share >= 0.5) == (q == 1) for i, q in truth.items() if i in judged]
+    assert sum(right) >= 0.9 * len(right)
+
+
 def test_line_labels_odd_rows(odd, empty, ten, labels):
     model = line_crf.fit(ten, labels, 60)
     got = sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in line_crf.judge(odd, model).collect())
