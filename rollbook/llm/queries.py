@@ -118,7 +118,12 @@ WITH RECURSIVE counts AS (
 ), weighed AS (
   SELECT src, sqrt(n) * 1000 / (SELECT sum(sqrt(n)) FROM counts) AS slots FROM counts
 ), own AS (
-  SELECT src, slots, CASE WHEN slots >= 1 THEN src ELSE '<rest>' END AS pool FROM weighed
+  SELECT src, slots, CASE WHEN slots >= 1 THEN CASE WHEN regexp_matches(src, '^<+rest') THEN '<' || src ELSE src END
+                          ELSE '<rest:' || greatest(-128, CAST(floor(log2(slots) * 4 + 1e-9) AS INTEGER)) || '>' END AS pool FROM weighed
+), turns AS (
+  SELECT src, slots, pool, CASE WHEN slots >= 1 THEN 0 ELSE row_number() OVER (PARTITION BY pool ORDER BY md5(src), src) - 1 END AS r,
+         CASE WHEN slots >= 1 THEN 1 ELSE count(*) OVER (PARTITION BY pool) END AS n
+  FROM own
 ), shares AS (
   SELECT pool, greatest(1, CAST(round(sum(slots)) AS BIGINT)) AS share FROM own GROUP BY pool
 ), total AS (
@@ -135,12 +140,13 @@ WITH RECURSIVE counts AS (
     ORDER BY ((d.k + 1) * period + s.share - 1) // s.share, s.pool LIMIT 1) c
   WHERE t < (SELECT period FROM total)
 ), numbered AS (
-  SELECT doc_id, source, pool, share, row_number() OVER (PARTITION BY pool ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number
-  FROM documents JOIN own ON own.src = coalesce(source, '<none>') JOIN shares USING (pool)
+  SELECT doc_id, source, pool, share, r, n, row_number() OVER (PARTITION BY src ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number
+  FROM documents JOIN turns ON turns.src = coalesce(source, '<none>') JOIN shares USING (pool)
+), blocks AS (
+  SELECT *, (number // 16) * n + r AS block FROM numbered
 )
-SELECT doc_id, source, n.pool, number // 16 AS block,
-       ((number // 16) // share) * period + run.t - 1 AS slot, number % 16 AS place
-FROM numbered n, total JOIN run ON run.pick = n.pool AND run.k = (number // 16) % share
+SELECT doc_id, source, b.pool, block, (block // share) * period + run.t - 1 AS slot, number % 16 AS place
+FROM blocks b, total JOIN run ON run.pick = b.pool AND run.k = block % share
 """
 
 OP5_SQL = """
