@@ -2,6 +2,7 @@
 
 1. Every line whose key (stripped, A-Z lower-cased) is long enough gives one
    narrow record (128-bit hash of the key, document, position); no text moves.
+   The records are written once, as the range exchange reads its input twice.
 2. Records are range-partitioned by (hash, document) and sorted by hash, then
    document from the largest down, then position.  As the document is part of
    the range key, a line that a third of all documents hold is spread over
@@ -11,14 +12,16 @@
    have come by, the others' lines are dropped.  Only a partition's first run,
    and its last one if still undecided, may be part of a longer run; their
    rows stay open and are settled with a table of run totals, which has at
-   most two rows per partition and is broadcast.
+   most two rows per partition.
 4. Dropped positions are gathered per document into a compressed bitmap
    (1 = keep) and applied to the texts.
 
 Defined results: a null or empty text is one empty line, which is kept.  Rows
 with one doc_id count as one document; a null doc_id counts as a document
-below all others.  Repeated rows get equal results.  An empty table gives an
-empty result.  Only ``id_col`` and ``text_col`` are read.
+below all others.  Repeated rows get equal results.  Very long texts are split
+whole.  An empty table gives an empty result.  Only ``id_col`` and ``text_col``
+are read; columns named as the appended ones are replaced by ``apply_bitmaps``
+and ``dedup_lines`` and kept by ``cut``.
 """
 
 from __future__ import annotations
@@ -98,7 +101,7 @@ def _batch(rows, names):
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tk, pos) of every line to drop."""
-    records = _line_records(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, min_chars)
+    records = stored(_line_records(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, min_chars), "line-records")
     order = [F.asc("h1"), F.asc("h2"), F.desc_nulls_last("doc")]
     dealt = records.repartitionByRange(spread(docs.sparkSession), *order).sortWithinPartitions(*order, "tk", "pos")
     schema = "kind int, h1 long, h2 long, doc long, tk long, pos int, n long"
@@ -106,7 +109,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_co
     # At most two rows per range partition.
     totals = (streamed.where(F.col("kind") == TOTAL).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
               .where(F.col("docs") >= min_docs))
-    settled = (streamed.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["h1", "h2"])
+    settled = (streamed.where(F.col("kind") == OPEN).join(totals, ["h1", "h2"])
                .where(~F.col("doc").eqNullSafe(F.col("top"))))
     return streamed.where(F.col("kind") == DROP).select("doc", "tk", "pos").unionByName(settled.select("doc", "tk", "pos"))
 
@@ -149,9 +152,9 @@ def _apply(batches, at: int):
                                          names=[*batch.schema.names[:-1], "n_lines", "n_dropped"])
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with dropped lines cut from the text, and ``__n_lines`` (before
-    the cut) and ``__n_dropped`` appended."""
+def _applied(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... with dropped lines cut from the
+    text, then n_lines and n_dropped."""
     small_batches(docs.sparkSession)
     names = docs.columns
     kinds = docs.schema.fields
@@ -162,9 +165,23 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
               .select(*plain.columns, "keep"))
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kinds)),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(lambda batches: _apply(batches, at), schema).toDF(*names, "__n_lines", "__n_dropped")
+    return joined.mapInArrow(lambda batches: _apply(batches, at), schema)
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with dropped lines cut from the text, and ``__n_lines`` (before
+    the cut) and ``__n_dropped`` appended."""
+    added = ["__n_lines", "__n_dropped"]
+    own = [c for c in docs.columns if c not in added]
+    return _applied(docs.select(*own), bitmaps, id_col, text_col).toDF(*own, *added)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Bitmaps made and applied."""
     return apply_bitmaps(docs, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The columns of ``docs``, whatever their names, with the texts cut."""
+    done = _applied(docs, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+    return done.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

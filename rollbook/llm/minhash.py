@@ -273,11 +273,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that a document with a smaller id stands for."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stored(found.where(~F.col("kept")).select(F.col(id_col).alias("gone_"), F.col("tk").alias("gone_tk_")).distinct(), "gone")
+    """``docs`` without the rows that a document with a smaller id stands for,
+    and one of the rows that repeat one id and text (the one with the smallest
+    hash of all columns).  Rows without an id go if a row with an id has the
+    same text, and one stays of those with one text; without words they all
+    stay, as nothing tells whether they are copies."""
+    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(
+        F.col(id_col).alias("id_"), F.col("tk").alias("tk_"), "n_shingles", "kept"), "near-found")
+    # One narrow row per (id, text); repeated ones are combined before the shuffle.
+    texts = found.groupBy("id_", "tk_").agg(F.min("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    with_id = texts.where(F.col("id_").isNotNull()).select(F.col("tk_").alias("same")).distinct()
+    nameless = texts.where(F.col("id_").isNull() & (F.col("n") > 0))
+    gone = (texts.where(~F.col("kept")).unionByName(nameless.join(with_id, F.col("tk_") == F.col("same"), "left_semi"))
+            .select("id_", "tk_"))
+    repeated = texts.where((F.col("rows") > 1) & (F.col("id_").isNotNull() | (F.col("n") > 0))).select("id_", "tk_")
+    fate = stored(gone.withColumn("gone", F.lit(True)).unionByName(
+        repeated.join(gone.toDF("g", "gtk"), F.col("id_").eqNullSafe(F.col("g")) & (F.col("tk_") == F.col("gtk")), "left_anti").withColumn("gone", F.lit(False))), "fate")
+
     names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    left = plain.join(gone, (F.col(f"c{names.index(id_col)}").cast("long") == F.col("gone_"))
-                      & (F.xxhash64(text_of(f"c{names.index(text_col)}")) == F.col("gone_tk_")), "left_anti")
-    return left.toDF(*names)
+    columns = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*columns)
+    keyed = plain.withColumn("id_", F.col(f"c{names.index(id_col)}").cast("long")).withColumn("tk_", F.xxhash64(text_of(f"c{names.index(text_col)}")))
+    same = keyed["id_"].eqNullSafe(fate["id_"]) & (keyed["tk_"] == fate["tk_"])
+    single = keyed.join(fate, same, "left_anti").select(*columns)
+    again = fate.where(~F.col("gone"))
+    if again.isEmpty():
+        return single.toDF(*names)
+    # Aggregated before the shuffle, so a row repeated a million times is one row of each task.
+    several = keyed.join(again.select(F.col("id_").alias("i"), F.col("tk_").alias("t")), F.col("id_").eqNullSafe(F.col("i")) & (F.col("tk_") == F.col("t")), "left_semi")
+    one = several.groupBy("id_", "tk_").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return single.unionByName(one).toDF(*names)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import SMALL, rows_of
 from rollbook.llm import lines, queries
@@ -94,3 +95,12 @@ def test_bitmaps(spark, gone):
     from pyspark.sql import functions as F
     out = lines.apply_bitmaps(frame, bitmaps.crossJoin(frame.select(F.xxhash64("text").alias("tk")))).first()
     assert out.text.split("\n") == [str(i) for i in range(20) if i not in gone]
+
+
+def test_columns_named_like_the_result(spark, docs):
+    named = docs.withColumn("__n_lines", F.lit("x")).withColumn("__n_dropped", F.lit(1)).withColumn("c0", F.lit(2))
+    cut = lines.cut(named, min_docs=2)
+    assert cut.columns == named.columns and cut.select("__n_lines").distinct().collect()[0][0] == "x"
+    plain = lines.dedup_lines(docs, min_docs=2)
+    assert sorted(cut.select("doc_id", "text").collect()) == sorted(plain.select("doc_id", "text").collect())
+    assert lines.dedup_lines(named).columns == [*docs.columns, "c0", "__n_lines", "__n_dropped"]

@@ -93,7 +93,7 @@ def test_odd_rows(odd, empty):
     assert [(r.n_shingles, r.component_id, r.kept) for r in by[5]] == [(3, 5, True)] * 2
     assert len(by[6]) == 2 and by[7][0].n_shingles == 1
     kept = minhash.keep_one(odd, words=4)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 1  # a row twice
     assert minhash.near_duplicates(empty).count() == minhash.keep_one(empty).count() == 0
 
 
@@ -132,3 +132,18 @@ def test_steep_tables_leave_out_most_pairs_below_the_similarity(spark):
     pairs = {(r.a, r.b) for r in minhash._across(keys).collect()}
     assert all((i, i + 1) in pairs for i in range(0, 400, 2))  # at 0.81
     assert len(pairs) < 0.12 * 400 * 399 / 2
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "b"), (2, text, "c"), (None, text, "d"), (None, "only here and nowhere else at all", "e"),
+            (None, "only here and nowhere else at all", "e"), (3, "", "f"), (3, "", "f"), (4, None, "g"), (None, None, "h"), (None, "", "i"),
+            (5, near, "j"), (6, near + " w60", "k"), (6, near + " w60", "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id_ string")
+    kept = minhash.keep_one(frame, words=5)
+    assert kept.columns == frame.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.id_) for r in kept.collect())
+    assert [x for x in got if x[0] == 1] in ([(1, text, "a")], [(1, text, "b")])
+    assert [x[2] for x in got if x[0] != 1] == ["h", "i", "e", "f", "g", "j"]
+    assert minhash.keep_one(frame.limit(0)).count() == 0
