@@ -9,14 +9,14 @@ columns of documents.
 2. line_dedup: lines that occur in five documents or more stay in one; the
    texts and ``n_chars`` follow.  Documents stay, if need be without text.
 3. near_dedup: one document of each group of near copies (five-word shingles,
-   similarity 0.8) stays.
+   similarity 0.8) stays, and one row of those that repeat an id and a text.
 4. mix: every document once, in the order of the mixing schedule; files read
    in their order follow the target weights.
 5. bpe: token ids of every text, and the digest of the text decoded from them,
    in the order of the schedule, with each document's ``slot`` and ``place`` in it.
 
-Null ids, null or empty texts, repeated rows, empty tables and further columns
-are handled as the operators' docstrings say.
+Null ids, null or empty texts, very long texts, repeated rows, empty tables and
+further columns of any name are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup_lines(docs)
+    cut = lines.cut(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length(text_of("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
