@@ -101,14 +101,16 @@ def _batch(rows, names):
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tk, pos) of every line to drop."""
+    small_batches(docs.sparkSession)
     records = stored(_line_records(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, min_chars), "line-records")
     order = [F.asc("h1"), F.asc("h2"), F.desc_nulls_last("doc")]
     dealt = records.repartitionByRange(spread(docs.sparkSession), *order).sortWithinPartitions(*order, "tk", "pos")
     schema = "kind int, h1 long, h2 long, doc long, tk long, pos int, n long"
     streamed = stored(dealt.mapInArrow(lambda batches: _stream(batches, min_docs), schema), "line-runs")
-    # At most two rows per range partition.
-    totals = (streamed.where(F.col("kind") == TOTAL).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
-              .where(F.col("docs") >= min_docs))
+    # At most two rows per range partition; written, so that Spark knows their size: small ones are broadcast
+    # and the open rows stay where they are, large ones take a sort-merge join.
+    totals = stored(streamed.where(F.col("kind") == TOTAL).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
+                    .where(F.col("docs") >= min_docs), "line-totals")
     settled = (streamed.where(F.col("kind") == OPEN).join(totals, ["h1", "h2"])
                .where(~F.col("doc").eqNullSafe(F.col("top"))))
     return streamed.where(F.col("kind") == DROP).select("doc", "tk", "pos").unionByName(settled.select("doc", "tk", "pos"))
