@@ -131,3 +131,37 @@ def test_available_courses_of_a_set(spark, n, block):
                                         table(spark, "enrollments", [dict(student_id=s, course_id=c) for s, c in enrolled + enrolled[:5]])).collect()
     assert sorted((x.student_id, x.id) for x in got) == brute_available(asked, courses, enrolled)
     assert all(x.code == f"C{x.id}" for x in got)
+
+
+def shuffled_rows(df):
+    """Rows that each exchange of an executed plan has written."""
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_available_courses_shuffle_no_pairs(spark):
+    """What is dealt out grows with students and courses, not with their pairs."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = declared.available_courses_of(spark.range(100).toDF("student_id"),
+                                            table(spark, "courses", [dict(course_id=c, course_code=f"C{c}", course_name="n") for c in range(400)]),
+                                            table(spark, "enrollments", [dict(student_id=s, course_id=s) for s in range(100)]))
+        assert len(got.collect()) == 100 * 399
+        written = shuffled_rows(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert written and max(written) < 4 * (100 + 400)
