@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.keys import left_join_nullable, role_key
-from rollbook.plans.batches import wanted
+from rollbook.plans.batches import FILTER_FROM, FILTER_TO, key_filtered, wanted
+from rollbook.plans.materialize import materialize
 from rollbook.schema import MSG_ACCESS_COURSE, MSG_GRADE_PERMISSION, MSG_TEACHER_NOT_FOUND
 
 
@@ -21,11 +22,13 @@ def split(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, rejects
 
 
-def with_teacher(requests: DataFrame, teachers: DataFrame, user_col: str = "teacher_user_id") -> DataFrame:
-    """Add ``teacher_id`` (NULL when the user has no Teachers row)."""
+def with_teacher(requests: DataFrame, teachers: DataFrame, user_col: str = "teacher_user_id", write_keys: bool = False) -> DataFrame:
+    """Add ``teacher_id`` (NULL when the user has no Teachers row).  With
+    ``write_keys`` the requested teachers are written first, so that Spark knows
+    their size and does not shuffle the requests where they are few."""
     tk = role_key(teachers, "teacher_id", requests=requests, request_col=user_col) \
         .withColumnRenamed("user_id", user_col)
-    return left_join_nullable(requests, tk, user_col, "seq")
+    return left_join_nullable(requests, materialize(tk, "teacher-keys") if write_keys else tk, user_col, "seq")
 
 
 def course_access_check(requests: DataFrame, teachers: DataFrame, courses: DataFrame,
@@ -60,11 +63,18 @@ def grade_access_check(requests: DataFrame, teachers: DataFrame, grades: DataFra
                        assignments: DataFrame, courses: DataFrame) -> DataFrame:
     """Q17 as an annotation over ``(seq, teacher_user_id, grade_id, ...)``.
 
-    Grades are first narrowed to the requested ids (semi join), so the
-    assignment and course joins only see requested grades.
+    Grades are first narrowed to the requested ids, so the assignment and
+    course joins only see requested grades: by a semi join with a few ids, by
+    bitmap with more.  With more than a bitmap takes, narrowing would shuffle
+    requests and grades once more each, and is left out; the requests are
+    joined by the exact id in any case.
     """
-    r = with_teacher(requests, teachers)
-    asked = grades.join(wanted(requests, ["grade_id"]), "grade_id", "left_semi")
+    r = with_teacher(requests, teachers, write_keys=True)
+    many, asked = requests.count(), grades
+    if many < FILTER_FROM:
+        asked = grades.join(wanted(requests, ["grade_id"]), "grade_id", "left_semi")
+    elif many <= FILTER_TO:
+        asked = key_filtered(grades, ["grade_id"], requests.select("grade_id").where(F.col("grade_id").isNotNull()), 0)
     owners = grade_owner(asked, assignments, courses)
     r = r.join(owners, "grade_id", "left")
     reason = (F.when(F.col("teacher_id").isNull(), F.lit(MSG_TEACHER_NOT_FOUND))

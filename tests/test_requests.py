@@ -165,3 +165,34 @@ def test_available_courses_shuffle_no_pairs(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert written and max(written) < 4 * (100 + 400)
+
+
+def test_grade_requests_come_from_one_join(spark):
+    from rollbook.plans.inspect import physical_plan
+    from rollbook.registry_changes import batch_update_grades
+    from rollbook.sources.campus import load_driver
+    assert "Union" not in physical_plan(batch_update_grades(load_driver(spark, SF_SMALL), spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("few, many", [(10 ** 6, 10 ** 7), (0, 10 ** 7), (0, 0)])
+def test_grade_access_however_many_ask(spark, monkeypatch, few, many):
+    from rollbook.operators import access
+    for name, n in (("FILTER_FROM", few), ("FILTER_TO", many)):
+        monkeypatch.setattr(access, name, n, raising=False)
+    requests = frame(spark, "seq string, teacher_user_id long, grade_id string",
+                     [(f"{i}", None if i % 7 == 0 else 100 + i % 4, None if i % 11 == 0 else f"g{i % 300}") for i in range(400)])
+    ok, rejects = access.grade_access(
+        requests, table(spark, "teachers", [dict(teacher_id=t, user_id=100 + t) for t in range(3)]),
+        table(spark, "grades", [dict(grade_id=f"g{g}", assignment_id=g % 50) for g in range(250)]),
+        table(spark, "assignments", [dict(assignment_id=a, course_id=a % 9) for a in range(45)]),
+        table(spark, "courses", [dict(course_id=c, teacher_id=c % 3) for c in range(8)]))
+
+    def reason(i):
+        if i % 7 == 0 or i % 4 == 3:
+            return "Teacher not found"
+        g = i % 300
+        owner = g % 50 % 9 % 3 if i % 11 and g < 250 and g % 50 < 45 and g % 50 % 9 < 8 else None
+        return None if owner == i % 4 else "You do not have permission to update this grade"
+    assert {r.seq: r.reason for r in rejects.collect()} == {f"{i}": reason(i) for i in range(400) if reason(i)}
+    assert sorted(int(r.seq) for r in ok.collect()) == [i for i in range(400) if not reason(i)]
+    assert ("bitmap_construct_agg" in ok._jdf.queryExecution().toString()) == (few == 0 and many > 0)
