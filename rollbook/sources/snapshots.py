@@ -83,7 +83,7 @@ class Snapshot:
         folder = f"{self.path}/data/{write}"
         # Rows of one partition meet in one task, so that it gets one file a write.
         (conform(rows, self.name).withColumn("part", part_of(self.key, self.parts)).repartition(max(tasks, 1), "part")
-         .write.mode("errorifexists").partitionBy("part").parquet(folder))
+         .write.mode("errorifexists").partitionBy("part").parquet(folder, compression="zstd"))
         # From the folder names; no file is read.
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(folder)
