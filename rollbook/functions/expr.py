@@ -111,24 +111,48 @@ def number_text(c) -> Column:
     read back as the number, plain from 1e-6 up to below 1e21 and with an
     exponent beyond (``1``, ``0.00001``, ``1.5e-7``, ``1e+21``); never ``.0``."""
     x = F.col(c) if isinstance(c, str) else c
-    java = F.abs(x).cast("string")  # d.dddE-n, or plain digits
-    mantissa, exponent = F.substring_index(java, "E", 1), F.when(java.contains("E"), F.substring_index(java, "E", -1)).otherwise("0").try_cast("int")
-    before, after = F.substring_index(mantissa, ".", 1), F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    every = F.concat(before, after)
-    some = F.ltrim(every, F.lit("0"))
-    digits = F.rtrim(some, F.lit("0"))
-    # The number is 0.<digits> times ten to the power of ``point``.
-    point = F.length(before) + exponent - (F.length(every) - F.length(some))
-    n, zeros = F.length(digits), lambda k: F.repeat(F.lit("0"), k)
-    power = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(point - 1).cast("string"))
-    text = (F.when(x == 0, F.lit("0"))
-            .when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n)))
-            .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
-            .when(n == 1, F.concat(digits, power))
-            .otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n), power)))
-    return (F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-            .otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)))
+    size, java = F.abs(x), F.abs(x).cast("string")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    # Java's digits are plain from 0.001 up to below 10,000,000, and have a point; from 1e-6 on they are d.dddE-n.
+    plain = F.concat(sign, F.rtrim(F.rtrim(java, F.lit("0")), F.lit(".")))
+    zeros = F.when(size < 1e-5, F.lit("0.00000")).when(size < 1e-4, F.lit("0.0000")).otherwise(F.lit("0.000"))
+    small = F.concat(sign, zeros, F.rtrim(F.replace(F.substring_index(java, "E", 1), F.lit("."), F.lit("")), F.lit("0")))
+    return (F.when((size >= 1e-3) & (size < 1e7), plain).when((size >= 1e-6) & (size < 1e-3), small)
+            .otherwise(F.concat(sign, _any_number_text(x))))
+
+
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _any_number_text(x: Column) -> Column:
+    """``number_text`` of any size, without the sign."""
+    def split(java):  # d.dddE-n, or plain digits
+        mantissa = F.substring_index(java, "E", 1)
+        return F.struct(F.substring_index(mantissa, ".", 1).alias("before"),
+                        F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("").alias("after"),
+                        F.when(java.contains("E"), F.substring_index(java, "E", -1)).otherwise("0").try_cast("int").alias("exponent"))
+
+    def place(p):  # the number is 0.<digits> times ten to the power of ``point``
+        every = F.concat(p["before"], p["after"])
+        some = F.ltrim(every, F.lit("0"))
+        return F.struct(F.rtrim(some, F.lit("0")).alias("digits"),
+                        (F.length(p["before"]) + p["exponent"] - (F.length(every) - F.length(some))).alias("point"))
+
+    def text(p):
+        digits, point = p["digits"], p["point"]
+        n, zeros = F.length(digits), lambda k: F.repeat(F.lit("0"), k)
+        power = F.concat(F.when(point > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(point - 1).cast("string"))
+        return (F.when((n <= point) & (point <= 21), F.concat(digits, zeros(point - n)))
+                .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+                .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
+                .when(n == 1, F.concat(digits, power))
+                .otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n), power)))
+
+    found = _named(F.abs(x).cast("string"), lambda java: _named(split(java), lambda p: _named(place(p), text)))
+    return (F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.lit("Infinity")).when(x == 0, F.lit("0"))
+            .otherwise(found))
 
 
 def one_decimal(c) -> Column:

@@ -204,14 +204,15 @@ def q19_display_numbers(spark, sf_dir):
     """Progress texts of whole numbers, prices, and numbers of five decimals."""
     c, li = _campus(spark, sf_dir), _raw(spark, sf_dir, "lineitem")
     known = c.courses.select("course_id", "course_name", "course_code")
-    rows = None
-    for kind, progress in (("whole", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice").cast("double")),
-                           ("small", F.concat(F.col("l_linenumber").cast("string"), F.lit("e-5")).cast("double")),
-                           ("none", F.lit(0.0)), ("missing", F.lit(None).cast("double"))):
-        part = li.select(F.col("l_orderkey").alias("student_id"), F.col("l_partkey").alias("course_id"), F.lit(kind).alias("status"), progress.alias("progress"))
-        rows = part if rows is None else rows.unionByName(part)
-    joined = rows.join(known, "course_id").select("student_id", F.col("course_id").alias("id"), F.col("course_name").alias("name"),
-                                                  F.col("course_code").alias("code"), "status", "progress")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("status"), progress.alias("progress")) for kind, progress in (
+        ("whole", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice").cast("double")),
+        ("small", F.concat(F.col("l_linenumber").cast("string"), F.lit("e-5")).cast("double")),
+        ("none", F.lit(0.0)), ("missing", F.lit(None).cast("double")))])
+    # Lines meet their courses once, before each becomes five rows.
+    lines = li.select(F.col("l_orderkey").alias("student_id"), F.col("l_partkey").alias("course_id"), "l_quantity", "l_extendedprice", "l_linenumber")
+    joined = (lines.join(known, "course_id").withColumn("kind", F.explode(kinds))
+              .select("student_id", F.col("course_id").alias("id"), F.col("course_name").alias("name"),
+                      F.col("course_code").alias("code"), "kind.status", "kind.progress"))
     return learning.display_rows(joined, "courses")
 
 

@@ -196,3 +196,17 @@ def test_grade_access_however_many_ask(spark, monkeypatch, few, many):
     assert {r.seq: r.reason for r in rejects.collect()} == {f"{i}": reason(i) for i in range(400) if reason(i)}
     assert sorted(int(r.seq) for r in ok.collect()) == [i for i in range(400) if not reason(i)]
     assert ("bitmap_construct_agg" in ok._jdf.queryExecution().toString()) == (few == 0 and many > 0)
+
+
+def test_display_numbers_reads_its_lines_once(spark):
+    from rollbook.plans.inspect import physical_plan
+    from rollbook.registry import q19_display_numbers
+    assert "Union" not in physical_plan(q19_display_numbers(spark, SF_SMALL))
+
+
+def test_number_text_at_the_ends_of_its_ranges(spark):
+    ends = {1e-3: "0.001", 9.999e-4: "0.0009999", 1e-4: "0.0001", 1e-5: "0.00001", 9.99e-6: "0.00000999", 1e-6: "0.000001", 9.5e-7: "9.5e-7",
+            9999999.0: "9999999", 9999999.5: "9999999.5", 1e7: "10000000", 100.0: "100", 0.5: "0.5", 1e21: "1e+21", 1e20: "1" + "0" * 20}
+    rows = list(ends.items()) + [(-x, "-" + t) for x, t in ends.items()] + [(0.0, "0"), (-0.0, "0"), (float("-inf"), "-Infinity"), (float("nan"), "NaN"), (None, None)]
+    got = frame(spark, "x double, t string", rows).select("t", number_text("x").alias("got")).collect()
+    assert [r.got for r in got] == [r.t for r in got]
