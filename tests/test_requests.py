@@ -210,3 +210,16 @@ def test_number_text_at_the_ends_of_its_ranges(spark):
     rows = list(ends.items()) + [(-x, "-" + t) for x, t in ends.items()] + [(0.0, "0"), (-0.0, "0"), (float("-inf"), "-Infinity"), (float("nan"), "NaN"), (None, None)]
     got = frame(spark, "x double, t string", rows).select("t", number_text("x").alias("got")).collect()
     assert [r.got for r in got] == [r.t for r in got]
+
+
+def test_repeated_ids_are_not_shuffled(spark):
+    from rollbook.operators import directory
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = spark.range(20_000, numPartitions=2).selectExpr("if(id % 7 = 0, null, id % 50) AS user_id")
+        found = directory.find_users_by_id(keys, table(spark, "users", [dict(user_id=u, domain_id=f"d{u}", role="student") for u in range(40, 90)]))
+        assert sorted(r.user_id for r in found.collect()) == list(range(40, 50))
+        assert max(shuffled_rows(found)) <= 2 * 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
