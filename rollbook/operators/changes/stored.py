@@ -17,7 +17,7 @@ from rollbook.operators.changes.courses import delete_courses, update_courses
 from rollbook.operators.changes.fees import pay_fees
 from rollbook.operators.changes.teaching import create_assignments, post_notices, take_attendance, update_grades
 from rollbook.operators.changes.users import update_users
-from rollbook.plans.batches import existing_keys
+from rollbook.plans.batches import existing_keys, without_keys
 from rollbook.plans.materialize import materialize
 from rollbook.sources.snapshots import Snapshot
 
@@ -67,7 +67,8 @@ def stored_delete_courses(tables: dict[str, Snapshot], batch: DataFrame) -> tupl
     for n in names:
         keys, column = (below, "assignment_id") if n == "grades" else (doomed, "course_id")
         touched = tables[n].parts_with(keys, column)
-        out[n] = tables[n].rewrite(touched, tables[n].read(touched).join(keys, column, "left_anti"))
+        stay, rest = without_keys(tables[n].read(touched), column, keys)
+        out[n] = tables[n].rewrite(touched, rest, stay)
     return out, rejects
 
 

@@ -95,13 +95,32 @@ def key_filtered(table: DataFrame, cols: list[str], keys: DataFrame, at_least: i
     n = keys.limit(FILTER_TO + 1).count()
     if not (FILTER_FROM if at_least is None else at_least) <= n <= FILTER_TO:
         return table
+    return _with_bit(table, cols, keys, n).where("_may").select(*table.columns)
+
+
+def _with_bit(table: DataFrame, cols: list[str], keys: DataFrame, n: int) -> DataFrame:
+    """``table`` with ``_may``: the row's key may be among the ``n`` keys."""
     bits = 1 << max(15, (n * BITS_A_KEY - 1).bit_length())
     place = F.pmod(F.xxhash64(*cols), F.lit(bits).cast("long"))
     maps = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BITMAP).alias("_slot")) \
         .agg(F.bitmap_construct_agg(F.col("_place") % BITMAP).alias("_bits"))
     byte = "cast(conv(hex(substring(_bits, cast((_place % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return (table.withColumn("_place", place).withColumn("_slot", F.floor(F.col("_place") / BITMAP)).join(F.broadcast(maps), "_slot")
-            .where(F.expr(f"({byte} & shiftleft(1, cast(_place % 8 as int))) <> 0")).select(*table.columns))
+    return (table.withColumn("_place", place).withColumn("_slot", F.floor(F.col("_place") / BITMAP)).join(F.broadcast(maps), "_slot", "left")
+            .withColumn("_may", F.expr(f"coalesce(({byte} & shiftleft(1, cast(_place % 8 as int))) <> 0, false)")))
+
+
+def without_keys(table: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of ``table`` whose ``column`` is not among ``keys`` (written,
+    distinct), in two frames: those that no shuffle is needed to tell, and the
+    others.  With few keys Spark broadcasts them; with more, the rows whose bit
+    is not set stay without a join; with too many for that, all are joined."""
+    n = keys.limit(FILTER_TO + 1).count()
+    if n < FILTER_FROM:
+        return table.join(keys, column, "left_anti"), None
+    if n > FILTER_TO:
+        return None, table.join(keys, column, "left_anti")
+    flagged = _with_bit(table, [column], keys, n)
+    return flagged.where("NOT _may").select(*table.columns), flagged.where("_may").select(*table.columns).join(keys, column, "left_anti")
 
 
 def existing_keys(table: DataFrame, requests: DataFrame, table_cols: list[str],

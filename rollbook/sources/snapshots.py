@@ -24,11 +24,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollbook.plans.batches import key_filtered
 from rollbook.schema import TABLES
 from rollbook.sources.io import conform
 
@@ -68,7 +70,8 @@ class Snapshot:
     def parts_with(self, keys: DataFrame, column: str) -> list[int]:
         """The partitions that hold a row whose ``column`` is among ``keys``:
         one scan of that column and the key."""
-        return self.parts_of(self.read().select(*{self.key, column}).join(keys.select(column), column, "left_semi"))
+        wanted = keys.select(column)
+        return self.parts_of(key_filtered(self.read().select(*{self.key, column}), [column], wanted).join(wanted, column, "left_semi"))
 
     def difference(self, older: Snapshot) -> tuple[DataFrame, DataFrame]:
         """``(added, gone)``: the rows of the writes that this version has and
@@ -78,11 +81,15 @@ class Snapshot:
             p: kept for p, writes in a.held.items() if (kept := [w for w in writes if w not in b.held.get(p, [])])}).read()
             for a, b in ((self, older), (older, self)))
 
-    def _write(self, rows: DataFrame, tasks: int) -> tuple[str, list[int]]:
+    def _write(self, rows: DataFrame | None, tasks: int, stay: DataFrame | None = None) -> tuple[str, list[int]]:
         write = f"{self.version + 1:08d}-{uuid.uuid4().hex}"
         folder = f"{self.path}/data/{write}"
-        # Rows of one partition meet in one task, so that it gets one file a write.
-        (conform(rows, self.name).withColumn("part", part_of(self.key, self.parts)).repartition(max(tasks, 1), "part")
+        # Rows of one partition meet in one task, so that it gets one file a write.  Rows that stay lie
+        # together as they are read: a file for each part of a file that a task has read.
+        placed = [None if df is None else conform(df, self.name).withColumn("part", part_of(self.key, self.parts)) for df in (rows, stay)]
+        if placed[0] is not None:
+            placed[0] = placed[0].repartition(max(tasks, 1), "part")
+        (reduce(DataFrame.unionByName, [df for df in placed if df is not None])
          .write.mode("errorifexists").partitionBy("part").parquet(folder, compression="zstd"))
         # From the folder names; no file is read.
         jvm = self.spark._jvm
@@ -97,13 +104,15 @@ class Snapshot:
         self.spark.createDataFrame(rows, LIST).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/v={new.version}")
         return new
 
-    def rewrite(self, parts: Iterable[int], rows: DataFrame) -> Snapshot:
-        """The version in which ``rows`` take the place of the given partitions.
-        ``rows`` must have their keys in these partitions; there is an error if one has not."""
+    def rewrite(self, parts: Iterable[int], rows: DataFrame | None, stay: DataFrame | None = None) -> Snapshot:
+        """The version in which ``rows`` take the place of the given partitions,
+        and beside them ``stay``: rows just read from these partitions, and only
+        filtered, which are written without a shuffle.  All must have their keys
+        in these partitions; there is an error if one has not."""
         parts = set(parts)
         if not parts:
             return self
-        write, written = self._write(rows, len(parts))
+        write, written = self._write(rows, len(parts), stay)
         if not set(written) <= parts:
             raise ValueError(f"rows of partitions that are not rewritten: {sorted(set(written) - parts)[:5]}")
         held = {p: w for p, w in self.held.items() if p not in parts}

@@ -223,3 +223,20 @@ def test_repeated_ids_are_not_shuffled(spark):
         assert max(shuffled_rows(found)) <= 2 * 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("few, many", [(10 ** 6, 10 ** 7), (0, 10 ** 7), (0, 0)])
+def test_stored_deletions_however_many_keys(spark, monkeypatch, tmp_path, few, many):
+    from rollbook.plans import batches
+    from rollbook.sources.snapshots import create_snapshot
+    monkeypatch.setattr(batches, "FILTER_FROM", few)
+    monkeypatch.setattr(batches, "FILTER_TO", many)
+    rows = table(spark, "fees", [dict(fee_id=i, student_id=None if i % 10 == 0 else i % 97) for i in range(500)])
+    old = create_snapshot(rows, str(tmp_path / "fees"), "fees", "fee_id", 4)
+    gone = materialize.materialize(frame(spark, "student_id long", [(s,) for s in range(0, 97, 3)]))
+    touched = old.parts_with(gone, "student_id")
+    stay, rest = batches.without_keys(old.read(touched), "student_id", gone)
+    assert (stay is None, rest is None) == (many == 0, few > 0)
+    new = old.rewrite(touched, rest, stay)
+    assert sorted(r.fee_id for r in new.read().collect()) == [i for i in range(500) if i % 10 == 0 or i % 97 % 3]
+    assert all(new.parts_of(new.read([p])) == [p] for p in new.held)
