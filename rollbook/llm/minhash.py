@@ -9,19 +9,27 @@ probability (1 - (1 - s**rows)**groups)**2: 0.9994 at 0.8 for 8 groups of 2,
 more above.
 
 Pairs are compared so that a large group whose members resemble each other
-well costs a few comparisons a member.  A family of pages that lie just *below*
-the similarity of each other is not so cheap: its members stay in components of
-their own, and of its pairs at 0.7 about half are compared in the last step
-(of those at 0.6 a twentieth).  Each id is first held against the weightiest leader
-of its buckets (the weight of an id is the number of others it meets, so the
-middle of a group leads), then, where the components of the links found so far
-differ, against the leaders of all its buckets.  Of what still lies in one
-bucket but in several components, buckets of up to ``SMALL`` ids compare all
-such pairs.  The ids of larger ones go into ``STEEP`` further tables of ``LONG``
-hashes, where a pair at 0.8 meets with probability 0.996, one at 0.7 with 0.48,
-one at 0.6 with 0.05.  There each id is held against one id of each of its
-buckets, which joins a family with many links into few components at a cost in
-proportion to its ids, and only then are pairs of different components compared.
+well costs a few comparisons a member.  Each id is first held against the
+weightiest leader of its buckets (the weight of an id is the number of others it
+meets, so the middle of a group leads), then, where the components of the links
+found so far differ, against the leaders of all its buckets.  Of what still lies
+in one bucket but in several components, buckets of up to ``SMALL`` ids compare
+all such pairs.  For the sets of the ids of larger ones, shingles are placed by
+the number of these sets that hold them, rarest first.  Two sets whose first
+common shingle leaves too few places behind it cannot reach the similarity; so a
+shingle's place bounds the sizes of the sets it has to meet, and as what a page
+has for itself alone takes its first places, pages clearly below the similarity
+of each other hardly meet.  This step leaves out no link.
+
+A family of pages just *below* the similarity is not so cheap if less than about
+a ninth of each page's shingles is its own.  Where a shingle and pair of sizes
+would cost more than ``HELD`` pairs a row across components, its ids go into
+``STEEP`` further tables of ``LONG`` hashes, where a pair at 0.8 meets with
+probability 0.996, one at 0.7 with 0.48, one at 0.6 with 0.05.  There each id is
+held against one id of each of its buckets, which joins a family with many links
+into few components at a cost in proportion to its ids, and only then are pairs
+of different components compared.
+
 Before texts are fetched, pairs go whose set sizes alone rule the similarity
 out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
@@ -43,15 +51,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rollbook.llm.common import Bounded, small_batches, spread, stored, text_of
-from rollbook.llm.components import components
+from rollbook.llm.components import SALTS, components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
 SMALL = 16  # ids of a bucket that are all compared
 STEEP, LONG = 200, 16  # tables for the ids of larger ones, hashes in a key
 BLOCK = 256  # ids of a key in one block of the join
+BAND, FINE = 1.05, 16  # from one band of set sizes to the next; parts of a band
+HELD = 16  # pairs a row of one shingle and pair of bands that are all compared
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,6 +175,16 @@ def _steep_keys(batches, words: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "id", "c"])
 
 
+def _sets(batches, words: int):
+    """Rows (id, c, text) with the hashes of their shingles instead of the text."""
+    shingler = Shingler(words)
+    for batch in batches:
+        found = [shingler(t.as_py()).view(np.int64) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(3), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+            names=["id", "c", "tk", "n", "s"])
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """The rows (key, id, c) of keys that hold ids of different components,
     with ``members``."""
@@ -182,6 +202,70 @@ def _across(rows: DataFrame) -> DataFrame:
     return left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
+def _band(size: str, parts: int = 1):
+    """The number of the band of set sizes, each of ``parts`` parts."""
+    return F.ceil(F.log(F.col(size)) * (parts / math.log(BAND)))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, id, c, n, room, most, side), one for each shingle of a set (its rows
+    told apart by id and ``tk``) and each band of sizes with which it can be the
+    first common one.  Shingles are placed by the number of sets that hold them,
+    rarest first; ``room`` is the number of shingles from this one on, ``most``
+    the size of the largest other set it is enough for, ``side`` whether the
+    other set's band is above, the same or below."""
+    shingles = sets.select("id", "c", "tk", "n", F.explode("s").alias("shingle"))
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    own = Window.partitionBy("id", "tk")
+    # Shingles that no other set holds come first and need no rows.
+    placed = shingles.join(held, "shingle").withColumn(
+        "room", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("held", "shingle")) + 1)
+
+    # A common part of at most ``room`` is enough for other sets of least to most shingles.
+    reach = (placed.withColumn("least", F.expr(f"(n * {percent} + 99) div 100"))
+             .withColumn("most", F.expr(f"({100 + percent} * room - {percent} * n) div {percent}")).where("most >= least"))
+    each = reach.withColumn("band", _band("n")).withColumn("other", F.explode(F.sequence(_band("least"), _band("most"))))
+    key = F.xxhash64("shingle", F.least("band", "other"), F.greatest("band", "other"))
+    return each.select(key.alias("key"), "id", "c", "n", "room", "most", F.signum(F.col("other") - F.col("band")).cast("int").alias("side"))
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Rows of ``_prefixes`` with keys of finer bands, of those that occur with
+    the key.  The rows of one key are dealt over ``SALTS`` tasks."""
+    banded = rows.withColumn("band", _band("n", FINE)).withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    there = banded.groupBy("key").agg(F.collect_set(F.struct("band", "side")).alias("there"))  # FINE + 2 bands of each side at most
+    reached = F.filter("there", lambda x: (x["side"] + F.col("side") == 0) & (x["band"] <= _band("most", FINE)))
+    salted = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = banded.join(salted, ["key", "salt"]).withColumn("other", F.explode(F.transform(reached, lambda x: x["band"])))
+    key = F.xxhash64("key", F.least("band", "other"), F.greatest("band", "other"))
+    return each.select(key.alias("key"), "id", "c", "n", "room", F.signum(F.col("other") - F.col("band")).cast("int").alias("side"))
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """The rows of keys under which ids of different components meet, with
+    ``members``, the number of such ``pairs`` (those of one band twice) and the
+    component ``main`` that has most rows."""
+    of_component = rows.groupBy("key", "c").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if(F.col("side") >= 0).alias("low"), F.count_if(F.col("side") <= 0).alias("high"))
+    keys = of_component.groupBy("key").agg(
+        F.sum("m").alias("members"), (F.sum("low") * F.sum("high") - F.sum(F.col("low") * F.col("high"))).alias("pairs"),
+        F.max_by("c", F.struct("m", "c")).alias("main"))
+    return rows.join(keys.where("pairs > 0"), "key")
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows of ``_crossing`` whose places leave room for
+    enough common shingles.  The ids outside the main component, which are few
+    where pairs are few, meet all others block by block."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    row = F.struct("id", "c", "n", "room")
+    left = dealt.where("c <> main").select("key", (-F.col("side")).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), row.alias("x"))
+    right = dealt.select("key", "side", F.pmod(F.hash("id"), "blocks").alias("block"), row.alias("y"))
+    met = left.join(right, ["key", "side", "block"]).where(
+        f"x.c <> y.c and {100 + percent} * least(x.room, y.room) >= {percent} * (x.n + y.n)")
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 8, rows: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``tk`` (hash of the row's text), ``n_shingles``,
@@ -246,13 +330,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     links = stored(links.unionByName(confirmed(found, "rest")).distinct(), "all-links")
     labels = components(links)
 
-    # 4. The ids of the large ones that do so even now, in steeper tables: each
-    # against the first of its buckets, then what is left across components.
+    # 4. The ids of the large ones that do so even now: pairs whose rarest
+    # shingles meet, of shingles with up to ``HELD`` pairs a row.
     def with_component(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
     large = with_component(of_several.where(F.col("members") > SMALL).select("key", "id"))
     ids = stored(_several(large).select("id", "c").distinct(), "large-ids")
+    if not ids.isEmpty():
+        texts = ids.join(source.hint("merge"), "id").select("id", "c", "text", F.xxhash64("text").alias("tk")).dropDuplicates(["id", "tk"])
+        sets = stored(texts.repartition(spread(docs.sparkSession)).mapInArrow(
+            lambda batches: _sets(batches, words), "id long, c long, tk long, n long, s array<long>"), "sets")
+        rarest = stored(_several(_prefixes(sets, percent)), "rarest")
+        small = F.col("members") <= SMALL
+        crossing = stored(_crossing(rarest.where(small).drop("members", "most").unionByName(_finer(rarest.where(~small)))), "crossing")
+        few = F.col("pairs") <= HELD * F.col("members")
+        links = stored(links.unionByName(confirmed(_meeting(crossing.where(few), percent), "rarest")).distinct(), "links-rarest")
+        labels = components(links)
+        ids = stored(_several(with_component(crossing.where(~few).select("key", "id"))).select("id", "c").distinct(), "held-ids")
+
+    # 5. The ids of shingles with more, in steeper tables: each against the first
+    # of its buckets, then what is left across components.
     if not ids.isEmpty():
         texts = ids.join(source.hint("merge"), "id").select("id", "c", "text").repartition(spread(docs.sparkSession))
         keyed = stored(texts.mapInArrow(lambda batches: _steep_keys(batches, words), "key long, id long, c long"), "steep-keys")

@@ -134,6 +134,51 @@ def test_steep_tables_leave_out_most_pairs_below_the_similarity(spark):
     assert len(pairs) < 0.12 * 400 * 399 / 2
 
 
+def altered(pages, least, most, seed=3):
+    """Copies of one page, which is not among them, with some words replaced."""
+    random.seed(seed)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    page, texts = [word() for _ in range(150)], []
+    for _ in range(pages):
+        copy = list(page)
+        for p in random.sample(range(150), random.randint(least, most)):
+            copy[p] = word()
+        texts.append(" ".join(copy))
+    texts += [f"{texts[i]} {word()}" for i in range(0, pages, 20)]
+    random.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_compared_pairs_of_far_copies_grow_with_their_number(spark, monkeypatch):
+    """Altered copies that are mostly below the similarity of each other."""
+    plain, compared = minhash._confirmed, []
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    rows = altered(1000, 5, 8)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, words=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+    assert sum(compared[2:]) < len(rows)  # beside those with leaders
+
+
+def test_rarest_shingles_find_all_links_of_sets_of_different_sizes(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=7))
+    page, texts = [word() for _ in range(200)], [" ".join(word() for _ in range(5))]
+    for _ in range(150):
+        start = random.randrange(20)
+        copy = page[start:start + random.randint(5, 140)]
+        texts.append(" ".join(w if random.random() < 0.99 else word() for w in copy))
+    rows = [(i, i, t, i) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, c long, text string, tk long")
+    sets = frame.select("id", "c", "text", "tk").mapInArrow(lambda batches: minhash._sets(batches, 4), "id long, c long, tk long, n long, s array<long>")
+    prefixes = minhash._prefixes(sets, 80)
+    whole = [set(r.s) for r in sets.orderBy("id").collect()]
+    links = {(a, b) for b in range(len(whole)) for a in range(b) if 100 * len(whole[a] & whole[b]) >= 80 * len(whole[a] | whole[b])}
+    assert len(links) > 100
+    for keyed in (prefixes.drop("most"), minhash._finer(prefixes)):
+        assert links <= {(r.a, r.b) for r in minhash._meeting(minhash._crossing(keyed), 80).collect()}
+
+
 def test_one_row_stays_of_repeated_rows(spark):
     text = "one two three four five six seven eight nine ten"
     near = " ".join(f"w{i}" for i in range(60))
