@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollbook.llm.common import stored
+from rollbook.llm.common import known, stored
 
 SALTS = 8
 
@@ -23,7 +23,7 @@ def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """``links`` with ``m`` of their ``u``.  The links of one node, which can be
     a third of all, are dealt over ``SALTS`` tasks."""
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return links.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["u", "salt"]).drop("salt")
+    return links.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(known(salted, "u", "salt"), ["u", "salt"]).drop("salt")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -46,9 +46,10 @@ def _is_flat(links: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, c) of every node of ``links`` (a, b): c is the smallest id of its
-    component.  Null ends and loops are left out; no links, no rows."""
+    """(id, c) of every node of ``links`` (a, b), dealt out by id: c is the
+    smallest id of its component.  Null ends and loops are left out; no links, no rows."""
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     while not _is_flat(now):
         now = stored(_small_star(_large_star(now)), "stars")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())
+    labels = now.select(F.col("u").alias("id"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())
+    return known(labels, "id")

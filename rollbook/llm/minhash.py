@@ -35,6 +35,11 @@ out, or whose signatures agree in so few places that, at the threshold, this
 has a chance below ``1e-5``.  The rest is confirmed on full shingle sets, the
 texts of a leader's members dealt over several tasks and streamed.
 
+Spark sizes an exploded table as the one before, and a stored one by its compressed
+file.  So that neither is broadcast for small, joins of such tables are sort-merge
+joins (``hint("merge")``), or the table is dealt out first (``components``,
+``known``), which tells Spark its size.
+
 Defined results: A-Z are lower-cased, words are separated by ASCII white space.
 A document with fewer words than a shingle has one shingle, the whole sequence.
 Without words (or a null text) the set is empty: ``n_shingles`` 0, linked with
@@ -53,7 +58,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rollbook.llm.common import Bounded, small_batches, spread, stored, text_of
+from rollbook.llm.common import Bounded, known, small_batches, spread, stored, text_of
 from rollbook.llm.components import SALTS, components
 
 TARGET_MEMBERS = 512  # members of one leader in one streamed group
@@ -145,9 +150,10 @@ def _confirm(batches, words: int, percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
-    # Whatever the number of pairs, texts are joined by a sort-merge join, never a broadcast.
+    # Whatever the number of pairs, texts are joined by a sort-merge join, never a broadcast.  Every pair has its
+    # leader: of a left join only the leaders, which come from a shuffle, can be broadcast.
     leaders = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TARGET_MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(leaders, "a").select(F.col("b").alias("id"), "a", F.expr("pmod(hash(b), parts)").alias("part"), F.lit(1).alias("role"))
+    members = pairs.join(leaders, "a", "left").select(F.col("b").alias("id"), "a", F.expr("pmod(hash(b), parts)").alias("part"), F.lit(1).alias("role"))
     heads = leaders.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     wanted = members.unionByName(heads).join(texts.hint("merge"), "id").select("a", "part", "role", "id", "text")
     dealt = wanted.repartition(spread(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role")
@@ -199,7 +205,7 @@ def _across(rows: DataFrame) -> DataFrame:
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = dealt.select("key", F.col("own").alias("x"), each.alias("y"), F.col("id").alias("a"), F.col("c").alias("ca"))
     right = dealt.select("key", each.alias("x"), F.col("own").alias("y"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    return left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return left.hint("merge").join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def _band(size: str, parts: int = 1):
@@ -218,7 +224,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     own = Window.partitionBy("id", "tk")
     # Shingles that no other set holds come first and need no rows.
-    placed = shingles.join(held, "shingle").withColumn(
+    placed = shingles.hint("merge").join(held, "shingle").withColumn(
         "room", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("held", "shingle")) + 1)
 
     # A common part of at most ``room`` is enough for other sets of least to most shingles.
@@ -236,7 +242,7 @@ def _finer(rows: DataFrame) -> DataFrame:
     there = banded.groupBy("key").agg(F.collect_set(F.struct("band", "side")).alias("there"))  # FINE + 2 bands of each side at most
     reached = F.filter("there", lambda x: (x["side"] + F.col("side") == 0) & (x["band"] <= _band("most", FINE)))
     salted = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = banded.join(salted, ["key", "salt"]).withColumn("other", F.explode(F.transform(reached, lambda x: x["band"])))
+    each = banded.hint("merge").join(salted, ["key", "salt"]).withColumn("other", F.explode(F.transform(reached, lambda x: x["band"])))
     key = F.xxhash64("key", F.least("band", "other"), F.greatest("band", "other"))
     return each.select(key.alias("key"), "id", "c", "n", "room", F.signum(F.col("other") - F.col("band")).cast("int").alias("side"))
 
@@ -261,7 +267,7 @@ def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     row = F.struct("id", "c", "n", "room")
     left = dealt.where("c <> main").select("key", (-F.col("side")).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), row.alias("x"))
     right = dealt.select("key", "side", F.pmod(F.hash("id"), "blocks").alias("block"), row.alias("y"))
-    met = left.join(right, ["key", "side", "block"]).where(
+    met = left.hint("merge").join(right, ["key", "side", "block"]).where(
         f"x.c <> y.c and {100 + percent} * least(x.room, y.room) >= {percent} * (x.n + y.n)")
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -279,7 +285,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
         .mapInArrow(lambda batches: _signatures(batches, words, hashes), "id long, tk long, n long, digest binary, sig array<int>"), "signatures")
     with_set = signed.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     classes = with_set.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = stored(classes, "classes")
+    # Without the digest: of columns beside it Spark would count a signature as one number, and broadcast all of them.
+    nodes = stored(classes.select("rep", "n", "sig"), "classes")
 
     # Table keys: one group from each of the two collections.
     def group(i):
@@ -290,21 +297,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     keys = (hashed.select("rep", F.explode("g0").alias("first"), "g1").select("rep", "first", F.explode("g1").alias("second"))
             .select(F.xxhash64("first", "second").alias("key"), F.col("rep").alias("id")))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = stored(keys.join(sizes.select("key", "size"), "key"), "buckets")  # buckets of two or more ids
+    shared = stored(keys.hint("merge").join(sizes.select("key", "size"), "key"), "buckets")  # buckets of two or more ids
     # How many others an id meets; the middle of a group meets most of it.
     weight = stored(shared.groupBy("id").agg(F.sum("size").alias("w")), "weights")
-    shared = shared.join(weight, "id")
+    shared = shared.join(known(weight, "id"), "id")
 
     # Every id with the id ``a`` (its weight ``wa``) that leads its bucket.
     heads = shared.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("head"))
     heads = heads.select("key", (-F.col("head.minus")).alias("a"), F.col("head.w").alias("wa"))
     led = stored(shared.select("key", "id").join(heads, "key"), "led")
-    places = nodes.select("rep", "n", "sig")
     least = least_matches(hashes, percent / 100)
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         pairs = pairs.distinct()
-        both = (pairs.join(places.toDF("a", "na", "sa"), "a").join(places.toDF("b", "nb", "sb"), "b")
+        both = (pairs.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b")
                 .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         likely = stored(both.where(equal >= least).select("a", "b"), f"{label}-pairs")
@@ -316,14 +322,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
 
     # 2. Against the leaders of all buckets, where the components differ.
     labels = components(links)
-    members = (led.join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-               .join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a")))
+    heads = (led.groupBy("key").agg(F.min("a").alias("a"))  # one a bucket
+             .join(labels.toDF("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a")))
+    members = led.select("key", "id").join(labels, "id", "left").withColumn("c", F.coalesce("c", "id")).join(heads, "key")
     found = members.where("c <> ca").select("a", F.col("id").alias("b"))
 
     # 3. Buckets that still hold several components: all pairs of the small ones.
     def across(small: DataFrame) -> DataFrame:
         left, right = small.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-        return left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
+        return left.hint("merge").join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
     of_several = stored(_several(members.select("key", "id", "c")), "mixed")
     found = found.unionByName(across(of_several.where(F.col("members") <= SMALL)))
@@ -354,16 +361,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, groups:
     if not ids.isEmpty():
         texts = ids.join(source.hint("merge"), "id").select("id", "c", "text").repartition(spread(docs.sparkSession))
         keyed = stored(texts.mapInArrow(lambda batches: _steep_keys(batches, words), "key long, id long, c long"), "steep-keys")
-        steep = stored(_several(keyed), "steep")
+        steep = stored(_several(keyed.hint("merge")), "steep")
         first = steep.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c")).alias("first"))
-        led = steep.join(first, "key").where(F.col("c") != F.col("first.c")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+        led = steep.hint("merge").join(first, "key").where(F.col("c") != F.col("first.c")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
         links = stored(links.unionByName(confirmed(led, "led-steep")).distinct(), "links-led-steep")
         labels = components(links)
         rest = _across(with_component(steep.select("key", "id").distinct()))
         links = stored(links.unionByName(confirmed(rest, "steep")).distinct(), "links-steep")
         labels = components(links)
 
-    of_class = nodes.select("digest", "rep").join(labels.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("c"))
+    of_class = (with_set.groupBy("digest").agg(F.min("id").alias("rep")).join(labels.toDF("rep", "c"), "rep", "left")
+                .select("digest", F.coalesce("c", "rep").alias("c")))
     out = signed.join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), "tk", F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -387,6 +395,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     repeated = texts.where((F.col("rows") > 1) & (F.col("id_").isNotNull() | (F.col("n") > 0))).select("id_", "tk_")
     fate = stored(gone.withColumn("gone", F.lit(True)).unionByName(
         repeated.join(gone.toDF("g", "gtk"), F.col("id_").eqNullSafe(F.col("g")) & (F.col("tk_") == F.col("gtk")), "left_anti").withColumn("gone", F.lit(False))), "fate")
+    fate = known(fate, "tk_")
 
     names = docs.columns
     columns = [f"c{i}" for i in range(len(names))]
@@ -394,7 +403,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keyed = plain.withColumn("id_", F.col(f"c{names.index(id_col)}").cast("long")).withColumn("tk_", F.xxhash64(text_of(f"c{names.index(text_col)}")))
     same = keyed["id_"].eqNullSafe(fate["id_"]) & (keyed["tk_"] == fate["tk_"])
     single = keyed.join(fate, same, "left_anti").select(*columns)
-    again = fate.where(~F.col("gone"))
+    again = known(fate.where(~F.col("gone")), "tk_")
     if again.isEmpty():
         return single.toDF(*names)
     # Aggregated before the shuffle, so a row repeated a million times is one row of each task.

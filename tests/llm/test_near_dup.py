@@ -192,3 +192,25 @@ def test_one_row_stays_of_repeated_rows(spark):
     assert [x for x in got if x[0] == 1] in ([(1, text, "a")], [(1, text, "b")])
     assert [x[2] for x in got if x[0] != 1] == ["h", "i", "e", "f", "g", "j"]
     assert minhash.keep_one(frame.limit(0)).count() == 0
+
+
+def test_nothing_sized_too_low_is_broadcast(spark):
+    """Exploded and compressed tables are larger than Spark guesses: no broadcast may exceed what Spark holds for small."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(1500):
+        words = [word() for _ in range(30)]
+        texts += [" ".join(words), " ".join([*words, word()])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "128k", "spark.sql.maxBroadcastTableSize": "8m"}  # Spark takes up to 4 MB for a few rows
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame, words=4).collect()}
+        kept = minhash.keep_one(frame, words=4).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i in range(3000)} and kept == 1500
