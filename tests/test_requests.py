@@ -167,6 +167,18 @@ def test_available_courses_shuffle_no_pairs(spark):
     assert written and max(written) < 4 * (100 + 400)
 
 
+def test_available_courses_are_written_small(spark, tmp_path):
+    """The answer has students x courses rows; as they come, files take less than two bytes for each."""
+    n = 20_000
+    courses = spark.range(n).selectExpr("id * 7 as course_id", "concat('C', id * 7) as course_code", "concat('name ', hash(id)) as course_name", "cast(null as bigint) as teacher_id",
+                                        "cast(null as string) as schedule", "cast(null as string) as description", "cast(null as timestamp_ntz) as updated_at")
+    enrolled = table(spark, "enrollments", [dict(student_id=s, course_id=7 * c) for s in range(60) for c in range(s, n, 997)])
+    got = declared.available_courses_of(spark.range(60).toDF("student_id"), courses, enrolled)
+    got.write.parquet(str(tmp_path / "answer"))
+    assert spark.read.parquet(str(tmp_path / "answer")).count() == 60 * n - enrolled.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "answer").glob("*.parquet")) < 60 * n * 2
+
+
 def test_grade_requests_come_from_one_join(spark):
     from rollbook.plans.inspect import physical_plan
     from rollbook.registry_changes import batch_update_grades
