@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.plans.batches import key_filtered
+from rollbook.plans.materialize import shuffles_dropped
 from rollbook.schema import TABLES
 from rollbook.sources.io import conform
 
@@ -89,8 +90,9 @@ class Snapshot:
         placed = [None if df is None else conform(df, self.name).withColumn("part", part_of(self.key, self.parts)) for df in (rows, stay)]
         if placed[0] is not None:
             placed[0] = placed[0].repartition(max(tasks, 1), "part")
-        (reduce(DataFrame.unionByName, [df for df in placed if df is not None])
-         .write.mode("errorifexists").partitionBy("part").parquet(folder, compression="zstd"))
+        with shuffles_dropped(self.spark):
+            (reduce(DataFrame.unionByName, [df for df in placed if df is not None])
+             .write.mode("errorifexists").partitionBy("part").parquet(folder, compression="zstd"))
         # From the folder names; no file is read.
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(folder)

@@ -152,3 +152,20 @@ def test_new_rows_continue_the_ids(spark, tmp_path):
     assert {(r["notice_id"], r["title"]) for r in as_dicts(new.read())} == {(3, "t"), (41, "t"), (42, "a"), (43, "b")}
     assert [r["seq"] for r in as_dicts(rejects)] == [3]
     assert files(kept.read()) < files(new.read())
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if f.endswith(".data") and "/shuffle_" in f}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    """Tables that are read from their files from then on keep no copy of their rows in shuffle files."""
+    from rollbook.plans.materialize import materialize
+    rows, asked = fees(spark, 2000), frame(spark, "fee_id long", [(i,) for i in range(0, 2000, 3)])
+    before = shuffle_files(spark)
+    written = materialize(rows.repartition(4, "student_id"), "t")
+    old = create_snapshot(rows, str(tmp_path / "fees"), "fees", "fee_id", 16)
+    new = old.rewrite(range(16), old.read().join(asked.hint("merge"), "fee_id", "left_anti"))
+    assert not shuffle_files(spark) - before
+    assert written.count() == old.read().count() == 2000 and new.read().count() == 2000 - 667
