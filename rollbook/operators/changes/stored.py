@@ -19,16 +19,27 @@ from rollbook.operators.changes.teaching import create_assignments, post_notices
 from rollbook.operators.changes.users import update_users
 from rollbook.plans.batches import existing_keys, without_keys
 from rollbook.plans.materialize import materialize
-from rollbook.sources.snapshots import Snapshot
+from rollbook.sources.snapshots import Snapshot, part_of
 
 
 def stored_update_grades(grades: Snapshot, teachers: DataFrame, assignments: DataFrame, courses: DataFrame,
                          batch: DataFrame, as_of: dt.datetime) -> tuple[Snapshot, DataFrame]:
     """C7 on grades kept by ``grade_id``.  The requested grades all lie in the
-    touched partitions, so the checks read nothing else of the grades."""
+    touched partitions, so the checks read nothing else of the grades.  Large
+    partitions are rewritten in groups, each with the requests for its grades."""
     touched = grades.parts_of(batch)
+    groups = grades.groups(touched)
+    if len(groups) > 1:
+        assignments = materialize(assignments.select("assignment_id", "course_id"), "assignments")  # read for each group
     new, rejects = update_grades(grades.read(touched), teachers, assignments, courses, batch, as_of)
-    return grades.rewrite(touched, new), rejects
+    if len(groups) == 1:
+        return grades.rewrite(touched, new), rejects
+    part = part_of(grades.key, grades.parts)
+
+    def updated(group: list[int]) -> DataFrame:
+        return update_grades(grades.read(group), teachers, assignments, courses, batch.where(part.isin(group)), as_of)[0]
+
+    return grades.rewrite_groups(groups, updated), rejects
 
 
 def stored_pay_fees(fees: Snapshot, students: DataFrame, batch: DataFrame, as_of: dt.date) -> tuple[Snapshot, DataFrame]:

@@ -11,7 +11,8 @@ a version that exists already fails.  So a failed or repeated job leaves the
 current version as it was, and of two writers that start from one version the
 later one gets an error.
 
-* ``rewrite`` replaces partitions, ``append`` adds rows to them without reading
+* ``rewrite`` replaces partitions, ``rewrite_groups`` likewise, one group of them
+  after the other, ``append`` adds rows to them without reading
   them, ``compact`` rewrites those that many writes have added to.
 * ``open_snapshot`` reads the newest version, or an older one.
 
@@ -22,7 +23,7 @@ or nearly so, and their hashes spread evenly.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +36,10 @@ from rollbook.plans.materialize import shuffles_dropped
 from rollbook.schema import TABLES
 from rollbook.sources.io import conform
 
+#: A batch that touches more than so many bytes is applied in groups of partitions, so many at most:
+#: what is shuffled for one group is off the disk before the next.  Each group reads the batch once.
+GROUP_BYTES, GROUPS = 1 << 30, 2
+
 LIST = "part int, write string, name string, key string, parts int"
 
 
@@ -120,6 +125,26 @@ class Snapshot:
         held = {p: w for p, w in self.held.items() if p not in parts}
         return self._commit(held | {p: [write] for p in written})
 
+    def groups(self, parts: Iterable[int]) -> list[list[int]]:
+        """The given partitions as one group, or as up to ``GROUPS`` if their files hold more than ``GROUP_BYTES``."""
+        parts = sorted(parts)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{w}/part={p}") for p in parts for w in self.held.get(p, [])]
+        held = sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+        n = max(1, min(GROUPS, len(parts), -(-held // GROUP_BYTES)))
+        return [parts[i::n] for i in range(n)]
+
+    def rewrite_groups(self, groups: list[list[int]], rows: Callable[[list[int]], DataFrame]) -> Snapshot:
+        """The version in which ``rows(group)`` takes the place of each group of
+        partitions; written group by group, committed as one."""
+        held = dict(self.held)
+        for group in filter(None, groups):
+            write, written = self._write(rows(group), len(group))
+            if not set(written) <= set(group):
+                raise ValueError(f"rows of partitions that are not rewritten: {sorted(set(written) - set(group))[:5]}")
+            held = {p: w for p, w in held.items() if p not in group} | {p: [write] for p in written}
+        return self if held == self.held else self._commit(held)
+
     def append(self, rows: DataFrame) -> Snapshot:
         """The version with further rows; no old row is read."""
         write, written = self._write(rows, self.parts)

@@ -169,3 +169,22 @@ def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
     new = old.rewrite(range(16), old.read().join(asked.hint("merge"), "fee_id", "left_anti"))
     assert not shuffle_files(spark) - before
     assert written.count() == old.read().count() == 2000 and new.read().count() == 2000 - 667
+
+
+def test_large_partitions_are_rewritten_in_groups(spark, tmp_path, monkeypatch):
+    """The same grades, rejects and files a partition as by one write; partitions without requests are carried over."""
+    from rollbook.sources import snapshots
+    c = load_driver(spark, SF_SMALL).pinned("grades")
+    old = create_snapshot(c.grades, str(tmp_path / "grades"), "grades", "grade_id", 16)
+    from rollbook.registry_changes import batch_update_grades
+    batch = batch_update_grades(c, spark, SF_SMALL).where(part_of("grade_id", 16) < 13)
+    batch = batch.unionByName(frame(spark, "seq string, teacher_user_id long, grade_id string, grade string, feedback string", [("x", 6, None, "A", None), ("y", 6, "none", "", "F")]))
+    plain, plain_rejects = changes.update_grades(c.grades, c.teachers, c.assignments, c.courses, batch, AS_OF)
+    monkeypatch.setattr(snapshots, "GROUP_BYTES", 1)
+    monkeypatch.setattr(snapshots, "GROUPS", 4)
+    assert sorted(len(g) for g in old.groups(range(13))) == [3, 3, 3, 4] and old.groups([]) == [[]]
+    new, rejects = changes.stored_update_grades(old, c.teachers, c.assignments, c.courses, batch, AS_OF)
+    assert sorted(map(str, new.read().collect())) == sorted(map(str, plain.collect()))
+    assert as_dicts(rejects) == as_dicts(plain_rejects) and rejects.count() > 2
+    assert new.version == old.version + 1 and {w for p in range(13) for w in new.held[p]}.isdisjoint(w for x in old.held.values() for w in x)
+    assert len({w for p in range(13) for w in new.held[p]}) == 4 and all(new.held[p] == old.held[p] for p in range(13, 16))
